@@ -18,49 +18,70 @@ def mature(df: DataFrame, year: str, years: int = V.MATURITY_YEARS, universe: Da
     return df.filter(F.col(year) <= last - years)
 
 
-def _where(condition: Column, value: Column | None = None) -> Column:
-    return F.when(condition, F.lit(1) if value is None else value)
+def outcome_cube(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows counted per keys, cohort, outcome and permanence.
+
+    All outcome metrics are functions of these cells. Their number depends on the programmes, the
+    cohorts and the terms, not on the rows, so the big table is read and shuffled once and already
+    combined.
+    """
+    return df.groupBy(*keys, "entry_year", "outcome", "permanence").agg(F.count("*").alias("n"))
+
+
+def _sum_if(condition: Column, value: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
+
+
+def deadlines(cube: DataFrame, key: str, low: float = 0.25, middle: float = 0.5, high: float = 0.9) -> DataFrame:
+    """Minimum, ideal and maximum terms of a key as percentiles of its permanence, one decimal."""
+    cuts = F.percentile("permanence", [low, middle, high], F.col("n"))
+    return cube.groupBy(key).agg(cuts.alias("_p")).select(
+        key,
+        half_even(F.col("_p")[0], 1).alias("minimum"),
+        half_even(F.col("_p")[1], 1).alias("ideal"),
+        half_even(F.col("_p")[2], 1).alias("maximum"),
+    )
 
 
-def outcome_metrics(df: DataFrame, key: str, k: int = V.MIN_GROUP) -> DataFrame:
+def outcome_metrics(cube: DataFrame, key: str, k: int = V.MIN_GROUP) -> DataFrame:
     """Outcome counts, rates and times per key, groups below `k` left out.
 
-    Expects the columns outcome, permanence, minimum, ideal and maximum. `at_maximum` counts
+    Expects cells with outcome, permanence, n, minimum, ideal and maximum. `at_maximum` counts
     `permanence >= maximum`; the shares have the graduates with a known permanence as denominator
     and are 0 when there are none.
     """
     done = F.col("outcome") == V.GRADUATED
-    time = F.col("permanence")
-    counted = df.groupBy(key).agg(
-        F.count("*").alias("total"),
-        F.count(_where(done)).alias("graduates"),
-        F.count(_where(F.col("outcome") == V.DROPPED)).alias("dropouts"),
-        F.count(_where(F.col("outcome") == V.ACTIVE)).alias("actives"),
-        F.count(_where(done, time)).alias("timed"),
-        F.count(_where(done & (time <= F.col("minimum")))).alias("_within_min"),
-        F.count(_where(done & (time <= F.col("ideal")))).alias("_within_ideal"),
-        F.count(_where(done & (time > F.col("ideal")))).alias("_above_ideal"),
-        F.count(_where(done & (time >= F.col("maximum")))).alias("_at_max"),
-        F.avg(_where(done, time)).alias("_mean"),
-        # Terms have a small domain: the buffer holds one entry per distinct term.
-        F.percentile(_where(done, time), 0.5).alias("_median"),
-        F.avg(_where(done, time - F.col("ideal"))).alias("_delay"),
+    time, n = F.col("permanence"), F.col("n")
+    timed = done & time.isNotNull()
+    counted = cube.groupBy(key).agg(
+        F.sum(n).alias("total"),
+        _sum_if(done, n).alias("graduates"),
+        _sum_if(F.col("outcome") == V.DROPPED, n).alias("dropouts"),
+        _sum_if(F.col("outcome") == V.ACTIVE, n).alias("actives"),
+        _sum_if(timed, n).alias("timed"),
+        _sum_if(done & (time <= F.col("minimum")), n).alias("_within_min"),
+        _sum_if(done & (time <= F.col("ideal")), n).alias("_within_ideal"),
+        _sum_if(done & (time > F.col("ideal")), n).alias("_above_ideal"),
+        _sum_if(done & (time >= F.col("maximum")), n).alias("_at_max"),
+        F.sum(F.when(timed, time * n)).alias("_terms"),
+        F.percentile(F.when(done, time), 0.5, n).alias("_median"),
+        F.sum(F.when(timed, (time - F.col("ideal")) * n)).alias("_delay"),
         F.min("minimum").alias("minimum"),
         F.min("ideal").alias("ideal"),
         F.min("maximum").alias("maximum"),
     ).filter(F.col("total") >= k)
-    timed = F.col("timed")
+    known = F.nullif(F.col("timed"), F.lit(0))
     return counted.select(
         key, "minimum", "ideal", "maximum", "total", "graduates", "dropouts", "actives",
         percent(F.col("graduates"), F.col("total")).alias("graduation_pct"),
         percent(F.col("dropouts"), F.col("total")).alias("dropout_pct"),
-        percent(F.col("_within_min"), timed, empty=0).alias("within_minimum_pct"),
-        percent(F.col("_within_ideal"), timed, empty=0).alias("within_ideal_pct"),
-        percent(F.col("_above_ideal"), timed, empty=0).alias("above_ideal_pct"),
-        percent(F.col("_at_max"), timed, empty=0).alias("at_maximum_pct"),
-        half_even(F.col("_mean"), 2).alias("mean_terms"),
+        percent(F.col("_within_min"), known, empty=0).alias("within_minimum_pct"),
+        percent(F.col("_within_ideal"), known, empty=0).alias("within_ideal_pct"),
+        percent(F.col("_above_ideal"), known, empty=0).alias("above_ideal_pct"),
+        percent(F.col("_at_max"), known, empty=0).alias("at_maximum_pct"),
+        half_even(F.col("_terms") / known, 2).alias("mean_terms"),
         half_even(F.col("_median"), 2).alias("median_terms"),
-        half_even(F.col("_delay"), 2).alias("mean_delay"),
+        half_even(F.col("_delay") / known, 2).alias("mean_delay"),
     )
 
 
@@ -79,33 +100,35 @@ def active_snapshot(actives: DataFrame, curricula: DataFrame, key: str, trunk: t
         F.min("ideal").alias("ideal"),
         F.min("maximum").alias("maximum"),
         F.count("*").alias("actives"),
-        F.count(_where(F.col("terms") > F.col("ideal"))).alias("above_ideal"),
-        F.count(_where(F.col("terms") > F.col("maximum"))).alias("above_maximum"),
+        F.count_if(F.col("terms") > F.col("ideal")).alias("above_ideal"),
+        F.count_if(F.col("terms") > F.col("maximum")).alias("above_maximum"),
     ).filter(F.col("actives") >= k)
     return counted.withColumn("above_ideal_pct", percent(F.col("above_ideal"), F.col("actives")))
 
 
-def global_totals(df: DataFrame) -> DataFrame:
-    """One row of totals over the mature cohorts."""
+def global_totals(cube: DataFrame) -> DataFrame:
+    """One row of totals over the mature cohorts, from cells with deadlines."""
     done = F.col("outcome") == V.GRADUATED
-    time = F.col("permanence")
-    one = df.agg(
+    time, n = F.col("permanence"), F.col("n")
+    timed = done & time.isNotNull()
+    one = cube.agg(
         F.min("entry_year").alias("first_cohort"),
         F.max("entry_year").alias("last_cohort"),
-        F.count("*").alias("analysed"),
-        F.count(_where(done)).alias("graduates"),
-        F.count(_where(done, time)).alias("_timed"),
-        F.count(_where(done & (time <= F.col("ideal")))).alias("_in"),
-        F.count(_where(done & (time > F.col("ideal")))).alias("_out"),
-        F.avg(_where(done, time)).alias("_mean"),
-        F.avg(_where(done, time - F.col("ideal"))).alias("_delay"),
+        F.sum(n).alias("analysed"),
+        _sum_if(done, n).alias("graduates"),
+        _sum_if(timed, n).alias("_timed"),
+        _sum_if(done & (time <= F.col("ideal")), n).alias("_in"),
+        _sum_if(done & (time > F.col("ideal")), n).alias("_out"),
+        F.sum(F.when(timed, time * n)).alias("_terms"),
+        F.sum(F.when(timed, (time - F.col("ideal")) * n)).alias("_delay"),
     )
+    known = F.nullif(F.col("_timed"), F.lit(0))
     return one.select(
         "first_cohort", "last_cohort", "analysed", "graduates",
-        percent(F.col("_in"), F.col("_timed")).alias("within_ideal_pct"),
-        percent(F.col("_out"), F.col("_timed")).alias("above_ideal_pct"),
-        half_even(F.col("_mean"), 2).alias("mean_terms"),
-        half_even(F.col("_delay"), 2).alias("mean_delay"),
+        percent(F.col("_in"), known).alias("within_ideal_pct"),
+        percent(F.col("_out"), known).alias("above_ideal_pct"),
+        half_even(F.col("_terms") / known, 2).alias("mean_terms"),
+        half_even(F.col("_delay") / known, 2).alias("mean_delay"),
     )
 
 

@@ -15,10 +15,14 @@ _METRICS = (
 )
 
 
+def mature_cells(t: Tables, *keys: str) -> DataFrame:
+    cells = D.cube(t, *keys)
+    placed = D.with_deadlines(cells).filter(F.col("ideal").isNotNull())
+    return cohorts.mature(placed, "entry_year", D.MATURITY, universe=cells)
+
+
 def metrics(t: Tables) -> DataFrame:
-    rows = D.enrolments(t)
-    placed = D.with_deadlines(rows).filter(F.col("ideal").isNotNull())
-    return cohorts.outcome_metrics(cohorts.mature(placed, "entry_year", D.MATURITY, universe=rows), "course")
+    return cohorts.outcome_metrics(mature_cells(t), "course")
 
 
 def retention(t: Tables) -> DataFrame:

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.numbers import half_even
 from ..functions.periods import exit_term, permanence, valid_permanence
+from ..operators import cohorts
+from ..session import pinned
 from .registry import Tables
 
 MATURITY = 3
@@ -56,19 +57,13 @@ def enrolments(t: Tables) -> DataFrame:
     return rows.withColumn("terms", terms).withColumn("permanence", valid_permanence(F.col("terms")))
 
 
-def curricula(rows: DataFrame, key: str = "course") -> DataFrame:
-    """Deadlines per programme."""
-    cuts = F.percentile("permanence", [0.25, 0.5, 0.9])
-    return rows.groupBy(key).agg(cuts.alias("p")).select(
-        key,
-        half_even(F.col("p")[0], 1).alias("minimum"),
-        half_even(F.col("p")[1], 1).alias("ideal"),
-        half_even(F.col("p")[2], 1).alias("maximum"),
-    )
+def cube(t: Tables, *keys: str) -> DataFrame:
+    """Outcome cells per programme, written once: everything after them is small."""
+    return pinned(cohorts.outcome_cube(enrolments(t), "course", *keys))
 
 
-def with_deadlines(rows: DataFrame, key: str = "course") -> DataFrame:
-    return rows.join(curricula(rows, key), key, "left")
+def with_deadlines(cells: DataFrame) -> DataFrame:
+    return cells.join(cohorts.deadlines(cells, "course"), "course", "left")
 
 
 # --- the same in SQL, as CTEs ----------------------------------------------------------------
