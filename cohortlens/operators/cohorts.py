@@ -92,16 +92,20 @@ def first_department(df: DataFrame, key: str, department: str, order: str) -> Da
     )
 
 
-def active_snapshot(actives: DataFrame, curricula: DataFrame, key: str, trunk: tuple[str, ...],
+def active_snapshot(cells: DataFrame, curricula: DataFrame, key: str, trunk: tuple[str, ...],
                     k: int = V.MIN_GROUP) -> DataFrame:
-    """Active students per key beyond the ideal and the maximum time; trunk keys are left out."""
-    rows = actives.filter(~F.col(key).isin(*trunk)).join(curricula.select(key, "ideal", "maximum"), key)
+    """Active students per key beyond the ideal and the maximum time; trunk keys are left out.
+
+    Expects cells (key, terms, n) of active students.
+    """
+    rows = cells.filter(~F.col(key).isin(*trunk)).join(curricula.select(key, "ideal", "maximum"), key)
+    n = F.col("n")
     counted = rows.groupBy(key).agg(
         F.min("ideal").alias("ideal"),
         F.min("maximum").alias("maximum"),
-        F.count("*").alias("actives"),
-        F.count_if(F.col("terms") > F.col("ideal")).alias("above_ideal"),
-        F.count_if(F.col("terms") > F.col("maximum")).alias("above_maximum"),
+        F.sum(n).alias("actives"),
+        _sum_if(F.col("terms") > F.col("ideal"), n).alias("above_ideal"),
+        _sum_if(F.col("terms") > F.col("maximum"), n).alias("above_maximum"),
     ).filter(F.col("actives") >= k)
     return counted.withColumn("above_ideal_pct", percent(F.col("above_ideal"), F.col("actives")))
 

@@ -30,13 +30,14 @@ def uniqueness(df: DataFrame, quasi: Sequence[str], top: int = 5) -> tuple[DataF
     return figures, sizes.orderBy(F.desc("groups"), F.asc("k")).limit(top)
 
 
-def grain_study(df: DataFrame, grains: dict[str, Sequence[str]], k: int = V.MIN_GROUP) -> DataFrame:
+def grain_study(df: DataFrame, grains: dict[str, Sequence[str]], k: int = V.MIN_GROUP,
+                weight: str | None = None) -> DataFrame:
     """Per grain: groups, groups below `k`, rows lost and both shares; the empty grain is the row itself.
 
     Grains nest, so the counts of the finest one feed all the others and the table is read once.
     """
     finest = max(grains.values(), key=len)
-    base = df.groupBy(*finest).agg(F.count("*").alias("_n"))
+    base = df.groupBy(*finest).agg((F.count("*") if weight is None else F.sum(weight)).alias("_n"))
     result = None
     for name, columns in grains.items():
         if not columns:

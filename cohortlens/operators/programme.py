@@ -88,18 +88,23 @@ def append_on_change(df: DataFrame, keys: Sequence[str], order: Sequence[str], v
     return marked.filter(F.col("_first") | ~F.col(value).eqNullSafe(F.col("_previous"))).drop("_previous", "_first")
 
 
-def _grant_counts() -> list[Column]:
+def _grant_counts(weight: str | None = None) -> list[Column]:
+    n = F.lit(1) if weight is None else F.col(weight)
+
+    def sum_if(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+
     return [
-        F.count("*").alias("projects"),
-        F.count(F.when(F.col("kind") == "REMUNERADA", 1)).alias("paid"),
-        F.count(F.when(F.col("kind") == "VOLUNTARIA", 1)).alias("voluntary"),
-        F.count(F.when(F.col("is_quota"), 1)).alias("quota"),
+        F.sum(n).alias("projects"),
+        sum_if(F.col("kind") == "REMUNERADA").alias("paid"),
+        sum_if(F.col("kind") == "VOLUNTARIA").alias("voluntary"),
+        sum_if(F.col("is_quota")).alias("quota_rows"),
         F.sum("amount").alias("invested"),
     ]
 
 
 def grants_per_key(df: DataFrame, key: str) -> DataFrame:
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*_grant_counts())
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*_grant_counts()).withColumnRenamed("quota_rows", "quota")
 
 
 def social_groups(df: DataFrame, keys: Sequence[str], k: int = V.MIN_GROUP) -> DataFrame:
@@ -108,20 +113,22 @@ def social_groups(df: DataFrame, keys: Sequence[str], k: int = V.MIN_GROUP) -> D
         *_grant_counts(),
         F.count(F.when(F.col("profile") == "PPI / ETNICO-RACIAL", 1)).alias("quota_race"),
         F.count(F.when(F.col("income") == "BAIXA RENDA (<= 1.5 SM)", 1)).alias("low_income"),
-    ).filter(F.col("projects") >= k)
+    ).withColumnRenamed("quota_rows", "quota").filter(F.col("projects") >= k)
     return counted.withColumn("quota_pct", percent(F.col("quota"), F.col("projects"), 1)).withColumn(
         "voluntary_pct", percent(F.col("voluntary"), F.col("projects"), 1)
     )
 
 
-def programme_report(df: DataFrame, grains: Sequence[str], students: DataFrame, area: str) -> DataFrame:
+def programme_report(df: DataFrame, grains: Sequence[str], students: DataFrame, area: str,
+                     weight: str | None = None) -> DataFrame:
     """Projects, quotas and money at several grains in one pass, with participation per area.
 
-    Grouping sets expand each row once per grain and combine before the shuffle.
+    Grouping sets expand each row once per grain and combine before the shuffle; `weight` counts
+    rows that are already aggregated to the finest grain.
     """
     sets = [[F.col(g)] for g in grains] + [[]]
     grouped = df.groupingSets(sets, *[F.col(g) for g in grains]).agg(
-        *_grant_counts(), F.grouping_id().alias("_gid")
+        *_grant_counts(weight), F.grouping_id().alias("_gid")
     )
     top = (1 << len(grains)) - 1
     label, value = F.lit("all"), F.lit("")
@@ -130,9 +137,10 @@ def programme_report(df: DataFrame, grains: Sequence[str], students: DataFrame,
         label = F.when(here, grain).otherwise(label)
         value = F.when(here, F.col(grain).cast("string")).otherwise(value)
     rows = grouped.select(
-        label.alias("grain"), value.alias("value"), "projects", "paid", "voluntary", "quota", "invested"
+        label.alias("grain"), value.alias("value"), "projects", "paid", "voluntary",
+        F.col("quota_rows").alias("quota"), "invested",
     )
-    total = df.agg(F.count("*")).scalar()
+    total = df.agg(F.count("*") if weight is None else F.sum(weight)).scalar()
     people = students.select(F.lit(area).alias("grain"), F.col(area).alias("value"), F.col("students"))
     return (
         rows.filter(F.col("value").isNotNull())

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import cohort_queries, scalar_queries  # noqa: F401
+from . import aggregate_queries, cohort_queries, join_queries, scalar_queries  # noqa: F401
 from .registry import PLANS
 
 __all__ = ["PLANS"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import labels
 from ..functions.periods import exit_term, permanence, valid_permanence
 from ..operators import cohorts
 from ..session import pinned
@@ -149,3 +150,43 @@ RISK = METRICS + """, inputs AS (
          WHEN risk_index >= q25 THEN 'RETENÇÃO MÉDIA' ELSE 'RETENÇÃO BAIXA' END AS risk_class
   FROM metrics m JOIN scored USING (course) CROSS JOIN cuts
 )"""
+
+
+# --- grants: orders as research grants ----------------------------------------------------------
+
+QUOTAS = {
+    "1-URGENT": "Escola Públ. - Baixa Renda - PPI", "2-HIGH": "Escola Pública Alta Renda não PPI", "3-MEDIUM": "Negro",
+    "4-NOT SPECIFIED": "Universal", "5-LOW": "PCD",
+}
+
+
+def grants(t: Tables) -> DataFrame:
+    """Orders as grants: programme, campus, area, year, kind, quota profile and amount."""
+    kind = F.when(F.col("o_orderstatus") == "F", "Bolsa remunerada").when(
+        F.col("o_orderstatus") == "P", "Iniciação voluntária"
+    )
+    rows = t.orders.join(programmes(t), F.col("o_custkey") == F.col("person"))
+    return rows.select(
+        "course", "campus", "area",
+        F.year("o_orderdate").alias("year"),
+        labels.grant_kind(kind).alias("kind"),
+        labels.social_profile(labels.recode(F.col("o_orderpriority"), QUOTAS)).alias("p"),
+        F.col("o_totalprice").cast("decimal(28,2)").alias("amount"),
+    ).select("course", "campus", "area", "year", "kind", "p.*", "amount")
+
+
+GRANTS = """
+programmes AS (
+  SELECT c_custkey AS person, n_name || ' - ' || c_mktsegment AS course, r_name AS campus, c_mktsegment AS area
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+), grants AS (
+  SELECT course, campus, area, year(o_orderdate) AS year,
+    CASE o_orderstatus WHEN 'F' THEN 'REMUNERADA' WHEN 'P' THEN 'VOLUNTARIA' ELSE 'NAO INFORMADO' END AS kind,
+    CASE left(o_orderpriority, 1) WHEN '4' THEN 'AMPLA CONCORRENCIA' WHEN '5' THEN 'OUTRAS COTAS' ELSE 'PPI / ETNICO-RACIAL' END AS profile,
+    CASE left(o_orderpriority, 1) WHEN '1' THEN 'ESCOLA PUBLICA - PPI' WHEN '2' THEN 'ESCOLA PUBLICA - PPI'
+      WHEN '3' THEN 'COTAS RACIAIS (NEGRO/INDIGENA)' WHEN '4' THEN 'AMPLA CONCORRENCIA' ELSE 'COTAS PCD' END AS quota,
+    CASE left(o_orderpriority, 1) WHEN '1' THEN 'BAIXA RENDA (<= 1.5 SM)' WHEN '2' THEN 'INDEPENDENTE DE RENDA'
+      WHEN '4' THEN 'NAO APLICAVEL' ELSE 'NAO ESPECIFICADO' END AS income,
+    left(o_orderpriority, 1) <> '4' AS is_quota, CAST(o_totalprice AS DECIMAL(28,2)) AS amount
+  FROM orders JOIN programmes ON o_custkey = person
+)"""
