@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed_values as V
 from .text import normalize_text
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | text.contains(word)
-    return found
+    """Whether a word occurs anywhere in the text; one pattern, so the text is evaluated once."""
+    return text.rlike("|".join(re.escape(w) for w in words))
 
 
 def first_match(rules: Iterable[tuple[Column, str]], default: str | None) -> Column:
@@ -78,12 +77,11 @@ def knowledge_area(area: Column, programme: Column) -> Column:
     return F.when(area == V.DEFAULT_AREA, recode(programme, V.AREA_OVERRIDES, V.DEFAULT_AREA)).otherwise(area)
 
 
-def social_profile(text: Column) -> Column:
-    """Struct (profile, quota, income, is_quota) of one quota text."""
-    quota = normalize_text(text)
+def social_profile(quota: Column) -> Column:
+    """Struct (profile, quota, income, is_quota) of one normalised quota text."""
     open_seat = quota.isin("", "NAO", "UNIVERSAL")
     race = contains_any(quota, ("NEGRO", "INDIGENA"))
-    ppi = race | quota.contains("PPI")
+    ppi = contains_any(quota, ("PPI", "NEGRO", "INDIGENA"))
     school = quota.contains("ESCOLA PUB")
     profile = (
         F.when(open_seat, "AMPLA CONCORRENCIA").when(ppi, "PPI / ETNICO-RACIAL")
@@ -103,6 +101,13 @@ def social_profile(text: Column) -> Column:
     )
 
 
+def with_social_profile(df: DataFrame, text: Column) -> DataFrame:
+    """The four attributes as columns. The text is normalised in a step of its own, once per row."""
+    return df.withColumn("_quota", normalize_text(text)).withColumn("_p", social_profile(F.col("_quota"))).select(
+        *df.columns, "_p.*"
+    )
+
+
 def band(value: Column, bands, lowest: str, missing: str) -> Column:
     """Verbal band of a number; `bands` are (threshold, label), highest threshold first."""
     return F.when(value.isNull(), missing).otherwise(

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..session import pinned
 
 
 def literal_table(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> DataFrame:
     """A small constant table, hinted for broadcast because its size is fixed in the code."""
-    return F.broadcast(spark.createDataFrame(list(rows), schema))
+    fields = T.StructType.fromDDL(schema)
+    entries = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields, strict=True)]) for row in rows
+    ]
+    return F.broadcast(spark.range(1).select(F.inline(F.array(*entries))))
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:

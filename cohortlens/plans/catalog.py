@@ -1,6 +1,14 @@
 """All registered queries."""
 
-from . import aggregate_queries, cohort_queries, join_queries, scalar_queries  # noqa: F401
+from . import (  # noqa: F401
+    cohort_queries,
+    scalar_queries,
+    join_queries,
+    aggregate_queries,
+    window_queries,
+    dimensional_queries,
+    lake_queries,
+)
 from .registry import PLANS
 
 __all__ = ["PLANS"]

@@ -165,14 +165,14 @@ def grants(t: Tables) -> DataFrame:
     kind = F.when(F.col("o_orderstatus") == "F", "Bolsa remunerada").when(
         F.col("o_orderstatus") == "P", "Iniciação voluntária"
     )
-    rows = t.orders.join(programmes(t), F.col("o_custkey") == F.col("person"))
-    return rows.select(
+    rows = t.orders.join(programmes(t), F.col("o_custkey") == F.col("person")).select(
         "course", "campus", "area",
         F.year("o_orderdate").alias("year"),
         labels.grant_kind(kind).alias("kind"),
-        labels.social_profile(labels.recode(F.col("o_orderpriority"), QUOTAS)).alias("p"),
         F.col("o_totalprice").cast("decimal(28,2)").alias("amount"),
-    ).select("course", "campus", "area", "year", "kind", "p.*", "amount")
+        labels.recode(F.col("o_orderpriority"), QUOTAS).alias("quota_text"),
+    )
+    return labels.with_social_profile(rows, F.col("quota_text")).drop("quota_text")
 
 
 GRANTS = """

@@ -176,12 +176,6 @@ def multi_format_date(t: Tables) -> DataFrame:
     return t.orders.groupBy(P.first_date(text).cast("string").alias("day")).agg(F.count("*").alias("rows"))
 
 
-_QUOTAS = {
-    "1-URGENT": "Escola Públ. - Baixa Renda - PPI", "2-HIGH": "Escola Pública Alta Renda não PPI", "3-MEDIUM": "Negro",
-    "4-NOT SPECIFIED": "Universal", "5-LOW": "PCD",
-}
-
-
 @plan("string priority profile quota income; boolean is_quota; bigint rows", "B20",
       """SELECT o_orderpriority AS priority,
           CASE left(o_orderpriority, 1) WHEN '4' THEN 'AMPLA CONCORRENCIA' WHEN '5' THEN 'OUTRAS COTAS' ELSE 'PPI / ETNICO-RACIAL' END AS profile,
@@ -192,7 +186,7 @@ _QUOTAS = {
           left(o_orderpriority, 1) <> '4' AS is_quota, count(*) AS rows FROM orders GROUP BY ALL""")
 def profile_struct(t: Tables) -> DataFrame:
     rows = t.orders.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("rows"))
-    return rows.withColumn("p", L.social_profile(L.recode(F.col("priority"), _QUOTAS))).select("priority", "p.*", "rows")
+    return L.with_social_profile(rows, L.recode(F.col("priority"), D.QUOTAS))
 
 
 @plan("string unit department programme; bigint customers", "B22",

@@ -136,15 +136,17 @@ def _first_bad_line(head: bytes, lines: int) -> tuple[int, str] | None:
     return None
 
 
-def provenance(spark: SparkSession, path: str, glob: str = "*", head_bytes: int = 1_000_000,
-               lines: int = 15) -> DataFrame:
-    """One row per file: size, sha256, whether its first lines are UTF-8, the first bad line."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    rows = files.select(
-        F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-        F.substring("content", 1, head_bytes).alias("head"),
+def content_provenance(df: DataFrame, name: str, content: str, head_bytes: int = 1_000_000,
+                       lines: int = 15) -> DataFrame:
+    """One row per content: size, sha256, whether its first lines are UTF-8, the first bad line.
+
+    Size and hash are computed in the JVM; only the head of each content goes to Python.
+    """
+    rows = df.select(
+        F.col(name).cast("string").alias("name"),
+        F.octet_length(content).cast("bigint").alias("bytes"),
+        F.sha2(F.col(content), 256).alias("sha256"),
+        F.substring(F.col(content), 1, head_bytes).alias("head"),
     )
 
     def check(batches) -> Iterator:
@@ -157,5 +159,13 @@ def provenance(spark: SparkSession, path: str, glob: str = "*", head_bytes: int
             ).astype({"bad_line": "Int64"})
 
     return rows.mapInPandas(
-        check, "file_name string, bytes bigint, sha256 string, valid_utf8 boolean, bad_line bigint, evidence string"
+        check, "name string, bytes bigint, sha256 string, valid_utf8 boolean, bad_line bigint, evidence string"
+    )
+
+
+def provenance(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Provenance of the files below a folder, by file name."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return content_provenance(
+        files.withColumn("file_name", F.regexp_extract("path", r"([^/]*)$", 1)), "file_name", "content"
     )
