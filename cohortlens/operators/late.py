@@ -13,9 +13,13 @@ from ..functions.periods import watermark, window_start
 
 
 def ledger_entry(df: DataFrame, load_id: Column, published: Column, year: str,
-                 maturity: int = V.MATURITY_YEARS) -> DataFrame:
-    """One row per load: publication, watermark, last mature cohort, rows."""
-    return df.agg(F.max(year).alias("_last"), F.count("*").alias("total")).select(
+                 maturity: int = V.MATURITY_YEARS, rows: str | None = None) -> DataFrame:
+    """One row per load: publication, watermark, last mature cohort, rows.
+
+    `rows` names a count column when the load comes as its snapshot cells.
+    """
+    total = F.count("*") if rows is None else F.sum(rows)
+    return df.agg(F.max(year).alias("_last"), total.alias("total")).select(
         load_id.alias("load_id"),
         published.alias("published"),
         watermark(published).alias("watermark"),

@@ -8,6 +8,8 @@ from . import (  # noqa: F401
     window_queries,
     dimensional_queries,
     lake_queries,
+    change_queries,
+    search_queries,
 )
 from .registry import PLANS
 

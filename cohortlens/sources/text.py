@@ -28,7 +28,7 @@ def delimited(spark: SparkSession, path: str | Sequence[str], columns: Sequence[
         .option("sep", separator).option("encoding", encoding)
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
         .option("nullValue", "\u0000").option("emptyValue", "")
-        .option("multiLine", multiline).option("quote", '"').option("escape", '"')
+        .option("columnPruning", False).option("multiLine", multiline).option("quote", '"').option("escape", '"')
     )
     df = reader.csv(path if isinstance(path, str) else list(path))
     # A missing trailing field is malformed; an empty field is empty text, not NULL.
@@ -42,12 +42,10 @@ def good_rows(df: DataFrame) -> DataFrame:
 
 
 def line_counts(df: DataFrame) -> DataFrame:
-    """(kept, dropped) lines. Reads one more column than `_malformed`, which a scan cannot read alone."""
-    first = df.columns[0]
-    return df.groupBy(F.col(BAD).isNull().alias("_ok")).agg(F.count("*").alias("_n"), F.max(first).alias("_x")).agg(
-        F.coalesce(F.sum(F.when(F.col("_ok"), F.col("_n"))), F.lit(0)).alias("kept"),
-        F.coalesce(F.sum(F.when(~F.col("_ok"), F.col("_n"))), F.lit(0)).alias("dropped"),
-    )
+    """(kept, dropped) lines. The first column takes part because Spark refuses to read `_malformed` alone."""
+    read = F.coalesce(F.length(df.columns[0]), F.lit(0)) >= 0
+    good = F.col(BAD).isNull()
+    return df.agg(F.count_if(read & good).alias("kept"), F.count_if(read & ~good).alias("dropped"))
 
 
 def minimised(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
