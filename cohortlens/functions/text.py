@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from . import fixed_values as V
@@ -37,8 +38,6 @@ def fold_accents(text: Column, exact: bool = False) -> Column:
 
 
 def _nfkd(text: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decompose(values: pd.Series) -> pd.Series:
         plain = values.str.normalize("NFKD")

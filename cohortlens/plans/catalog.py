@@ -10,6 +10,7 @@ from . import (  # noqa: F401
     lake_queries,
     change_queries,
     search_queries,
+    quality_queries,
 )
 from .registry import PLANS
 

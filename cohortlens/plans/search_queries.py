@@ -1,6 +1,6 @@
 """Documents, chunks and hybrid search over `documents` and `embeddings`.
 
-The title of a document is its first line; its vector is the embedding with its number, where there
+The title of a document is its first sentence; its vector is the embedding with its number, where there
 is one. Query vectors are the mean vectors of the labels.
 """
 
@@ -43,9 +43,13 @@ def queries(t: Tables) -> list[Query]:
     return [Query(i, text, () if i == NONSENSE else vectors.get(i, ())) for i, text in enumerate(TEXTS)]
 
 
+def title():
+    return F.regexp_extract("text", r"^([^.\n]*)", 1)
+
+
 def corpus(t: Tables) -> DataFrame:
     vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
-    return t.documents.select("doc_id", "source", "text", F.split("text", "\n", 2)[0].alias("title")).join(
+    return t.documents.select("doc_id", "source", "text", title().alias("title")).join(
         vectors, "doc_id", "left"
     )
 
@@ -94,8 +98,8 @@ def _texts_sql() -> str:
 
 _TITLES = f"""forms(query_id, form) AS (VALUES {_texts_sql()}
 ), f AS (SELECT query_id, form, list_distinct({_grams("form")}) AS q FROM forms
-), t AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, {_grams("split_part(text, chr(10), 1)")} AS g FROM documents
-), bounded AS (SELECT * FROM t CROSS JOIN f WHERE len(list_intersect(q, list_distinct(g))) / len(q) >= 0.8 OR contains(lower(title), lower(form))
+), t AS (SELECT doc_id AS id, regexp_extract(text, '^([^.\\n]*)', 1) AS title, {_grams("regexp_extract(text, '^([^.\\n]*)', 1)")} AS g FROM documents
+), bounded AS (SELECT * FROM t CROSS JOIN f WHERE len(list_intersect(q, list_distinct(g))) / len(q) >= 0.8
 ), placed AS (SELECT *, list_filter(range(1, len(g) + 1), lambda i: list_contains(q, g[i])) AS p FROM bounded
 ), runs AS (SELECT query_id, id, contains(lower(title), lower(form)) AS inside, g, q, unnest(p) AS a, p FROM placed
 ), ends AS (SELECT query_id, id, inside, g, q, a, unnest(list_filter(p, lambda b: b >= a)) AS b FROM runs
@@ -203,7 +207,7 @@ def coverage_match(t: Tables) -> DataFrame:
       f"WITH {_TITLES} SELECT query_id, id, position, round_even(similarity * 1e9, 0) / 1e9 AS similarity, contains, exact FROM titles")
 def trigram_title(t: Tables) -> DataFrame:
     asked = [Query(i, text) for i, text in enumerate(TEXTS)]
-    found = search.title_candidates(t.documents, asked, "doc_id", F.split("text", "\n", 2)[0])
+    found = search.title_candidates(t.documents, asked, "doc_id", title())
     return found.withColumn("similarity", half_even(F.col("similarity"), 9))
 
 
