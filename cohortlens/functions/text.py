@@ -29,12 +29,13 @@ _ACCENTED, _PLAIN = _latin_folding()
 def fold_accents(text: Column, exact: bool = False) -> Column:
     """Text without accents.
 
-    The default folds the Latin blocks inside the JVM and also drops loose combining marks. With
-    `exact`, full NFKD runs in an Arrow UDF, for text in other scripts.
+    The default folds the Latin blocks inside the JVM and also drops loose combining marks; plain
+    ASCII text is passed through. With `exact`, full NFKD runs in an Arrow UDF, for other scripts.
     """
     if exact:
         return _nfkd(text)
-    return F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"\p{Mn}+", "")
+    folded = F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"\p{Mn}+", "")
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
 
 
 def _nfkd(text: Column) -> Column:
@@ -49,15 +50,25 @@ def _nfkd(text: Column) -> Column:
     return decompose(text)
 
 
+# The white space that is trimmed.
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def normalize_text(text: Column, exact: bool = False) -> Column:
     """Upper case, no accents, single spaces; NULL and the empty words give ''."""
     bare = strip(F.coalesce(text, F.lit("")))
-    clean = F.upper(F.regexp_replace(fold_accents(bare, exact), r"(?U)\s+", " "))
-    return F.when(F.upper(bare).isin(*V.EMPTY_WORDS), F.lit("")).otherwise(clean)
+    # Single spaces are left alone: most texts need no replacement at all.
+    clean = F.upper(F.regexp_replace(fold_accents(bare, exact), r"(?U)\s{2,}|[^\S ]", " "))
+    word = F.when(F.length(text) < 40, F.upper(bare))
+    return F.when(F.coalesce(word.isin(*V.EMPTY_WORDS), bare == ""), F.lit("")).otherwise(clean)
+
+
+def programme_name(text: Column) -> Column:
+    return strip_prefix(normalize_text(text), V.UMBRELLA_PREFIXES)
 
 
 def strip_prefix(text: Column, prefixes: Sequence[str], separator: str = " - ") -> Column:
@@ -65,10 +76,6 @@ def strip_prefix(text: Column, prefixes: Sequence[str], separator: str = " - ")
     return F.regexp_replace(text, f"^({'|'.join(prefixes)}){separator}", "")
 
 
-def programme_name(text: Column) -> Column:
-    return strip_prefix(normalize_text(text), V.UMBRELLA_PREFIXES)
-
-
 def split_unit(unit: Column) -> tuple[Column, Column]:
     """(department, programme) of 'DEPARTMENT / PROGRAMME - ALUNO: id - FORMANDO'.
 

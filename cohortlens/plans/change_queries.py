@@ -90,9 +90,7 @@ def cdc_truncate(t: Tables) -> DataFrame:
 @plan("bigint reconciled rows", "I07",
       f"""WITH {_log_sql(_SNAPSHOT, "op = 'r' AND lsn % 500 < 10")} SELECT count(*) FILTER (reconciled) AS reconciled, count(*) AS rows FROM state""")
 def cdc_snapshot_end(t: Tables) -> DataFrame:
-    events = pinned(cdc.decode(messages(t, snapshots=True), USERS))
-    rows = cdc.state_of(events, USERS).agg(F.count("*")).scalar()
-    return cdc.reconciled_rows(events, USERS).withColumn("rows", rows)
+    return cdc.reconciled_rows(cdc.decode(messages(t, snapshots=True), USERS), USERS)
 
 
 def _streamed(t: Tables, store: cdc.ChangeStore, source: str, run: str, files_per_batch: int) -> None:

@@ -20,13 +20,13 @@ def rules(t: Tables) -> DataFrame:
 
 
 def resolved(t: Tables) -> DataFrame:
-    """Enrolments with the programme that the alias rules give."""
-    rows = resolve.resolve(D.enrolments(t), rules(t), "area", "origin", "target", "area_resolved")
-    return rows.withColumn("resolved", F.concat_ws(" - ", F.split("course", " - ", 2)[0], "area_resolved"))
+    """Outcome cells with the programme that the alias rules give: the rules see cells, not rows."""
+    cells = D.cube(t, "area")
+    named = resolve.resolve(cells, rules(t), "area", "origin", "target", "area_resolved")
+    return named.withColumn("resolved", F.concat_ws(" - ", F.split("course", " - ", 2)[0], "area_resolved"))
 
 
-def known_curricula(t: Tables) -> DataFrame:
-    cells = D.cube(t)
+def known_curricula(cells: DataFrame) -> DataFrame:
     return cohorts.deadlines(cells, "course").filter(~F.col("course").isin(*D.TRUNK))
 
 
@@ -40,8 +40,9 @@ _RESOLVED = f"""{D.CURRICULA}, rules(origin, target) AS (VALUES {_RULES_SQL}), r
       f"""WITH {_RESOLVED} SELECT r.resolved AS course, count(*) AS rows, min(k.ideal) AS ideal
       FROM resolved r LEFT JOIN known k ON k.course = r.resolved GROUP BY 1""")
 def entity_resolution(t: Tables) -> DataFrame:
-    counts = resolved(t).groupBy(F.col("resolved").alias("course")).agg(F.count("*").alias("rows"))
-    return counts.join(known_curricula(t).select("course", "ideal"), "course", "left")
+    cells = resolved(t)
+    counts = cells.groupBy(F.col("resolved").alias("course")).agg(F.sum("n").alias("rows"))
+    return counts.join(known_curricula(cells).select("course", "ideal"), "course", "left")
 
 
 @plan("string course campus area degree; bigint total projects; double per_100", "C04 D28",
@@ -251,8 +252,9 @@ def composite_join(t: Tables) -> DataFrame:
         round_even(count(ideal) / count(*) * 100 * 100, 0) / 100 AS matched_pct,
         (SELECT string_agg(course || '=' || n, ';' ORDER BY n DESC, course) FROM w) AS worst FROM j""")
 def match_rate(t: Tables) -> DataFrame:
-    counts = resolved(t).groupBy("course", "resolved").agg(F.count("*").alias("n"))
-    known = known_curricula(t).select(F.col("course").alias("resolved"), "ideal")
+    cells = resolved(t)
+    counts = cells.groupBy("course", "resolved").agg(F.sum("n").alias("n"))
+    known = known_curricula(cells).select(F.col("course").alias("resolved"), "ideal")
     placed = counts.join(known, "resolved", "left")
     totals, worst = resolve.match_report(placed, F.col("ideal").isNotNull(), "course", weight="n")
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("rows")).alias("r"), "course")))

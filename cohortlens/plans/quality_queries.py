@@ -213,8 +213,9 @@ def status_drift(t: Tables) -> DataFrame:
         SELECT DISTINCT split_part(course, ' - ', 1) || ' - ' || coalesce(target, area) AS course FROM programmes LEFT JOIN rules ON origin = area)
       SELECT course FROM r WHERE course NOT IN ('NATION_3 - BUILDING') AND course NOT IN (SELECT course FROM curricula WHERE course NOT IN ({_TRUNK_SQL}))""")
 def uncovered_keys(t: Tables) -> DataFrame:
-    rows = resolved(t).select(F.col("resolved").alias("course"))
-    return quality.uncovered_keys(rows, known_curricula(t), "course", ["NATION_3 - BUILDING"])
+    cells = resolved(t)
+    names = cells.select(F.col("resolved").alias("course"))
+    return quality.uncovered_keys(names, known_curricula(cells), "course", ["NATION_3 - BUILDING"])
 
 
 @plan("string check; double age_days; boolean inside", "K20",

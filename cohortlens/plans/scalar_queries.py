@@ -19,8 +19,8 @@ _UP = "upper(replace({0}, 'ß', 'SS'))"
           ELSE {_UP.format(_FOLD.format('b'))} END AS t
         FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS b FROM documents))""")
 def normalize_text(t: Tables) -> DataFrame:
-    clean = X.normalize_text(F.col("text"))
-    return t.documents.select("doc_id", F.length(clean).alias("n_chars"), F.md5(clean).alias("digest"))
+    rows = t.documents.select("doc_id", X.normalize_text(F.col("text")).alias("clean"))
+    return rows.select("doc_id", F.length("clean").alias("n_chars"), F.md5("clean").alias("digest"))
 
 
 @plan("string course name; bigint customers", "B02",

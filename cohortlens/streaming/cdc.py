@@ -12,11 +12,12 @@ the folds are compacted into a new base.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..session import pinned
+
 ENVELOPE = (
     "op string, before struct<{0}>, after struct<{0}>, "
     "source struct<ts_ms: bigint, lsn: bigint, sequence: string, snapshot: string>"
@@ -48,7 +49,8 @@ class Table:
         columns = ", ".join(f"{n} {t}" for n, t in self.columns)
         return T.StructType.fromDDL(
             f"{columns}, _deleted boolean, _commit_lsn bigint, _lsn bigint, _origin_at timestamp, "
-            "_value_commit bigint, _value_lsn bigint"
+            "_value_commit bigint, _value_lsn bigint, "
+            "_mark struct<commit_lsn: bigint, lsn: bigint, origin_at: timestamp>"
         )
 
 
@@ -74,16 +76,23 @@ def decode(messages: DataFrame, table: Table, value: str = "value") -> DataFrame
 
 
 def fold_events(events: DataFrame, table: Table) -> DataFrame:
-    """One row per key of the state schema: newest position, its delete flag, newest known values."""
-    rows = events.filter(F.col("op") != "t")
+    """One row per key of the state schema, from one pass over the events.
+
+    Newest position, its delete flag, newest known values, and the newest marker seen with the key.
+    A TRUNCATE has no row, so its marker lands on the row whose key is NULL.
+    """
+    op = F.col("op")
     position = F.struct("commit_lsn", "lsn")
-    valued = F.when(F.col("op") != "d", position)
-    folded = rows.groupBy(*table.key).agg(
-        F.max(position).alias("_p"),
-        F.max_by(F.col("op") == "d", position).alias("_deleted"),
-        F.max_by("origin_at", position).alias("_origin_at"),
+    moved = F.when(op != "t", position)
+    valued = F.when(~op.isin("d", "t"), position)
+    mark = F.when((op == "t") | F.col("end_of_snapshot"), F.struct("commit_lsn", "lsn", "origin_at"))
+    folded = events.groupBy(*table.key).agg(
+        F.max(moved).alias("_p"),
+        F.max_by(op == "d", moved).alias("_deleted"),
+        F.max_by("origin_at", moved).alias("_origin_at"),
         F.max(valued).alias("_vp"),
         F.max_by(F.struct(*table.values), valued).alias("_v") if table.values else F.first(F.lit(None)).alias("_v"),
+        F.max(mark).alias("_mark"),
     )
     return folded.select(
         *[F.col(n) if n in table.key else F.col(f"_v.{n}").alias(n) for n in table.names],
@@ -93,17 +102,10 @@ def fold_events(events: DataFrame, table: Table) -> DataFrame:
         "_origin_at",
         F.col("_vp.commit_lsn").alias("_value_commit"),
         F.col("_vp.lsn").alias("_value_lsn"),
+        "_mark",
     )
 
 
-def markers(events: DataFrame) -> DataFrame:
-    """Positions of TRUNCATE and end-of-snapshot events, newest only: one row at most."""
-    marks = events.filter((F.col("op") == "t") | F.col("end_of_snapshot"))
-    return marks.agg(
-        F.max(F.struct("commit_lsn", "lsn", "origin_at")).alias("m")
-    ).filter("m IS NOT NULL").select("m.*")
-
-
 def merge_states(base: DataFrame, newer: DataFrame, table: Table) -> DataFrame:
     """Two folds in one: per key the strictly newer position wins, values from the newest valued event.
 
@@ -112,10 +114,11 @@ def merge_states(base: DataFrame, newer: DataFrame, table: Table) -> DataFrame:
     the keys that were touched.
     """
     keys = list(table.key)
-    touched_keys = newer.select(*keys)
-    b = base.join(touched_keys, keys, "left_semi").alias("b")
+    touched_keys = newer.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+    same_key = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    b = base.join(touched_keys, same_key, "left_semi").alias("b")
     n = newer.alias("n")
-    joined = b.join(n, [F.col(f"b.{k}") == F.col(f"n.{k}") for k in keys], "full")
+    joined = b.join(n, [F.col(f"b.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full")
 
     def after(commit: str, lsn: str) -> Column:
         left = F.struct(F.col(f"b.{commit}").alias("c"), F.col(f"b.{lsn}").alias("l"))
@@ -137,14 +140,22 @@ def merge_states(base: DataFrame, newer: DataFrame, table: Table) -> DataFrame:
         ],
         *[pick("_newer", c) for c in CONTROL],
         *[pick("_fresh", c) for c in ("_value_commit", "_value_lsn")],
+        F.greatest("b._mark", "n._mark").alias("_mark"),
     )
-    return base.join(touched_keys, keys, "left_anti").select(*merged.columns).unionByName(merged)
+    return base.join(touched_keys, same_key, "left_anti").select(*merged.columns).unionByName(merged)
+
+
+INTERNAL = ("_value_commit", "_value_lsn", "_mark")
+
 
+def newest_mark(folds: DataFrame) -> Column:
+    """Newest marker of a fold, as a scalar subquery over its marker column."""
+    return folds.agg(F.max("_mark")).scalar()
 
-def apply_markers(state: DataFrame, marks: DataFrame) -> DataFrame:
-    """Rows older than the newest marker become deleted and take its position."""
-    newest = marks.agg(F.max(F.struct("commit_lsn", "lsn", "origin_at")).alias("m")).scalar()
-    marked = state.withColumn("_m", newest)
+
+def apply_markers(folded: DataFrame, table: Table, mark: Column) -> DataFrame:
+    """The state: rows older than the newest marker become deleted and take its position."""
+    marked = folded.filter(F.col(table.key[0]).isNotNull()).withColumn("_m", mark)
     older = F.coalesce(
         F.struct(F.col("_commit_lsn").alias("c"), F.col("_lsn").alias("l"))
         < F.struct(F.col("_m.commit_lsn").alias("c"), F.col("_m.lsn").alias("l")),
@@ -158,19 +169,26 @@ def apply_markers(state: DataFrame, marks: DataFrame) -> DataFrame:
             "_commit_lsn": F.when(older, F.col("_m.commit_lsn")).otherwise(F.col("_commit_lsn")),
             "_lsn": F.when(older, F.col("_m.lsn")).otherwise(F.col("_lsn")),
         }
-    ).drop("_m")
+    ).drop("_m", *INTERNAL)
+
+
+def folded_state(events: DataFrame, table: Table) -> DataFrame:
+    """The state after all events of a table, with `_reconciled` on rows a marker found alive.
+
+    The fold is written once, one row per key: the markers and the state both read that.
+    """
+    folded = pinned(fold_events(events, table))
+    return apply_markers(folded, table, newest_mark(folded))
 
 
 def state_of(events: DataFrame, table: Table) -> DataFrame:
-    """The state after all events of a batch table, tombstones included."""
-    return apply_markers(fold_events(events, table), markers(events)).drop("_value_commit", "_value_lsn")
+    """The state after all events of a table, tombstones included."""
+    return folded_state(events, table).drop("_reconciled")
 
 
 def reconciled_rows(events: DataFrame, table: Table) -> DataFrame:
-    """Rows that a marker found alive and marked as deleted."""
-    return apply_markers(fold_events(events, table), markers(events)).agg(
-        F.count_if("_reconciled").alias("reconciled")
-    )
+    """Rows in the state and those that a marker found alive and marked as deleted."""
+    return folded_state(events, table).agg(F.count_if("_reconciled").alias("reconciled"), F.count("*").alias("rows"))
 
 
 class LogRegression(RuntimeError):
@@ -178,13 +196,12 @@ class LogRegression(RuntimeError):
 
 
 class ChangeStore:
-    """Folds of one table below a folder: a base, and the batch folds and markers written since it.
+    """Folds of one table below a folder: a base, and the batch folds written since it.
 
     Folds live in a folder per epoch. Compaction writes the base of the next epoch and then one
     row in `epochs`; from that row on, readers use the new base and the folds of the new epoch.
     """
 
-    MARKS = "commit_lsn bigint, lsn bigint, origin_at timestamp"
     EPOCHS = "epoch bigint, folder string"
 
     def __init__(self, spark: SparkSession, root: str, table: Table, compact_every: int = 50):
@@ -205,37 +222,39 @@ class ChangeStore:
 
     def write_batch(self, events: DataFrame, batch_id: int, run: str = "run") -> None:
         """Fold of one micro-batch. The folder is named by run and batch: a retry replaces its own rows."""
-        epoch, _ = self._epoch()
         fold = fold_events(events, self.table).select(
             *[F.col(f.name).cast(f.dataType) for f in self.table.state_schema()]
         )
-        place = f"epoch-{epoch}/{run}-{batch_id}"
-        fold.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/folds/{place}")
-        markers(events).write.mode("overwrite").parquet(f"{self.root}/marks/{place}")
+        fold.write.mode("overwrite").option("compression", "zstd").parquet(
+            f"{self.root}/folds/epoch-{self._epoch()[0]}/{run}-{batch_id}"
+        )
 
-    def _pieces(self) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    def _pieces(self) -> tuple[DataFrame | None, DataFrame]:
         schema = self.table.state_schema()
         epoch, folder = self._epoch()
         base = None if folder is None else self.spark.read.schema(schema).parquet(folder)
-        return base, self._parts(f"folds/epoch-{epoch}", schema), self._parts(f"marks/epoch-{epoch}", self.MARKS)
+        return base, self._parts(f"folds/epoch-{epoch}", schema)
+
+    @staticmethod
+    def _columns(base: DataFrame | None, folds: DataFrame, *names: str) -> DataFrame:
+        rows = folds.select(*names)
+        return rows if base is None else rows.unionByName(base.select(*names))
 
-    def _merged(self) -> tuple[DataFrame, DataFrame]:
-        base, folds, marks = self._pieces()
+    def _merged(self, base: DataFrame | None, folds: DataFrame) -> DataFrame:
         newer = refold(folds, self.table)
-        return (newer if base is None else merge_states(base, newer, self.table)), marks
+        return newer if base is None else merge_states(base, newer, self.table)
 
     def state(self) -> DataFrame:
         """Current rows, tombstones included."""
-        merged, marks = self._merged()
-        return apply_markers(merged, marks).drop("_reconciled", "_value_commit", "_value_lsn")
+        base, folds = self._pieces()
+        mark = newest_mark(self._columns(base, folds, "_mark"))
+        return apply_markers(self._merged(base, folds), self.table, mark).drop("_reconciled")
 
     def high_water(self) -> int:
         """Largest lsn held, 0 for an empty store; reads the position columns only."""
-        base, folds, marks = self._pieces()
-        seen = folds.select("_lsn").unionByName(marks.select(F.col("lsn").alias("_lsn")))
-        if base is not None:
-            seen = seen.unionByName(base.select("_lsn"))
-        return seen.agg(F.coalesce(F.max("_lsn"), F.lit(0))).first()[0]
+        seen = self._columns(*self._pieces(), "_lsn", "_mark")
+        newest = F.max(F.greatest(F.coalesce("_lsn", F.lit(0)), F.coalesce("_mark.lsn", F.lit(0))))
+        return seen.agg(F.coalesce(newest, F.lit(0))).first()[0]
 
     def check_source(self, newest_lsn: int) -> None:
         held = self.high_water()
@@ -244,12 +263,9 @@ class ChangeStore:
 
     def compact(self) -> None:
         """Base and folds in a new base. The files of the old epoch stay for readers that use them."""
-        merged, marks = self._merged()
         epoch = self._epoch()[0] + 1
         folder = f"{self.root}/bases/epoch-{epoch}"
-        merged.hint("rebalance").write.mode("overwrite").option("compression", "zstd").parquet(folder)
-        newest = marks.agg(F.max(F.struct("commit_lsn", "lsn", "origin_at")).alias("m")).filter("m IS NOT NULL")
-        newest.select("m.*").write.mode("overwrite").parquet(f"{self.root}/marks/epoch-{epoch}/carried")
+        self._merged(*self._pieces()).hint("rebalance").write.mode("overwrite").option("compression", "zstd").parquet(folder)
         self.spark.createDataFrame([(epoch, folder)], self.EPOCHS).coalesce(1).write.mode("append").parquet(
             f"{self.root}/epochs"
         )
@@ -257,18 +273,20 @@ class ChangeStore:
 
 def refold(folds: DataFrame, table: Table) -> DataFrame:
     """Fold of folds: the same reduction over rows that are already one per key and batch."""
-    position = F.struct("_commit_lsn", "_lsn")
+    position = F.when(F.col("_commit_lsn").isNotNull(), F.struct("_commit_lsn", "_lsn"))
     valued = F.when(F.col("_value_commit").isNotNull(), F.struct("_value_commit", "_value_lsn"))
     folded = folds.groupBy(*table.key).agg(
         F.max_by(F.struct(*CONTROL), position).alias("_c"),
         F.max(valued).alias("_vp"),
         F.max_by(F.struct(*table.values), valued).alias("_v") if table.values else F.first(F.lit(None)).alias("_v"),
+        F.max("_mark").alias("_mark"),
     )
     return folded.select(
         *[F.col(n) if n in table.key else F.col(f"_v.{n}").alias(n) for n in table.names],
         *[F.col(f"_c.{c}").alias(c) for c in CONTROL],
         F.col("_vp._value_commit").alias("_value_commit"),
         F.col("_vp._value_lsn").alias("_value_lsn"),
+        "_mark",
     )
 
 
