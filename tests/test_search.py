@@ -1,0 +1,145 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cohortlens.operators import search
+from cohortlens.operators.search import Query
+
+DOCS = [
+    (1, "Engenharia de Software", "curso de engenharia com evasão alta e atraso", "a.md"),
+    (2, "Ciência da Computação", "algoritmos e dados, evasão moderada", "a.md"),
+    (3, "Política de frescor", "SLA de frescor dos dados e prazos", "b.md"),
+    (4, "Receitas", "bolo de milho e café", "c.md"),
+]
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    vectors = np.eye(4)
+    data = [(*d, [float(x) for x in vectors[i]]) for i, d in enumerate(DOCS)]
+    return spark.createDataFrame(data, "id long, title string, text string, file string, v array<double>")
+
+
+def ids(df, query=0):
+    return [r.id for r in df.filter(F.col("query_id") == query).orderBy("position").collect()]
+
+
+def test_query_terms_and_needed_share():
+    assert search.query_terms("Evasão e atraso, evasão", ["e"]) == ["atraso", "evasao"]
+    assert [search.needed_terms(n) for n in (1, 2, 3, 8)] == [1, 1, 2, 4]
+    assert search.needed_terms(4, 0) == 1
+    assert len(search.query_terms(" ".join("abcdefghijkl"))) == 8
+    assert search.query_terms("de e", ["de", "e"]) == []
+
+
+def test_coverage(corpus):
+    found = search.coverage_candidates(corpus, [Query(0, "evasão dados algoritmos"), Query(1, "xyz"), Query(2, "")], "id", F.col("text"))
+    assert ids(found) == [2]
+    assert found.filter("query_id > 0").count() == 0
+    nothing = search.coverage_candidates(corpus, [Query(0, "")], "id", F.col("text"))
+    assert nothing.count() == 0
+
+
+def test_word_similarity_against_brute_force():
+    def brute(query, grams):
+        best = 0.0
+        for a in range(len(grams)):
+            for b in range(a + 1, len(grams) + 1):
+                part = set(grams[a:b])
+                best = max(best, len(part & query) / len(part | query))
+        return best
+
+    assert brute(set(search.word_grams("word")), search.word_grams("two words")) == pytest.approx(0.8)
+    pairs = [("word", "two words"), ("evasao", "curso com evasao alta"), ("abc abc", "x abc y abc abc z"), ("frescor", "politica de frescor")]
+    for query, title in pairs:
+        grams = search.word_grams(title)
+        wanted = brute(set(search.word_grams(query)), grams)
+        got = search.best_run(frozenset(search.word_grams(query)), grams, 0.5)
+        assert got == pytest.approx(wanted) if wanted >= 0.5 else got < 0.5
+
+
+def test_trigrams_are_the_same_in_both_places(spark):
+    texts = ["Política de  frescor", "a_b c", "", "É 1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", search.trigrams(F.col("t")).alias("g"))
+    assert all(list(g) == search.word_grams(t) for t, g in df.collect())
+
+
+def test_titles_match_with_and_without_accents(corpus):
+    found = search.title_candidates(corpus, [Query(0, "politica de frescor"), Query(1, "Política de Frescor"), Query(2, "zzz")], "id", F.col("title"))
+    assert ids(found, 1) == [3] and found.filter("query_id = 1").first().exact
+    assert found.filter("query_id = 2").count() == 0
+
+
+def test_vectors_are_exact_and_ties_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(1)
+    data = rng.normal(size=(300, 8))
+    data[200:] = data[:100]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id long, v array<double>").repartition(5)
+    query = rng.normal(size=8)
+    scores = np.round(data @ query / np.linalg.norm(data, axis=1) / np.linalg.norm(query), 9)
+    wanted = sorted(range(300), key=lambda i: (-scores[i], i))[:30]
+    assert ids(search.vector_candidates(df, [Query(0, "", tuple(query))], "id", "v")) == wanted
+
+
+def hits(corpus, queries, k=5):
+    fused = search.fuse(
+        search.vector_candidates(corpus, queries, "id", "v"),
+        search.title_candidates(corpus, queries, "id", F.col("title")),
+        search.coverage_candidates(corpus, queries, "id", F.col("text"), ["de", "e", "com"]),
+    )
+    return search.best_per_file(fused.join(corpus.select("id", "file"), "id"), "file", k, [F.asc("id")])
+
+
+def test_hybrid_search(corpus):
+    near = (0.5, 0.5, 0.0, 0.0)
+    queries = [
+        Query(0, "engenharia evasão", near), Query(1, "lorem ipsum dolor", (1.0, 1.0, 1.0, 1.0)), Query(2, "política de frescor", ()),
+    ]
+    got = hits(corpus, queries)
+    assert ids(got) == [1], "one hit per file: documents 1 and 2 share one"
+    assert ids(got, 1) == [], "neighbours without evidence do not count"
+    first = got.filter("query_id = 2").first()
+    assert first.id == 3 and first.relevance == pytest.approx(1 / 61 * 3)
+    expected = corpus.sparkSession.createDataFrame([(0, 1), (1, 4), (2, 3)], "query_id long, id long")
+    assert tuple(search.retrieval_quality(got, expected, 5).first()) == pytest.approx((3, 2, 2 / 3, 2 / 3))
+
+
+@pytest.mark.parametrize("limit, overlap", [(100, 20), (500, 80)])
+def test_chunks(spark, limit, overlap):
+    words = " ".join(f"palavra{i}" for i in range(200))
+    texts = [words, "um\n\ndois\n|a|b|\n|c|d|", "x" * 1200, "", words + "\n\n" + "curto"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, body string")
+    got = {}
+    for r in search.chunks(df, "body", limit, overlap).orderBy("id", "chunk").collect():
+        got.setdefault(r.id, []).append(r.chunk_text)
+    assert all(len(c) <= limit for cs in got.values() for c in cs)
+    assert 3 not in got
+    assert got[1] == ["um\ndois\n|a|b|\n|c|d|"]
+    assert "".join(got[2]) == "x" * 1200, "a huge word is cut dry"
+    for a, b in zip(got[0], got[0][1:]):
+        shared = next(n for n in range(overlap + 1, 0, -1) if a.endswith(b[:n]))
+        assert b[:shared].startswith("palavra"), "neighbours overlap from a word on"
+    assert {w for c in got[0] for w in c.split()} == set(words.split())
+    assert "curto" in got[4][-1]
+
+
+def test_sections_and_letters(spark):
+    text = "intro\n# Um\ncorpo um\n#### fundo\n## Dois\n|---|---|\n"
+    df = spark.createDataFrame([("d", text)], "key string, text string")
+    got = [(r.section_title, r.body.strip()) for r in search.sections(df, "key", "text", F.col("key")).orderBy("section").collect()]
+    assert got == [("d", "intro"), ("Um", "corpo um\n#### fundo"), ("Dois", "|---|---|")]
+    df = spark.createDataFrame([("abcd 1234",), ("ab 1234567",)], "c string")
+    assert [r.c for r in search.wordy(df, "c").collect()] == ["abcd 1234"]
+
+
+def test_embedding_and_index(spark, rows):
+    def model():
+        return lambda texts: [[float(len(t)), 0.0] for t in texts]
+
+    df = spark.createDataFrame([(1, "abc")], "id long, text string")
+    got = search.embed(df, "text", model, 2).select(search.normalised(F.col("embedding"), 2)).first()[0]
+    assert got == [1.0, 0.0]
+    with pytest.raises(Exception, match="must give vectors"):
+        search.embed(df, "text", model, 3).collect()
+    with pytest.raises(Exception, match="must have 3"):
+        search.embed(df, "text", model, 2).select(search.normalised(F.col("embedding"), 3)).collect()
