@@ -108,8 +108,11 @@ _TITLES = f"""forms(query_id, form) AS (VALUES {_texts_sql()}
 ), titles AS (SELECT *, contains OR similarity >= 0.99 AS exact, row_number() OVER (PARTITION BY query_id ORDER BY contains DESC, similarity DESC, id) AS position
   FROM best WHERE similarity >= 0.8 QUALIFY position <= 30)"""
 
-_FUSED = f"""{_CENTROIDS}, {_COVERAGE}, {_TITLES}, lists AS (
-  SELECT query_id, id, 1.0::DOUBLE / (60 + position) AS score, similarity >= 0.55 AS strong, similarity >= 0.45 AS near, false AS exact FROM vectors
+_FUSED = f"""{_CENTROIDS}, {_COVERAGE}, {_TITLES}, held AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS position
+  FROM scored WHERE id IN (SELECT doc_id FROM documents) QUALIFY position <= 30
+), lists AS (
+  SELECT query_id, id, 1.0::DOUBLE / (60 + position) AS score, similarity >= 0.55 AS strong, similarity >= 0.45 AS near, false AS exact FROM held
   UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + position), true, false, false FROM texts
   UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + position), true, false, exact FROM titles
 ), fused AS (SELECT query_id, id, sum(CAST(score AS DECIMAL(20,15)))::DOUBLE + CASE WHEN bool_or(exact) THEN 1.0::DOUBLE / 61 ELSE 0 END AS relevance,

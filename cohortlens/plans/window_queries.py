@@ -66,7 +66,7 @@ def panel_fallback(t: Tables) -> DataFrame:
     current = pinned(score.risk_index(metrics(t)))
     # A panel of an older load: one index moved, so the sets differ and the panel is rebuilt.
     panel = score.critical_panel(current, "course", D.TRUNK).withColumn(
-        "risk_index", F.when(F.col("course") == "NATION_1 - BUILDING", -1.0).otherwise(F.col("risk_index"))
+        "risk_index", F.when(F.col("position") == 1, -1.0).otherwise(F.col("risk_index"))
     )
     return score.panel_or_current(panel, current, "course", "risk_index", D.TRUNK, ["course", "risk_index"])
 
@@ -150,7 +150,7 @@ def time_dimension(t: Tables) -> DataFrame:
         CAST(mean_terms AS DOUBLE) AS mean_terms FROM metrics)
       SELECT course, measure, value FROM (UNPIVOT u ON graduation_pct, dropout_pct, mean_terms INTO NAME measure VALUE value)""")
 def unpivot(t: Tables) -> DataFrame:
-    wide = metrics(t).filter(F.col("mean_terms").isNotNull())
-    return wide.unpivot(["course"], ["graduation_pct", "dropout_pct", "mean_terms"], "measure", "value")
+    long = metrics(t).unpivot(["course"], ["graduation_pct", "dropout_pct", "mean_terms"], "measure", "value")
+    return long.filter(F.col("value").isNotNull())
 
 
