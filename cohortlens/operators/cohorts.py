@@ -148,9 +148,6 @@ def duration_histogram(df: DataFrame, key: str, value: str, first: int, last: in
 def delay_quantiles(df: DataFrame, days: str, tolerance_days: int) -> DataFrame:
     """Median, p90, p95 and p99 of a delay in days, and the share above the tolerance."""
     quantiles = exact_percentiles(df, [], days, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
-    totals = df.agg(
-        F.count(days).alias("rows"),
-        (F.avg(F.when(F.col(days) > tolerance_days, 1.0).when(F.col(days).isNotNull(), 0.0)) * 100).alias("above_pct"),
-    )
-    # Two one-row tables side by side.
-    return quantiles.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    above = F.when(F.col(days) > tolerance_days, 1.0).when(F.col(days).isNotNull(), 0.0)
+    totals = df.agg(F.struct(F.count(days).alias("rows"), (F.avg(above) * 100).alias("above_pct"))).scalar()
+    return quantiles.withColumn("_t", totals).select("p50", "p90", "p95", "p99", "_t.*")

@@ -11,9 +11,10 @@ from .ordering import numbered, top_per_group
 def resolve(df: DataFrame, rules: DataFrame, column: str, source: str, target: str, name: str) -> DataFrame:
     """`name` = target of the alias rule for `column`, or `column` itself.
 
-    The rule table is written by people; the hint rests on that, the join needs no shuffle of `df`.
+    Spark broadcasts the rules when their size allows it; no hint is given, so a large rule table
+    is joined by key.
     """
-    alias = F.broadcast(rules.select(F.col(source).alias("_from"), F.col(target).alias("_to")))
+    alias = rules.select(F.col(source).alias("_from"), F.col(target).alias("_to"))
     return (
         df.join(alias, F.col(column) == F.col("_from"), "left")
         .withColumn(name, F.coalesce("_to", column))
@@ -24,7 +25,7 @@ def resolve(df: DataFrame, rules: DataFrame, column: str, source: str, target: s
 def rule_usage(df: DataFrame, rules: DataFrame, column: str, source: str, order: str) -> DataFrame:
     """Rows touched by each rule, the most used first (ties in the given order)."""
     # Only the names that a rule mentions are counted.
-    named = df.join(F.broadcast(rules.select(F.col(source).alias(column))), column, "left_semi")
+    named = df.join(rules.select(F.col(source).alias(column)), column, "left_semi")
     used = named.groupBy(column).agg(F.count("*").alias("rows"))
     counted = rules.join(used, F.col(source) == F.col(column), "left").drop(column)
     counted = counted.withColumn("rows", F.coalesce("rows", F.lit(0)))

@@ -45,9 +45,11 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder: its row layout no longer changes when a task is re-run."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    """`df` written below the shared folder and read back.
+
+    What follows no longer depends on a re-run of the tasks before it, reads only the columns it
+    needs, and Spark knows the size of the result.
+    """
+    path = work_dir(df.sparkSession, "pinned")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
