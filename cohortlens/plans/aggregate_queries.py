@@ -68,7 +68,7 @@ _OFFERS = """offers AS (SELECT p_partkey AS id, p_name || ' ' || p_brand AS name
    CASE WHEN p_size > 40 THEN NULL WHEN p_size % 4 = 0 THEN 'NOTURNO' WHEN p_size % 4 = 1 THEN 'INTEGRAL' ELSE 'MATUTINO' END AS shift,
    CASE WHEN p_type = 'PROMO' THEN 'UNB GAMA' WHEN p_type = 'SMALL' THEN 'CEILANDIA' WHEN p_type = 'LARGE' THEN NULL ELSE 'DARCY' END AS campus,
    CASE WHEN p_retailprice > 1300 THEN 'LICENCIADO' ELSE 'BACHAREL' END AS degree, p_type AS area,
-   p_size % 2 = 0 AS current FROM part)"""
+   p_size % 2 = 0 AS current, p_size AS size FROM part)"""
 
 
 def offers(t: Tables) -> DataFrame:
@@ -83,6 +83,7 @@ def offers(t: Tables) -> DataFrame:
         F.when(F.col("p_retailprice") > 1300, "LICENCIADO").otherwise("BACHAREL").alias("degree"),
         kind.alias("area"),
         (size % 2 == 0).alias("current"),
+        size.alias("size"),
     )
 
 

@@ -32,8 +32,8 @@ def dim_upsert(t: Tables) -> DataFrame:
 
 @plan("string name degree category area; bigint owner; boolean current", "H02",
       f"""WITH {_OFFERS}, cur AS (SELECT p_name || ' ' || p_brand AS name, max(p_partkey) AS owner FROM part WHERE p_size > 5 GROUP BY 1
-      ), main AS (SELECT * FROM offers WHERE id % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY name ORDER BY current DESC, id) = 1
-      ), mixed AS (SELECT name FROM offers WHERE id % 7 <> 0 GROUP BY 1 HAVING count(DISTINCT degree) > 1)
+      ), main AS (SELECT * FROM offers WHERE size <> 7 QUALIFY row_number() OVER (PARTITION BY name ORDER BY current DESC, id) = 1
+      ), mixed AS (SELECT name FROM offers WHERE size <> 7 GROUP BY 1 HAVING count(DISTINCT degree) > 1)
       SELECT c.name, owner, CASE WHEN x.name IS NOT NULL THEN 'MISTO (BACHARELADO + LICENCIATURA)' ELSE coalesce(m.degree, d.degree) END AS degree,
         CASE WHEN x.name IS NOT NULL THEN 'MISTO' WHEN coalesce(m.degree, d.degree) = 'LICENCIADO' THEN 'LICENCIATURA' ELSE 'BACHARELADO' END AS category,
         coalesce(m.area, d.area) AS area, coalesce(m.current, d.current) AS current
@@ -44,7 +44,7 @@ def canonical_attributes(t: Tables) -> DataFrame:
         F.max("p_partkey").alias("owner")
     )
     # Some offers are known by id only, so their names fall back to the owner of the curriculum.
-    named = rows.withColumn("name", F.when(F.col("id") % 7 != 0, F.col("name")))
+    named = rows.withColumn("name", F.when(F.col("size") != 7, F.col("name")))
     return consolidate.canonical_attributes(
         curricula, named, "name", "id", "current", "owner", "degree", ["area", "current"]
     )
@@ -162,8 +162,8 @@ def normalise_3nf(t: Tables) -> DataFrame:
     return resolve.stable_ids(kept.select("source_id", "person", "exit_year", "permanence", "course"), F.asc("source_id"))
 
 
-_SYNC = """t AS (SELECT p_partkey AS id, p_type AS kind, p_retailprice AS price FROM part WHERE p_partkey % 5 <> 0
-), s AS (SELECT p_partkey AS id, CASE WHEN p_size < 10 THEN 'CHANGED' ELSE p_type END AS kind, p_retailprice AS price FROM part WHERE p_partkey % 3 <> 0)"""
+_SYNC = """t AS (SELECT p_partkey AS id, p_type AS kind, p_retailprice AS price FROM part WHERE p_type <> 'PROMO'
+), s AS (SELECT p_partkey AS id, CASE WHEN p_size < 10 THEN 'CHANGED' ELSE p_type END AS kind, p_retailprice AS price FROM part WHERE p_type <> 'SMALL')"""
 
 
 @plan("bigint id; string kind action; double price", "I08",
@@ -172,8 +172,8 @@ _SYNC = """t AS (SELECT p_partkey AS id, p_type AS kind, p_retailprice AS price
       FROM t FULL JOIN s USING (id)""")
 def change_only_upsert(t: Tables) -> DataFrame:
     part = t.part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"), F.col("p_retailprice").alias("price"), "p_size")
-    target = part.filter("id % 5 <> 0").select("id", "kind", "price")
-    source = part.filter("id % 3 <> 0").select(
+    target = part.filter("kind <> 'PROMO'").select("id", "kind", "price")
+    source = part.filter("kind <> 'SMALL'").select(
         "id", F.when(F.col("p_size") < 10, "CHANGED").otherwise(F.col("kind")).alias("kind"), "price"
     )
     return sync.change_only_upsert(target, source, ["id"], ["kind", "price"])

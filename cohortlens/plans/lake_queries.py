@@ -15,7 +15,8 @@ from .registry import Tables, plan
 def _csv(t: Tables) -> str:
     """Orders as a published file: latin-1, semicolons, and lines with one field too many."""
     path = f"{work_dir(t.spark, 'files')}/orders.csv"
-    note = F.when(F.col("o_orderkey") % 97 == 0, "um;dois").when(F.col("o_orderkey") % 2 == 0, "situação NULL").otherwise("NULL")
+    low = F.col("o_orderpriority") == "5-LOW"
+    note = F.when(F.col("o_totalprice") < 5000, "um;dois").when(low, "situação NULL").otherwise("NULL")
     t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", note.alias("note")).write.option("header", True).option(
         "sep", ";"
     ).option("encoding", "ISO-8859-1").option("quote", "").csv(path)
@@ -29,8 +30,8 @@ def _scan(t: Tables) -> DataFrame:
 
 
 @plan("string note; bigint lines dropped", "A01",
-      """SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'situação NULL' ELSE 'NULL' END AS note, count(*) AS lines,
-        (SELECT count(*) FROM orders WHERE o_orderkey % 97 = 0) AS dropped FROM orders WHERE o_orderkey % 97 <> 0 GROUP BY 1""")
+      """SELECT CASE WHEN o_orderpriority = '5-LOW' THEN 'situação NULL' ELSE 'NULL' END AS note, count(*) AS lines,
+        (SELECT count(*) FROM orders WHERE o_totalprice < 5000) AS dropped FROM orders WHERE o_totalprice >= 5000 GROUP BY 1""")
 def text_scan(t: Tables) -> DataFrame:
     rows = _scan(t)
     dropped = text.line_counts(rows).select("dropped").scalar()
@@ -38,7 +39,7 @@ def text_scan(t: Tables) -> DataFrame:
 
 
 @plan("string o_orderkey o_orderstatus", "A02 K21",
-      "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 97 <> 0")
+      "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice >= 5000")
 def minimised_scan(t: Tables) -> DataFrame:
     from ..operators.quality import assert_absent
 
@@ -119,12 +120,12 @@ def provenance(t: Tables) -> DataFrame:
 
 
 @plan("bigint page_id; double value", "A11",
-      "SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN page_id * 7 + 1000.25 END AS value FROM pages")
+      """SELECT page_id, CASE WHEN html NOT LIKE '%lang="fr"%' THEN page_id * 7 + 1000.25 END AS value FROM pages""")
 def html_value(t: Tables) -> DataFrame:
     amount = F.col("page_id") * 7 + 1000.25
     shown = F.translate(F.format_number(amount, 2), ",.", ".,")
     row = F.concat(F.lit("<tr><td>Inicia&ccedil;&atilde;o Cient&iacute;fica (PIBIC)</td>\n <td>IC -&nbsp;</td><td>"), shown, F.lit("</td></tr>"))
-    html = F.when(F.col("page_id") % 3 != 0, F.concat("html", row)).otherwise(F.col("html"))
+    html = F.when(~F.col("html").contains('lang="fr"'), F.concat("html", row)).otherwise(F.col("html"))
     return t.pages.select("page_id", text.page_value(html).alias("value"))
 
 

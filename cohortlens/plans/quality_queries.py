@@ -68,13 +68,14 @@ def outcome_bands(t: Tables) -> DataFrame:
 
 
 @plan("bigint suppkey missing_year before after", "K07 C06 C12",
-      """WITH c AS (SELECT l_suppkey AS suppkey, year(l_shipdate) AS y, count(*) AS n FROM lineitem WHERE (l_suppkey + year(l_shipdate)) % 6 <> 0 GROUP BY ALL
+      """WITH c AS (SELECT l_suppkey AS suppkey, year(l_shipdate) AS y, count(*) AS n FROM lineitem WHERE l_quantity = 50 GROUP BY ALL
       ), last AS (SELECT max(y) AS y FROM c)
       SELECT a.suppkey, a.y + 1 AS missing_year, a.n AS before, b.n AS after FROM c a JOIN c b ON b.suppkey = a.suppkey AND b.y = a.y + 2
-      WHERE a.n >= 60 AND b.n >= 60 AND b.y < (SELECT y FROM last) AND NOT EXISTS (SELECT 1 FROM c m WHERE m.suppkey = a.suppkey AND m.y = a.y + 1)""")
+      WHERE a.n >= 2 AND b.n >= 2 AND b.y < (SELECT y FROM last) AND NOT EXISTS (SELECT 1 FROM c m WHERE m.suppkey = a.suppkey AND m.y = a.y + 1)""")
 def vanishing_key(t: Tables) -> DataFrame:
-    rows = t.lineitem.select(F.col("l_suppkey").alias("suppkey"), F.year("l_shipdate").alias("year"))
-    return quality.vanishing_keys(rows.filter("(suppkey + year) % 6 <> 0"), "suppkey", "year", 60)
+    full = t.lineitem.filter("l_quantity = 50")
+    rows = full.select(F.col("l_suppkey").alias("suppkey"), F.year("l_shipdate").alias("year"))
+    return quality.vanishing_keys(rows, "suppkey", "year", 2)
 
 
 @plan("double median; boolean inside", "K08",

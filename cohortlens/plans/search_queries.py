@@ -170,16 +170,16 @@ def chunk_documents(t: Tables) -> DataFrame:
 
 
 @plan("string action; bigint documents", "J06",
-      """WITH o AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' old' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0
-      ), n AS (SELECT doc_id, text FROM documents WHERE doc_id % 11 <> 0)
+      """WITH o AS (SELECT doc_id, CASE WHEN source = 'src3' THEN text || ' old' ELSE text END AS text FROM documents WHERE lang <> 'es'
+      ), n AS (SELECT doc_id, text FROM documents WHERE lang <> 'de')
       SELECT CASE WHEN n.doc_id IS NULL THEN 'delete' WHEN o.doc_id IS NULL THEN 'add' WHEN o.text = n.text THEN 'keep' ELSE 'update' END AS action, count(*) AS documents
       FROM o FULL JOIN n USING (doc_id) GROUP BY 1""")
 def incremental_index(t: Tables) -> DataFrame:
-    old = t.documents.filter("doc_id % 5 <> 0").select(
-        "doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text")).alias("text")
+    old = t.documents.filter("lang <> 'es'").select(
+        "doc_id", F.when(F.col("source") == "src3", F.concat("text", F.lit(" old"))).otherwise(F.col("text")).alias("text")
     )
     existing = old.select("doc_id", content_hash("m1", F.col("text")).alias("content_hash"))
-    plan_ = search.index_plan(existing, t.documents.filter("doc_id % 11 <> 0"), "m1", ["doc_id"], "text")
+    plan_ = search.index_plan(existing, t.documents.filter("lang <> 'de'"), "m1", ["doc_id"], "text")
     return plan_.groupBy("action").agg(F.count("*").alias("documents"))
 
 
