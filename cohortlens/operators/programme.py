@@ -103,16 +103,20 @@ def _grant_counts(weight: str | None = None) -> list[Column]:
     ]
 
 
-def grants_per_key(df: DataFrame, key: str) -> DataFrame:
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*_grant_counts()).withColumnRenamed("quota_rows", "quota")
+def grants_per_key(df: DataFrame, key: str, weight: str | None = None) -> DataFrame:
+    """Projects, kinds, quotas and money per key; `weight` counts pre-aggregated rows."""
+    counted = df.filter(F.col(key).isNotNull()).groupBy(key).agg(*_grant_counts(weight))
+    return counted.withColumnRenamed("quota_rows", "quota")
 
 
-def social_groups(df: DataFrame, keys: Sequence[str], k: int = V.MIN_GROUP) -> DataFrame:
+def social_groups(df: DataFrame, keys: Sequence[str], k: int = V.MIN_GROUP, weight: str | None = None) -> DataFrame:
     """Projects, quotas and money per group, groups below `k` and the empty programme left out."""
+    n = F.lit(1) if weight is None else F.col(weight)
+    race, poor = F.col("profile") == "PPI / ETNICO-RACIAL", F.col("income") == "BAIXA RENDA (<= 1.5 SM)"
     counted = df.filter(F.col(keys[0]) != "").groupBy(*keys).agg(
-        *_grant_counts(),
-        F.count(F.when(F.col("profile") == "PPI / ETNICO-RACIAL", 1)).alias("quota_race"),
-        F.count(F.when(F.col("income") == "BAIXA RENDA (<= 1.5 SM)", 1)).alias("low_income"),
+        *_grant_counts(weight),
+        F.coalesce(F.sum(F.when(race, n)), F.lit(0)).alias("quota_race"),
+        F.coalesce(F.sum(F.when(poor, n)), F.lit(0)).alias("low_income"),
     ).withColumnRenamed("quota_rows", "quota").filter(F.col("projects") >= k)
     return counted.withColumn("quota_pct", percent(F.col("quota"), F.col("projects"), 1)).withColumn(
         "voluntary_pct", percent(F.col("voluntary"), F.col("projects"), 1)

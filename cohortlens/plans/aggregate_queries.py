@@ -218,7 +218,7 @@ def peer_benchmark(t: Tables) -> DataFrame:
         round_even(count(*) FILTER (kind = 'VOLUNTARIA') / count(*) * 100 * 10, 0) / 10 AS voluntary_pct
       FROM grants GROUP BY course, campus, area HAVING count(*) >= 5""")
 def social_profile(t: Tables) -> DataFrame:
-    return programme.social_groups(D.grants(t), ["course", "campus", "area"])
+    return programme.social_groups(D.grants(t), ["course", "campus", "area"], weight="n")
 
 
 @plan("string grain value; bigint projects paid voluntary quota students; double invested projects_pct quota_pct participation_pct", "D15",
@@ -234,9 +234,7 @@ def social_profile(t: Tables) -> DataFrame:
         CASE WHEN grain = 'area' THEN round_even(projects / students * 100 * 100, 0) / 100 END AS participation_pct
       FROM g LEFT JOIN people p ON p.value = g.value AND grain = 'area'""")
 def programme_report(t: Tables) -> DataFrame:
-    cells = D.grants(t).groupBy("profile", "quota", "campus", "area", "year", "kind", "is_quota").agg(
-        F.count("*").alias("n"), F.sum("amount").alias("amount")
-    )
+    cells = D.grants(t)
     students = D.programmes(t).groupBy("area").agg(F.count("*").alias("students"))
     grains = ["profile", "quota", "campus", "area", "year"]
     return programme.programme_report(pinned(cells), grains, students, "area", weight="n")
@@ -360,7 +358,7 @@ def distinct_profiles(t: Tables) -> DataFrame:
       f"""WITH {D.GRANTS} SELECT course, count(*) AS projects, count(*) FILTER (kind = 'REMUNERADA') AS paid, count(*) FILTER (kind = 'VOLUNTARIA') AS voluntary,
         count(*) FILTER (is_quota) AS quota, sum(amount) AS invested FROM grants GROUP BY 1""")
 def grants_per_course(t: Tables) -> DataFrame:
-    return programme.grants_per_key(D.grants(t), "course")
+    return programme.grants_per_key(D.grants(t), "course", weight="n")
 
 
 @plan("bigint orderkey linenumber rows first_row", "D29",

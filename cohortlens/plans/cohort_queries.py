@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import cohorts, score
+from ..session import pinned
 from . import domain as D
 from .registry import Tables, plan
 
@@ -26,7 +27,9 @@ def metrics(t: Tables) -> DataFrame:
 
 
 def retention(t: Tables) -> DataFrame:
-    return score.risk_class(score.risk_index(metrics(t)))
+    """Metrics with index and class. Each step is read several times by the next, so it is written: a row per programme."""
+    scored = pinned(score.risk_index(pinned(metrics(t))))
+    return score.risk_class(scored)
 
 
 @plan(_METRICS, "D01 D02 D03 D04 B09 B10 C03 C13", f"WITH {D.METRICS} SELECT * FROM metrics")
@@ -37,7 +40,7 @@ def cohort_outcomes(t: Tables) -> DataFrame:
 @plan("string course; double mean_delay dropout_pct risk_index", "E05 F01 C05",
       f"WITH {D.RISK} SELECT course, mean_delay, dropout_pct, risk_index FROM retention")
 def risk_index(t: Tables) -> DataFrame:
-    return score.risk_index(metrics(t))
+    return score.risk_index(pinned(metrics(t)))
 
 
 @plan("string course risk_class; double risk_index", "F02",
@@ -53,4 +56,4 @@ _TRUNK_SQL = ", ".join(f"'{c}'" for c in D.TRUNK)
       f"""WITH {D.RISK} SELECT rank() OVER (ORDER BY risk_index DESC) AS position, course, risk_class, risk_index,
       dropout_pct, mean_delay, total FROM retention WHERE course NOT IN ({_TRUNK_SQL})""")
 def critical_panel(t: Tables) -> DataFrame:
-    return score.critical_panel(retention(t), "course", D.TRUNK)
+    return score.critical_panel(pinned(retention(t)), "course", D.TRUNK)

@@ -161,18 +161,17 @@ QUOTAS = {
 
 
 def grants(t: Tables) -> DataFrame:
-    """Orders as grants: programme, campus, area, year, kind, quota profile and amount."""
+    """Orders as grants, counted per programme, year and raw texts: the texts are classified per cell, not per row."""
     kind = F.when(F.col("o_orderstatus") == "F", "Bolsa remunerada").when(
         F.col("o_orderstatus") == "P", "Iniciação voluntária"
     )
-    rows = t.orders.join(programmes(t), F.col("o_custkey") == F.col("person")).select(
-        "course", "campus", "area",
-        F.year("o_orderdate").alias("year"),
-        labels.grant_kind(kind).alias("kind"),
-        F.col("o_totalprice").cast("decimal(28,2)").alias("amount"),
+    rows = t.orders.join(programmes(t), F.col("o_custkey") == F.col("person"))
+    cells = rows.groupBy(
+        "course", "campus", "area", F.year("o_orderdate").alias("year"), kind.alias("kind_text"),
         labels.recode(F.col("o_orderpriority"), QUOTAS).alias("quota_text"),
-    )
-    return labels.with_social_profile(rows, F.col("quota_text")).drop("quota_text")
+    ).agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(28,2)")).alias("amount"))
+    typed = cells.withColumn("kind", labels.grant_kind(F.col("kind_text")))
+    return labels.with_social_profile(typed, F.col("quota_text")).drop("kind_text", "quota_text")
 
 
 GRANTS = """
