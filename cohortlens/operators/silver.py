@@ -105,7 +105,7 @@ def census(rows: DataFrame, home: int) -> DataFrame:
     size = F.col("QT_MAT")
     return rows.withColumns({
         "curso_inep_norm": X.normalize_text(F.col("NO_CURSO")),
-        "is_unb": F.col("CO_IES") == home,
+        "is_home": F.col("CO_IES") == home,
         "taxa_trancamento_pct": N.percent(F.col("QT_SIT_TRANCADA"), size),
         "taxa_desvinculacao_pct": N.percent(F.col("QT_SIT_DESVINCULADO"), size),
         "concorrencia_vestibular": N.ratio(F.col("QT_INSCRITO_TOTAL"), F.col("QT_VG_TOTAL")),

@@ -75,5 +75,5 @@ def test_grants(spark):
 def test_census(spark):
     df = spark.createDataFrame([("Física", 2, 80, 10, 4, 50, 20), ("Física", 3, 0, 1, 1, 5, 0)],
                                "NO_CURSO string, CO_IES int, QT_MAT int, QT_SIT_TRANCADA int, QT_SIT_DESVINCULADO int, QT_INSCRITO_TOTAL int, QT_VG_TOTAL int")
-    got = [(r.is_unb, r.taxa_trancamento_pct, r.taxa_desvinculacao_pct, r.concorrencia_vestibular) for r in silver.census(df, 2).collect()]
+    got = [(r.is_home, r.taxa_trancamento_pct, r.taxa_desvinculacao_pct, r.concorrencia_vestibular) for r in silver.census(df, 2).collect()]
     assert got == [(True, 12.5, 5.0, 2.5), (False, None, None, None)]
