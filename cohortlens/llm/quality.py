@@ -23,9 +23,9 @@ CLASSES = ("space", "symbol", "lower", "upper", "digit", "mark", "other")
 COMMON_WORDS = 64
 #: Texts with fewer words, or fewer characters that are no space, get no verdict from the histograms.
 MIN_WORDS, MIN_CHARS = 50, 100
-#: Character classes: the largest distance. Words: the same, plus an allowance that shrinks with the length as sampling noise does.
-MAX_CLASS_DISTANCE = 0.26
-MAX_WORD_DISTANCE, WORD_NOISE = 0.38, 0.6
+#: The largest distances: a constant and an allowance that shrinks with the square root of the number of words, as sampling noise does.
+CLASS_LIMIT = (0.18, 0.8)
+WORD_LIMIT = (0.31, 0.85)
 #: More languages than codes exist means that the column is none; the references would no longer be small.
 MAX_LANGUAGES = 10_000
 
@@ -160,6 +160,10 @@ VERDICT = (
 )
 
 
+def limit(of: tuple[float, float], words: int) -> float:
+    return of[0] + of[1] / words ** 0.5
+
+
 def judge(text: str | None, reference) -> tuple:
     """The verdict on one text, in the order of `VERDICT` without the id."""
     text = text or ""
@@ -177,7 +181,7 @@ def judge(text: str | None, reference) -> tuple:
         for w, n in Counter(words).items():
             mine[place.get(plain(w), len(names))] += n
         by_word = distance(mine, of_words)
-    odd = by_class is not None and (by_class > MAX_CLASS_DISTANCE or by_word > MAX_WORD_DISTANCE + WORD_NOISE / len(words) ** 0.5)
+    odd = by_class is not None and (by_class > limit(CLASS_LIMIT, len(words)) or by_word > limit(WORD_LIMIT, len(words)))
     return (len(words), chars, int(classes[1]), repeated_lines(text), repeats, failed, not failed and not odd, by_class, by_word)
 
 
