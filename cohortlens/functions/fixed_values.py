@@ -102,7 +102,7 @@ NO_PERIOD, LATE, ON_TIME = "SEM_PERIODO", "ATRASADA", "NO_PRAZO"
 
 # Hybrid search.
 STRONG_SIMILARITY, NEAR_SIMILARITY, TITLE_SIMILARITY = 0.55, 0.45, 0.8
-CANDIDATES, RRF_K, MIN_COVERAGE, MAX_TERMS = 30, 60, 0.5, 8
+VECTOR_CANDIDATES, RRF_K, MIN_COVERAGE = 30, 60, 0.5
 CHUNK_LIMIT, CHUNK_OVERLAP, MIN_LETTER_SHARE = 500, 80, 0.4
 EMBEDDING_SIZE = 384
 
@@ -116,3 +116,26 @@ DELAY_LOWEST, DELAY_MISSING = "formatura no prazo", "tempo de formatura sem dado
 GRANT_VALUE_PATTERN = (
     r"Inicia[çc][ãa]o Cient[íi]fica\s*(?:\(PIBIC\)\s*)?IC\s*-?\s*([\d.]+,\d{2})"
 )
+
+# Quota texts of open seats, and the rules of the social profile. A rule holds if the text has a word of each of its
+# groups; the first that holds gives the label.
+OPEN_SEATS = ("", "NAO", "UNIVERSAL")
+PROFILE_RULES = (
+    ((("PPI", "NEGRO", "INDIGENA"),), "PPI / ETNICO-RACIAL"),
+    ((("ESCOLA PUB",),), "ESCOLA PUBLICA"),
+)
+QUOTA_RULES = (
+    ((("PPI", "NEGRO", "INDIGENA"), ("ESCOLA PUB",)), "ESCOLA PUBLICA - PPI"),
+    ((("ESCOLA PUB",),), "ESCOLA PUBLICA - NAO PPI"),
+    ((("NEGRO", "INDIGENA"),), "COTAS RACIAIS (NEGRO/INDIGENA)"),
+    ((("PCD",),), "COTAS PCD"),
+)
+INCOME_RULES = (
+    ((("BAIXA RENDA",),), "BAIXA RENDA (<= 1.5 SM)"),
+    ((("ALTA RENDA",),), "INDEPENDENTE DE RENDA"),
+)
+OTHER_PROFILE, OTHER_QUOTA, OTHER_INCOME = "OUTRAS COTAS", "OUTRAS ACOES AFIRMATIVAS", "NAO ESPECIFICADO"
+# The label of open seats beside each default.
+OPEN_LABELS = {
+    "OUTRAS COTAS": "AMPLA CONCORRENCIA", "OUTRAS ACOES AFIRMATIVAS": "AMPLA CONCORRENCIA", "NAO ESPECIFICADO": "NAO APLICAVEL",
+}

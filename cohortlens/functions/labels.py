@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -79,25 +81,16 @@ def knowledge_area(area: Column, programme: Column) -> Column:
 
 def social_profile(quota: Column) -> Column:
     """Struct (profile, quota, income, is_quota) of one normalised quota text."""
-    open_seat = quota.isin("", "NAO", "UNIVERSAL")
-    race = contains_any(quota, ("NEGRO", "INDIGENA"))
-    ppi = contains_any(quota, ("PPI", "NEGRO", "INDIGENA"))
-    school = quota.contains("ESCOLA PUB")
-    profile = (
-        F.when(open_seat, "AMPLA CONCORRENCIA").when(ppi, "PPI / ETNICO-RACIAL")
-        .when(school, "ESCOLA PUBLICA").otherwise("OUTRAS COTAS")
-    )
-    group = (
-        F.when(open_seat, "AMPLA CONCORRENCIA").when(ppi & school, "ESCOLA PUBLICA - PPI")
-        .when(school, "ESCOLA PUBLICA - NAO PPI").when(race, "COTAS RACIAIS (NEGRO/INDIGENA)")
-        .when(quota.contains("PCD"), "COTAS PCD").otherwise("OUTRAS ACOES AFIRMATIVAS")
-    )
-    income = (
-        F.when(open_seat, "NAO APLICAVEL").when(quota.contains("BAIXA RENDA"), "BAIXA RENDA (<= 1.5 SM)")
-        .when(quota.contains("ALTA RENDA"), "INDEPENDENTE DE RENDA").otherwise("NAO ESPECIFICADO")
-    )
+    open_seat = quota.isin(*V.OPEN_SEATS)
+
+    def label(rules: Iterable[tuple[tuple[tuple[str, ...], ...], str]], default: str) -> Column:
+        """The label of the first rule all of whose word groups have a word in the text."""
+        found = [(reduce(and_, [contains_any(quota, words) for words in groups]), name) for groups, name in rules]
+        return first_match([(open_seat, V.OPEN_LABELS[default]), *found], default)
+
     return F.struct(
-        profile.alias("profile"), group.alias("quota"), income.alias("income"), (~open_seat).alias("is_quota")
+        label(V.PROFILE_RULES, V.OTHER_PROFILE).alias("profile"), label(V.QUOTA_RULES, V.OTHER_QUOTA).alias("quota"),
+        label(V.INCOME_RULES, V.OTHER_INCOME).alias("income"), (~open_seat).alias("is_quota"),
     )
 
 

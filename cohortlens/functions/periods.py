@@ -51,12 +51,10 @@ def terms_attended(entry_year: Column, entry_term: Column, year: Column, term: C
     return F.greatest((year - entry_year) * 2 + (term - first) + 1, F.lit(1))
 
 
-def reference_term(file_name: Column, default: tuple[int, int] = (2025, 1)) -> tuple[Column, Column]:
-    """(year, term) in a file name that ends in `_YYYY_S.csv`."""
+def reference_term(file_name: Column) -> tuple[Column, Column]:
+    """(year, term) in a file name that ends in `_YYYY_S.csv`; NULLs for another name."""
     pattern = r"_(\d{4})_(\d)\.csv$"
-    year = F.regexp_extract(file_name, pattern, 1).try_cast("int")
-    term = F.regexp_extract(file_name, pattern, 2).try_cast("int")
-    return F.coalesce(year, F.lit(default[0])), F.coalesce(term, F.lit(default[1]))
+    return tuple(F.regexp_extract(file_name, pattern, part).try_cast("int") for part in (1, 2))
 
 
 def window_start(year: Column, width: int = 5) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 from collections.abc import Sequence
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -11,43 +13,71 @@ from pyspark.sql import Column, functions as F
 from . import fixed_values as V
 
 
-def _latin_folding() -> tuple[str, str]:
-    """Letters of the Latin blocks whose compatibility decomposition is one base letter."""
-    source, target = [], []
-    for code in range(0xA0, 0x250):
+@cache
+def _folding() -> tuple[str, str, str, str, str]:
+    """What compatibility decomposition without combining marks does to each letter, from the Unicode tables.
+
+    Letters that become one letter come with it (source, target; those past the end of the target vanish); letters
+    that become several come as a pattern, a list and their spellings. Korean syllables follow from a rule of their own.
+    """
+    single, target, gone, several, spelled = [], [], [], [], []
+    for code in range(0x80, 0x110000):
+        if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code < 0xE000:
+            continue
         letter = chr(code)
         base = "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c))
-        if base != letter and len(base) == 1:
-            source.append(letter)
+        if base == letter:
+            continue
+        if not base:
+            gone.append(letter)
+        elif len(base) == 1:
+            single.append(letter)
             target.append(base)
-    return "".join(source), "".join(target)
-
-
-_ACCENTED, _PLAIN = _latin_folding()
-
-
-def fold_accents(text: Column, exact: bool = False) -> Column:
-    """Text without accents.
-
-    The default folds the Latin blocks inside the JVM and also drops loose combining marks; plain
-    ASCII text is passed through. With `exact`, full NFKD runs in an Arrow UDF, for other scripts.
+        else:
+            several.append(letter)
+            spelled.append(base)
+    ranges = []
+    for letter in several:
+        if ranges and ord(letter) == ord(ranges[-1][1]) + 1:
+            ranges[-1][1] = letter
+        else:
+            ranges.append([letter, letter])
+    pattern = "[" + "".join(f"\\x{{{ord(a):X}}}-\\x{{{ord(b):X}}}" for a, b in [*ranges, ("\uac00", "\ud7a3")]) + "]"
+    return "".join(single + gone), "".join(target), pattern, "".join(several), "\x00".join(spelled)
+
+
+def _syllable(letter: Column) -> Column:
+    """The two or three signs of a Korean syllable: 21 vowels by 28 ends for each first consonant."""
+    place = F.ascii(letter) - 0xAC00
+
+    def sign(first: int, count: int, at: Column) -> Column:
+        return F.substring(F.lit("".join(map(chr, range(first, first + count)))), (at + 1).cast("int"), F.lit(1))
+
+    end = place % 28
+    return F.concat(
+        sign(0x1100, 19, F.floor(place / 588)), sign(0x1161, 21, F.floor(place % 588 / 28)),
+        F.when(end > 0, sign(0x11A7, 28, end)).otherwise(""),
+    )
+
+
+def fold_accents(text: Column) -> Column:
+    """Compatibility decomposition (NFKD) without combining marks, for every script, inside the JVM.
+
+    ASCII text is passed through. Letters that become one letter or vanish are translated; only texts with a letter
+    that becomes several are taken apart.
     """
-    if exact:
-        return _nfkd(text)
-    folded = F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"\p{Mn}+", "")
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
+    source, target, pattern, several, spelled = _folding()
 
-
-def _nfkd(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def decompose(values: pd.Series) -> pd.Series:
-        plain = values.str.normalize("NFKD")
-        return plain.map(
-            lambda s: s if s is None or s.isascii() else "".join(c for c in s if not unicodedata.combining(c)),
-            na_action="ignore",
+    def spell(letter: Column) -> Column:
+        place = F.call_function("locate", letter, F.lit(several))
+        syllable = (letter >= "\uac00") & (letter <= "\ud7a3")
+        return F.when(syllable, _syllable(letter)).otherwise(
+            F.coalesce(F.get(F.split(F.lit(spelled), "\x00"), place - 1), letter)
         )
 
-    return decompose(text)
+    apart = F.array_join(F.transform(F.split(text, ""), spell), "")
+    whole = F.when(F.rlike(text, F.lit(pattern)), apart).otherwise(text)
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(whole, source, target))
 
 
 # The white space that is trimmed.
@@ -58,13 +88,12 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
-def normalize_text(text: Column, exact: bool = False) -> Column:
+def normalize_text(text: Column) -> Column:
     """Upper case, no accents, single spaces; NULL and the empty words give ''."""
     bare = strip(F.coalesce(text, F.lit("")))
     # Single spaces are left alone: most texts need no replacement at all.
-    clean = F.upper(F.regexp_replace(fold_accents(bare, exact), r"(?U)\s{2,}|[^\S ]", " "))
-    word = F.when(F.length(text) < 40, F.upper(bare))
-    return F.when(F.coalesce(word.isin(*V.EMPTY_WORDS), bare == ""), F.lit("")).otherwise(clean)
+    clean = F.upper(F.regexp_replace(fold_accents(bare), r"(?U)\s{2,}|[^\S ]", " "))
+    return F.when((bare == "") | F.upper(bare).isin(*V.EMPTY_WORDS), F.lit("")).otherwise(clean)
 
 
 def programme_name(text: Column) -> Column:
@@ -90,20 +119,22 @@ def split_unit(unit: Column) -> tuple[Column, Column]:
     return department, F.when(has_parts, programme_name(tail)).otherwise(F.lit(""))
 
 
-# The character references that occur in the published tables.
-_ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-    ("&ccedil;", "ç"), ("&atilde;", "ã"), ("&iacute;", "í"), ("&middot;", "·"), ("&copy;", "©"),
-    ("&amp;", "&"),
-)
+def _decoded(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def decode(values: pd.Series) -> pd.Series:
+        return values.map(html.unescape, na_action="ignore")
+
+    return decode(text)
+
 
+def page_text(page: Column) -> Column:
+    """Visible text of a page: tags to spaces, all character references decoded, white space collapsed.
 
-def page_text(html: Column) -> Column:
-    """Visible text of a page: tags to spaces, character references decoded, spaces collapsed."""
-    text = F.regexp_replace(html, r"<[^>]+>", " ")
-    for reference, letter in _ENTITIES:
-        text = F.replace(text, F.lit(reference), F.lit(letter))
-    return F.regexp_replace(text, r"\s+", " ")
+    Only texts with a reference go to Python, in Arrow batches.
+    """
+    text = F.regexp_replace(page, r"<[^>]+>", " ")
+    decoded = F.coalesce(_decoded(F.when(text.contains("&"), text)), text)
+    return F.regexp_replace(decoded, r"(?U)\s+", " ")
 
 
 def word_tokens(text: Column) -> Column:

@@ -6,10 +6,13 @@ them are written again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed_values as V
 from ..functions.periods import watermark, window_start
+from ..session import pinned
 
 
 def ledger_entry(df: DataFrame, load_id: Column, published: Column, year: str,
@@ -30,47 +33,54 @@ def ledger_entry(df: DataFrame, load_id: Column, published: Column, year: str,
 
 def snapshot(df: DataFrame, load_id: Column, year: str, outcome: str, period: Column) -> DataFrame:
     """Rows of a load per cohort, outcome and exit period: counts only."""
-    return df.groupBy(F.col(year).alias("year"), F.col(outcome).alias("outcome"), period.alias("period")).agg(
-        F.count("*").alias("total")
-    ).withColumn("load_id", load_id)
+    return snapshots(df.withColumn("_load", load_id), "_load", year, outcome, period)
+
+
+def snapshots(df: DataFrame, load: str, year: str, outcome: str, period: Column) -> DataFrame:
+    """The same for rows of several loads, each with its number."""
+    cells = [F.col(load).alias("load_id"), F.col(year).alias("year"), F.col(outcome).alias("outcome"), period.alias("period")]
+    return df.groupBy(*cells).agg(F.count("*").alias("total"))
+
+
+def ledger(cells: DataFrame, loads: DataFrame, year: str, maturity: int = V.MATURITY_YEARS) -> DataFrame:
+    """The ledger rows of all `loads` (load_id, published) that have cells."""
+    sums = cells.groupBy("load_id").agg(F.max(year).alias("_last"), F.sum("total").alias("total"))
+    return loads.join(sums, "load_id").select(
+        "load_id", "published", watermark(F.col("published")).alias("watermark"), (F.col("_last") - maturity).alias("last_mature"), "total"
+    )
 
 
 def arrivals(ledger: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Windows whose count changed from one load to the next.
 
-    The class is taken by the watermark of the load before; the first load has no arrivals. Both
-    inputs are counts: a ledger row per load and a handful of cells per cohort.
+    Every cell counts for its own load and, with the sign turned, for the load after it; one sum over both gives before, after and
+    difference. The class is taken by the watermark of the load before; the first load has no arrivals. Both inputs are counts: a
+    ledger row per load and a handful of cells per cohort.
     """
-    order = W.orderBy("load_id")
-    pairs = ledger.select(
-        "load_id",
-        F.lag("load_id").over(order).alias("_before"),
-        F.lag("watermark").over(order).alias("_mark"),
-        F.lag("last_mature").over(order).alias("_mature"),
-    ).filter(F.col("_before").isNotNull())
-    cells = ["year", "outcome", "period"]
-    cells_of = snapshots.select(F.col("load_id").alias("_load"), *cells, "total")
-    old = pairs.join(cells_of, F.col("_before") == F.col("_load")).select(
-        "load_id", "_mark", "_mature", *cells, F.col("total").alias("_b"), F.lit(0).alias("_a")
+    by_load = W.orderBy("load_id")
+    chain = ledger.select(
+        "load_id", F.lead("load_id").over(by_load).alias("_next"), F.lag("load_id").over(by_load).isNull().alias("_first"),
+        "watermark", "last_mature",
     )
-    new = pairs.join(cells_of, F.col("load_id") == F.col("_load")).select(
-        "load_id", "_mark", "_mature", *cells, F.lit(0).alias("_b"), F.col("total").alias("_a")
+    cells = snapshots.join(chain, "load_id")
+    uses = F.array(
+        F.struct(F.col("load_id").alias("load"), F.lit(True).alias("now")), F.struct(F.col("_next").alias("load"), F.lit(False).alias("now"))
     )
-    summed = old.unionByName(new).groupBy("load_id", *cells, "_mark", "_mature").agg(
-        F.sum("_b").alias("before"), F.sum("_a").alias("after")
-    ).filter(F.col("before") != F.col("after"))
-    return summed.select(
-        "load_id",
-        "year",
-        window_start(F.col("year")).alias("window"),
-        "outcome",
-        "period",
-        "before",
-        "after",
-        (F.col("after") - F.col("before")).alias("difference"),
-        F.when(F.col("period").isNull(), V.NO_PERIOD).when(F.col("period") <= F.col("_mark"), V.LATE)
-        .otherwise(V.ON_TIME).alias("arrival"),
-        F.coalesce(F.col("year") <= F.col("_mature"), F.lit(False)).alias("published"),
+    used = cells.withColumn("_use", F.explode(uses)).filter(
+        F.col("_use.load").isNotNull() & ~(F.col("_use.now") & F.col("_first"))
+    )
+    now = F.col("_use.now")
+    sums = used.groupBy(F.col("_use.load").alias("load_id"), "year", "outcome", "period").agg(
+        F.sum(F.when(now, 0).otherwise(F.col("total"))).alias("before"), F.sum(F.when(now, F.col("total")).otherwise(0)).alias("after")
+    ).filter("before <> after")
+    limits = chain.filter(F.col("_next").isNotNull()).select(F.col("_next").alias("load_id"), "watermark", "last_mature")
+    kind = (
+        F.when(F.col("period").isNull(), V.NO_PERIOD).when(F.col("period") <= F.col("watermark"), V.LATE).otherwise(V.ON_TIME)
+    )
+    return sums.join(limits, "load_id").select(
+        "load_id", "year", window_start(F.col("year")).alias("window"), "outcome", "period", "before", "after",
+        (F.col("after") - F.col("before")).alias("difference"), kind.alias("arrival"),
+        F.coalesce(F.col("year") <= F.col("last_mature"), F.lit(False)).alias("published"),
     )
 
 
@@ -97,11 +107,31 @@ def changed_rows(old: DataFrame, new: DataFrame, keys: list[str], measures: list
 
 
 def window_status(old: DataFrame, new: DataFrame, window: str) -> DataFrame:
-    """`rewritten` or `intact` for every window of two versions, by exact content."""
-    from ..sources.lake import window_fingerprints
+    """`rewritten` or `intact` for every window of two versions, by their rows: one shuffle of both versions."""
+    both = new.withColumn("_n", F.lit(1)).unionByName(old.withColumn("_n", F.lit(-1)))
+    rows = both.groupBy(*new.columns).agg(F.sum("_n").alias("_n"))
+    return rows.groupBy(window).agg(F.when(F.max(F.abs("_n")) == 0, "intact").otherwise("rewritten").alias("status"))
 
-    joined = window_fingerprints(new, window).alias("n").join(
-        window_fingerprints(old, window).alias("o"), window, "full"
-    )
-    equal = F.col("n.fingerprint").eqNullSafe(F.col("o.fingerprint"))
-    return joined.select(window, F.when(equal, "intact").otherwise("rewritten").alias("status"))
+
+def revision(df: DataFrame, chosen: Column, changes: dict[str, Column], keys: list[str], window: str,
+             measures: dict[str, Callable[[Callable[[str], Column]], Column]]) -> tuple[DataFrame, DataFrame]:
+    """What a revision moves, from one pass over the table: (rows of the aggregate that differ, status of every window).
+
+    `measures` build an aggregate from a column lookup, which is the old or the revised column. A window is rewritten if a chosen row
+    of it gets another value.
+    """
+    old = F.col
+    new = lambda c: F.when(chosen, changes[c]).otherwise(F.col(c)) if c in changes else F.col(c)
+    moved = F.lit(False)
+    for c, value in changes.items():
+        moved = moved | (chosen & ~F.col(c).eqNullSafe(value))
+    cells = pinned(df.groupBy(*keys, window).agg(
+        F.coalesce(F.bool_or(moved), F.lit(False)).alias("_moved"),
+        *[of(old).alias(f"_old_{name}") for name, of in measures.items()], *[of(new).alias(name) for name, of in measures.items()],
+    ))
+    totals = cells.groupBy(*keys).agg(*[F.sum(c).alias(c) for name in measures for c in (f"_old_{name}", name)])
+    differs = F.lit(False)
+    for name in measures:
+        differs = differs | ~F.col(name).eqNullSafe(F.col(f"_old_{name}"))
+    status = cells.groupBy(window).agg(F.when(F.bool_or("_moved"), "rewritten").otherwise("intact").alias("status"))
+    return totals.filter(differs).select(*keys, *measures), status

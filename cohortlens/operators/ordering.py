@@ -9,8 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..session import pinned
 
 
+BROADCAST_ROWS = 20_000
+
+
 def literal_table(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> DataFrame:
-    """A small constant table, hinted for broadcast because its size is fixed in the code."""
+    """A constant table, hinted for broadcast because its size is fixed in the code; larger ones are refused."""
+    if len(rows) > BROADCAST_ROWS:
+        raise ValueError("a literal table is for values that are written in the code")
     fields = T.StructType.fromDDL(schema)
     entries = [
         F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields, strict=True)]) for row in rows
@@ -35,6 +40,11 @@ def ranked_per_group(
     return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= n)
 
 
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows with a broadcast hint if it has at most `limit` rows, else as it is."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def numbered(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
     """`row_number()` over the whole table: range partitions, then one offset per partition."""
     ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -52,6 +62,14 @@ def numbered(df: DataFrame, *order: Column, name: str = "position") -> DataFrame
     )
 
 
+def numbered_per_group(df: DataFrame, key: str, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """`row_number()` per key with hot keys spread over tasks: numbers of the whole table, less the first of the key."""
+    placed = numbered(df, F.asc(key), *order, name="_place")
+    first = placed.groupBy(F.col(key).alias("_key")).agg(F.min("_place").alias("_first"))
+    joined = placed.join(first, F.col(key).eqNullSafe(F.col("_key")))
+    return joined.withColumn(name, (F.col("_place") - F.col("_first") + 1).cast("int")).drop("_place", "_key", "_first")
+
+
 def ranked(df: DataFrame, metric: str, name: str = "position", descending: bool = True) -> DataFrame:
     """`rank()` by a metric with few distinct values (a rounded index): the window runs over the values."""
     order = F.col(metric).desc() if descending else F.col(metric).asc()

@@ -18,8 +18,8 @@ def equivalence_classes(df: DataFrame, quasi: Sequence[str]) -> DataFrame:
     )
 
 
-def uniqueness(df: DataFrame, quasi: Sequence[str], top: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(one row of risk figures, most frequent class sizes)."""
+def uniqueness(df: DataFrame, quasi: Sequence[str], top: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one row of risk figures, class sizes: all, or the `top` most frequent)."""
     sizes = equivalence_classes(df, quasi)
     figures = sizes.agg(
         F.sum("rows").alias("rows"),
@@ -27,7 +27,7 @@ def uniqueness(df: DataFrame, quasi: Sequence[str], top: int = 5) -> tuple[DataF
         F.coalesce(F.sum(F.when(F.col("k") == 1, F.col("groups"))), F.lit(0)).alias("singletons"),
         F.coalesce(F.min("k"), F.lit(0)).alias("min_k"),
     ).withColumn("unique_pct", percent(F.col("singletons"), F.col("rows"), 4, 0))
-    return figures, sizes.orderBy(F.desc("groups"), F.asc("k")).limit(top)
+    return figures, sizes if top is None else sizes.orderBy(F.desc("groups"), F.asc("k")).limit(top)
 
 
 def grain_study(df: DataFrame, grains: dict[str, Sequence[str]], k: int = V.MIN_GROUP,

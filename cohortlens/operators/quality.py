@@ -217,9 +217,10 @@ def literal_nulls(df: DataFrame, columns: Sequence[str], order: str, token: str
     return df.agg(*aggregates).selectExpr(f"stack({len(columns)}, {pairs}) AS (column, rows, first_row)")
 
 
-def future_dates(df: DataFrame, day: Column, published: Column, order: str, top: int = 5) -> DataFrame:
-    """The first offenders whose date is after the publication."""
-    return df.withColumn("_day", day).filter(F.col("_day") > published).orderBy(order).limit(top).drop("_day")
+def future_dates(df: DataFrame, day: Column, published: Column, order: str, top: int | None = None) -> DataFrame:
+    """Rows whose date is after the publication: all of them, or the first `top` by `order`."""
+    late = df.withColumn("_day", day).filter(F.col("_day") > published).drop("_day")
+    return late if top is None else late.orderBy(order).limit(top)
 
 
 def status_drift(older: DataFrame, newer: DataFrame, year: str, active: Column, cancelled: Column) -> DataFrame:
@@ -251,7 +252,8 @@ def freshness(sources: DataFrame, processed: Column, now: Column, limit_days: in
         F.concat(F.lit("source:"), F.col("source")).alias("check"),
         F.when(pending, days(F.col("published"))).otherwise(0.0).alias("age_days"),
     )
-    own = sources.limit(1).select(F.lit("processing").alias("check"), days(processed).alias("age_days"))
+    # This row does not come from the sources: without any source the age of the processing still shows.
+    own = sources.sparkSession.range(1).select(F.lit("processing").alias("check"), days(processed).alias("age_days"))
     return checked.unionByName(own).withColumn("inside", F.col("age_days") <= limit_days)
 
 

@@ -73,9 +73,9 @@ def inherit_by_prefix(bases: DataFrame, known: DataFrame, name: str, value: str,
     return missing.join(agreed, F.col(name) == F.col("_base")).select(name, F.col("_low").alias(value))
 
 
-def match_report(df: DataFrame, matched: Column, label: str, top: int = 10,
+def match_report(df: DataFrame, matched: Column, label: str, top: int | None = None,
                  weight: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(one-row totals, most frequent unmatched labels); `weight` counts pre-aggregated rows."""
+    """(one-row totals, unmatched labels: all, or the `top` most frequent); `weight` counts pre-aggregated rows."""
     n = F.lit(1) if weight is None else F.col(weight)
     hit = F.coalesce(matched, F.lit(False))
     totals = df.agg(F.sum(n).alias("total"), F.coalesce(F.sum(F.when(hit, n)), F.lit(0)).alias("matched")).select(
@@ -84,10 +84,8 @@ def match_report(df: DataFrame, matched: Column, label: str, top: int = 10,
         (F.col("total") - F.col("matched")).alias("unmatched"),
         half_even(F.col("matched") / F.col("total") * 100, 2).alias("matched_pct"),
     )
-    unmatched = (
-        df.filter(~hit).groupBy(label).agg(F.sum(n).alias("rows")).orderBy(F.desc("rows"), F.asc(label)).limit(top)
-    )
-    return totals, unmatched
+    unmatched = df.filter(~hit).groupBy(label).agg(F.sum(n).alias("rows"))
+    return totals, unmatched if top is None else unmatched.orderBy(F.desc("rows"), F.asc(label)).limit(top)
 
 
 def stable_ids(df: DataFrame, *order: Column, name: str = "id") -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import cohorts, consolidate, dimensional, late, ordering, priva
 from ..session import pinned
 from . import domain as D
 from .cohort_queries import mature_cells, metrics, retention
-from .join_queries import rules
+from .join_queries import _NAMED, named, published_rules
 from .registry import Tables, plan
 
 _TRUNK_SQL = ", ".join(f"'{c}'" for c in D.TRUNK)
@@ -177,34 +177,31 @@ def active_snapshot(t: Tables) -> DataFrame:
 
 @plan("string course; bigint mat trancada desvinculado peers; double trancada_pct desvinculado_pct demand_ratio trancada_median desvinculado_median "
       "trancada_gap desvinculado_gap trancada_ratio desvinculado_ratio", "D13",
-      """WITH rows AS (SELECT p_name AS course, s_nationkey AS ies, s_nationkey = 0 AS home, CAST(l_quantity AS BIGINT) AS mat,
-          CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS BIGINT) END AS tr, CASE WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN CAST(l_quantity AS BIGINT) END AS dv,
-          l_linenumber AS insc, CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END AS vag
-        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
-      ), por AS (SELECT course, ies, home, coalesce(sum(mat), 0) AS mat, coalesce(sum(tr), 0) AS tr, coalesce(sum(dv), 0) AS dv, coalesce(sum(insc), 0) AS insc, coalesce(sum(vag), 0) AS vag
-        FROM rows GROUP BY ALL HAVING coalesce(sum(mat), 0) >= 50
-      ), taxas AS (SELECT *, tr / nullif(mat, 0) * 100 AS t_tr, dv / nullif(mat, 0) * 100 AS t_dv FROM por
-      ), own AS (SELECT course, mat, tr, dv, round_even(t_tr * 100, 0) / 100 AS a, round_even(t_dv * 100, 0) / 100 AS b,
-          round_even(insc / nullif(vag, 0) * 100, 0) / 100 AS d FROM taxas WHERE home
-      ), pares AS (SELECT course, count(DISTINCT ies) AS n, round_even(quantile_cont(t_tr, 0.5) * 100, 0) / 100 AS ma,
-          round_even(quantile_cont(t_dv, 0.5) * 100, 0) / 100 AS mb FROM taxas WHERE NOT home GROUP BY 1)
-      SELECT course, mat, tr AS trancada, dv AS desvinculado, n AS peers, a AS trancada_pct, b AS desvinculado_pct, d AS demand_ratio,
-        ma AS trancada_median, mb AS desvinculado_median, round_even((a - ma) * 100, 0) / 100 AS trancada_gap,
-        round_even((b - mb) * 100, 0) / 100 AS desvinculado_gap, round_even(a / nullif(ma, 0) * 100, 0) / 100 AS trancada_ratio,
-        round_even(b / nullif(mb, 0) * 100, 0) / 100 AS desvinculado_ratio
-      FROM own LEFT JOIN pares USING (course)""")
+      """WITH offer AS (SELECT p_name AS course, s_nationkey AS institution, sum(CAST(l_quantity AS BIGINT)) AS students,
+          [coalesce(sum(CAST(l_quantity AS BIGINT)) FILTER (l_returnflag = 'R'), 0),
+           coalesce(sum(CAST(l_quantity AS BIGINT)) FILTER (l_returnflag = 'A' AND l_linestatus = 'O'), 0)] AS events,
+          sum(l_linenumber) AS applicants, count(*) FILTER (l_tax > 0.04) AS seats
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL HAVING students >= 50
+      ), side AS (SELECT course, institution = 0 AS at_home, unnest([1, 2]) AS event, unnest(list_transform(events, lambda e: e / students * 100)) AS rate FROM offer
+      ), level AS (SELECT course, event, round_even(max(rate) FILTER (at_home) * 100, 0) / 100 AS mine,
+          round_even(median(rate) FILTER (NOT at_home) * 100, 0) / 100 AS theirs FROM side GROUP BY ALL
+      ), compared AS (SELECT *, round_even((mine - theirs) * 100, 0) / 100 AS gap, round_even(mine / nullif(theirs, 0) * 100, 0) / 100 AS share FROM level
+      ), crowd AS (SELECT course, count(*) FILTER (institution <> 0) AS others FROM offer GROUP BY 1)
+      SELECT o.course, o.students AS mat, o.events[1] AS trancada, o.events[2] AS desvinculado, nullif(c.others, 0) AS peers,
+        x.mine AS trancada_pct, y.mine AS desvinculado_pct, round_even(applicants / nullif(seats, 0) * 100, 0) / 100 AS demand_ratio,
+        x.theirs AS trancada_median, y.theirs AS desvinculado_median, x.gap AS trancada_gap, y.gap AS desvinculado_gap,
+        x.share AS trancada_ratio, y.share AS desvinculado_ratio
+      FROM offer o JOIN crowd c USING (course) JOIN compared x ON x.course = o.course AND x.event = 1 JOIN compared y ON y.course = o.course AND y.event = 2
+      WHERE o.institution = 0""")
 def peer_benchmark(t: Tables) -> DataFrame:
     amount = F.col("l_quantity").cast("bigint")
-    rows = (
-        t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-        .select(
-            F.col("p_name").alias("course"), F.col("s_nationkey").alias("ies"), amount.alias("mat"),
-            F.when(F.col("l_returnflag") == "R", amount).alias("trancada"),
-            F.when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"), amount).alias("desvinculado"),
-            F.col("l_linenumber").cast("bigint").alias("applicants"), F.when(F.col("l_tax") > 0.04, 1).otherwise(0).alias("seats"),
-        )
+    # Sums per part and institution first: the join with the parts sees those, not the lines.
+    sums = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_partkey", F.col("s_nationkey").alias("ies")).agg(
+        F.sum(amount).alias("mat"), F.sum(F.when(F.col("l_returnflag") == "R", amount)).alias("trancada"),
+        F.sum(F.when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"), amount)).alias("desvinculado"),
+        F.sum(F.col("l_linenumber").cast("bigint")).alias("applicants"), F.count_if(F.col("l_tax") > 0.04).alias("seats"),
     )
+    rows = sums.join(t.part, F.col("l_partkey") == F.col("p_partkey")).withColumnRenamed("p_name", "course")
     return programme.peer_benchmark(
         rows, "course", "ies", F.col("ies") == 0, "mat", ["trancada", "desvinculado"], ("applicants", "seats")
     )
@@ -265,7 +262,7 @@ _QUASI = ("p_brand", "p_type", "p_size")
       """WITH c AS (SELECT count(*) AS k FROM part GROUP BY p_brand, p_type, p_size), s AS (SELECT k, count(*) AS groups, k * count(*) AS rows FROM c GROUP BY 1
       ), f AS (SELECT sum(rows) AS total_rows, sum(groups) AS combinations, coalesce(sum(groups) FILTER (k = 1), 0) AS singletons, min(k) AS min_k FROM s)
       SELECT s.*, f.*, round_even(singletons / total_rows * 100 * 1e4, 0) / 1e4 AS unique_pct
-      FROM (SELECT * FROM s ORDER BY groups DESC, k LIMIT 5) s CROSS JOIN f""")
+      FROM s CROSS JOIN f""")
 def equivalence_classes(t: Tables) -> DataFrame:
     figures, sizes = privacy.uniqueness(t.part, _QUASI)
     one = figures.select(F.struct(F.col("rows").alias("total_rows"), "combinations", "singletons", "min_k", "unique_pct")).scalar()
@@ -339,12 +336,10 @@ def duration_histogram(t: Tables) -> DataFrame:
 
 
 @plan("bigint position rows; string origin target", "D26",
-      f"""WITH {D.ENROLMENTS}, rules(origin, target, place) AS (VALUES {", ".join(f"('{a}', '{b}', {i})" for i, (a, b) in enumerate(D.ALIASES))}
-      ), u AS (SELECT area, count(*) AS n FROM enrolments GROUP BY 1)
-      SELECT row_number() OVER (ORDER BY coalesce(n, 0) DESC, place) AS position, coalesce(n, 0) AS rows, origin, target
-      FROM rules LEFT JOIN u ON area = origin""")
+      f"""WITH {_NAMED}, u AS (SELECT published AS origin, count(*) AS n FROM named GROUP BY 1)
+      SELECT row_number() OVER (ORDER BY coalesce(n, 0) DESC, place) AS position, coalesce(n, 0) AS rows, origin, target FROM published LEFT JOIN u USING (origin)""")
 def rule_usage(t: Tables) -> DataFrame:
-    return resolve.rule_usage(D.enrolments(t), rules(t), "area", "origin", "place")
+    return resolve.rule_usage(named(t), published_rules(t), "published", "origin", "place")
 
 
 @plan("string profile quota income; boolean is_quota", "D27",

@@ -15,12 +15,16 @@ from . import domain as D
 from .registry import Tables, plan
 
 USERS = cdc.Table("silver.users", (("user_id", "bigint"), ("event_type", "string"), ("value", "double")), ("user_id",))
+KINDS = cdc.Table("silver.kinds", (("event_type", "string"), ("value", "double")), ("event_type",))
 
 
 def messages(t: Tables, truncates: bool = False, snapshots: bool = False) -> DataFrame:
-    """JSON envelopes with topic, in event order. 'purchase' events above 99.5 become a TRUNCATE on demand."""
+    """JSON envelopes with topic, in event order. Some 'purchase' events become a TRUNCATE on demand.
+
+    One user in 25 is only ever deleted: the state has nothing but those events to take the row from.
+    """
     kind = F.col("event_type")
-    op = F.when(kind == "error", "d").when(kind == "signup", "c").otherwise("u")
+    op = F.when((kind == "error") | (F.col("user_id") % 25 == 3), "d").when(kind == "signup", "c").otherwise("u")
     if truncates:
         op = F.when((kind == "purchase") & (F.col("value") > 50) & (F.col("event_id") % 1000 == 0), "t").otherwise(op)
     mark = F.lit("false")
@@ -35,19 +39,20 @@ def messages(t: Tables, truncates: bool = False, snapshots: bool = False) -> Dat
 
 
 def _log_sql(op: str, marker: str) -> str:
-    """Newest event per key, markers applied."""
-    return f"""log AS (SELECT user_id, event_type, value, event_id AS lsn, event_id - event_id % 5 AS com, {op} AS op FROM events
-    ), mark AS (SELECT max(com * 100000000 + lsn) AS p FROM log WHERE {marker}
-    ), folded AS (SELECT user_id, max(com * 100000000 + lsn) AS p, arg_max(op, com * 100000000 + lsn) AS op,
-        arg_max(event_type, com * 100000000 + lsn) FILTER (op <> 'd') AS event_type,
-        arg_max(value, com * 100000000 + lsn) FILTER (op <> 'd') AS value FROM log WHERE op <> 't' GROUP BY 1
+    """Newest event per key, markers applied. A position is the ordered pair of commit and lsn."""
+    return f"""log AS (SELECT user_id, event_type, value, event_id AS lsn, [event_id - event_id % 5, event_id] AS p, {op} AS op FROM events
+    ), mark AS (SELECT max(p) AS p FROM log WHERE {marker}
+    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p DESC) AS newest,
+        row_number() OVER (PARTITION BY user_id ORDER BY op = 'd', p DESC) AS valued FROM log WHERE op <> 't'
+    ), folded AS (SELECT n.user_id, n.p, n.op, v.event_type, v.value FROM ranked n JOIN ranked v ON n.user_id = v.user_id AND n.newest = 1 AND v.valued = 1
     ), state AS (SELECT user_id, event_type, value, op = 'd' OR coalesce(f.p < (SELECT p FROM mark), false) AS deleted,
-        greatest(f.p, coalesce((SELECT p FROM mark), 0)) % 100000000 AS lsn, coalesce(f.p < (SELECT p FROM mark), false) AND op <> 'd' AS reconciled FROM folded f)"""
+        CASE WHEN f.p < (SELECT p FROM mark) THEN (SELECT p[2] FROM mark) ELSE f.p[2] END AS lsn,
+        coalesce(f.p < (SELECT p FROM mark), false) AND op <> 'd' AS reconciled FROM folded f)"""
 
 
-_PLAIN = "CASE event_type WHEN 'error' THEN 'd' WHEN 'signup' THEN 'c' ELSE 'u' END"
+_PLAIN = "CASE WHEN event_type = 'error' OR user_id % 25 = 3 THEN 'd' WHEN event_type = 'signup' THEN 'c' ELSE 'u' END"
 _TRUNCATE = f"CASE WHEN event_type = 'purchase' AND value > 50 AND event_id % 1000 = 0 THEN 't' ELSE {_PLAIN} END"
-_SNAPSHOT = "CASE event_type WHEN 'error' THEN 'd' WHEN 'signup' THEN 'r' ELSE 'u' END"
+_SNAPSHOT = "CASE WHEN event_type = 'error' OR user_id % 25 = 3 THEN 'd' WHEN event_type = 'signup' THEN 'r' ELSE 'u' END"
 _STATE = "bigint user_id lsn; string event_type; double value; boolean deleted"
 
 
@@ -56,17 +61,25 @@ def _shown(state: DataFrame) -> DataFrame:
 
 
 @plan("string op; bigint events commits last_lsn snapshots", "I01",
-      f"""WITH log AS (SELECT {_SNAPSHOT} AS op, event_id AS lsn, event_id - event_id % 5 AS com FROM events)
+      f"""WITH log AS (SELECT {_SNAPSHOT} AS op, event_id AS lsn, event_id - event_id % 5 AS com FROM events WHERE event_id % 97 <> 0)
       SELECT op, count(*) AS events, count(DISTINCT com) AS commits, max(lsn) AS last_lsn,
-        count(*) FILTER (op = 'r' AND lsn % 500 < 10) AS snapshots FROM log GROUP BY 1""")
+        count(*) FILTER (op = 'r' AND lsn % 500 < 10) AS snapshots FROM log GROUP BY 1
+      UNION ALL SELECT 'unreadable', count(*), 0, max(event_id), 0 FROM events WHERE event_id % 97 = 0 HAVING count(*) > 0""")
 def cdc_decode(t: Tables) -> DataFrame:
-    events = cdc.decode(messages(t, snapshots=True), USERS)
+    """Every 97th message is cut off: it is counted, not lost."""
+    value = F.when(F.col("event_id") % 97 == 0, F.substring("value", 1, 30)).otherwise(F.col("value"))
+    sent = messages(t, snapshots=True).withColumn("value", value)
+    events = cdc.decode(sent, USERS, skip_bad=True)
     per_commit = events.groupBy("op", "commit_lsn").agg(
         F.count("*").alias("n"), F.max("lsn").alias("lsn"), F.count_if("end_of_snapshot").alias("s")
     )
-    return per_commit.groupBy("op").agg(
+    read = per_commit.groupBy("op").agg(
         F.sum("n").alias("events"), F.count("*").alias("commits"), F.max("lsn").alias("last_lsn"), F.sum("s").alias("snapshots")
     )
+    none = F.lit(0).cast("bigint")
+    return read.unionByName(cdc.bad_messages(sent, USERS).groupBy(F.col("reason").alias("op")).agg(
+        F.count("*").alias("events"), none.alias("commits"), F.max("event_id").alias("last_lsn"), none.alias("snapshots")
+    ))
 
 
 @plan(_STATE, "I03 I04 I05", f"""WITH {_log_sql(_PLAIN, "false")} SELECT user_id, event_type, value, deleted, lsn FROM state""")
@@ -93,25 +106,38 @@ def cdc_snapshot_end(t: Tables) -> DataFrame:
     return cdc.reconciled_rows(cdc.decode(messages(t, snapshots=True), USERS), USERS)
 
 
-def _streamed(t: Tables, store: cdc.ChangeStore, source: str, run: str, files_per_batch: int) -> None:
+def _streamed(t: Tables, stores: dict[str, cdc.ChangeStore], folder: str, run: str, files_per_batch: int) -> None:
+    newest = t.events.agg(F.max("event_id")).first()[0]
     stream = (
         t.spark.readStream.schema("topic string, value string, event_id bigint").option("maxFilesPerTrigger", files_per_batch)
-        .parquet(source)
+        .parquet(f"{folder}/topics")
+    )
+    query = cdc.consume(
+        stream, stores, f"{folder}/checkpoint-{run}", run=run, newest_lsn=lambda: newest, bad=f"{folder}/bad"
     )
-    query = cdc.consume(stream, {USERS.name: store}, f"{store.root}/checkpoint-{run}", run=run)
     query.awaitTermination()
 
 
-@plan("bigint user_id lsn; string event_type; double value; boolean deleted", "I02 I11 I12 I13 I14",
-      f"""WITH {_log_sql(_TRUNCATE, "op = 't'")} SELECT user_id, event_type, value, deleted, lsn FROM state""")
+@plan("string topic event_type; bigint user_id lsn; double value; boolean deleted", "I02 I10 I11 I12 I13 I14",
+      f"""WITH {_log_sql(_TRUNCATE, "op = 't'")} SELECT 'silver.users' AS topic, user_id, event_type, value, deleted, lsn FROM state
+      UNION ALL SELECT 'silver.kinds', NULL, event_type, value, false, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) = 1""")
 def cdc_replay(t: Tables) -> DataFrame:
-    """The log streamed in micro-batches, compacted on the way, and replayed from the first offset."""
+    """Two topics in one log, streamed in micro-batches, compacted on the way, and replayed from the first offset."""
     folder = work_dir(t.spark, "cdc")
-    messages(t, truncates=True).repartitionByRange(4, "event_id").write.parquet(f"{folder}/topic")
-    store = cdc.ChangeStore(t.spark, f"{folder}/state", USERS, compact_every=3)
-    _streamed(t, store, f"{folder}/topic", "first", 1)
-    _streamed(t, store, f"{folder}/topic", "again", 4)
-    return _shown(store.state())
+    kinds = cdc.envelope(
+        F.lit("u"), F.struct("event_type", "value"), F.col("event_id"), F.col("event_id"),
+        F.unix_millis(F.col("ts").cast("timestamp")), F.lit("false"),
+    )
+    log = messages(t, truncates=True).unionByName(t.events.select(F.lit(KINDS.name).alias("topic"), kinds.alias("value"), "event_id"))
+    log.repartitionByRange("event_id").write.parquet(f"{folder}/topics")
+    stores = {table.name: cdc.ChangeStore(t.spark, f"{folder}/{table.name}", table, compact_every=3) for table in (USERS, KINDS)}
+    _streamed(t, stores, folder, "first", 2)
+    _streamed(t, stores, folder, "again", 1000)
+    none = F.lit(None)
+    users, kept = stores[USERS.name].state(), stores[KINDS.name].state()
+    return _shown(users).withColumn("topic", F.lit(USERS.name)).unionByName(
+        _shown(kept.withColumn("user_id", none.cast("bigint"))).withColumn("topic", F.lit(KINDS.name))
+    )
 
 
 @plan("bigint high_water last_commit", "I10", "SELECT max(event_id) AS high_water, max(event_id - event_id % 5) AS last_commit FROM events")
@@ -137,29 +163,18 @@ def cdc_latency(t: Tables) -> DataFrame:
 _CUTS = (("1998-06-30", 1), ("1999-03-15", 2))
 
 
-def _loads(t: Tables) -> dict[int, DataFrame]:
-    """Two extracts: an enrolment is in a load if it had started by the publication; later exits are unknown yet."""
-    rows = D.enrolments(t).select("entry_at", "entry_year", "outcome", "exit_at", "exit_year", "exit_term")
-    loads = {}
-    for day, number in _CUTS:
-        published = F.lit(day).cast("date")
-        known = F.col("exit_at") <= published
-        loads[number] = rows.filter(F.col("entry_at") <= published).select(
-            "entry_year",
-            F.when(known, F.col("outcome")).otherwise("ATIVO").alias("outcome"),
-            F.when(known & (F.col("outcome") != "ATIVO"), F.col("exit_year") * 10 + F.col("exit_term")).alias("period"),
-        )
-    return loads
-
-
 def _ledger_and_snapshots(t: Tables) -> tuple[DataFrame, DataFrame]:
-    ledger = snapshots = None
-    for (day, number), df in zip(_CUTS, _loads(t).values(), strict=True):
-        cells = pinned(late.snapshot(df, F.lit(number), "entry_year", "outcome", F.col("period")))
-        entry = late.ledger_entry(cells, F.lit(number), F.lit(day).cast("date"), "year", D.MATURITY, rows="total")
-        ledger = entry if ledger is None else ledger.unionByName(entry)
-        snapshots = cells if snapshots is None else snapshots.unionByName(cells)
-    return ledger, snapshots
+    """Two extracts from one pass: an enrolment is in a load if it had started by the publication; later exits are unknown yet."""
+    days = F.array(*[F.struct(F.lit(n).alias("load_id"), F.lit(d).cast("date").alias("published")) for d, n in _CUTS])
+    rows = D.enrolments(t).select("entry_at", "entry_year", "outcome", "exit_at", "exit_year", "exit_term")
+    loads = rows.withColumn("load", F.explode(F.filter(days, lambda x: F.col("entry_at") <= x["published"])))
+    known = F.col("exit_at") <= F.col("load.published")
+    seen = loads.select(
+        F.col("load.load_id").alias("load_id"), "entry_year", F.when(known, F.col("outcome")).otherwise("ATIVO").alias("seen"),
+        F.when(known & (F.col("outcome") != "ATIVO"), F.col("exit_year") * 10 + F.col("exit_term")).alias("period"),
+    )
+    cells = pinned(late.snapshots(seen, "load_id", "entry_year", "seen", F.col("period")))
+    return late.ledger(cells, t.spark.range(1).select(F.inline(days)), "year", D.MATURITY), cells
 
 
 _LATE = f"""{D.ENROLMENTS}, cuts(load_id, published, watermark) AS (VALUES (1, DATE '1998-06-30', 19980), (2, DATE '1999-03-15', 19981)
@@ -201,21 +216,17 @@ def late_summary(t: Tables) -> DataFrame:
       ), f AS (SELECT course, count(*) FILTER (outcome = 'FORMATURA' OR chosen) AS graduates, count(*) FILTER (outcome = 'ATIVO' AND NOT chosen) AS actives,
           count(*) FILTER (chosen) AS moved FROM r GROUP BY 1)
       SELECT 'course' AS kind, course AS key, graduates, actives FROM f WHERE moved > 0
-      UNION ALL SELECT 'window', w || CASE WHEN w = 1995 THEN ' rewritten' ELSE ' intact' END, NULL, NULL FROM (SELECT DISTINCT entry_year - entry_year % 5 AS w FROM enrolments)""")
+      UNION ALL SELECT 'window', w || CASE WHEN moved THEN ' rewritten' ELSE ' intact' END, NULL, NULL FROM (SELECT entry_year - entry_year % 5 AS w, bool_or(chosen) AS moved FROM r GROUP BY 1)""")
 def revision_impact(t: Tables) -> DataFrame:
     from ..sources.lake import with_window
 
     rows = with_window(D.enrolments(t).select("id", "course", "entry_year", "outcome", "amount"), "entry_year")
     chosen = (F.col("outcome") == "ATIVO") & (F.col("entry_year") == 1996) & (F.col("amount") > 400000)
-    revised = late.revise(rows, chosen, {"outcome": F.lit("FORMATURA")})
-
-    def fact(df: DataFrame) -> DataFrame:
-        return df.groupBy("course").agg(
-            F.count_if(F.col("outcome") == "FORMATURA").alias("graduates"), F.count_if(F.col("outcome") == "ATIVO").alias("actives")
-        )
-
-    moved = late.changed_rows(fact(rows), fact(revised), ["course"], ["graduates", "actives"])
-    status = late.window_status(rows, revised, "window")
+    measures = {
+        "graduates": lambda c: F.count_if(c("outcome") == "FORMATURA"),
+        "actives": lambda c: F.count_if(c("outcome") == "ATIVO"),
+    }
+    moved, status = late.revision(rows, chosen, {"outcome": F.lit("FORMATURA")}, ["course"], "window", measures)
     none = F.lit(None).cast("bigint")
     return moved.select(F.lit("course").alias("kind"), F.col("course").alias("key"), "graduates", "actives").unionByName(
         status.select(

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import fixed_values as V
 from ..functions.labels import recode
 from ..functions.records import natural_key
-from ..operators import cohorts, consolidate, dimensional, quality, resolve, score, sync
+from ..operators import cohorts, consolidate, dimensional, normalise, quality, resolve, score, sync
 from ..session import pinned
 from . import domain as D
 from .aggregate_queries import _OFFERS, offers
 from .cohort_queries import metrics
+from .join_queries import _NAMED, named, published_rules
 from .registry import Tables, plan
 
 
@@ -124,7 +125,7 @@ def fact_current(t: Tables) -> DataFrame:
 
 @plan("string course; bigint total actives_now above_ideal_now; double risk_index above_ideal_pct_now", "H08",
       f"""WITH {D.RISK}, a AS (SELECT course, count(*) AS n, count(*) FILTER (permanence > ideal) AS late FROM placed
-        WHERE outcome = 'ATIVO' AND permanence > 9 GROUP BY 1 HAVING count(*) >= 5)
+        WHERE outcome = 'ATIVO' GROUP BY 1 HAVING count(*) >= 5)
       SELECT course, total, risk_index, coalesce(n, 0) AS actives_now, coalesce(late, 0) AS above_ideal_now,
         coalesce(round_even(late / n * 100 * 100, 0) / 100, 0) AS above_ideal_pct_now
       FROM retention LEFT JOIN a USING (course) WHERE course NOT IN ({", ".join(f"'{c}'" for c in D.TRUNK)})""")
@@ -132,7 +133,7 @@ def executive_view(t: Tables) -> DataFrame:
     cells = pinned(D.cube(t))
     placed = D.with_deadlines(cells).filter(F.col("ideal").isNotNull())
     table = score.risk_index(cohorts.outcome_metrics(cohorts.mature(placed, "entry_year", D.MATURITY, cells), "course"))
-    late = cells.filter((F.col("outcome") == "ATIVO") & (F.col("permanence") > 9))
+    late = cells.filter(F.col("outcome") == "ATIVO")
     actives = cohorts.active_snapshot(
         late.withColumn("terms", F.col("permanence")), cohorts.deadlines(cells, "course"), "course", ()
     ).withColumn("sk", natural_key(F.col("course")))
@@ -150,16 +151,45 @@ def guarded_refresh(t: Tables) -> DataFrame:
     return dimensional.guarded(metrics(t), t.orders, t.lineitem)
 
 
-@plan("bigint id person exit_year permanence; string course", "H10 H11",
-      f"""WITH {D.CURRICULA}, people AS (SELECT person, max(id) AS last FROM enrolments GROUP BY 1)
-      SELECT row_number() OVER (ORDER BY e.id) AS id, row_number() OVER (ORDER BY e.id) * 0 + e.person AS person, exit_year, permanence, course
-      FROM enrolments e JOIN people USING (person) JOIN curricula c USING (course) WHERE c.course NOT IN ({", ".join(f"'{c}'" for c in D.TRUNK)})""")
+@plan("string table id parent detail; bigint number", "H10 H11 C01 C18",
+      f"""WITH {_NAMED}, courses AS (SELECT DISTINCT coalesce(target, published) AS name, published FROM named n LEFT JOIN published p ON p.origin = n.published
+      ), canonical AS (SELECT DISTINCT name FROM courses WHERE name NOT LIKE 'PROGRAMA %'
+      ), structures AS (SELECT name, round_even(quantile_cont(permanence, 0.5) * 10, 0) / 10 AS ideal FROM named n JOIN courses c USING (published) JOIN canonical USING (name) GROUP BY 1
+      ), people AS (SELECT person, arg_max(area, id) AS area FROM named GROUP BY 1)
+      SELECT 'courses' AS "table", sha1(name) AS id, NULL AS parent, name AS detail, CASE WHEN name IN ('ENGENHARIA', 'MUSICA') THEN 1 ELSE 0 END AS number FROM canonical
+      UNION ALL SELECT 'structures', sha1(name), sha1(name), name, CAST(ideal * 10 AS BIGINT) FROM structures
+      UNION ALL SELECT 'people', sha1(person::VARCHAR), NULL, area, person FROM people
+      UNION ALL SELECT 'movements', sha1(id::VARCHAR), sha1(person::VARCHAR), sha1(name), permanence FROM named JOIN courses USING (published) JOIN canonical USING (name)
+      UNION ALL SELECT 'grants', sha1(id::VARCHAR), CASE WHEN name IN (SELECT name FROM canonical) THEN sha1(name) END, priority, entry_year
+        FROM named JOIN courses USING (published) WHERE priority IN ('1-URGENT', '2-HIGH')""")
 def normalise_3nf(t: Tables) -> DataFrame:
-    rows = D.enrolments(t)
-    people = resolve.latest_per_key(rows.select("person", "id"), "person", F.desc("id")).select("person")
-    curricula = cohorts.deadlines(cohorts.outcome_cube(rows, "course"), "course").filter(~F.col("course").isin(*D.TRUNK))
-    kept = rows.join(people, "person").join(curricula.select("course"), "course").withColumnRenamed("id", "source_id")
-    return resolve.stable_ids(kept.select("source_id", "person", "exit_year", "permanence", "course"), F.asc("source_id"))
+    """Five tables from flat rows, keys resolved by the published alias rules, ids by hash."""
+    rows, rules = pinned(named(t)), published_rules(t)
+    names = resolve.resolve(rows.select("published").distinct(), rules, "published", "origin", "target", "name")
+    catalogue = names.filter(~F.col("name").startswith("PROGRAMA ")).select("name").distinct()
+    courses = normalise.courses(catalogue, "name", {"trunk": F.col("name").isin("ENGENHARIA", "MUSICA")})
+    cells = resolve.resolve(cohorts.outcome_cube(rows, "published"), rules, "published", "origin", "target", "name")
+    structures = normalise.structures(cohorts.deadlines(cells, "name").join(catalogue, "name").select("name", "ideal"), courses, "name", ["ideal"])
+    people = normalise.people(rows, "person", ["area"], F.desc("id"))
+    moves = normalise.movements(rows, "id", people, "person", rules, "published", structures, "name", ["permanence"])
+    grants = normalise.grants(
+        rows.filter(F.col("priority").isin("1-URGENT", "2-HIGH")), "id", rules, "published", structures, "name", ["priority", "entry_year"]
+    )
+    none = F.lit(None).cast("string")
+    shapes = [
+        ("courses", courses, "course_id", none, F.col("name"), F.col("trunk").cast("bigint")),
+        ("structures", structures, "structure_id", F.col("course_id"), F.col("name"), (F.col("ideal") * 10).cast("bigint")),
+        ("people", people, "person_id", none, F.col("area"), F.col("person")),
+        ("movements", moves, "movement_id", F.col("person_id"), F.col("structure_id"), F.col("permanence").cast("bigint")),
+        ("grants", grants, "grant_id", F.col("structure_id"), F.col("priority"), F.col("entry_year").cast("bigint")),
+    ]
+    result = None
+    for label, df, id_, parent, detail, number in shapes:
+        part = df.select(
+            F.lit(label).alias("table"), F.col(id_).alias("id"), parent.alias("parent"), detail.alias("detail"), number.alias("number")
+        )
+        result = part if result is None else result.unionByName(part)
+    return result
 
 
 _SYNC = """t AS (SELECT p_partkey AS id, p_type AS kind, p_retailprice AS price FROM part WHERE p_type <> 'PROMO'

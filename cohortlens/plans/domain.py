@@ -98,57 +98,48 @@ CURRICULA = ENROLMENTS + """, curricula AS (
   FROM enrolments GROUP BY 1
 )"""
 
+# From the definitions: a mature cohort has had time to finish; shares of the deadlines have the graduates of known length below them.
 METRICS = CURRICULA + f""", placed AS (
   SELECT e.*, minimum, ideal, maximum FROM enrolments e LEFT JOIN curricula USING (course)
-), mature AS (
-  SELECT * FROM placed WHERE ideal IS NOT NULL
-    AND entry_year <= (SELECT max(entry_year) FROM enrolments) - {MATURITY}
-), counted AS (
-  SELECT course, min(minimum) AS minimum, min(ideal) AS ideal, min(maximum) AS maximum, count(*) AS total,
-         count(*) FILTER (outcome = 'FORMATURA') AS graduates, count(*) FILTER (outcome = 'EVASAO') AS dropouts,
-         count(*) FILTER (outcome = 'ATIVO') AS actives,
-         count(permanence) FILTER (outcome = 'FORMATURA') AS timed,
-         count(*) FILTER (outcome = 'FORMATURA' AND permanence <= minimum) AS n_min,
-         count(*) FILTER (outcome = 'FORMATURA' AND permanence <= ideal) AS n_in,
-         count(*) FILTER (outcome = 'FORMATURA' AND permanence > ideal) AS n_out,
-         count(*) FILTER (outcome = 'FORMATURA' AND permanence >= maximum) AS n_max,
-         avg(permanence) FILTER (outcome = 'FORMATURA') AS mean,
-         quantile_cont(permanence, 0.5) FILTER (outcome = 'FORMATURA') AS med,
-         avg(permanence - ideal) FILTER (outcome = 'FORMATURA') AS delay
-  FROM mature GROUP BY 1 HAVING count(*) >= 5
+), observed AS (
+  SELECT * FROM placed WHERE ideal IS NOT NULL AND entry_year + {MATURITY} <= (SELECT max(entry_year) FROM enrolments)
+), fates AS (
+  SELECT course, count(*) AS total, histogram(outcome) AS by_outcome, any_value(minimum) AS minimum, any_value(ideal) AS ideal,
+         any_value(maximum) AS maximum, coalesce(list(permanence) FILTER (outcome = 'FORMATURA' AND permanence IS NOT NULL), []) AS lengths
+  FROM observed GROUP BY course
+), reported AS (
+  SELECT *, len(lengths) AS finished, coalesce(by_outcome['FORMATURA'], 0) AS graduates, coalesce(by_outcome['EVASAO'], 0) AS dropouts,
+         coalesce(by_outcome['ATIVO'], 0) AS actives FROM fates WHERE total >= 5
 ), metrics AS (
   SELECT course, minimum, ideal, maximum, total, graduates, dropouts, actives,
-         round_even(graduates / total * 100 * 100, 0) / 100 AS graduation_pct,
-         round_even(dropouts / total * 100 * 100, 0) / 100 AS dropout_pct,
-         CASE WHEN timed > 0 THEN round_even(n_min / timed * 100 * 100, 0) / 100 ELSE 0 END AS within_minimum_pct,
-         CASE WHEN timed > 0 THEN round_even(n_in / timed * 100 * 100, 0) / 100 ELSE 0 END AS within_ideal_pct,
-         CASE WHEN timed > 0 THEN round_even(n_out / timed * 100 * 100, 0) / 100 ELSE 0 END AS above_ideal_pct,
-         CASE WHEN timed > 0 THEN round_even(n_max / timed * 100 * 100, 0) / 100 ELSE 0 END AS at_maximum_pct,
-         round_even(mean * 100, 0) / 100 AS mean_terms, round_even(med * 100, 0) / 100 AS median_terms,
-         round_even(delay * 100, 0) / 100 AS mean_delay
-  FROM counted
+         round_even(graduates / total * 100 * 100, 0) / 100 AS graduation_pct, round_even(dropouts / total * 100 * 100, 0) / 100 AS dropout_pct,
+         coalesce(round_even(len(list_filter(lengths, lambda x: x <= minimum)) / nullif(finished, 0) * 100 * 100, 0) / 100, 0) AS within_minimum_pct,
+         coalesce(round_even(len(list_filter(lengths, lambda x: x <= ideal)) / nullif(finished, 0) * 100 * 100, 0) / 100, 0) AS within_ideal_pct,
+         coalesce(round_even(len(list_filter(lengths, lambda x: x > ideal)) / nullif(finished, 0) * 100 * 100, 0) / 100, 0) AS above_ideal_pct,
+         coalesce(round_even(len(list_filter(lengths, lambda x: x >= maximum)) / nullif(finished, 0) * 100 * 100, 0) / 100, 0) AS at_maximum_pct,
+         round_even(list_avg(lengths) * 100, 0) / 100 AS mean_terms, round_even(list_median(lengths) * 100, 0) / 100 AS median_terms,
+         round_even(list_avg(list_transform(lengths, lambda x: x - ideal)) * 100, 0) / 100 AS mean_delay
+  FROM reported
 )"""
 
-RISK = METRICS + """, inputs AS (
-  SELECT course, greatest(coalesce(mean_delay, 0), 0) AS x_delay, coalesce(dropout_pct, 0) AS x_drop FROM metrics
-), limits AS (
-  SELECT quantile_cont(x_delay, 0.05) AS d05, quantile_cont(x_delay, 0.95) AS d95,
-         quantile_cont(x_drop, 0.05) AS e05, quantile_cont(x_drop, 0.95) AS e95 FROM inputs
-), clipped AS (
-  SELECT course, least(greatest(x_delay, d05), d95) AS s_delay, least(greatest(x_drop, e05), e95) AS s_drop
-  FROM inputs CROSS JOIN limits
+# Each factor is cut at its outer twentieths, stretched to 0..1 and weighted; the class counts the quartiles that an index reaches.
+RISK = METRICS + """, factors AS (
+  SELECT course, unnest(['delay', 'dropout']) AS factor, unnest([0.3::DOUBLE, 0.7::DOUBLE]) AS weight,
+         unnest([CASE WHEN mean_delay > 0 THEN mean_delay ELSE 0 END, coalesce(dropout_pct, 0)]) AS raw FROM metrics
+), bounds AS (
+  SELECT factor, quantile_cont(raw, [0.05, 0.95]) AS edge FROM factors GROUP BY factor
+), bounded AS (
+  SELECT course, factor, weight, CASE WHEN raw < edge[1] THEN edge[1] WHEN raw > edge[2] THEN edge[2] ELSE raw END AS cut FROM factors JOIN bounds USING (factor)
+), span AS (
+  SELECT factor, min(cut) AS lowest, max(cut) AS highest FROM bounded GROUP BY factor
 ), scored AS (
-  SELECT course, round_even((0.3::DOUBLE * ((s_delay - min(s_delay) OVER ()) / (max(s_delay) OVER () - min(s_delay) OVER () + 1e-6::DOUBLE))
-       + 0.7::DOUBLE * ((s_drop - min(s_drop) OVER ()) / (max(s_drop) OVER () - min(s_drop) OVER () + 1e-6::DOUBLE))) * 100 * 10, 0) / 10
-       AS risk_index
-  FROM clipped
-), cuts AS (
-  SELECT quantile_cont(risk_index, 0.25) AS q25, quantile_cont(risk_index, 0.5) AS q50,
-         quantile_cont(risk_index, 0.75) AS q75 FROM scored
+  SELECT course, round_even(sum(weight * ((cut - lowest) / (highest - lowest + 1e-6::DOUBLE))) * 100 * 10, 0) / 10 AS risk_index
+  FROM bounded JOIN span USING (factor) GROUP BY course
+), quartiles AS (
+  SELECT quantile_cont(risk_index, [0.25, 0.5, 0.75]) AS q FROM scored
 ), retention AS (
-  SELECT m.*, risk_index, CASE WHEN risk_index >= q75 THEN 'RETENÇÃO CRÍTICA' WHEN risk_index >= q50 THEN 'RETENÇÃO ALTA'
-         WHEN risk_index >= q25 THEN 'RETENÇÃO MÉDIA' ELSE 'RETENÇÃO BAIXA' END AS risk_class
-  FROM metrics m JOIN scored USING (course) CROSS JOIN cuts
+  SELECT m.*, risk_index, ['RETENÇÃO BAIXA', 'RETENÇÃO MÉDIA', 'RETENÇÃO ALTA', 'RETENÇÃO CRÍTICA'][1 + len(list_filter(q, lambda x: risk_index >= x))] AS risk_class
+  FROM metrics m JOIN scored USING (course), quartiles
 )"""
 
 

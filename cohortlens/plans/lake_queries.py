@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 
 from ..operators import ordering, programme
-from ..session import work_dir
+from ..session import pinned, work_dir
 from ..sources import contracts, lake, text
 
 from .registry import Tables, plan
@@ -103,28 +103,54 @@ def write_contract(t: Tables) -> DataFrame:
 @plan("bigint place orderkey; string customer_name", "A08 A09",
       """SELECT row_number() OVER (ORDER BY o_orderkey) AS place, o_orderkey AS orderkey, c_name AS customer_name FROM orders JOIN customer ON c_custkey = o_custkey""")
 def atomic_replace(t: Tables) -> DataFrame:
+    """Two tables replaced twice, one read back in its stored order, without the order column, and numbered as it comes."""
     store = lake.Lake(t.spark, work_dir(t.spark, "layer"))
     ordered = ordering.numbered(t.orders.select("o_orderkey", "o_custkey"), F.asc("o_orderkey"), name=lake.ORDER)
-    tables = {"orders": ordered, "customer": t.customer.select("c_custkey", "c_name")}
-    store.replace(tables)
-    # A second load of the layer replaces both tables in one commit.
-    store.replace(tables)
-    rows = store.read("orders").join(store.read("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return rows.select(F.col(lake.ORDER).alias("place"), F.col("o_orderkey").alias("orderkey"), F.col("c_name").alias("customer_name"))
+    for _ in range(2):
+        store.replace("orders", ordered)
+        store.replace("customer", t.customer.select("c_custkey", "c_name"))
+    # The rows come as one sorted sequence, so partition and place in it number them.
+    placed = pinned(lake.stored_order(store.read("orders")).withColumn("at", F.monotonically_increasing_id()))
+    rows = ordering.numbered(placed, F.asc("at"), name="place").drop("at")
+    names = store.read("customer")
+    return rows.join(names, F.col("o_custkey") == F.col("c_custkey")).select(
+        "place", F.col("o_orderkey").alias("orderkey"), F.col("c_name").alias("customer_name")
+    )
 
 
-@plan("string name sha256; bigint bytes bad_line; boolean valid_utf8", "A10",
-      """SELECT page_id::VARCHAR AS name, sha256(html) AS sha256, strlen(html) AS bytes, NULL AS bad_line, true AS valid_utf8 FROM pages""")
+@plan("string table name sha256; bigint bytes bad_line rows dropped; boolean valid_utf8", "A10",
+      """SELECT CASE WHEN page_id % 2 = 0 THEN 'even' ELSE 'odd' END AS "table", max(page_id)::VARCHAR AS name, arg_max(sha256(CASE WHEN page_id % 7 = 0
+          THEN encode(html) || '\\x0A\\xE1'::BLOB ELSE encode(html) END), page_id) AS sha256,
+        arg_max(strlen(html) + CASE WHEN page_id % 7 = 0 THEN 2 ELSE 0 END, page_id) AS bytes,
+        arg_max(CASE WHEN page_id % 7 = 0 THEN 2 + strlen(html) - strlen(replace(html, chr(10), '')) ELSE -1 END, page_id) AS bad_line,
+        (SELECT count(*) FROM orders WHERE o_totalprice >= 5000) AS rows, (SELECT count(*) FROM orders WHERE o_totalprice < 5000) AS dropped,
+        arg_max(page_id % 7 <> 0, page_id) AS valid_utf8 FROM pages GROUP BY 1""")
 def provenance(t: Tables) -> DataFrame:
-    return text.content_provenance(t.pages.withColumn("content", F.encode("html", "UTF-8")), "page_id", "content")
+    """Loads of two tables, every 7th with a broken byte in its last line: the ledger keeps the newest of each."""
+    content = F.encode("html", "UTF-8")
+    broken = F.when(F.col("page_id") % 7 == 0, F.concat(content, F.lit(bytearray(b"\n\xe1")))).otherwise(content)
+    found = text.content_provenance(t.pages.withColumn("content", broken), "page_id", "content")
+    counts = text.line_counts(_scan(t))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("name").cast("int"))
+    ledger = None
+    for name, part in (("even", found.filter(F.col("name").cast("bigint") % 2 == 0)), ("odd", found.filter(F.col("name").cast("bigint") % 2 == 1))):
+        record = text.ingestion_record(part, counts, name, "portal", F.col("name"), day)
+        ledger = record if ledger is None else ledger.unionByName(record)
+    kept = text.upsert_ingestions(ledger.filter(F.length("resource") < 2), ledger.filter(F.length("resource") >= 2))
+    return kept.withColumnRenamed("resource", "name").withColumn("bad_line", F.coalesce("bad_line", F.lit(-1)))
 
 
 @plan("bigint page_id; double value", "A11",
       """SELECT page_id, CASE WHEN html NOT LIKE '%lang="fr"%' THEN page_id * 7 + 1000.25 END AS value FROM pages""")
 def html_value(t: Tables) -> DataFrame:
+    """A row with the value, its letters as named, decimal and hexadecimal references in turn."""
     amount = F.col("page_id") * 7 + 1000.25
     shown = F.translate(F.format_number(amount, 2), ",.", ".,")
-    row = F.concat(F.lit("<tr><td>Inicia&ccedil;&atilde;o Cient&iacute;fica (PIBIC)</td>\n <td>IC -&nbsp;</td><td>"), shown, F.lit("</td></tr>"))
+    spelled = F.element_at(F.array(
+        F.lit("Inicia&ccedil;&atilde;o Cient&iacute;fica (PIBIC)</td>\n <td>IC -&nbsp;"), F.lit("Inicia&#231;&#227;o Cient&#237;fica IC&#32;-&#160;"),
+        F.lit("Inicia&#xE7;&#xe3;o Cient&#xed;fica IC&ensp;- "),
+    ), (F.col("page_id") % 3 + 1).cast("int"))
+    row = F.concat(F.lit("<tr><td>"), spelled, F.lit("</td><td>"), shown, F.lit("</td></tr>"))
     html = F.when(~F.col("html").contains('lang="fr"'), F.concat("html", row)).otherwise(F.col("html"))
     return t.pages.select("page_id", text.page_value(html).alias("value"))
 
@@ -146,27 +172,38 @@ def json_source(t: Tables) -> DataFrame:
     )
     # A published series has one entry per change, here one per year.
     rates.agg(F.to_json(F.struct(F.collect_list(F.struct("*")).alias("vigencias"))).alias("value")).write.text(path)
-    return text.json_series(t.spark, path, "vigencias", ["vigente_desde", "valor_mensal"])
+    return text.json_series(t.spark, path, "vigencias", {"vigente_desde": "string", "valor_mensal": "double"})
 
 
-def _windowed(t: Tables) -> DataFrame:
+def _windowed(t: Tables, width: int = 5) -> DataFrame:
     rows = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", F.year("o_orderdate").alias("entry_year"))
-    return lake.with_window(rows, "entry_year", "window")
+    return lake.with_window(rows, "entry_year", "window", width)
 
 
-@plan("bigint window rows; double amount", "A14 A15 B24",
-      """SELECT year(o_orderdate) - year(o_orderdate) % 5 AS window, count(*) AS rows, sum(CAST(o_totalprice AS DECIMAL(28,2))) * 2 AS amount
-      FROM orders WHERE year(o_orderdate) < 2000 GROUP BY 1""")
+@plan("bigint window rows files_kept; double amount", "A14 A15 B24",
+      """SELECT year(o_orderdate) - year(o_orderdate) % 2 AS window, count(*) AS rows,
+        sum(CAST(o_totalprice AS DECIMAL(28,2))) * CASE WHEN year(o_orderdate) - year(o_orderdate) % 2 = 1996 THEN 2 ELSE 1 END AS amount,
+        CASE WHEN year(o_orderdate) - year(o_orderdate) % 2 = 1996 THEN 0 ELSE 1 END AS files_kept
+      FROM orders WHERE year(o_orderdate) < 2000 GROUP BY year(o_orderdate) - year(o_orderdate) % 2""")
 def window_overwrite(t: Tables) -> DataFrame:
+    """The window 2000 lost all its rows, 1996 was revised; the others must keep their very files."""
     store = lake.Lake(t.spark, work_dir(t.spark, "lake"))
-    rows = _windowed(t)
-    store.replace({"enrolments": rows}, "window")
-    # The window 2000 lost all its rows; 1995 was revised.
+    rows = _windowed(t, 2)
+    store.replace("enrolments", rows, "window")
+
+    def files() -> DataFrame:
+        return store.read("enrolments").select("window", F.input_file_name().alias("file")).distinct()
+
+    before = pinned(files())
+    # Rows of all windows are offered with another amount: only the named windows may change.
     revised = rows.filter("entry_year < 2000").withColumn("o_totalprice", F.col("o_totalprice") * 2)
-    store.replace_windows("enrolments", revised, "window", [1995, 2000])
+    store.replace_windows("enrolments", revised, [1996, 2000])
+    kept = files().join(before.withColumn("old", F.lit(1)), ["window", "file"], "left").groupBy("window").agg(
+        F.min(F.coalesce("old", F.lit(0))).alias("files_kept")
+    )
     return store.read("enrolments").groupBy("window").agg(
         F.count("*").alias("rows"), F.sum(F.col("o_totalprice").cast("decimal(28,2)")).alias("amount")
-    )
+    ).join(kept, "window")
 
 
 @plan("bigint window rows_written", "A16 A17",
@@ -174,32 +211,47 @@ def window_overwrite(t: Tables) -> DataFrame:
 def changed_windows(t: Tables) -> DataFrame:
     store = lake.Lake(t.spark, work_dir(t.spark, "lake"))
     rows = _windowed(t)
-    store.export({"enrolments": (rows, "window"), "nation": (t.nation, None)})
+    store.export_changed({"enrolments": (rows, "window"), "nation": (t.nation, None)})
     newest = rows.agg(F.max("o_orderkey")).scalar()
     late = (F.col("entry_year") >= 2000) & (F.col("o_orderkey") > newest - 1000)
     revised = rows.withColumn("o_orderstatus", F.when(late, "F").otherwise(F.col("o_orderstatus")))
-    before = store.read("enrolments")
-    changed = lake.window_differences(revised, before, "window")
-    written = store.export({"enrolments": (revised, "window"), "nation": (t.nation, None)}, only_changed=True)
+    changed = pinned(lake.window_differences(revised, store.read("enrolments").select(*revised.columns), "window"))
+    written = store.export_changed({"enrolments": (revised, "window"), "nation": (t.nation, None)})
     return changed.withColumn("rows_written", F.lit(written["enrolments"] + written["nation"]))
 
 
-@plan("string table sort_key record", "A18",
-      """SELECT 'nation' AS "table", lpad(n_nationkey::VARCHAR, 6, '0') AS sort_key,
+@plan("string table sort_key record; bigint place", "A18",
+      """SELECT 1 AS place, 'nation' AS "table", lpad(n_nationkey::VARCHAR, 6, '0') AS sort_key,
         '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS record FROM nation
-      UNION ALL SELECT 'customer', lpad(c_custkey::VARCHAR, 12, '0'), '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}' FROM customer""")
+      UNION ALL SELECT 2, 'customer', lpad(c_custkey::VARCHAR, 12, '0'), '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}' FROM customer
+      UNION ALL SELECT 3, 'reports', 'orders', '{"name":"orders","content":"{\\"rows\\":' || count(*) || '}"}' FROM orders
+      UNION ALL SELECT 4, 'freshness', 'processing', '{"check":"processing","age_days":2.5,"inside":true}'""")
 def json_snapshot(t: Tables) -> DataFrame:
+    """Tables in their order, then the reports, then the freshness."""
+    from ..functions.records import json_record
+    from ..operators import quality
+
+    def moment(text_: str):
+        return F.lit(text_).cast("timestamp_ntz").cast("timestamp")
+
+    reports = t.orders.agg(F.count("*").alias("rows")).select(F.lit("orders").alias("name"), json_record(F.col("rows")).alias("content"))
+    none = t.events.select(F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("published")).limit(0)
+    fresh = quality.freshness(none, moment("2024-01-01"), moment("2024-01-03 12:00:00"))
     return lake.json_snapshot({
         "nation": (t.nation, [F.lpad(F.col("n_nationkey").cast("string"), 6, "0")]),
         "customer": (t.customer.select("c_custkey", "c_mktsegment"), [F.lpad(F.col("c_custkey").cast("string"), 12, "0")]),
+        "reports": (reports, [F.col("name")]),
+        "freshness": (fresh.select("check", "age_days", "inside"), [F.col("check")]),
     })
 
 
-@plan("string status; bigint rows", "A19", "SELECT o_orderstatus AS status, count(*) AS rows FROM orders GROUP BY 1")
+@plan("string status; bigint rows", "A19", "SELECT o_orderstatus AS status, 2 * count(*) AS rows FROM orders GROUP BY 1")
 def compaction(t: Tables) -> DataFrame:
+    """A second load appended to the first, so that every window has files of both; then one file set."""
     store = lake.Lake(t.spark, work_dir(t.spark, "lake"))
-    store.replace({"enrolments": _windowed(t).repartition(24)}, "window")
-    store.compact("enrolments", "window")
+    store.replace("enrolments", _windowed(t), "window")
+    store.append("enrolments", _windowed(t).repartition("o_orderkey"))
+    store.compact("enrolments")
     return store.read("enrolments").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("rows"))
 
 
@@ -223,7 +275,7 @@ def report_upsert(t: Tables) -> DataFrame:
       "SELECT count(*) AS rows, true AS same, true AS differs FROM lineitem")
 def fingerprint(t: Tables) -> DataFrame:
     rows = lake.fingerprint(t.lineitem)
-    moved = lake.fingerprint(t.lineitem.repartition(13, "l_partkey")).select("fingerprint").scalar()
+    moved = lake.fingerprint(t.lineitem.repartition("l_partkey")).select("fingerprint").scalar()
     other = lake.fingerprint(t.lineitem.withColumn("l_tax", F.col("l_tax") + 0.0001)).select("fingerprint").scalar()
     return rows.select("rows", (F.col("fingerprint") == moved).alias("same"), (F.col("fingerprint") != other).alias("differs"))
 

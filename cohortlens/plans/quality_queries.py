@@ -8,6 +8,7 @@ from ..functions.numbers import half_even
 from ..functions.periods import day_month_year
 from ..operators import ordering, privacy, quality
 from ..operators.quality import Rule
+from ..session import pinned
 from . import domain as D
 from .cohort_queries import metrics
 from .join_queries import _RULES_SQL, _TRUNK_SQL, known_curricula, resolved
@@ -68,14 +69,14 @@ def outcome_bands(t: Tables) -> DataFrame:
 
 
 @plan("bigint suppkey missing_year before after", "K07 C06 C12",
-      """WITH c AS (SELECT l_suppkey AS suppkey, year(l_shipdate) AS y, count(*) AS n FROM lineitem WHERE l_quantity = 50 GROUP BY ALL
+      """WITH c AS (SELECT l_suppkey AS suppkey, year(l_shipdate) AS y, count(*) AS n FROM lineitem WHERE NOT (l_suppkey = 7 AND year(l_shipdate) = 1997) GROUP BY ALL
       ), last AS (SELECT max(y) AS y FROM c)
       SELECT a.suppkey, a.y + 1 AS missing_year, a.n AS before, b.n AS after FROM c a JOIN c b ON b.suppkey = a.suppkey AND b.y = a.y + 2
-      WHERE a.n >= 2 AND b.n >= 2 AND b.y < (SELECT y FROM last) AND NOT EXISTS (SELECT 1 FROM c m WHERE m.suppkey = a.suppkey AND m.y = a.y + 1)""")
+      WHERE a.n >= 60 AND b.n >= 60 AND b.y < (SELECT y FROM last) AND NOT EXISTS (SELECT 1 FROM c m WHERE m.suppkey = a.suppkey AND m.y = a.y + 1)""")
 def vanishing_key(t: Tables) -> DataFrame:
-    full = t.lineitem.filter("l_quantity = 50")
-    rows = full.select(F.col("l_suppkey").alias("suppkey"), F.year("l_shipdate").alias("year"))
-    return quality.vanishing_keys(rows, "suppkey", "year", 2)
+    """All lines; the fault put in is that one supplier has none in one year."""
+    rows = t.lineitem.select(F.col("l_suppkey").alias("suppkey"), F.year("l_shipdate").alias("year"))
+    return quality.vanishing_keys(rows.filter("NOT (suppkey = 7 AND year = 1997)"), "suppkey", "year", 60)
 
 
 @plan("double median; boolean inside", "K08",
@@ -149,33 +150,113 @@ def restricted_empty(t: Tables) -> DataFrame:
     return rows.withColumn("verdict", quality.verdict(rows, ["OK"]).scalar())
 
 
-@plan("string mutation tripped; bigint failures", "K15")
+_CLEAN = """SELECT o_orderkey AS id, o_custkey AS person, o_orderstatus AS status, o_orderpriority AS kind, year(o_orderdate) AS year,
+  year(o_orderdate) + o_orderkey % 5 AS exit_year, o_orderkey % 9 + 1 AS terms FROM orders"""
+# name: (columns that change, filter, rows added), in SQL that both sides read
+_FAULTS = {
+    "none": ({}, "true", False),
+    "half the rows are missing": ({}, "id % 2 = 1", False),
+    "a row comes twice": ({}, "true", True),
+    "people unknown": ({"person": "CASE WHEN id = first THEN person END"}, "true", False),
+    "an unknown status": ({"status": "CASE WHEN id = first THEN 'X' ELSE status END"}, "true", False),
+    "a year out of range": ({"year": "CASE WHEN id = first THEN 1900 ELSE year END"}, "true", False),
+    "an unknown person": ({"person": "CASE WHEN id = first THEN -1 ELSE person END"}, "true", False),
+    "a cohort halved": ({}, "year <> 1998 OR id % 2 = 1", False),
+    "dropouts of a cohort renamed": ({"status": "CASE WHEN status = 'P' AND year = 1997 THEN 'O' ELSE status END"}, "true", False),
+    "a kind vanishes from a cohort": ({}, "NOT (kind = '5-LOW' AND year = 1998)", False),
+    "negative permanence": ({"terms": "CASE WHEN id = first THEN -3 ELSE terms END"}, "true", False),
+    "exit before entry": ({"exit_year": "CASE WHEN id = first THEN year - 2 ELSE exit_year END"}, "true", False),
+    "graduates counted as dropouts": ({"status": "CASE WHEN status = 'F' THEN 'P' ELSE status END"}, "true", False),
+}
+_COLUMNS = ("id", "person", "status", "kind", "year", "exit_year", "terms")
+
+
+def _matrix_sql() -> str:
+    """Every fault's table, and every check on all of them at once."""
+    tables = []
+    for name, (changes, kept, doubled) in _FAULTS.items():
+        columns = ", ".join(f"{changes.get(c, c)} AS {c}" for c in _COLUMNS)
+        tables.append(f"SELECT '{name}' AS fault, {columns} FROM firsts WHERE {kept}" + (f" UNION ALL SELECT '{name}', {columns} FROM firsts WHERE id = first" if doubled else ""))
+    return f"""WITH clean AS ({_CLEAN}), firsts AS (SELECT *, (SELECT min(id) FROM clean) AS first FROM clean), faulty AS ({" UNION ALL ".join(tables)}
+      ), last AS (SELECT fault, max(year) AS y, count(*) AS n FROM faulty GROUP BY 1
+      ), cohort AS (SELECT fault, year, count(*) AS n, 100.0::DOUBLE * count(*) FILTER (status = 'F') / count(*) AS f, 100.0::DOUBLE * count(*) FILTER (status = 'P') / count(*) AS p
+        FROM faulty JOIN last USING (fault) WHERE year < y AND year > 1900 GROUP BY ALL
+      ), kinds AS (SELECT fault, kind, year, count(*) AS n FROM faulty GROUP BY ALL
+      ), shares AS (SELECT fault, person, 100.0::DOUBLE * count(*) FILTER (status = 'P') / count(*) AS p FROM faulty WHERE person IS NOT NULL GROUP BY ALL
+      ), found AS (
+        SELECT fault, 'volume' AS tripped, CASE WHEN n BETWEEN 0.9 * (SELECT count(*) FROM clean) AND 1.1 * (SELECT count(*) FROM clean) THEN 0 ELSE 1 END AS failures FROM last
+        UNION ALL SELECT fault, 'unique:id', count(*) FROM (SELECT fault, id FROM faulty GROUP BY ALL HAVING count(*) > 1) GROUP BY 1
+        UNION ALL SELECT fault, 'not_null:person', count(*) FROM faulty WHERE person IS NULL GROUP BY 1
+        UNION ALL SELECT fault, 'accepted:status', count(*) FROM faulty WHERE status NOT IN ('F', 'O', 'P') GROUP BY 1
+        UNION ALL SELECT fault, 'range:year', count(*) FROM faulty WHERE year NOT BETWEEN 1962 AND 2100 GROUP BY 1
+        UNION ALL SELECT fault, 'range:terms', count(*) FROM faulty WHERE terms NOT BETWEEN 1 AND 35 GROUP BY 1
+        UNION ALL SELECT fault, 'related:person', count(*) FROM faulty WHERE person NOT IN (SELECT c_custkey FROM customer) GROUP BY 1
+        UNION ALL SELECT fault, 'series', count(*) FROM (SELECT fault, n, lag(n) OVER (PARTITION BY fault ORDER BY year) AS b FROM cohort) WHERE abs(n - b) > 0.3 * b GROUP BY 1
+        UNION ALL SELECT fault, 'bands', count(*) FROM cohort WHERE NOT (f BETWEEN 15 AND 55 AND p BETWEEN 15 AND 55) GROUP BY 1
+        UNION ALL SELECT a.fault, 'vanishing', count(*) FROM kinds a JOIN kinds b ON b.fault = a.fault AND b.kind = a.kind AND b.year = a.year + 2 JOIN last l ON l.fault = a.fault
+          WHERE b.year < l.y AND a.n >= 15 AND b.n >= 15 AND NOT EXISTS (SELECT 1 FROM kinds m WHERE m.fault = a.fault AND m.kind = a.kind AND m.year = a.year + 1) GROUP BY 1
+        UNION ALL SELECT fault, 'median', CASE WHEN quantile_cont(p, 0.5) BETWEEN 15 AND 55 THEN 0 ELSE 1 END FROM shares GROUP BY 1
+        UNION ALL SELECT fault, 'domain:exit', count(*) FROM faulty WHERE exit_year < year GROUP BY 1
+        UNION ALL SELECT fault, 'schema', 0 FROM last UNION ALL SELECT 'a column changes its type', 'schema', 1)
+      SELECT fault AS mutation, tripped, failures FROM found WHERE failures > 0"""
+
+
+@plan("string mutation tripped; bigint failures", "K01 K02 K03 K04 K05 K06 K07 K08 K09 K15", _matrix_sql())
 def bad_data_matrix(t: Tables) -> DataFrame:
-    """Each mutation of the orders must trip exactly its check."""
+    """Each fault put into the orders, and the checks that it trips."""
     clean = t.orders.select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("person"), F.col("o_orderstatus").alias("status"),
-        F.year("o_orderdate").alias("year"),
-    )
-    first = F.col("id") == clean.agg(F.min("id")).scalar()
-    mutations = {
-        "none": clean,
-        "duplicate": clean.unionByName(clean.filter(first)),
-        "null_person": clean.withColumn("person", F.when(~first, F.col("person"))),
-        "unknown_status": clean.withColumn("status", F.when(first, "X").otherwise(F.col("status"))),
-        "year_out_of_range": clean.withColumn("year", F.when(first, 1900).otherwise(F.col("year"))),
-        "orphan": clean.withColumn("person", F.when(first, -1).otherwise(F.col("person"))),
-    }
+        F.col("o_orderpriority").alias("kind"), F.year("o_orderdate").alias("year"),
+    ).withColumns({"exit_year": F.expr("year + id % 5"), "terms": F.expr("id % 9 + 1")})
+    clean = pinned(clean)
+    size, first = clean.agg(F.count("*"), F.min("id")).first()
+    schema, people = clean.schema, t.customer
     rules = [
-        Rule("unique", "id"), Rule("not_null", "person"), Rule("accepted", "status", ("F", "O", "P")),
-        Rule("range", "year", (1962, 2100)), Rule("related", "person", table=t.customer, target="c_custkey"),
+        Rule("unique", "id"), Rule("not_null", "person"), Rule("accepted", "status", ("F", "O", "P")), Rule("range", "year", (1962, 2100)),
+        Rule("range", "terms", (1, 35)), Rule("related", "person", table=people, target="c_custkey"),
     ]
-    result = None
-    for name, df in mutations.items():
-        failed = quality.column_checks(df, rules).filter("failures > 0").select(
-            F.lit(name).alias("mutation"), F.col("check").alias("tripped"), "failures"
-        )
-        result = failed if result is None else result.unionByName(failed)
-    return result
+
+    def one(name: str, check: str, failures) -> DataFrame:
+        return t.spark.range(1).select(F.lit(name).alias("mutation"), F.lit(check).alias("tripped"), failures.cast("bigint").alias("failures"))
+
+    def checked(name: str, df: DataFrame) -> list[DataFrame]:
+        last = df.agg(F.max("year")).scalar()
+        cohorts_ = df.filter((F.col("year") < last) & (F.col("year") > 1900))
+        counts = cohorts_.groupBy("year").agg(F.count("*").alias("n"))
+        bands = quality.outcome_shares(cohorts_.withColumnRenamed("status", "outcome"), "year", {"F": (15, 55), "P": (15, 55)})
+        share = df.filter("person IS NOT NULL").groupBy("person").agg((F.count_if(F.col("status") == "P") * 100.0 / F.count("*")).alias("p"))
+        parts = {
+            "volume": quality.volume(df, -(-9 * size // 10), 11 * size // 10).filter("NOT inside"),
+            "series": quality.series_jumps(counts, "year", "n"),
+            "bands": bands.filter("NOT inside"),
+            "vanishing": quality.vanishing_keys(df, "kind", "year", 15),
+            "median": share.agg(F.percentile("p", 0.5).alias("m")).filter("NOT m BETWEEN 15 AND 55"),
+            "domain:exit": df.filter("exit_year < year"),
+        }
+        found = [quality.column_checks(df, rules).select(F.lit(name).alias("mutation"), F.col("check").alias("tripped"), "failures")]
+        return found + [
+            part.agg(F.count("*").alias("failures")).select(F.lit(name).alias("mutation"), F.lit(check).alias("tripped"), "failures")
+            for check, part in parts.items()
+        ]
+
+    found = []
+    firsts = clean.withColumn("first", F.lit(first))
+    for name, (changes, kept, doubled) in _FAULTS.items():
+        def changed(rows: DataFrame) -> DataFrame:
+            return rows.select(*[F.expr(changes.get(c, c)).cast(schema[c].dataType).alias(c) for c in _COLUMNS])
+
+        rows = changed(firsts.filter(kept))
+        df = rows.unionByName(changed(firsts.filter("id = first"))) if doubled else rows
+        quality.assert_schema(df, schema)
+        found += checked(name, df)
+    try:
+        quality.assert_schema(clean.withColumn("terms", F.col("terms").cast("decimal(10,1)")), schema)
+    except quality.SchemaMismatch:
+        found.append(one("a column changes its type", "schema", F.lit(1)))
+    result = found[0]
+    for part in found[1:]:
+        result = result.unionByName(part)
+    return result.filter("failures > 0")
 
 
 @plan("string column; bigint rows first_row", "K16",
@@ -192,7 +273,7 @@ def literal_nulls(t: Tables) -> DataFrame:
 
 
 @plan("bigint orderkey; string day", "K17",
-      """SELECT o_orderkey AS orderkey, strftime(o_orderdate, '%d/%m/%Y') AS day FROM orders WHERE CAST(o_orderdate AS DATE) > DATE '2001-06-30' ORDER BY o_orderkey LIMIT 5""")
+      """SELECT o_orderkey AS orderkey, strftime(o_orderdate, '%d/%m/%Y') AS day FROM orders WHERE CAST(o_orderdate AS DATE) > DATE '2001-06-30'""")
 def future_dates(t: Tables) -> DataFrame:
     rows = t.orders.select(F.col("o_orderkey").alias("orderkey"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"))
     return quality.future_dates(rows, day_month_year(F.col("day")), F.lit("2001-06-30").cast("date"), "orderkey")

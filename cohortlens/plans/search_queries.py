@@ -12,7 +12,7 @@ from ..functions.numbers import half_even
 from ..functions.records import content_hash, json_record, sha1_key
 
 from ..operators import search
-from ..operators.search import Query
+from ..operators.ordering import literal_table
 from ..session import pinned
 from . import domain as D
 from .cohort_queries import retention
@@ -34,26 +34,24 @@ STOP = ("the", "and", "to", "in", "la", "des", "et", "en", "was", "no")
 NONSENSE = 4
 
 
-def queries(t: Tables) -> list[Query]:
-    """One query per label: a fixed text and the mean vector of the label (ten vectors, whatever the table size)."""
+def texts(t: Tables) -> DataFrame:
+    """The texts of the queries, without vectors."""
+    return literal_table(t.spark, "query_id bigint, text string", list(enumerate(TEXTS)))
+
+
+def queries(t: Tables) -> DataFrame:
+    """One query per label: a fixed text and the mean vector of the label."""
     parts = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x"))
     means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    rows = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v")).collect()
-    vectors = {r["label"]: tuple(e["m"] for e in r["v"]) for r in rows}
-    return [Query(i, text, () if i == NONSENSE else vectors.get(i, ())) for i, text in enumerate(TEXTS)]
+    rows = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("vector"))
+    asked = texts(t).join(rows, F.col("query_id") == F.col("label"), "left").drop("label")
+    return pinned(asked.withColumn("vector", F.when(F.col("query_id") != NONSENSE, F.col("vector"))))
 
 
 def title():
     return F.regexp_extract("text", r"^([^.\n]*)", 1)
 
 
-def corpus(t: Tables) -> DataFrame:
-    vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
-    return t.documents.select("doc_id", "source", "text", title().alias("title")).join(
-        vectors, "doc_id", "left"
-    )
-
-
 _CENTROIDS = f"""parts AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings
 ), means AS (SELECT label, i, avg(x::DOUBLE) AS m FROM parts GROUP BY ALL
 ), centroids AS (SELECT label AS query_id, list(m ORDER BY i) AS c FROM means WHERE label <> {NONSENSE} GROUP BY 1
@@ -62,22 +60,19 @@ _CENTROIDS = f"""parts AS (SELECT label, unnest(embedding) AS x, generate_subscr
 ), vectors AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS position FROM scored QUALIFY position <= 30)"""
 
 
-def _terms_sql() -> str:
-    rows = []
-    for i, text in enumerate(TEXTS):
-        terms = search.query_terms(text, STOP)
-        listed = ", ".join(f"'{w}'" for w in terms)
-        rows.append(f"({i}, [{listed}], {search.needed_terms(len(terms))})")
-    return ", ".join(rows)
+_ASKED = "VALUES " + ", ".join(f"({i}, '{text}')" for i, text in enumerate(TEXTS))
+_STOPS = ", ".join(f"'{w}'" for w in STOP)
 
 
 _WORDS = r"string_split_regex(lower(strip_accents({0})), '[^\p{{L}}\p{{N}}]+')"
-_COVERAGE = f"""asked(query_id, terms, needed) AS (VALUES {_terms_sql()}
+_COVERAGE = f"""texts_asked(query_id, text) AS ({_ASKED}
+), terms_asked AS (SELECT query_id, list_filter(list_distinct({_WORDS.format("text")}), lambda w: w <> '' AND w NOT IN ({_STOPS})) AS terms FROM texts_asked
+), asked AS (SELECT query_id, terms, greatest(1, ceil(len(terms) * 0.5)) AS needed FROM terms_asked WHERE len(terms) > 0
 ), words AS (SELECT doc_id AS id, {_WORDS.format("text")} AS w FROM documents
 ), covered AS (SELECT query_id, id, len(list_intersect(list_distinct(w), terms)) AS covered, len(list_filter(w, lambda x: list_contains(terms, x))) AS hits, needed
   FROM words CROSS JOIN asked
 ), texts AS (SELECT query_id, id, covered, hits, row_number() OVER (PARTITION BY query_id ORDER BY covered DESC, hits DESC, id) AS position
-  FROM covered WHERE covered >= needed QUALIFY position <= 30)"""
+  FROM covered WHERE covered >= needed)"""
 
 
 def _grams(text: str, fold: bool = False) -> str:
@@ -88,15 +83,8 @@ def _grams(text: str, fold: bool = False) -> str:
     )
 
 
-def _texts_sql() -> str:
-    forms = []
-    for i, text in enumerate(TEXTS):
-        for form in dict.fromkeys([text, search._unaccented(text)]):
-            forms.append(f"({i}, '{form}')")
-    return ", ".join(forms)
-
-
-_TITLES = f"""forms(query_id, form) AS (VALUES {_texts_sql()}
+_TITLES = f"""spelled(query_id, text) AS ({_ASKED}
+), forms AS (SELECT query_id, text AS form FROM spelled UNION SELECT query_id, strip_accents(text) FROM spelled
 ), f AS (SELECT query_id, form, list_distinct({_grams("form")}) AS q FROM forms
 ), t AS (SELECT doc_id AS id, regexp_extract(text, '^([^.\\n]*)', 1) AS title, {_grams("regexp_extract(text, '^([^.\\n]*)', 1)")} AS g FROM documents
 ), bounded AS (SELECT * FROM t CROSS JOIN f WHERE len(list_intersect(q, list_distinct(g))) / len(q) >= 0.8
@@ -106,22 +94,22 @@ _TITLES = f"""forms(query_id, form) AS (VALUES {_texts_sql()}
 ), sims AS (SELECT query_id, id, inside, len(list_intersect(list_distinct(g[a:b]), q)) AS s, len(list_distinct(g[a:b])) AS n, len(q) AS m FROM ends
 ), best AS (SELECT query_id, id, bool_or(inside) AS contains, max(s / (m + n - s)) AS similarity FROM sims GROUP BY ALL
 ), titles AS (SELECT *, contains OR similarity >= 0.99 AS exact, row_number() OVER (PARTITION BY query_id ORDER BY contains DESC, similarity DESC, id) AS position
-  FROM best WHERE similarity >= 0.8 QUALIFY position <= 30)"""
+  FROM best WHERE similarity >= 0.8)"""
 
 _FUSED = f"""{_CENTROIDS}, {_COVERAGE}, {_TITLES}, held AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS position
   FROM scored WHERE id IN (SELECT doc_id FROM documents) QUALIFY position <= 30
 ), lists AS (
-  SELECT query_id, id, 1.0::DOUBLE / (60 + position) AS score, similarity >= 0.55 AS strong, similarity >= 0.45 AS near, false AS exact FROM held
-  UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + position), true, false, false FROM texts
-  UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + position), true, false, exact FROM titles
+  SELECT query_id, id, 1.0::DOUBLE / (60 + position) AS score, similarity >= 0.55 AS strong, similarity >= 0.45 AS near, false AS exact, similarity FROM held
+  UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + position), true, false, false, 0 FROM texts
+  UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + position), true, false, exact, 0 FROM titles
 ), fused AS (SELECT query_id, id, sum(CAST(score AS DECIMAL(20,15)))::DOUBLE + CASE WHEN bool_or(exact) THEN 1.0::DOUBLE / 61 ELSE 0 END AS relevance,
-    bool_or(strong) AS strong, bool_or(near) AS near FROM lists GROUP BY ALL
-), gated AS (SELECT query_id, id, round_even(relevance * 1e9, 0) / 1e9 AS relevance FROM fused JOIN (SELECT query_id, bool_or(strong) AS evidence FROM fused GROUP BY 1) USING (query_id)
-  WHERE strong OR (near AND evidence)
-), one AS (SELECT g.*, source FROM gated g JOIN documents d ON d.doc_id = g.id
-  QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY relevance DESC, id) = 1
-), hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) AS position FROM one QUALIFY position <= 5)"""
+    bool_or(strong) AS strong, bool_or(near) AS near, max(similarity) AS similarity FROM lists GROUP BY ALL
+), gated AS (SELECT query_id, id, round_even(relevance * 1e9, 0) / 1e9 AS relevance, similarity
+  FROM fused JOIN (SELECT query_id, bool_or(strong) AS evidence FROM fused GROUP BY 1) USING (query_id) WHERE strong OR (near AND evidence)
+), one AS (SELECT g.*, CASE WHEN doc_id % 3 <> 0 THEN source END AS file FROM gated g JOIN documents d ON d.doc_id = g.id
+  QUALIFY row_number() OVER (PARTITION BY query_id, coalesce(file, id::VARCHAR) ORDER BY relevance DESC, similarity DESC, id) = 1
+), hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, similarity DESC, id) AS position FROM one QUALIFY position <= 5)"""
 
 
 @plan("string kind key title content", "J01 J02",
@@ -161,7 +149,35 @@ def section_split(t: Tables) -> DataFrame:
     return parts.select("doc_id", "section", F.length("body").alias("chars"), "section_title")
 
 
-@plan("bigint doc_id section chunk; string section_title content", "J03 J04 J05")
+# A block longer than 500 characters step by step, then blocks and pieces packed one after the other.
+_CHUNKS = r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents
+), s AS (SELECT doc_id, i // 4 + 1 AS section, string_agg(line, chr(10) ORDER BY i) FILTER (i % 4 <> 0) AS body, trim(min(line) FILTER (i % 4 = 0)) AS section_title FROM l GROUP BY ALL
+), u AS (SELECT doc_id, section, string_split_regex(replace(body, chr(10) || '|', chr(10) || chr(10) || '|'), '\n\s*\n') AS parts FROM s WHERE body IS NOT NULL
+), e AS (SELECT doc_id, section, generate_subscripts(parts, 1) AS b, regexp_replace(unnest(parts), '^\s+|\s+$', '', 'g') AS block FROM u
+), p AS (
+  SELECT doc_id, section, b, block, 0 AS start, 0 AS k FROM e WHERE block <> ''
+  UNION ALL
+  SELECT doc_id, section, b, block, begun + length(substr(block, begun + 1)) - length(ltrim(substr(block, begun + 1), ' ' || chr(9) || chr(10) || chr(13))), k + 1 FROM (
+    SELECT *, CASE WHEN again > 0 AND low + again - 1 > start THEN low + again - 1 ELSE cut END AS begun FROM (
+      SELECT *, instr(substr(block, low + 1, cut - low), ' ') AS again FROM (
+        SELECT *, greatest(cut - 80, start) AS low FROM (
+          SELECT *, CASE WHEN space > 0 THEN start + 500 - space ELSE start + 500 END AS cut FROM (
+            SELECT *, instr(reverse(substr(block, start + 251, 250)), ' ') AS space FROM p WHERE length(block) - start > 500)))))
+), c AS (SELECT *, CASE WHEN length(block) - start > 500 THEN instr(reverse(substr(block, start + 251, 250)), ' ') END AS space FROM p
+), items AS (SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id, section ORDER BY b, k) AS i, length(block) > 500 AS alone,
+    trim(CASE WHEN space IS NULL THEN substr(block, start + 1) WHEN space > 0 THEN substr(block, start + 1, 500 - space) ELSE substr(block, start + 1, 500) END,
+      ' ' || chr(9) || chr(10) || chr(13)) AS piece FROM c
+), g AS (
+  SELECT doc_id, section, i, piece, length(piece) AS size, 0 AS chunk FROM items WHERE i = 1
+  UNION ALL
+  SELECT n.doc_id, n.section, n.i, n.piece, CASE WHEN NOT n.alone AND g.size + 1 + length(n.piece) <= 500 THEN g.size + 1 + length(n.piece) ELSE length(n.piece) END,
+    g.chunk + CASE WHEN NOT n.alone AND g.size + 1 + length(n.piece) <= 500 THEN 0 ELSE 1 END
+  FROM g JOIN items n ON n.doc_id = g.doc_id AND n.section = g.section AND n.i = g.i + 1
+), t AS (SELECT doc_id, section, chunk, section_title || chr(10) || string_agg(piece, chr(10) ORDER BY i) AS content, section_title FROM g JOIN s USING (doc_id, section) GROUP BY doc_id, section, chunk, section_title)
+SELECT doc_id, section, chunk, section_title, content FROM t WHERE length(regexp_replace(content, '[^\p{L}]', '', 'g')) / length(content) >= 0.4"""
+
+
+@plan("bigint doc_id section chunk; string section_title content", "J03 J04 J05", _CHUNKS)
 def chunk_documents(t: Tables) -> DataFrame:
     parts = search.sections(_markdown(t), "doc_id", "text", F.col("source"))
     rows = search.chunks(parts, "body")
@@ -202,33 +218,33 @@ def vector_topk(t: Tables) -> DataFrame:
 
 @plan("bigint query_id id covered hits position", "J09", f"WITH {_COVERAGE} SELECT query_id, id, covered, hits, position FROM texts")
 def coverage_match(t: Tables) -> DataFrame:
-    asked = [Query(i, text) for i, text in enumerate(TEXTS)]
-    return search.coverage_candidates(t.documents, asked, "doc_id", F.col("text"), STOP)
+    return search.coverage_candidates(t.documents, texts(t), "doc_id", F.col("text"), STOP)
 
 
 @plan("bigint query_id id position; double similarity; boolean contains exact", "J10",
       f"WITH {_TITLES} SELECT query_id, id, position, round_even(similarity * 1e9, 0) / 1e9 AS similarity, contains, exact FROM titles")
 def trigram_title(t: Tables) -> DataFrame:
-    asked = [Query(i, text) for i, text in enumerate(TEXTS)]
-    found = search.title_candidates(t.documents, asked, "doc_id", title())
+    found = search.title_candidates(t.documents, texts(t), "doc_id", title())
     return found.withColumn("similarity", half_even(F.col("similarity"), 9))
 
 
-def hits(t: Tables) -> DataFrame:
-    asked, rows = queries(t), corpus(t)
+def hits(t: Tables, asked: DataFrame) -> DataFrame:
+    """Every third document has no file. Titles and files come from one written table, texts from the documents."""
+    file = F.when(F.col("doc_id") % 3 != 0, F.col("source"))
+    short = pinned(t.documents.select("doc_id", file.alias("file"), title().alias("title")))
+    vectors = t.embeddings.join(short.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     fused = search.fuse(
-        search.vector_candidates(rows, asked, "doc_id", "embedding"),
-        search.title_candidates(rows, asked, "doc_id", F.col("title")),
-        search.coverage_candidates(rows, asked, "doc_id", F.col("text"), STOP),
+        search.vector_candidates(vectors, asked, "vec_id", "embedding"),
+        search.title_candidates(short, asked, "doc_id", F.col("title")),
+        search.coverage_candidates(t.documents, asked, "doc_id", F.col("text"), STOP),
     ).withColumn("relevance", half_even(F.col("relevance"), 9))
-    files = t.documents.select(F.col("doc_id").alias("id"), "source")
-    return search.best_per_file(fused.join(files, "id"), "source", 5, [F.asc("id")])
+    return search.best_per_file(fused.join(short.select(F.col("doc_id").alias("id"), "file"), "id"), "file", 5)
 
 
-@plan("bigint query_id id position; double relevance; string source", "J11 J12 J13 C10",
-      f"WITH {_FUSED} SELECT query_id, id, position, relevance, source FROM hits")
+@plan("bigint query_id id position; double relevance; string file", "J11 J12 J13 C10",
+      f"WITH {_FUSED} SELECT query_id, id, position, relevance, file FROM hits")
 def hybrid_rrf(t: Tables) -> DataFrame:
-    return hits(t)
+    return hits(t, queries(t))
 
 
 @plan("bigint queries found; double recall mrr", "J14",
@@ -237,8 +253,9 @@ def hybrid_rrf(t: Tables) -> DataFrame:
       SELECT count(*) AS queries, count(*) FILTER (position <= 5) AS found, round_even(count(*) FILTER (position <= 5) / count(*) * 1e6, 0) / 1e6 AS recall,
         round_even(avg(CASE WHEN position <= 5 THEN 1.0::DOUBLE / position ELSE 0 END) * 1e6, 0) / 1e6 AS mrr FROM p""")
 def retrieval_quality(t: Tables) -> DataFrame:
-    nearest = search.vector_candidates(t.embeddings, queries(t), "vec_id", "embedding", n=1).select("query_id", "id")
-    one = search.retrieval_quality(pinned(hits(t)), nearest, 5)
+    asked = queries(t)
+    nearest = search.vector_candidates(t.embeddings, asked, "vec_id", "embedding", n=1).select("query_id", "id")
+    one = search.retrieval_quality(pinned(hits(t, asked)), nearest, 5)
     return one.withColumn("recall", half_even(F.col("recall"), 6)).withColumn("mrr", half_even(F.col("mrr"), 6))
 
 

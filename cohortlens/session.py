@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,21 +38,43 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     fallback = tempfile.mkdtemp(prefix="cohortlens-")
+    atexit.register(shutil.rmtree, fallback, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", fallback)
     context.setCheckpointDir(fallback)
     return fallback
 
 
+#: Folders handed out inside each open `workspace`, innermost last.
+_OPEN: list[list[str]] = []
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder, unique per call, below the shared folder."""
-    return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A new folder, unique per call, below the shared folder. An open `workspace` owns it."""
+    path = f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Owner of what is written inside: the folders go when the block ends, so results must be consumed before."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for folder in _OPEN.pop():
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def pinned(df: DataFrame) -> DataFrame:
     """`df` written below the shared folder and read back.
 
     What follows no longer depends on a re-run of the tasks before it, reads only the columns it
-    needs, and Spark knows the size of the result.
+    needs, and Spark knows the size of the result. Run the consumer inside `workspace` to have the
+    folder deleted afterwards.
     """
     path = work_dir(df.sparkSession, "pinned")
     df.write.option("compression", "zstd").parquet(path)

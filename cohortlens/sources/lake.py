@@ -1,9 +1,8 @@
-"""Partitioned Parquet tables whose versions readers switch between in one step.
+"""Partitioned Parquet tables: windows are Spark's own partitions.
 
-A write lands in a new folder and changes nothing for readers until one small file is added to
-the table `_commits`: one row per table and window with the folder that holds it now. A reader
-takes the newest row per table and window. A window is thus replaced, or emptied, without touching
-the other files, and several tables change together. There is one writer at a time.
+A table is a Parquet table of the session's catalog below one folder. A whole replacement is an overwrite, some windows are replaced by
+Spark's dynamic partition overwrite, and a window that lost all its rows is dropped as a partition. A layer that must change in several
+tables at once, or that has several writers, belongs in a table format with transactions.
 """
 
 from __future__ import annotations
@@ -15,189 +14,151 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.periods import window_start
 from ..functions.records import row_digest
+from ..session import pinned
 
-COMMITS = "commit bigint, table string, window bigint, folder string, rows bigint, partitioned boolean, columns string"
 ORDER = "_order"
 
 
+def _literal(window) -> str:
+    return "null" if window is None else f"'{window}'" if isinstance(window, str) else str(window)
+
+
 class Lake:
+    """Tables below a folder, by name."""
+
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self._own = spark, root.rstrip("/"), uuid.uuid4().hex[:12]
 
-    # -- commits ---------------------------------------------------------------------------
+    def _name(self, table: str) -> str:
+        return f"lake_{self._own}_{table}"
 
-    def _log(self) -> DataFrame:
-        path = f"{self.root}/_commits"
-        try:
-            return self.spark.read.schema(COMMITS).parquet(path)
-        except Exception as error:  # no commit yet
-            if "PATH_NOT_FOUND" in str(error):
-                return self.spark.createDataFrame([], COMMITS)
-            raise
-
-    def _state(self, table: str) -> list:
-        """Current (window, folder) rows of a table: as many as it has windows."""
-        log = self._log().filter(F.col("table") == table)
-        newest = log.groupBy("window").agg(F.max_by(F.struct("*"), "commit").alias("c")).select("c.*")
-        rows = newest.collect()
-        # A whole-table commit hides every window committed before it.
-        base = max((r.commit for r in rows if r.window is None), default=-1)
-        return [r for r in rows if r.commit >= base]
-
-    def _commit(self, rows: list[tuple]) -> None:
-        number = (self._log().agg(F.max("commit")).first()[0] or 0) + 1
-        self.spark.createDataFrame([(number, *r) for r in rows], COMMITS).coalesce(1).write.mode("append").parquet(
-            f"{self.root}/_commits"
-        )
+    def exists(self, table: str) -> bool:
+        return self.spark.catalog.tableExists(self._name(table))
+
+    def window_of(self, table: str) -> str | None:
+        """The column that a table is partitioned by."""
+        return next((c.name for c in self.spark.catalog.listColumns(self._name(table)) if c.isPartition), None)
 
-    # -- writing ---------------------------------------------------------------------------
-
-    def replace(self, tables: dict[str, DataFrame], window: str | None = None) -> dict[str, int]:
-        """Every table replaced, all in one commit. With `window`, tables are partitioned by that column."""
-        staged = [(name, *self._stage(name, df, window)) for name, df in tables.items()]
-        commit = []
-        for name, folder, counts, columns in staged:
-            commit.append((name, None, None if window else folder, 0 if window else counts[None], bool(window), columns))
-            if window:
-                commit += [(name, w, folder, n, True, columns) for w, n in counts.items()]
-        self._commit(commit)
-        return {name: sum(counts.values()) for name, _, counts, _ in staged}
-
-    def replace_windows(self, table: str, df: DataFrame, window: str, windows: Iterable[int]) -> int:
-        """Only the given windows; one that has no rows in `df` becomes empty."""
-        current = self._state(table)
-        if current and not any(r.partitioned for r in current):
+    def windows(self, table: str) -> list:
+        """The windows that have a partition; rows without a window come last as None."""
+        found = [r[0] for r in self.read(table).select(self.window_of(table)).distinct().collect()]
+        return sorted(found, key=lambda w: (w is None, w if w is not None else 0))
+
+    def read(self, table: str, first: int | None = None, last: int | None = None, width: int = 5) -> DataFrame:
+        """The rows; with `first` and `last` years, only the windows that can hold them are read."""
+        df = self.spark.table(self._name(table))
+        window = F.col(self.window_of(table)) if first is not None or last is not None else None
+        if first is not None:
+            df = df.filter(window >= first - first % width)
+        if last is not None:
+            df = df.filter(window <= last - last % width)
+        return df
+
+    def replace(self, table: str, df: DataFrame, window: str | None = None) -> int:
+        """The whole table; returns its rows. With `window`, it is partitioned by that column."""
+        if window:
+            # Rows of a window are spread over files by size, not squeezed into one task.
+            df = df.select(*[c for c in df.columns if c != window], window).hint("rebalance", window)
+        if self.exists(table) and self.spark.table(self._name(table)).columns == df.columns:
+            self._overwrite(table, df, "static")
+        else:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(table)}")
+            writer = df.write.option("path", f"{self.root}/{table}-{uuid.uuid4().hex[:8]}").option("compression", "zstd")
+            writer = writer.option("parquet.compression.codec.zstd.level", 3).format("parquet")
+            (writer.partitionBy(window) if window else writer).saveAsTable(self._name(table))
+        return self.read(table).count()
+
+    def _overwrite(self, table: str, df: DataFrame, mode: str) -> None:
+        """Overwrites every partition (static) or those that `df` has rows of (dynamic). A write option does not reach a catalog table."""
+        setting = "spark.sql.sources.partitionOverwriteMode"
+        before = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, mode)
+        try:
+            df.write.insertInto(self._name(table), overwrite=True)
+        finally:
+            self.spark.conf.set(setting, before)
+
+    def append(self, table: str, df: DataFrame) -> None:
+        columns = self.spark.table(self._name(table)).columns
+        df.select(*columns).write.insertInto(self._name(table))
+
+    def replace_windows(self, table: str, df: DataFrame, windows: Iterable) -> int:
+        """Only the given windows, None among them; one that has no rows in `df` goes. Returns the rows written."""
+        window = self.window_of(table)
+        if window is None:
             raise ValueError(f"{table} has no windows to replace")
-        wanted = sorted({int(w) for w in windows})
+        wanted = set(windows)
         if not wanted:
             return 0
-        folder, counts, columns = self._stage(table, df.filter(F.col(window).isin(wanted)), window)
-        self._commit([(table, w, folder if w in counts else None, counts.get(w, 0), True, columns) for w in wanted])
+        known = [w for w in wanted if w is not None]
+        chosen = F.col(window).isin(*known) if known else F.lit(False)
+        if None in wanted:
+            chosen = chosen | F.col(window).isNull()
+        rows = pinned(df.filter(chosen).select(*self.spark.table(self._name(table)).columns))
+        counts = {r[0]: r["count"] for r in rows.groupBy(window).count().collect()}
+        if counts:
+            self._overwrite(table, rows.hint("rebalance", window), "dynamic")
+        for gone in wanted - set(counts):
+            self.spark.sql(f"ALTER TABLE {self._name(table)} DROP IF EXISTS PARTITION ({window} = {_literal(gone)})")
         return sum(counts.values())
 
-    def _stage(self, table: str, df: DataFrame, window: str | None):
-        folder = f"{self.root}/{table}/{uuid.uuid4().hex}"
-        columns = df.schema.json()
-        writer = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 3)
-        if not window:
-            writer.parquet(folder)
-            return folder, {None: self.spark.read.schema(df.schema).parquet(folder).count()}, columns
-        # Rows of a window are spread over a few files by size, not squeezed into one task.
-        rebalanced = df.withColumn("_w", F.col(window)).hint("rebalance", "_w")
-        rebalanced.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 3).partitionBy(
-            "_w"
-        ).parquet(folder)
-        counts = self._read_folder(folder, df.schema).groupBy("_w").count().collect()
-        return folder, {int(r["_w"]): r["count"] for r in counts}, columns
-
-    def _read_folder(self, folder: str, schema) -> DataFrame:
-        from pyspark.sql.types import LongType, StructField, StructType
-
-        fields = StructType([*schema.fields, StructField("_w", LongType())])
-        return self.spark.read.schema(fields).parquet(folder)
-
-    # -- reading ---------------------------------------------------------------------------
-
-    def exists(self, table: str) -> bool:
-        return bool(self._state(table))
+    def changed_windows(self, table: str, df: DataFrame, window: str | None = None) -> list:
+        """Windows whose rows differ from the stored ones, in any column; every window if there is no table yet."""
+        window = window or self.window_of(table)
+        if not self.exists(table):
+            found = df.select(window)
+        else:
+            stored = self.read(table)
+            if set(stored.columns) != set(df.columns):
+                found = df.select(window).union(stored.select(window)) if window in stored.columns else df.select(window)
+            else:
+                found = window_differences(df, stored.select(*[F.col(f.name).cast(f.dataType) for f in df.schema]), window)
+        rows = [r[0] for r in found.distinct().collect()]
+        return sorted(rows, key=lambda w: (w is None, w if w is not None else 0))
 
-    def windows(self, table: str) -> list[int]:
-        return sorted(r.window for r in self._state(table) if r.window is not None and r.folder)
+    def export_windows(self, tables: dict[str, tuple[DataFrame, str | None]], windows: Sequence) -> dict[str, int]:
+        """The given windows of every table that has windows; rows written per table."""
+        return {name: self.replace_windows(name, df, windows) for name, (df, window) in tables.items() if window}
 
-    def read(self, table: str, first: int | None = None, last: int | None = None, width: int = 5) -> DataFrame:
-        """The current rows; with `first` and `last` years, only the windows that can hold them are read."""
-        import json
-
-        from pyspark.sql.types import StructType
-
-        state = self._state(table)
-        if not state:
-            raise ValueError(f"{table} is not in the lake")
-        schema = StructType.fromJson(json.loads(max(state, key=lambda r: r.commit).columns))
-        low = None if first is None else first - first % width
-        high = None if last is None else last - last % width
-        folders = [
-            f"{r.folder}/_w={r.window}" if r.window is not None else r.folder
-            for r in state
-            if r.folder
-            and (r.window is None or ((low is None or r.window >= low) and (high is None or r.window <= high)))
-        ]
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*folders)
-
-    # -- incremental export ----------------------------------------------------------------
-
-    def changed_windows(self, table: str, df: DataFrame, window: str) -> list[int]:
-        """Windows whose rows differ from the stored ones, in any column; every window if there is no table."""
-        if not self.exists(table):
-            return sorted(r[0] for r in df.select(window).distinct().collect())
-        stored = self.read(table)
-        if set(stored.columns) != set(df.columns):
-            old = {r[0] for r in stored.select(window).distinct().collect()} if window in stored.columns else set()
-            return sorted(old | {r[0] for r in df.select(window).distinct().collect()})
-        stored = stored.select(*[F.col(f.name).cast(f.dataType) for f in df.schema])
-        return sorted(r[0] for r in window_differences(df, stored, window).select(window).collect())
-
-    def export(self, tables: dict[str, tuple[DataFrame, str | None]], windows: Sequence[int] | None = None,
-               only_changed: bool = False) -> dict[str, int]:
-        """Rows written per table. `windows` and `only_changed` exclude each other."""
-        if windows is not None and only_changed:
-            raise ValueError("choose windows or only_changed: unread windows would look vanished")
+    def export_changed(self, tables: dict[str, tuple[DataFrame, str | None]]) -> dict[str, int]:
+        """What differs from the stored tables: windows, or whole tables that have none; rows written per table."""
         written = {}
         for name, (df, window) in tables.items():
-            if windows is not None:
-                if window:
-                    written[name] = self.replace_windows(name, df, window, windows)
-            elif only_changed and self.exists(name):
-                if window:
-                    changed = self.changed_windows(name, df, window)
-                    written[name] = self.replace_windows(name, df, window, changed)
-                elif table_changed(df, self.read(name)):
-                    written.update(self.replace({name: df}))
-                else:
-                    written[name] = 0
+            if not self.exists(name) or self.window_of(name) != window:
+                written[name] = self.replace(name, df, window)
+            elif set(self.read(name).columns) != set(df.columns):
+                written[name] = self.replace(name, df, window)
+            elif window:
+                written[name] = self.replace_windows(name, df, self.changed_windows(name, df))
             else:
-                written.update(self.replace({name: df}, window))
+                written[name] = self.replace(name, df) if table_changed(df, self.read(name)) else 0
         return written
 
-    def compact(self, table: str, window: str | None = None) -> None:
-        """The same rows in files of the advisory partition size."""
-        df = self.read(table)
-        self.replace({table: df if window else df.hint("rebalance")}, window)
+    def compact(self, table: str) -> None:
+        """The same rows in files of the advisory partition size. They are written aside first, as a table can't overwrite what it reads."""
+        self.replace(table, pinned(self.read(table)).hint("rebalance"), self.window_of(table))
 
 
 def with_window(df: DataFrame, year: str, name: str = "window", width: int = 5) -> DataFrame:
     return df.withColumn(name, window_start(F.col(year), width))
 
 
-def window_fingerprints(df: DataFrame, window: str) -> DataFrame:
-    """Order-free content hash per window: row count, and sum and xor of the row hashes."""
-    digest = row_digest(df.drop(window))
-    return df.select(window, digest.alias("_h")).groupBy(window).agg(
-        F.struct(
-            F.count("*").alias("rows"),
-            F.sum(F.col("_h").cast("decimal(38,0)")).alias("sum"),
-            F.bit_xor("_h").alias("xor"),
-        ).alias("fingerprint")
-    )
+def _tagged(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Rows that one side has more often than the other, with how much more often."""
+    both = new.withColumn("_n", F.lit(1)).unionByName(old.withColumn("_n", F.lit(-1)))
+    return both.groupBy(*new.columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
 
 
 def window_differences(new: DataFrame, old: DataFrame, window: str) -> DataFrame:
-    """Windows that gained, lost or changed rows, including those that only one side has."""
-    a = window_fingerprints(new, window).select(window, F.col("fingerprint").alias("_new"))
-    b = window_fingerprints(old, window).select(window, F.col("fingerprint").alias("_old"))
-    return a.join(b, window, "full").filter(~F.col("_new").eqNullSafe(F.col("_old"))).select(window)
+    """Windows that gained, lost or changed rows, including those that only one side has. Rows are compared, not hashes."""
+    return _tagged(new, old).select(window).distinct()
 
 
 def table_changed(new: DataFrame, old: DataFrame) -> bool:
     """Exact comparison of two tables as bags of rows."""
     if set(new.columns) != set(old.columns):
         return True
-    old = old.select(*[F.col(f.name).cast(f.dataType) for f in new.schema])
-    tagged = new.withColumn("_n", F.lit(1)).unionByName(old.withColumn("_n", F.lit(-1)))
-    differing = tagged.groupBy(*new.columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
-    return not differing.isEmpty()
+    return not _tagged(new, old.select(*[F.col(f.name).cast(f.dataType) for f in new.schema])).isEmpty()
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
@@ -223,11 +184,11 @@ def live(df: DataFrame, with_deleted: bool = False) -> DataFrame:
 
 
 def json_snapshot(tables: dict[str, tuple[DataFrame, Sequence[Column]]]) -> DataFrame:
-    """Every table as JSON records: (table, sort_key, record). Write it sorted, one line per record."""
+    """Every table as JSON records: (place of the table, table, sort_key, record). Write it sorted, one line per record."""
     result = None
-    for name, (df, order) in tables.items():
+    for place, (name, (df, order)) in enumerate(tables.items(), start=1):
         part = df.select(
-            F.lit(name).alias("table"),
+            F.lit(place).alias("place"), F.lit(name).alias("table"),
             F.struct(*order).cast("string").alias("sort_key") if len(order) > 1 else order[0].cast("string").alias("sort_key"),
             F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("record"),
         )

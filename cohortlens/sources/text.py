@@ -110,50 +110,51 @@ def page_value(html: Column, pattern: str = V.GRANT_VALUE_PATTERN) -> Column:
     return decimal_comma(F.nullif(F.regexp_extract(page_text(html), pattern, 1), F.lit("")))
 
 
-def json_series(spark: SparkSession, path: str, field: str, required: Sequence[str]) -> DataFrame:
-    """Entries of an array inside JSON documents, ordered, with the required fields checked."""
-    struct = ", ".join(f"{c} string" if c != "valor_mensal" else f"{c} double" for c in required)
-    schema = f"{field} array<struct<{struct}>>"
+def json_series(spark: SparkSession, path: str, field: str, columns: dict[str, str]) -> DataFrame:
+    """Entries of an array inside JSON documents, ordered by the first column. `columns` gives each required field its type."""
+    schema = f"{field} array<struct<{', '.join(f'{c}: {kind}' for c, kind in columns.items())}>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode(field).alias("e"))
     checked = rows.select("e.*")
-    for c in required:
+    for c in columns:
         checked = checked.withColumn(
             c, F.when(F.col(c).isNotNull(), F.col(c)).otherwise(
                 F.raise_error(F.lit(f"an entry of {field} has no {c}")).cast(checked.schema[c].dataType)
             )
         )
-    return checked.orderBy(required[0])
+    return checked.orderBy(next(iter(columns)))
 
 
-def _first_bad_line(head: bytes, lines: int) -> tuple[int, str] | None:
-    for number, line in enumerate(head.splitlines()[:lines], start=1):
-        try:
-            line.decode("utf-8")
-        except UnicodeDecodeError as error:
-            return number, f"byte {hex(line[error.start])} is not UTF-8: {line[:80]!r}"
-    return None
+def _where_broken(content: bytes) -> tuple[int, str]:
+    """(line, evidence) of the first byte that breaks the encoding."""
+    try:
+        content.decode()
+    except UnicodeDecodeError as found:
+        at = found.start
+        begin = content.rfind(b"\n", 0, at) + 1
+        shown = content[begin:begin + 80].split(b"\n", 1)[0]
+        return content.count(b"\n", 0, at) + 1, f"byte 0x{content[at]:02x} is not UTF-8: {shown!r}"
+    raise ValueError("the content is UTF-8")
 
 
-def content_provenance(df: DataFrame, name: str, content: str, head_bytes: int = 1_000_000,
-                       lines: int = 15) -> DataFrame:
-    """One row per content: size, sha256, whether its first lines are UTF-8, the first bad line.
+def content_provenance(df: DataFrame, name: str, content: str) -> DataFrame:
+    """One row per content: size, sha256, whether all of it is UTF-8, and the first bad line.
 
-    Size and hash are computed in the JVM; only the head of each content goes to Python.
+    Size, hash and validity are computed in the JVM over the whole content; only contents that are not UTF-8 go to Python.
     """
+    valid = F.is_valid_utf8(F.col(content).cast("string"))
     rows = df.select(
         F.col(name).cast("string").alias("name"),
         F.octet_length(content).cast("bigint").alias("bytes"),
         F.sha2(F.col(content), 256).alias("sha256"),
-        F.substring(F.col(content), 1, head_bytes).alias("head"),
+        valid.alias("valid_utf8"),
+        F.when(~valid, F.col(content)).alias("broken"),
     )
 
     def check(batches) -> Iterator:
         for batch in batches:
-            found = [_first_bad_line(bytes(h), lines) for h in batch.pop("head")]
+            found = [None if b is None else _where_broken(bytes(b)) for b in batch.pop("broken")]
             yield batch.assign(
-                valid_utf8=[f is None for f in found],
-                bad_line=[f[0] if f else None for f in found],
-                evidence=[f[1] if f else None for f in found],
+                bad_line=[f[0] if f else None for f in found], evidence=[f[1] if f else None for f in found]
             ).astype({"bad_line": "Int64"})
 
     return rows.mapInPandas(
@@ -161,8 +162,42 @@ def content_provenance(df: DataFrame, name: str, content: str, head_bytes: int =
     )
 
 
+INGESTION = (
+    "table", "source", "package", "resource", "loaded_at", "bytes", "sha256", "encoding", "separator", "rows", "dropped",
+    "valid_utf8", "bad_line", "evidence", "metadata",
+)
+
+
+def ingestion_record(contents: DataFrame, counts: DataFrame, table: str, source: str, resource: Column, loaded_at: Column,
+                     encoding: str = "UTF-8", separator: str = ",", package: str | None = None,
+                     metadata: Column | None = None) -> DataFrame:
+    """One row per content for the ledger of loads.
+
+    `contents` comes from `content_provenance`, `counts` is the one row (kept, dropped) of `line_counts`.
+    """
+    lines = counts.select(F.struct("kept", "dropped")).scalar()
+    return contents.withColumn("lines", lines).select(
+        F.lit(table).alias("table"), F.lit(source).alias("source"), F.lit(package).cast("string").alias("package"),
+        resource.alias("resource"), loaded_at.alias("loaded_at"), "bytes", "sha256", F.lit(encoding).alias("encoding"),
+        F.lit(separator).alias("separator"), F.col("lines.kept").alias("rows"), F.col("lines.dropped").alias("dropped"),
+        "valid_utf8", "bad_line", "evidence", (F.lit(None) if metadata is None else metadata).cast("string").alias("metadata"),
+    )
+
+
+def upsert_ingestions(ledger: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The ledger with one row per table: a fresh record takes the place of the stored one."""
+    tagged = ledger.select(*INGESTION, F.lit(0).alias("_fresh")).unionByName(fresh.select(*INGESTION, F.lit(1).alias("_fresh")))
+    newest = F.struct("_fresh", "loaded_at", "resource")
+    return tagged.groupBy("table").agg(F.max_by(F.struct(*INGESTION[1:]), newest).alias("r")).select("table", "r.*")
+
+
+def looks_misread(record: Column, encoding: Column) -> Column:
+    """Whether a file read as Latin-1 would also be UTF-8, which hints at a change of the source."""
+    return F.coalesce(record & F.lower(encoding).startswith("latin"), F.lit(False))
+
+
 def provenance(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Provenance of the files below a folder, by file name."""
+    """Provenance of the files below a folder, by file name. Spark refuses a file above its `binaryFile` limit of 2 GB."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return content_provenance(
         files.withColumn("file_name", F.regexp_extract("path", r"([^/]*)$", 1)), "file_name", "content"

@@ -2,16 +2,20 @@
 
 The state of a table is a fold over its events. Per key the newest event decides: the row is
 deleted if that event is a delete or lies before the newest marker (a TRUNCATE or the end of a
-snapshot), and its values come from the newest event that carried values. The fold is associative
-and idempotent, so events may be folded in batches, out of order and more than once.
-
-Each micro-batch appends its own fold (one row per key it touched) in a folder named by the batch,
-so its cost follows the batch and a repeated batch overwrites its own folder. Every few batches
-the folds are compacted into a new base.
+snapshot), and its values come from the newest event that carried values, or, for a key that
+only deletes were seen of, from the newest delete. The fold is associative and idempotent, so
+events may be folded in batches, out of order and more than once.
+
+Each micro-batch writes its own fold (one row per key it touched) in a folder named by the batch,
+so its cost follows the batch and a repeated batch overwrites its own folder. The state is one fold
+over these. Every few batches the folds are folded into one more folder before the old ones go:
+while both are there, idempotence makes the double rows harmless, so no log of versions is needed.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -20,7 +24,7 @@ from ..session import pinned
 
 ENVELOPE = (
     "op string, before struct<{0}>, after struct<{0}>, "
-    "source struct<ts_ms: bigint, lsn: bigint, sequence: string, snapshot: string>"
+    "source struct<ts_ms: bigint, lsn: bigint, sequence: string, snapshot: string>, _corrupt string"
 )
 CONTROL = ("_deleted", "_commit_lsn", "_lsn", "_origin_at")
 
@@ -49,29 +53,58 @@ class Table:
         columns = ", ".join(f"{n} {t}" for n, t in self.columns)
         return T.StructType.fromDDL(
             f"{columns}, _deleted boolean, _commit_lsn bigint, _lsn bigint, _origin_at timestamp, "
-            "_value_commit bigint, _value_lsn bigint, "
+            "_value_live boolean, _value_commit bigint, _value_lsn bigint, "
             "_mark struct<commit_lsn: bigint, lsn: bigint, origin_at: timestamp>"
         )
 
 
-def decode(messages: DataFrame, table: Table, value: str = "value") -> DataFrame:
+def _opened(messages: DataFrame, table: Table, value: str) -> DataFrame:
+    """`messages` with the envelope `_e`, its row `_row` and the reason `_bad` why it can't be used."""
+    whole = {"columnNameOfCorruptRecord": "_corrupt"}  # else what can be read of a broken message would pass for all of it
+    opened = messages.withColumn("_e", F.from_json(value, ENVELOPE.format(table.fields), whole))
+    row = F.when(F.col("_e.op") == "d", F.col("_e.before")).otherwise(F.col("_e.after"))
+    opened = opened.withColumn("_row", row)
+    keyless = F.lit(False)
+    for k in table.key:
+        keyless = keyless | F.col(f"_row.{k}").isNull()
+    op = F.col("_e.op")
+    bad = (
+        F.when(op.isNull() | F.col("_e._corrupt").isNotNull(), "unreadable").when(~op.isin("c", "u", "d", "r", "t"), "unknown operation")
+        .when((op != "t") & keyless, "no key")
+    )
+    return opened.withColumn("_bad", bad)
+
+
+def bad_messages(messages: DataFrame, table: Table, value: str = "value") -> DataFrame:
+    """Messages that no event can be made of, as they came, with the `reason`."""
+    opened = _opened(messages, table, value).filter(F.col("_bad").isNotNull())
+    return opened.select(*messages.columns, F.col("_bad").alias("reason"))
+
+
+def decode(messages: DataFrame, table: Table, value: str = "value", skip_bad: bool = False) -> DataFrame:
     """Events from JSON envelopes: op, commit_lsn, lsn, origin_at, end_of_snapshot and the row's columns.
 
     A delete carries its row in `before`, the others in `after`. The position is the pair in
-    `source.sequence`; where its parts are missing, the event's own lsn stands in.
+    `source.sequence`; where its parts are missing, the event's own lsn stands in. A bad message
+    stops the job, unless `skip_bad` says that `bad_messages` takes care of them.
     """
-    rows = messages.select(F.from_json(value, ENVELOPE.format(table.fields)).alias("e")).select("e.*")
+    opened = _opened(messages, table, value)
+    if skip_bad:
+        opened = opened.filter(F.col("_bad").isNull())
+    op = F.when(F.col("_bad").isNull(), F.col("_e.op")).otherwise(
+        F.raise_error(F.concat(F.lit(f"a message of {table.name} is bad: "), F.col("_bad"))).cast("string")
+    )
+    rows = opened.select(op.alias("op"), "_row", "_e.source")
     pair = F.from_json(F.coalesce("source.sequence", F.lit("[null,null]")), "array<string>")
     lsn = F.coalesce(F.nullif(pair[1].cast("bigint"), F.lit(0)), F.col("source.lsn"), F.lit(0))
     commit = F.coalesce(F.nullif(pair[0], F.lit("")).cast("bigint"), lsn)
-    row = F.when(F.col("op") == "d", F.col("before")).otherwise(F.col("after"))
     return rows.select(
         "op",
         commit.alias("commit_lsn"),
         lsn.alias("lsn"),
         F.timestamp_millis("source.ts_ms").alias("origin_at"),
         F.coalesce(F.col("source.snapshot").isin("last", "last_in_data_collection"), F.lit(False)).alias("end_of_snapshot"),
-        row.alias("_row"),
+        "_row",
     ).select("op", "commit_lsn", "lsn", "origin_at", "end_of_snapshot", "_row.*")
 
 
@@ -79,12 +112,13 @@ def fold_events(events: DataFrame, table: Table) -> DataFrame:
     """One row per key of the state schema, from one pass over the events.
 
     Newest position, its delete flag, newest known values, and the newest marker seen with the key.
-    A TRUNCATE has no row, so its marker lands on the row whose key is NULL.
+    The values of a delete rank below those of any other event. A TRUNCATE has no row, so its marker
+    lands on the row whose key is NULL.
     """
     op = F.col("op")
     position = F.struct("commit_lsn", "lsn")
     moved = F.when(op != "t", position)
-    valued = F.when(~op.isin("d", "t"), position)
+    valued = F.when(op != "t", F.struct((op != "d").alias("live"), F.col("commit_lsn"), F.col("lsn")))
     mark = F.when((op == "t") | F.col("end_of_snapshot"), F.struct("commit_lsn", "lsn", "origin_at"))
     folded = events.groupBy(*table.key).agg(
         F.max(moved).alias("_p"),
@@ -100,6 +134,7 @@ def fold_events(events: DataFrame, table: Table) -> DataFrame:
         F.col("_p.commit_lsn").alias("_commit_lsn"),
         F.col("_p.lsn").alias("_lsn"),
         "_origin_at",
+        F.col("_vp.live").alias("_value_live"),
         F.col("_vp.commit_lsn").alias("_value_commit"),
         F.col("_vp.lsn").alias("_value_lsn"),
         "_mark",
@@ -107,45 +142,11 @@ def fold_events(events: DataFrame, table: Table) -> DataFrame:
 
 
 def merge_states(base: DataFrame, newer: DataFrame, table: Table) -> DataFrame:
-    """Two folds in one: per key the strictly newer position wins, values from the newest valued event.
+    """Two folds in one: a fold over both, so a single shuffle."""
+    return refold(base.unionByName(newer), table)
 
-    Base rows without a newer partner pass through semi and anti joins that need no shuffle of the
-    base while Spark finds the newer keys small enough to broadcast; the full join then sees only
-    the keys that were touched.
-    """
-    keys = list(table.key)
-    touched_keys = newer.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
-    same_key = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    b = base.join(touched_keys, same_key, "left_semi").alias("b")
-    n = newer.alias("n")
-    joined = b.join(n, [F.col(f"b.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full")
-
-    def after(commit: str, lsn: str) -> Column:
-        left = F.struct(F.col(f"b.{commit}").alias("c"), F.col(f"b.{lsn}").alias("l"))
-        right = F.struct(F.col(f"n.{commit}").alias("c"), F.col(f"n.{lsn}").alias("l"))
-        present = F.col(f"n.{commit}").isNotNull()
-        return present & F.coalesce(F.when(F.col(f"b.{commit}").isNull(), F.lit(True)).otherwise(right > left), F.lit(False))
-
-    joined = joined.withColumn("_newer", after("_commit_lsn", "_lsn")).withColumn(
-        "_fresh", after("_value_commit", "_value_lsn")
-    )
-
-    def pick(flag: str, name: str) -> Column:
-        return F.when(F.col(flag), F.col(f"n.{name}")).otherwise(F.col(f"b.{name}")).alias(name)
-
-    merged = joined.select(
-        *[
-            F.coalesce(F.col(f"b.{n}"), F.col(f"n.{n}")).alias(n) if n in table.key else pick("_fresh", n)
-            for n in table.names
-        ],
-        *[pick("_newer", c) for c in CONTROL],
-        *[pick("_fresh", c) for c in ("_value_commit", "_value_lsn")],
-        F.greatest("b._mark", "n._mark").alias("_mark"),
-    )
-    return base.join(touched_keys, same_key, "left_anti").select(*merged.columns).unionByName(merged)
 
-
-INTERNAL = ("_value_commit", "_value_lsn", "_mark")
+INTERNAL = ("_value_live", "_value_commit", "_value_lsn", "_mark")
 
 
 def newest_mark(folds: DataFrame) -> Column:
@@ -196,85 +197,61 @@ class LogRegression(RuntimeError):
 
 
 class ChangeStore:
-    """Folds of one table below a folder: a base, and the batch folds written since it.
-
-    Folds live in a folder per epoch. Compaction writes the base of the next epoch and then one
-    row in `epochs`; from that row on, readers use the new base and the folds of the new epoch.
-    """
-
-    EPOCHS = "epoch bigint, folder string"
+    """Folds of one table below a folder, one folder per batch and one per compaction. One writer at a time."""
 
     def __init__(self, spark: SparkSession, root: str, table: Table, compact_every: int = 50):
         self.spark, self.root, self.table, self.compact_every = spark, root.rstrip("/"), table, compact_every
 
-    def _parts(self, kind: str, schema) -> DataFrame:
-        """All files below a folder; no rows if nothing was written there yet."""
-        try:
-            return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/{kind}")
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return self.spark.createDataFrame([], schema)
-            raise
+    def _folder(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/folds")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _epoch(self) -> tuple[int, str | None]:
-        newest = self._parts("epochs", self.EPOCHS).orderBy(F.desc("epoch")).first()
-        return (newest.epoch, newest.folder) if newest else (0, None)
+    def _written(self) -> list[str]:
+        """Paths of the folds that are there."""
+        path, files = self._folder()
+        return [f.getPath().toString() for f in files.listStatus(path)] if files.exists(path) else []
 
-    def write_batch(self, events: DataFrame, batch_id: int, run: str = "run") -> None:
-        """Fold of one micro-batch. The folder is named by run and batch: a retry replaces its own rows."""
-        fold = fold_events(events, self.table).select(
-            *[F.col(f.name).cast(f.dataType) for f in self.table.state_schema()]
-        )
-        fold.write.mode("overwrite").option("compression", "zstd").parquet(
-            f"{self.root}/folds/epoch-{self._epoch()[0]}/{run}-{batch_id}"
-        )
+    def folds(self) -> DataFrame:
+        schema, paths = self.table.state_schema(), self._written()
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _pieces(self) -> tuple[DataFrame | None, DataFrame]:
-        schema = self.table.state_schema()
-        epoch, folder = self._epoch()
-        base = None if folder is None else self.spark.read.schema(schema).parquet(folder)
-        return base, self._parts(f"folds/epoch-{epoch}", schema)
+    def _write(self, fold: DataFrame, name: str) -> None:
+        columns = [F.col(f.name).cast(f.dataType) for f in self.table.state_schema()]
+        fold.select(*columns).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/folds/{name}")
 
-    @staticmethod
-    def _columns(base: DataFrame | None, folds: DataFrame, *names: str) -> DataFrame:
-        rows = folds.select(*names)
-        return rows if base is None else rows.unionByName(base.select(*names))
+    def write_batch(self, events: DataFrame, batch_id: int, run: str = "run") -> None:
+        """Fold of one micro-batch. The folder is named by run and batch: a retry replaces its own rows."""
+        self._write(fold_events(events, self.table), f"{run}-{batch_id}")
 
-    def _merged(self, base: DataFrame | None, folds: DataFrame) -> DataFrame:
-        newer = refold(folds, self.table)
-        return newer if base is None else merge_states(base, newer, self.table)
+    def compact(self) -> None:
+        """All folds in one. The old folders go only after the new one is whole."""
+        old = self._written()
+        if len(old) > 1:
+            self._write(refold(self.folds(), self.table).hint("rebalance"), f"all-{uuid.uuid4().hex[:12]}")
+            _, files = self._folder()
+            for path in old:
+                files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
     def state(self) -> DataFrame:
         """Current rows, tombstones included."""
-        base, folds = self._pieces()
-        mark = newest_mark(self._columns(base, folds, "_mark"))
-        return apply_markers(self._merged(base, folds), self.table, mark).drop("_reconciled")
+        folds = self.folds()
+        return apply_markers(refold(folds, self.table), self.table, newest_mark(folds)).drop("_reconciled")
 
     def high_water(self) -> int:
         """Largest lsn held, 0 for an empty store; reads the position columns only."""
-        seen = self._columns(*self._pieces(), "_lsn", "_mark")
         newest = F.max(F.greatest(F.coalesce("_lsn", F.lit(0)), F.coalesce("_mark.lsn", F.lit(0))))
-        return seen.agg(F.coalesce(newest, F.lit(0))).first()[0]
+        return self.folds().agg(F.coalesce(newest, F.lit(0))).first()[0]
 
     def check_source(self, newest_lsn: int) -> None:
         held = self.high_water()
         if held > newest_lsn:
             raise LogRegression(f"the lake holds position {held}, the source is at {newest_lsn}")
 
-    def compact(self) -> None:
-        """Base and folds in a new base. The files of the old epoch stay for readers that use them."""
-        epoch = self._epoch()[0] + 1
-        folder = f"{self.root}/bases/epoch-{epoch}"
-        self._merged(*self._pieces()).hint("rebalance").write.mode("overwrite").option("compression", "zstd").parquet(folder)
-        self.spark.createDataFrame([(epoch, folder)], self.EPOCHS).coalesce(1).write.mode("append").parquet(
-            f"{self.root}/epochs"
-        )
-
 
 def refold(folds: DataFrame, table: Table) -> DataFrame:
     """Fold of folds: the same reduction over rows that are already one per key and batch."""
     position = F.when(F.col("_commit_lsn").isNotNull(), F.struct("_commit_lsn", "_lsn"))
-    valued = F.when(F.col("_value_commit").isNotNull(), F.struct("_value_commit", "_value_lsn"))
+    valued = F.when(F.col("_value_commit").isNotNull(), F.struct("_value_live", "_value_commit", "_value_lsn"))
     folded = folds.groupBy(*table.key).agg(
         F.max_by(F.struct(*CONTROL), position).alias("_c"),
         F.max(valued).alias("_vp"),
@@ -284,6 +261,7 @@ def refold(folds: DataFrame, table: Table) -> DataFrame:
     return folded.select(
         *[F.col(n) if n in table.key else F.col(f"_v.{n}").alias(n) for n in table.names],
         *[F.col(f"_c.{c}").alias(c) for c in CONTROL],
+        F.col("_vp._value_live").alias("_value_live"),
         F.col("_vp._value_commit").alias("_value_commit"),
         F.col("_vp._value_lsn").alias("_value_lsn"),
         "_mark",
@@ -291,18 +269,36 @@ def refold(folds: DataFrame, table: Table) -> DataFrame:
 
 
 def consume(stream: DataFrame, stores: dict[str, ChangeStore], checkpoint: str, topic: str = "topic",
-            run: str = "run", available_now: bool = True):
+            run: str = "run", available_now: bool = True, newest_lsn: Callable[[], int] | None = None,
+            bad: str | None = None):
     """Apply a stream of (topic, value) messages, each topic to its store.
 
     The offset is committed by Spark after the batch is written, and a batch may be written twice
     without effect: at-least-once transport, exactly-once result. A new `checkpoint` with the
     source at its first offset replays everything.
+
+    `newest_lsn` asks the source for its newest position; every batch first makes sure that no store
+    is ahead of it, so a source whose log was reset stops the stream. Bad messages and those of a
+    topic without a store are written below `bad`, with a reason; without `bad` they stop the stream,
+    before the offset is committed.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
+        if newest_lsn is not None:
+            newest = newest_lsn()
+            for store in stores.values():
+                store.check_source(newest)
         batch.persist()
         try:
+            known = F.coalesce(F.col(topic).isin(*stores), F.lit(False))
+            lost = batch.filter(~known).select(*batch.columns, F.lit("unknown topic").alias("reason"))
+            for name, store in stores.items():
+                lost = lost.unionByName(bad_messages(batch.filter(F.col(topic) == name), store.table))
+            if bad is not None:
+                lost.write.mode("overwrite").parquet(f"{bad}/{run}-{batch_id}")
+            elif found := lost.first():
+                raise ValueError(f"a message of topic {found[topic]} can't be used: {found.reason}")
             for name, store in stores.items():
-                events = decode(batch.filter(F.col(topic) == name), store.table)
+                events = decode(batch.filter(F.col(topic) == name), store.table, skip_bad=True)
                 store.write_batch(events, batch_id, run)
                 if store.compact_every and batch_id % store.compact_every == store.compact_every - 1:
                     store.compact()

@@ -95,7 +95,18 @@ def test_facts_are_relinked(spark, rows):
 def test_every_mutation_trips_its_check(spark):
     from cohortlens.plans.catalog import PLANS
 
-    got = {r.mutation: r.tripped for r in PLANS["bad_data_matrix"].run(spark, "/root/testdata/sf0.001").collect()}
+    got = {}
+    for r in PLANS["bad_data_matrix"].run(spark, "/root/testdata/sf0.001").collect():
+        got.setdefault(r.mutation, set()).add(r.tripped)
+    wanted = {
+        "half the rows are missing": "volume", "a row comes twice": "unique:id", "people unknown": "not_null:person",
+        "an unknown status": "accepted:status", "a year out of range": "range:year", "an unknown person": "related:person",
+        "a cohort halved": "series", "dropouts of a cohort renamed": "bands", "a kind vanishes from a cohort": "vanishing",
+        "negative permanence": "range:terms", "exit before entry": "domain:exit", "a column changes its type": "schema",
+        "graduates counted as dropouts": "median",
+    }
+    assert "none" not in got and set(got) == set(wanted)
+    assert all(check in got[fault] for fault, check in wanted.items())
     assert got == {
         "duplicate": "unique:id", "null_person": "not_null:person", "unknown_status": "accepted:status",
         "year_out_of_range": "range:year", "orphan": "related:person",

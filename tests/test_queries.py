@@ -6,6 +6,7 @@ import pytest
 from check import rows_of
 from cohortlens.plans.catalog import PLANS
 from cohortlens.plans.registry import TABLES
+from cohortlens.session import workspace
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -20,8 +21,9 @@ def duck():
 
 @pytest.mark.parametrize("name", PLANS)
 def test_query(spark, duck, name):
-    df = PLANS[name].run(spark, FOLDER)
-    mine = rows_of(df.columns, df.collect())
+    with workspace(spark):
+        df = PLANS[name].run(spark, FOLDER)
+        mine = rows_of(df.columns, df.collect())
     if PLANS[name].oracle is None:
         assert mine[0]
         return

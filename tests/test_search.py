@@ -1,9 +1,11 @@
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import search
-from cohortlens.operators.search import Query
 
 DOCS = [
     (1, "Engenharia de Software", "curso de engenharia com evasão alta e atraso", "a.md"),
@@ -24,23 +26,38 @@ def ids(df, query=0):
     return [r.id for r in df.filter(F.col("query_id") == query).orderBy("position").collect()]
 
 
-def test_query_terms_and_needed_share():
-    assert search.query_terms("Evasão e atraso, evasão", ["e"]) == ["atraso", "evasao"]
-    assert [search.needed_terms(n) for n in (1, 2, 3, 8)] == [1, 1, 2, 4]
-    assert search.needed_terms(4, 0) == 1
-    assert len(search.query_terms(" ".join("abcdefghijkl"))) == 8
-    assert search.query_terms("de e", ["de", "e"]) == []
+def asked(spark, *rows):
+    """Queries from texts, or from (text, vector)."""
+    rows = [(i, *(r if isinstance(r, tuple) else (r, None))) for i, r in enumerate(rows)]
+    return spark.createDataFrame([(i, t, None if v is None else [float(x) for x in v]) for i, t, v in rows], "query_id long, text string, vector array<double>")
+
+
+def test_query_terms_and_needed_share(spark):
+    queries = asked(spark, "Evasão e atraso, evasão", " ".join("abcdfghijkl"), "e", "um")
+    got = {}
+    for r in search.query_terms(queries, ["e"]).collect():
+        got.setdefault((r.query_id, r.needed), []).append(r.term)
+    assert {k: sorted(v) for k, v in got.items()} == {(0, 1): ["atraso", "evasao"], (1, 6): list("abcdfghijkl"), (3, 1): ["um"]}
+    assert {r.needed for r in search.query_terms(queries, coverage=0).collect()} == {1}
 
 
-def test_coverage(corpus):
-    found = search.coverage_candidates(corpus, [Query(0, "evasão dados algoritmos"), Query(1, "xyz"), Query(2, "")], "id", F.col("text"))
+def test_coverage(spark, corpus):
+    found = search.coverage_candidates(corpus, asked(spark, "evasão dados algoritmos", "xyz", ""), "id", F.col("text"))
     assert ids(found) == [2]
     assert found.filter("query_id > 0").count() == 0
-    nothing = search.coverage_candidates(corpus, [Query(0, "")], "id", F.col("text"))
-    assert nothing.count() == 0
+    assert search.coverage_candidates(corpus, asked(spark, ""), "id", F.col("text")).count() == 0
+    many = asked(spark, *["evasão dados algoritmos"] * 300)
+    assert search.coverage_candidates(corpus, many, "id", F.col("text")).count() == 300
+    both = search.coverage_candidates(corpus, asked(spark, "evasão"), "id", F.col("text"))
+    assert ids(both) == [1, 2] and ids(search.coverage_candidates(corpus, asked(spark, "evasão"), "id", F.col("text"), n=1)) == [1]
+
+
+def word_grams(text):
+    words = [w for w in re.split(r"[^\w]+|_", text.lower()) if w]
+    return [f"  {w} "[i:i + 3] for w in words for i in range(len(w) + 1)]
 
 
-def test_word_similarity_against_brute_force():
+def test_word_similarity_against_brute_force(spark):
     def brute(query, grams):
         best = 0.0
         for a in range(len(grams)):
@@ -49,28 +66,41 @@ def test_word_similarity_against_brute_force():
                 best = max(best, len(part & query) / len(part | query))
         return best
 
-    assert brute(set(search.word_grams("word")), search.word_grams("two words")) == pytest.approx(0.8)
-    pairs = [("word", "two words"), ("evasao", "curso com evasao alta"), ("abc abc", "x abc y abc abc z"), ("frescor", "politica de frescor")]
-    for query, title in pairs:
-        grams = search.word_grams(title)
-        wanted = brute(set(search.word_grams(query)), grams)
-        got = search.best_run(frozenset(search.word_grams(query)), grams, 0.5)
-        assert got == pytest.approx(wanted) if wanted >= 0.5 else got < 0.5
+    assert brute(set(word_grams("word")), word_grams("two words")) == pytest.approx(0.8)
+    pairs = [("word", "two words"), ("evasao", "curso com evasao alta"), ("abc abc", "x abc y abc abc z"), ("frescor", "politica de frescor"), ("abc", "xyz"), ("abc", "")]
+    df = spark.createDataFrame(pairs, "q string, t string")
+    got = df.select("q", "t", search.run_similarity(F.array_distinct(search.trigrams(F.col("q"))), search.trigrams(F.col("t"))).alias("s"))
+    for q, t, s in got.collect():
+        assert s == pytest.approx(brute(set(word_grams(q)), word_grams(t)))
 
 
 def test_trigrams_are_the_same_in_both_places(spark):
     texts = ["Política de  frescor", "a_b c", "", "É 1"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", search.trigrams(F.col("t")).alias("g"))
-    assert all(list(g) == search.word_grams(t) for t, g in df.collect())
+    assert all(list(g) == word_grams(t) for t, g in df.collect())
 
 
-def test_titles_match_with_and_without_accents(corpus):
-    found = search.title_candidates(corpus, [Query(0, "politica de frescor"), Query(1, "Política de Frescor"), Query(2, "zzz")], "id", F.col("title"))
+def test_titles_match_with_and_without_accents(spark, corpus):
+    found = search.title_candidates(corpus, asked(spark, "politica de frescor", "Política de Frescor", "zzz", ""), "id", F.col("title"))
     assert ids(found, 1) == [3] and found.filter("query_id = 1").first().exact
-    assert found.filter("query_id = 2").count() == 0
+    assert found.filter("query_id >= 2").count() == 0
 
 
-def test_vectors_are_exact_and_ties_go_to_the_smaller_id(spark):
+def test_titles_against_a_comparison_with_all(spark):
+    chance = random.Random(2)
+    words = ["casa", "caso", "curso", "cursos", "evasao", "evadir", "dados", "dado", "rede"]
+    titles = [(i, " ".join(chance.choices(words, k=chance.randint(1, 6)))) for i in range(120)]
+    texts = [" ".join(chance.choices(words, k=chance.randint(1, 3))) for _ in range(25)]
+    found = search.title_candidates(spark.createDataFrame(titles, "id long, title string"), asked(spark, *texts), "id", F.col("title"), 0.6)
+
+    def best(q, g):
+        return max((len(set(g[a:b]) & q) / len(set(g[a:b]) | q) for a in range(len(g)) for b in range(a + 1, len(g) + 1)), default=0)
+
+    wanted = {(k, i): best(set(word_grams(x)), word_grams(t)) for k, x in enumerate(texts) for i, t in titles}
+    assert {(r.query_id, r.id): round(r.similarity, 9) for r in found.collect()} == {k: round(v, 9) for k, v in wanted.items() if v >= 0.6}
+
+
+def test_vectors_are_exact_and_ties_go_to_the_smaller_id(spark, monkeypatch):
     rng = np.random.default_rng(1)
     data = rng.normal(size=(300, 8))
     data[200:] = data[:100]
@@ -78,7 +108,11 @@ def test_vectors_are_exact_and_ties_go_to_the_smaller_id(spark):
     query = rng.normal(size=8)
     scores = np.round(data @ query / np.linalg.norm(data, axis=1) / np.linalg.norm(query), 9)
     wanted = sorted(range(300), key=lambda i: (-scores[i], i))[:30]
-    assert ids(search.vector_candidates(df, [Query(0, "", tuple(query))], "id", "v")) == wanted
+    assert ids(search.vector_candidates(df, asked(spark, ("", query)), "id", "v")) == wanted
+    assert search.vector_candidates(df, asked(spark, "no vector"), "id", "v").count() == 0
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    several = search.vector_candidates(df, asked(spark, *[("", query * (i + 1)) for i in range(5)]), "id", "v")
+    assert all(ids(several, i) == wanted for i in range(5))
 
 
 def hits(corpus, queries, k=5):
@@ -87,14 +121,18 @@ def hits(corpus, queries, k=5):
         search.title_candidates(corpus, queries, "id", F.col("title")),
         search.coverage_candidates(corpus, queries, "id", F.col("text"), ["de", "e", "com"]),
     )
-    return search.best_per_file(fused.join(corpus.select("id", "file"), "id"), "file", k, [F.asc("id")])
+    return search.best_per_file(fused.join(corpus.select("id", "file"), "id"), "file", k)
+
+
+def test_hits_without_a_file_stand_for_themselves_and_similarity_breaks_ties(spark):
+    rows = [(0, 1, 0.5, 0.2, None), (0, 2, 0.5, 0.9, None), (0, 3, 0.5, 0.1, "a"), (0, 4, 0.5, 0.3, "a"), (0, 5, 0.7, 0.0, "b")]
+    df = spark.createDataFrame(rows, "query_id long, id long, relevance double, similarity double, file string")
+    assert ids(search.best_per_file(df, "file", 9)) == [5, 2, 4, 1]
 
 
-def test_hybrid_search(corpus):
+def test_hybrid_search(spark, corpus):
     near = (0.5, 0.5, 0.0, 0.0)
-    queries = [
-        Query(0, "engenharia evasão", near), Query(1, "lorem ipsum dolor", (1.0, 1.0, 1.0, 1.0)), Query(2, "política de frescor", ()),
-    ]
+    queries = asked(spark, ("engenharia evasão", near), ("lorem ipsum dolor", (1.0, 1.0, 1.0, 1.0)), "política de frescor")
     got = hits(corpus, queries)
     assert ids(got) == [1], "one hit per file: documents 1 and 2 share one"
     assert ids(got, 1) == [], "neighbours without evidence do not count"
@@ -121,6 +159,8 @@ def test_chunks(spark, limit, overlap):
         assert b[:shared].startswith("palavra"), "neighbours overlap from a word on"
     assert {w for c in got[0] for w in c.split()} == set(words.split())
     assert "curto" in got[4][-1]
+    with pytest.raises(ValueError):
+        search.chunks(df, "body", 100, 50)
 
 
 def test_sections_and_letters(spark):

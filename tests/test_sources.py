@@ -48,28 +48,52 @@ def test_provenance(spark, tmp_path):
     import hashlib
 
     good, bad = "olá\n".encode(), "ok\nolá\n".encode("latin-1")
+    late = b"line\n" * 20 + "olá\n".encode("latin-1")
+    put(f"{tmp_path}/p/late.csv", late)
     put(f"{tmp_path}/p/good.csv", good)
     put(f"{tmp_path}/p/bad.csv", bad)
     got = {r.name: r for r in text.provenance(spark, f"{tmp_path}/p", "*.csv").collect()}
     assert (got["good.csv"].bytes, got["good.csv"].sha256) == (len(good), hashlib.sha256(good).hexdigest())
     assert (got["good.csv"].valid_utf8, got["bad.csv"].valid_utf8, got["bad.csv"].bad_line) == (True, False, 2)
     assert "0xe1" in got["bad.csv"].evidence
+    assert (got["late.csv"].valid_utf8, got["late.csv"].bad_line) == (False, 21), "every line is checked"
+
+
+def test_ingestion_ledger(spark):
+    def record(table, day, kept, dropped, content):
+        files = text.content_provenance(spark.createDataFrame([("f", bytearray(content))], "name string, content binary"), "name", "content")
+        counts = spark.createDataFrame([(kept, dropped)], "kept long, dropped long")
+        return text.ingestion_record(files, counts, table, "portal", F.lit(f"http://x/{day}"), F.lit(day).cast("date"), "latin-1", ";")
+
+    old = record("a", "2024-01-01", 5, 1, b"x").unionByName(record("b", "2024-01-01", 2, 0, b"y"))
+    fresh = record("a", "2024-02-01", 7, 0, b"\xe1").unionByName(record("c", "2024-02-01", 1, 0, b"z"))
+    got = {r.table: r for r in text.upsert_ingestions(old, fresh).collect()}
+    assert {k: (r.rows, r.dropped, r.valid_utf8, str(r.loaded_at)) for k, r in got.items()} == {
+        "a": (7, 0, False, "2024-02-01"), "b": (2, 0, True, "2024-01-01"), "c": (1, 0, True, "2024-02-01"),
+    }
+    again = text.upsert_ingestions(text.upsert_ingestions(old, fresh), fresh)
+    assert {r.table: r.rows for r in again.collect()} == {"a": 7, "b": 2, "c": 1}
+    flags = again.select("table", text.looks_misread(F.col("valid_utf8"), F.col("encoding")).alias("m")).collect()
+    assert {r.table: r.m for r in flags} == {"a": False, "b": True, "c": True}
 
 
 def test_page_value(spark):
-    page = "<p>Inicia&ccedil;&atilde;o&nbsp;Cient&iacute;fica</p> <td>IC</td><td>-</td><b>1.700,50</b>"
-    df = spark.createDataFrame([(page,), ("<p>nada</p>",)], "html string")
-    assert [r[0] for r in df.select(text.page_value(F.col("html"))).collect()] == [1700.5, None]
+    pages = [
+        "<p>Inicia&ccedil;&atilde;o&nbsp;Cient&iacute;fica</p> <td>IC</td><td>-</td><b>1.700,50</b>", "<p>nada</p>",
+        "Inicia&#231;&#227;o Cient&#237;fica IC - 700,00", "Inicia&#xE7;&#xe3;o&#32;Cient&iacutefica IC&ensp;-&#160;700,00", None,
+    ]
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    assert [r[0] for r in df.select(text.page_value(F.col("html"))).collect()] == [1700.5, None, 700.0, 700.0, None]
 
 
 def test_json_series(spark, rows, tmp_path):
     entries = [{"vigente_desde": "2023-02", "valor_mensal": 700}, {"vigente_desde": "2012-07", "valor_mensal": 400}]
     path = put(f"{tmp_path}/j/s.json", json.dumps({"vigencias": entries}, indent=1).encode())
-    series = text.json_series(spark, path, "vigencias", ["vigente_desde", "valor_mensal"])
+    series = text.json_series(spark, path, "vigencias", {"vigente_desde": "string", "valor_mensal": "double"})
     assert [tuple(r) for r in series.collect()] == [("2012-07", 400.0), ("2023-02", 700.0)]
     path = put(f"{tmp_path}/k/s.json", json.dumps({"vigencias": [{"vigente_desde": "2023-02"}]}).encode())
     with pytest.raises(PySparkException, match="has no valor_mensal"):
-        text.json_series(spark, path, "vigencias", ["vigente_desde", "valor_mensal"]).collect()
+        text.json_series(spark, path, "vigencias", {"vigente_desde": "string", "valor_mensal": "double"}).collect()
 
 
 def test_write_contract(spark, rows):
@@ -113,71 +137,88 @@ def store(spark):
 def test_replace_is_idempotent_and_keeps_types(spark, store):
     df = enrolments(spark)
     for _ in range(2):
-        assert store.replace({"e": df}, "window") == {"e": 120}
-    assert store.read("e").schema == df.schema
-    assert lake.fingerprint(store.read("e")).first() == lake.fingerprint(df).first()
+        assert store.replace("e", df, "window") == 120
+    assert store.read("e").select(*df.columns).schema == df.schema
+    assert lake.fingerprint(store.read("e").select(*df.columns)).first() == lake.fingerprint(df).first()
     assert store.windows("e") == [2005, 2010, 2015, 2020]
 
 
 def test_windows_are_pruned_by_year(spark, store):
-    store.replace({"e": enrolments(spark)}, "window")
+    store.replace("e", enrolments(spark), "window")
     part = store.read("e", first=2016, last=2019)
     assert {r.window for r in part.select("window").distinct().collect()} == {2015}
-    assert all("_w=2015" in f for f in part.inputFiles())
+    assert "PartitionFilters: [isnotnull(window" in part._jdf.queryExecution().executedPlan().toString()
 
 
 def test_only_the_given_windows_change(spark, store):
     df = enrolments(spark)
-    store.replace({"e": df}, "window")
-    before = {f for f in store.read("e").inputFiles() if "_w=2020" not in f}
-    assert store.replace_windows("e", df.filter("window <> 2020").unionByName(enrolments(spark, [2021])), "window", [2020]) == 20
+    store.replace("e", df, "window")
+
+    def files(window):
+        return sorted({r[0] for r in store.read("e").filter(F.col("window") == window).select(F.input_file_name()).distinct().collect()})
+
+    before = {w: files(w) for w in (2005, 2010, 2015)}
+    assert store.replace_windows("e", df.filter("window <> 2020").unionByName(enrolments(spark, [2021])), [2020]) == 20
     assert store.read("e").filter("window = 2020").count() == 20
-    assert {f for f in store.read("e").inputFiles() if "_w=2020" not in f} == before
-    store.replace_windows("e", df.filter("window <> 2005"), "window", [2005])
-    assert store.windows("e") == [2010, 2015, 2020]
-    store.replace({"flat": spark.range(3)})
+    assert {w: files(w) for w in before} == before
+    assert store.replace_windows("e", df.filter("window <> 2005"), [2005]) == 0
+    assert store.windows("e") == [2010, 2015, 2020] and store.read("e").count() == 80
+    assert store.replace_windows("e", df, [2005, 2010]) == 40 and store.read("e").count() == 100
+    store.replace("flat", spark.range(3))
     with pytest.raises(ValueError):
-        store.replace_windows("flat", spark.range(3), "id", [0])
+        store.replace_windows("flat", spark.range(3), [0])
+
+
+def test_rows_without_a_window_are_a_window(spark, store):
+    df = enrolments(spark).unionByName(lake.with_window(spark.createDataFrame([(1, None, "x", None)], "id long, year int, outcome string, exit_year int"), "year"))
+    assert store.replace("e", df, "window") == 121
+    assert store.changed_windows("e", df) == [] and None in store.windows("e")
+    revised = df.withColumn("outcome", F.when(F.col("window").isNull(), "y").otherwise(F.col("outcome")))
+    assert store.changed_windows("e", revised) == [None]
+    assert store.replace_windows("e", revised, [None]) == 1
+    assert store.read("e").filter("window is null").first().outcome == "y" and store.read("e").count() == 121
+    assert store.replace_windows("e", df.filter("window is not null"), [None, 2005]) == 20
+    assert store.windows("e") == [2005, 2010, 2015, 2020]
 
 
 def test_changed_windows(spark, store):
     df = enrolments(spark)
     assert store.changed_windows("e", df, "window") == [2005, 2010, 2015, 2020]
-    store.replace({"e": df}, "window")
-    assert store.changed_windows("e", df, "window") == []
+    store.replace("e", df, "window")
+    assert store.changed_windows("e", df) == []
     one = df.withColumn("outcome", F.when((F.col("year") == 2016) & (F.col("id") % 100 == 3), "FORMATURA").otherwise(F.col("outcome")))
-    assert store.changed_windows("e", one, "window") == [2015]
+    assert store.changed_windows("e", one) == [2015]
     renumbered = df.withColumn("id", F.when(F.col("year") == 2008, F.col("id") + 5000).otherwise(F.col("id")))
-    assert store.changed_windows("e", renumbered, "window") == [2005]
-    assert store.changed_windows("e", df.filter("window <> 2010"), "window") == [2010]
-    assert store.changed_windows("e", df.withColumn("extra", F.lit(1)), "window") == [2005, 2010, 2015, 2020]
+    assert store.changed_windows("e", renumbered) == [2005]
+    assert store.changed_windows("e", df.filter("window <> 2010")) == [2010]
+    twice = df.unionByName(df.filter("id = 0"))
+    assert store.changed_windows("e", twice) == [2005]
+    assert store.changed_windows("e", df.withColumn("extra", F.lit(1))) == [2005, 2010, 2015, 2020]
 
 
 def test_incremental_export(spark, store):
     df, flat = enrolments(spark), spark.range(5)
     tables = {"e": (df, "window"), "f": (flat, None)}
-    assert store.export(tables, only_changed=True) == {"e": 120, "f": 5}
-    assert store.export(tables, only_changed=True) == {"e": 0, "f": 0}
+    assert store.export_changed(tables) == {"e": 120, "f": 5}
+    assert store.export_changed(tables) == {"e": 0, "f": 0}
     late = df.withColumn("outcome", F.when(F.col("year") == 2023, "EVASAO").otherwise(F.col("outcome")))
-    assert store.export({"e": (late, "window"), "f": (spark.range(6), None)}, only_changed=True) == {"e": 40, "f": 6}
-    assert store.export({"e": (late, "window"), "f": (flat, None)}, windows=[2005]) == {"e": 20}
-    with pytest.raises(ValueError):
-        store.export(tables, windows=[2005], only_changed=True)
+    assert store.export_changed({"e": (late, "window"), "f": (spark.range(6), None)}) == {"e": 40, "f": 6}
+    assert store.export_windows({"e": (late, "window"), "f": (flat, None)}, [2005]) == {"e": 20}
 
 
-def test_layer_changes_in_one_commit(spark, store):
-    store.replace({"a": spark.range(2), "b": spark.range(3)})
-    old = store.read("a"), store.read("b")
-    store.replace({"a": spark.range(5), "b": spark.range(6)})
-    assert [d.count() for d in old] == [2, 3], "readers of the old version still see it whole"
-    assert (store.read("a").count(), store.read("b").count()) == (5, 6)
+def test_a_table_that_feeds_on_itself(spark, store):
+    store.replace("a", spark.range(5))
+    with pytest.raises(Exception):
+        store.replace("a", store.read("a").withColumn("id", F.col("id") + 1))
+    assert store.read("a").count() == 5
 
 
 def test_compaction_keeps_the_rows(spark, store):
-    store.replace({"e": enrolments(spark).repartition(12)}, "window")
-    before = lake.fingerprint(store.read("e")).first()
-    store.compact("e", "window")
-    assert lake.fingerprint(store.read("e")).first() == before
+    store.replace("e", enrolments(spark), "window")
+    store.append("e", enrolments(spark).repartition(12))
+    before, files = lake.fingerprint(store.read("e")).first(), len(store.read("e").inputFiles())
+    store.compact("e")
+    assert lake.fingerprint(store.read("e")).first() == before and len(store.read("e").inputFiles()) < files
 
 
 def test_order_reports_and_fingerprints(spark, rows):
