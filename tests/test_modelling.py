@@ -107,10 +107,6 @@ def test_every_mutation_trips_its_check(spark):
     }
     assert "none" not in got and set(got) == set(wanted)
     assert all(check in got[fault] for fault, check in wanted.items())
-    assert got == {
-        "duplicate": "unique:id", "null_person": "not_null:person", "unknown_status": "accepted:status",
-        "year_out_of_range": "range:year", "orphan": "related:person",
-    }
 
 
 def test_checks_on_small_tables(spark, rows):
