@@ -72,7 +72,7 @@ OTHER_REGION = "Distrito Federal"
 
 # Labels of mixed programmes and the defaults of missing attributes.
 MIXED_DEGREE, MIXED_CATEGORY = "MISTO (BACHARELADO + LICENCIATURA)", "MISTO"
-DEFAULT_DEGREE, DEFAULT_DEPARTMENT, DEFAULT_SHIFT, DEFAULT_AREA = "BACHAREL", "UNB", "DIURNO", "OUTRA"
+DEFAULT_DEGREE, DEFAULT_SHIFT, DEFAULT_AREA = "BACHAREL", "DIURNO", "OUTRA"
 
 # Programmes shared by several degrees, left out of per-programme panels.
 TRUNK_PROGRAMMES = ("ENGENHARIA", "EDUCACAO FISICA - CICLO BASICO")
@@ -139,3 +139,6 @@ OTHER_PROFILE, OTHER_QUOTA, OTHER_INCOME = "OUTRAS COTAS", "OUTRAS ACOES AFIRMAT
 OPEN_LABELS = {
     "OUTRAS COTAS": "AMPLA CONCORRENCIA", "OUTRAS ACOES AFIRMATIVAS": "AMPLA CONCORRENCIA", "NAO ESPECIFICADO": "NAO APLICAVEL",
 }
+
+# What follows the programme in a grant unit, in the order in which it is cut off.
+UNIT_TAILS = (r"-?\s*ALUNO:\s*\S+", r"-\s*FORMANDO\s*$")

@@ -106,17 +106,17 @@ def strip_prefix(text: Column, prefixes: Sequence[str], separator: str = " - ")
 
 
 def split_unit(unit: Column) -> tuple[Column, Column]:
-    """(department, programme) of 'DEPARTMENT / PROGRAMME - ALUNO: id - FORMANDO'.
+    """(department, programme) of a grant unit 'DEPARTMENT / PROGRAMME' with tails; without a slash all of it is the department.
 
     The generic prefixes are removed before accents are, so an accented prefix stays.
     """
-    has_parts = unit.contains("/")
-    tail = F.regexp_replace(F.regexp_substr(unit, F.lit(r"(?s)/.*$")), r"^/", "")
-    tail = F.regexp_replace(tail, r"(?i)-?\s*ALUNO:\s*\S+", "")
-    tail = strip(F.regexp_replace(tail, r"(?i)-\s*FORMANDO\s*$", ""))
-    tail = F.regexp_replace(tail, f"(?i)^({'|'.join(V.GENERIC_PREFIXES)})", "")
-    department = F.when(has_parts, normalize_text(F.split(unit, "/", 2)[0])).otherwise(normalize_text(unit))
-    return department, F.when(has_parts, programme_name(tail)).otherwise(F.lit(""))
+    slash = F.instr(unit, F.lit("/"))
+    rest = F.substring(unit, slash + 1, F.length(unit))
+    for tail in V.UNIT_TAILS:
+        rest = F.regexp_replace(rest, f"(?i){tail}", "")
+    own = F.regexp_replace(strip(rest), f"(?i)^({'|'.join(V.GENERIC_PREFIXES)})", "")
+    head = F.when(slash > 0, F.substring(unit, F.lit(1), slash - 1)).otherwise(unit)
+    return normalize_text(head), F.when(slash > 0, programme_name(own)).otherwise(F.lit(""))
 
 
 def _decoded(text: Column) -> Column:

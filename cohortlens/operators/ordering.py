@@ -71,12 +71,18 @@ def numbered_per_group(df: DataFrame, key: str, order: Sequence[Column], name: s
 
 
 def ranked(df: DataFrame, metric: str, name: str = "position", descending: bool = True) -> DataFrame:
-    """`rank()` by a metric with few distinct values (a rounded index): the window runs over the values."""
+    """`rank()` by a metric: rows per value, running counts inside ranges of values, and one offset per range."""
     order = F.col(metric).desc() if descending else F.col(metric).asc()
     values = df.groupBy(metric).agg(F.count("*").alias("_n"))
-    before = W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    ranks = values.select(
-        F.col(metric).alias("_value"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).alias(name)
+    placed = pinned(values.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    inside = W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # One row per range of values: the window and the broadcast are bounded by the partition count.
+    starts = placed.groupBy("_part").agg(F.sum("_n").alias("_size")).select(
+        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
+    )
+    ranks = placed.withColumn("_run", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(starts), "_part").select(
+        F.col(metric).alias("_value"), (F.col("_start") + F.col("_run") + 1).alias(name)
     )
     return df.join(ranks, F.col(metric).eqNullSafe(F.col("_value"))).drop("_value")
 

@@ -11,6 +11,10 @@ from ..functions.numbers import half_even, percent, ratio
 from .ordering import with_previous
 
 
+#: Changes of a published monthly rate: two centuries of them.
+MAX_RATES = 2400
+
+
 def peer_benchmark(df: DataFrame, key: str, peer: str, home: Column, size: str, events: Sequence[str],
                    demand: tuple[str, str], minimum: int = V.MIN_PEER_SIZE) -> DataFrame:
     """Rates of the home institution against the median of its peers.
@@ -64,6 +68,8 @@ def rate_in_force(df: DataFrame, start: str, end: str, rates: DataFrame, since:
     The series travels as one array in a scalar subquery. Months under each rate follow from the
     overlap of two month ranges, so no row is exploded and nothing is shuffled.
     """
+    if rates.limit(MAX_RATES + 1).count() > MAX_RATES:
+        raise ValueError(f"a rate series has at most {MAX_RATES} changes, as every row carries it")
     series = rate_periods(rates, since, value).agg(
         F.collect_list(F.struct("first", "until", "rate")).alias("series")
     ).scalar()

@@ -101,12 +101,12 @@ CURRICULA = ENROLMENTS + """, curricula AS (
 # From the definitions: a mature cohort has had time to finish; shares of the deadlines have the graduates of known length below them.
 METRICS = CURRICULA + f""", placed AS (
   SELECT e.*, minimum, ideal, maximum FROM enrolments e LEFT JOIN curricula USING (course)
-), observed AS (
+), mature AS (
   SELECT * FROM placed WHERE ideal IS NOT NULL AND entry_year + {MATURITY} <= (SELECT max(entry_year) FROM enrolments)
 ), fates AS (
   SELECT course, count(*) AS total, histogram(outcome) AS by_outcome, any_value(minimum) AS minimum, any_value(ideal) AS ideal,
          any_value(maximum) AS maximum, coalesce(list(permanence) FILTER (outcome = 'FORMATURA' AND permanence IS NOT NULL), []) AS lengths
-  FROM observed GROUP BY course
+  FROM mature GROUP BY course
 ), reported AS (
   SELECT *, len(lengths) AS finished, coalesce(by_outcome['FORMATURA'], 0) AS graduates, coalesce(by_outcome['EVASAO'], 0) AS dropouts,
          coalesce(by_outcome['ATIVO'], 0) AS actives FROM fates WHERE total >= 5
