@@ -58,6 +58,7 @@ MARKS = frozenset(
     "newsletter subscribe subscription signup login search searchbox skiplink widget widgets form".split()
 )
 COMMENT_MARKS = frozenset("comment comments reply ad advert sponsored promo related teaser".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 NEVER_BY_CLASS = frozenset(("html", "body", "main"))
 
 
@@ -81,8 +82,8 @@ def _outside(name: str, attrs: dict[str, str], in_article: bool, by_class: bool)
     named = set(WORDS.findall(" ".join(attrs.get(a, "") for a in ("class", "id", "role")).lower()))
     if name == "article":
         return bool(named & COMMENT_MARKS)
-    if in_article and name == "header":
-        return False
+    if name in HEADINGS or in_article and name == "header":
+        named -= {"header", "masthead"}  # the head of the article, not of the site
     return bool(named & MARKS)
 
 

@@ -136,9 +136,13 @@ def links(distinct: DataFrame, tree_size: int = TREE_SIZE) -> DataFrame:
     spark = distinct.sparkSession
     found, left = [], distinct.select(F.lit(0).cast("long").alias("mask"), "fingerprint")
     for number, level in enumerate(masks()):
-        table = [(_signed(m), _signed(child)) for m, each in level.items() for child in each]
-        rules = literal_table(spark, "mask long, child long", table)
-        shards = left.join(rules, "mask").select(
+        if number == 0:
+            children = F.array(*[F.lit(_signed(child)) for child in level[0]])
+            masked = left.select(F.explode(children).alias("child"), "fingerprint")
+        else:
+            table = [(_signed(m), _signed(child)) for m, each in level.items() for child in each]
+            masked = left.join(literal_table(spark, "mask long, child long", table), "mask")
+        shards = masked.select(
             F.col("child").alias("mask"), F.col("fingerprint").bitwiseAND(F.col("child")).alias("part"), "fingerprint"
         )
         sizes = shards.groupBy("mask", "part").agg(F.count("*").alias("n")).filter("n > 1")
@@ -210,9 +214,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
     linked = roots.join(distinct, roots.node == distinct.fingerprint).select("root", "fingerprint", "least")
     whole = linked.groupBy("root").agg(F.min("least").alias("component"))
     joined = linked.select("root", "fingerprint").join(whole, "root").select("fingerprint", "component")
-    known = distinct.join(joined, "fingerprint", "left").select(
+    # Written, so that the last join has a plain shuffle on either side, which Spark can split where a fingerprint is hot.
+    known = pinned(distinct.join(joined, "fingerprint", "left").select(
         F.col("fingerprint").alias("mark"), F.coalesce("component", "least").alias("component_id")
-    )
+    ))
     return marks.join(known, marks.fingerprint == known.mark).select(
         F.col("id").alias(key), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
