@@ -1,12 +1,13 @@
 """Main text of web pages: page structure first, then a suffix array over the pages of a host.
 
 **Structure.** A page is read once into blocks of visible text. Blocks inside menus, headers, footers, sidebars, notices, adverts, forms,
-reader comments and the like are told by their elements, classes, ids and roles. If a page marks its article (`article`, `main`), that is
-its main text and all of it stays, be it repeated on other pages or not.
+reader comments and the like are told by their elements, classes, ids and roles. If a page marks its article or its main element, the
+main text is in there.
 
-**Host suffix array.** Pages that mark no article keep what is theirs: the token streams of a host's pages are concatenated, suffixes are
-sorted by their first `run` tokens (prefix doubling, so three sorts for eight tokens), and neighbours that agree on them from at least
-`pages` different pages mark boilerplate. Covered tokens go, the unique runs between them stay in their blocks.
+**Host suffix array.** The token streams of a host's pages, with all their visible blocks, are concatenated; suffixes are sorted by their
+first `run` tokens (prefix doubling, so three sorts for eight tokens), and neighbours that agree on them from at least `pages` different
+pages mark boilerplate. Of the candidate blocks the covered tokens go, the unique runs between them stay. What a page marks as its article
+is not touched: articles quote and copy each other, and all of an article is main text.
 
 **Hot hosts.** A host of more than `host_pages` pages is dealt to groups of about that many by a hash of the page: a run that is boilerplate of
 the host is found in each of them, and no task holds a whole host.
@@ -37,6 +38,8 @@ WORDS = re.compile(r"[a-z0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
+#: Elements whose content no reader sees as text.
+UNSEEN = frozenset("head script style noscript template svg math canvas object iframe audio video datalist textarea title xmp noembed noframes".split())
 #: Elements whose content is never main text.
 OUTSIDE = frozenset(
     "head script style noscript template svg math canvas object iframe audio video nav menu header footer aside form fieldset button "
@@ -88,11 +91,11 @@ def _outside(name: str, attrs: dict[str, str], in_article: bool, by_class: bool)
 
 
 def blocks(page: str | None, by_class: bool = True) -> list[tuple[int, str]]:
-    """The visible blocks of a page in order: (2 in an article, 1 in a main element, 0 elsewhere; text with single spaces)."""
+    """The visible blocks of a page in order: (2 in an article, 1 in a main element, 0 elsewhere, -1 outside the main text; text)."""
     page = page or ""
     found: list[tuple[int, str]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]  # element, outside the main text, level
+    stack: list[tuple[str, bool, int]] = [("", False, 0)]  # element, not shown to a reader, level
 
     def end() -> None:
         text = " ".join("".join(held).split())
@@ -103,7 +106,7 @@ def blocks(page: str | None, by_class: bool = True) -> list[tuple[int, str]]:
     def close(name: str) -> None:
         for at in range(len(stack) - 1, 0, -1):
             if stack[at][0] == name:
-                if any(s[0] in BLOCKS for s in stack[at:]):
+                if any(s[0] in BLOCKS for s in stack[at:]) or stack[at][2] != stack[at - 1][2]:
                     end()
                 del stack[at:]
                 return
@@ -136,34 +139,37 @@ def blocks(page: str | None, by_class: bool = True) -> list[tuple[int, str]]:
             end()
         if name in VOID:
             continue
-        _, outside, level = stack[-1]
-        if not outside:
+        _, unseen, level = stack[-1]
+        unseen = unseen or name in UNSEEN
+        if level >= 0:
             known = _attributes(attrs) if attrs.strip(" /\n\t") else {}
-            outside = _outside(name, known, level == 2, by_class)
-            if not outside and (name == "article" or known.get("itemprop", "").lower() == "articlebody"):
+            if _outside(name, known, level == 2, by_class):
+                if name not in BLOCKS:  # the text around an inline element is in another block than its own
+                    end()
+                level = -1
+            elif name == "article" or known.get("itemprop", "").lower() == "articlebody":
                 level = 2
-            elif not outside and (name == "main" or known.get("role", "").lower() == "main"):
+            elif name == "main" or known.get("role", "").lower() == "main":
                 level = max(level, 1)
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            if not outside:
-                held.append(html_module.unescape(page[at:stop.start() if stop else len(page)]))
             at = stop.end() if stop else len(page)
             continue
         if not attrs.rstrip().endswith("/") or name in BLOCKS or name in OUTSIDE:
-            stack.append((name, outside, level))
+            stack.append((name, unseen, level))
     end()
     return found
 
 
-def page_blocks(page: str | None) -> tuple[bool, list[str]]:
-    """Whether the page marks its article, and the blocks of it, or else all blocks that look like content."""
+def page_blocks(page: str | None) -> tuple[int, list[tuple[int, str]]]:
+    """The level of the page's main text, and all its visible blocks with theirs."""
+    found: list[tuple[int, str]] = []
     for by_class in (True, False):  # a layout whose outermost class looks like a sidebar must not cost the page
         found = blocks(page, by_class)
-        if found:
-            level = max(kind for kind, _ in found)
-            return level > 0, [text for kind, text in found if kind == level]
-    return False, []
+        level = max((kind for kind, _ in found), default=-1)
+        if level >= 0:
+            return level, found
+    return -1, found
 
 
 def repeated(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
@@ -208,18 +214,16 @@ def repeated(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> li
 def main_texts(pages_html: list[str | None], run: int = RUN, pages: int = PAGES) -> list[str]:
     """The main text of each page of one host."""
     read = [page_blocks(p) for p in pages_html]
-    if all(marked for marked, _ in read):
-        return [" ".join(found) for _, found in read]
-    tokens = [[b.split(" ") for b in found] for _, found in read]
-    covered = repeated([[t for b in page for t in b] for page in tokens], run, pages)
+    tokens = [[text.split(" ") for _, text in found] for _, found in read]
+    covered = repeated([[t for block in page for t in block] for page in tokens], run, pages)
     texts = []
-    for (marked, found), page, mask in zip(read, tokens, covered):
-        if marked:
-            texts.append(" ".join(found))
-            continue
+    for (level, found), page, mask in zip(read, tokens, covered):
         at, kept = 0, []
-        for block in page:
-            kept += [t for t, gone in zip(block, mask[at:at + len(block)]) if not gone]
+        for (kind, _), block in zip(found, page):
+            if kind == level == 2:
+                kept += block
+            elif kind == level >= 0:
+                kept += [t for t, gone in zip(block, mask[at:at + len(block)]) if not gone]
             at += len(block)
         texts.append(" ".join(kept))
     return texts

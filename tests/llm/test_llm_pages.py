@@ -65,6 +65,17 @@ def test_copies_are_no_boilerplate_and_articles_stay_whole():
     assert pages.main_texts(article) == [f"one two three four five six seven eight nine ten {i}" for i in range(4)]
 
 
+def test_outside_blocks_are_evidence_and_a_main_element_is_cleaned():
+    note = "all rights of this site are reserved by its owners"
+    marked = [f"<article>text {i}</article><footer>{note}</footer>" for i in range(3)]
+    plain = f"<main><div>{note}</div><div>one two</div></main>"
+    assert pages.main_texts([*marked, plain]) == ["text 0", "text 1", "text 2", "one two"]
+
+
+def test_inline_advert_splits_no_word():
+    assert pages.main_texts(["<p>one <span class='ad'>buy</span> two<b>three</b></p>"]) == ["one twothree"]
+
+
 def test_query_rows(spark):
     random.seed(1)
     rows = [(i, f"https://h{i % 3}.org/{i}", f"<nav>n</nav><article>text {i}</article>", "x", "y") for i in range(40)]
