@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import n_words
 
 CAPACITY = 1024
-SHARD_ITEMS = 16_384
+SHARD_ITEMS = 4096
 
 
 def pack(sizes: Sequence[int], sources: Sequence, clusters: Sequence, capacity: int) -> tuple[list[int], list[int]]:
