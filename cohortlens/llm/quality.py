@@ -25,7 +25,7 @@ COMMON_WORDS = 64
 MIN_WORDS, MIN_CHARS = 50, 100
 #: The largest distances: a constant and an allowance that shrinks with the square root of the number of words, as sampling noise does.
 CLASS_LIMIT = (0.18, 0.8)
-WORD_LIMIT = (0.31, 0.85)
+WORD_LIMIT = (0.33, 1.0)
 #: More languages than codes exist means that the column is none; the references would no longer be small.
 MAX_LANGUAGES = 10_000
 
