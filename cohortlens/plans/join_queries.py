@@ -80,6 +80,7 @@ def entity_resolution(t: Tables) -> DataFrame:
         round_even(coalesce(projects, 0) / total * 100 * 100, 0) / 100 AS per_100
       FROM metrics m LEFT JOIN grants USING (course) LEFT JOIN places USING (course) LEFT JOIN mixed x ON x.course = m.course""")
 def enrich_left(t: Tables) -> DataFrame:
+    """Campuses and priorities are left out of two sides so that some programmes have no match there: they get the defaults."""
     who = D.programmes(t)
     places = who.filter(F.col("campus") != "EUROPE").select("course", "campus", "area").distinct()
     parity = F.col("person") % 2
@@ -262,6 +263,7 @@ def lateral_explode(t: Tables) -> DataFrame:
       SELECT a.l_partkey AS partkey, a.l_suppkey AS suppkey, lines, quantity FROM a JOIN b
         ON (a.l_partkey, a.l_suppkey) = (b.l_partkey, b.l_suppkey)""")
 def composite_join(t: Tables) -> DataFrame:
+    """Returned and open lines meet on both keys; the other lines are in neither of the two sides that are compared."""
     keys = [F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey")]
     a = t.lineitem.filter(F.col("l_returnflag") == "R").groupBy(*keys).agg(
         F.sum(F.col("l_quantity").cast("decimal(28,2)")).alias("quantity")

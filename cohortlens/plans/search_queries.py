@@ -49,6 +49,7 @@ def queries(t: Tables) -> DataFrame:
 
 
 def title():
+    """The title of a document is its first sentence; texts are searched whole."""
     return F.regexp_extract("text", r"^([^.\n]*)", 1)
 
 
@@ -118,6 +119,7 @@ _FUSED = f"""{_CENTROIDS}, {_COVERAGE}, {_TITLES}, held AS (
       SELECT 'curso' AS kind, course AS key, course AS title, '{{"course":"' || course || '","risk_class":"' || risk_class || '","total":' || total || '}}' AS content FROM retention
       UNION ALL SELECT 'projeto', sha1(title || '|' || lang || '|' || source), title, '{{"lang":"' || lang || '","plans":' || plans || '}}' FROM titles""")
 def build_documents(t: Tables) -> DataFrame:
+    """A document per programme, and one per distinct title; here a title is a text's first line."""
     courses = retention(t).select(
         F.lit("curso").alias("kind"), F.col("course").alias("key"), F.col("course").alias("title"),
         json_record(F.col("course"), F.col("risk_class"), F.col("total")).alias("content"),
