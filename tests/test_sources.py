@@ -229,3 +229,19 @@ def test_order_reports_and_fingerprints(spark, rows):
     assert rows(lake.upsert_reports(reports, newer)) == [("a", "1"), ("b", None), ("c", "9")]
     assert lake.table_changed(df, df.unionByName(df)) and not lake.table_changed(df, df.orderBy("_order"))
     assert lake.fingerprint(df).first() != lake.fingerprint(df.fillna("")).first()
+
+
+def test_a_workspace_deletes_what_was_written_in_it(spark):
+    import os
+
+    from cohortlens.session import pinned, workspace
+
+    with workspace(spark):
+        outer = pinned(spark.range(3))
+        with workspace(spark):
+            inner = pinned(spark.range(4))
+            assert inner.count() == 4
+        folder = os.path.dirname(inner.inputFiles()[0].removeprefix("file://"))
+        assert not os.path.exists(folder) and outer.count() == 3
+    kept = pinned(spark.range(2))
+    assert kept.count() == 2
