@@ -81,7 +81,7 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
         F.least(F.lit(capacity).cast("long"), F.col("words") - F.col("piece").cast("long") * capacity).alias("size"),
         F.xxhash64("id", "cluster", "piece", "source").alias("hash"),
     )
-    # Rows are counted, not words: one more piece needs `capacity` words, which the sum of `words` bounds.
+    # The number of pieces decides how many shards there are.
     total = rows.agg(F.sum(F.greatest(F.ceil(F.col("words") / capacity), F.lit(1)))).first()[0] or 0
     shards = max(1, -(-int(total) // shard_items))
     schema = "id long, piece int, start long, size long, source string, cluster long, shard int, bin long, offset long"
