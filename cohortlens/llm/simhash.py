@@ -13,15 +13,16 @@ free: 32, then 16, then 8 free bits, where at most 256 distinct fingerprints exi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField
 
-from ..operators.ordering import literal_table
+from ..operators.ordering import literal_table, top_per_group
 from ..session import pinned
 
 RADIUS = 2
@@ -47,16 +48,17 @@ def simhash(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key` and `fingerprint` (a signed long) for each row."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", more: Sequence[str] = ()) -> DataFrame:
+    """`key`, `fingerprint` (a signed long) and the long columns `more` for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((simhash(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fingerprint"])
+            columns = [batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fingerprint", *more])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fingerprint long")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *more)
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("id", "fingerprint", *more)))
 
 
 def tree_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -202,6 +204,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
 
 
+def _groups(marks: DataFrame, tree_size: int) -> DataFrame:
+    """`mark`, `root` (the smallest fingerprint of the component, which names it) and `component_id` for each fingerprint of a written table."""
+    distinct = pinned(marks.groupBy("fingerprint").agg(F.min("id").alias("least")))
+    roots = pinned(components(links(distinct, tree_size)))
+    linked = roots.join(distinct, roots.node == distinct.fingerprint).select("root", "fingerprint", "least")
+    whole = linked.groupBy("root").agg(F.min("least").alias("component"))
+    joined = linked.select("root", "fingerprint").join(whole, "root").select("fingerprint", "root", "component")
+    # Written, so that the last join has a plain shuffle on either side, which Spark can split where a fingerprint is hot.
+    return pinned(distinct.join(joined, "fingerprint", "left").select(
+        F.col("fingerprint").alias("mark"), F.coalesce("root", "fingerprint").alias("root"), F.coalesce("component", "least").alias("component_id")
+    ))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", tree_size: int = TREE_SIZE) -> DataFrame:
     """`key`, `fingerprint` (16 hex digits) and `component_id` (the smallest key reachable) for each row.
 
@@ -209,25 +224,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
     other key has component null. Repeated rows give repeated results; an empty table gives an empty one. Other columns are ignored.
     """
     marks = pinned(fingerprints(docs, key, text))
-    distinct = pinned(marks.groupBy("fingerprint").agg(F.min("id").alias("least")))
-    roots = pinned(components(links(distinct, tree_size)))
-    linked = roots.join(distinct, roots.node == distinct.fingerprint).select("root", "fingerprint", "least")
-    whole = linked.groupBy("root").agg(F.min("least").alias("component"))
-    joined = linked.select("root", "fingerprint").join(whole, "root").select("fingerprint", "component")
-    # Written, so that the last join has a plain shuffle on either side, which Spark can split where a fingerprint is hot.
-    known = pinned(distinct.join(joined, "fingerprint", "left").select(
-        F.col("fingerprint").alias("mark"), F.coalesce("component", "least").alias("component_id")
-    ))
+    known = _groups(marks, tree_size)
     return marks.join(known, marks.fingerprint == known.mark).select(
         F.col("id").alias(key), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
+def _hash(row: Column, fields: list[StructField]) -> Column:
+    """A hash of all columns; maps, which Spark does not hash, by their JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(row[f.name])) if "map<" in f.dataType.simpleString() else row[f.name] for f in fields])
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one row of each component: that of the smallest key, of repeated keys the smallest text hash. All columns stay."""
-    groups = near_duplicates(docs, key, text)
-    stay = groups.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__stay")).distinct()
-    rows = docs.select(F.struct("*").alias("__row"), F.col(key).cast("long").alias("__key"))
-    order = W.partitionBy("__key").orderBy(F.xxhash64(F.col("__row")[text]))
-    joined = rows.join(stay, F.col("__key").eqNullSafe(F.col("__stay")))
-    return joined.withColumn("__at", F.row_number().over(order)).filter("__at = 1").select("__row.*")
+    """`docs` with one row of each component: that of the smallest key, nulls last, then the smallest hash of the text, then of the row.
+
+    Keys may be null or repeat: a component is known by its root fingerprint, a row by its key and two hashes of its text. All columns stay.
+    """
+    name = ["__none", "__key", "__hash", "__hash2"]
+    of_key = [F.col("id").isNull().alias("__none"), F.coalesce("id", F.lit(0).cast("long")).alias("__key")]
+    of_text = [F.xxhash64("text").alias("__hash"), F.xxhash64(F.lit(1), "text").alias("__hash2")]
+    short = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    marks = pinned(fingerprints(short.select("id", "text", *of_text), "id", "text", name[2:]))
+    known = _groups(marks, TREE_SIZE)
+    found = marks.join(known, marks.fingerprint == known.mark).select("root", F.struct(*of_key, *name[2:]).alias("row"))
+    stay = found.groupBy("root").agg(F.min("row").alias("row")).select("row.*")
+    whole = docs.select(F.struct("*").alias("__row"))
+    rows = whole.select("__row", F.col("__row")[key].cast("long").alias("id"), F.col("__row")[text].cast("string").alias("text"))
+    # Equal keys and texts: one row per task is left before the shuffle, which the join then shares.
+    single = top_per_group(rows.select("__row", *of_key, *of_text), name, [_hash(F.col("__row"), docs.schema.fields)])
+    return single.join(stay, name, "left_semi").select("__row.*")

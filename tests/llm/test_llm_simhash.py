@@ -5,6 +5,7 @@ from itertools import combinations
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cohortlens.llm import simhash
 
@@ -104,3 +105,16 @@ def test_one_of_each_group_stays(odd, documents):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "3", "6", "8", "None", "9", "10", "11"])
     groups = simhash.near_duplicates(documents).collect()
     assert sorted(r.doc_id for r in simhash.keep_one(documents).collect()) == sorted({r.component_id for r in groups})
+
+
+def test_groups_with_null_and_repeated_keys_each_keep_one(spark):
+    one, two, three, four = ("alpha beta gamma delta", "red green blue black", "north south east west", "iron gold zinc lead")
+    rows = [
+        (None, one, "x"), (None, two, "x"), (None, two, "y"),  # unlike texts without a key
+        (5, three, "x"), (5, four, "x"), (5, four, "x"), (9, four.upper(), "x"),  # one key, two texts; one has a copy under a larger key
+        (3, one + " more words", "x"), (None, one + " more words", "x"),  # the keyed row stands for its group
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.withColumn("tags", F.create_map(F.lit("a"), F.col("source")))
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(None, one), (None, two), (5, three), (5, four), (3, one + " more words")], key=str)
