@@ -3,6 +3,10 @@
 Two histograms of a text are compared with those of its language: character classes, and the language's most common words with one
 bin for all other words. The references are sums over all documents of the language. The divergence is the Jensen-Shannon distance
 (square root of the divergence in bits, 0 to 1). Short texts are too noisy for a verdict and pass it.
+
+**No language, or a rare one.** A document that names no language, or one that fewer than `MIN_DOCUMENTS` texts long enough for a verdict
+have, is compared with every language that has so many, and judged by the nearest: it is odd if it is odd in all of them. If no language
+has so many, each named one is its own reference, and documents that name none get no verdict.
 """
 
 from __future__ import annotations
@@ -26,7 +30,11 @@ MIN_WORDS, MIN_CHARS = 50, 100
 #: The largest distances: a constant and an allowance that shrinks with the square root of the number of words, as sampling noise does.
 CLASS_LIMIT = (0.18, 0.8)
 WORD_LIMIT = (0.33, 1.0)
-#: More languages than codes exist means that the column is none; the references would no longer be small.
+#: Texts long enough for a verdict that make a language a reference.
+MIN_DOCUMENTS = 8
+#: Languages that name none: blank, and the codes for undetermined, several, uncoded and no linguistic content.
+UNNAMED = ("", "und", "mul", "mis", "zxx")
+#: More languages than codes exist means that the column is none: the most frequent are references, so that these stay small.
 MAX_LANGUAGES = 10_000
 
 _TABLE: list[np.ndarray] = []
@@ -89,6 +97,11 @@ def repeated_lines(text: str) -> int:
     return again
 
 
+def long_enough(words: int, chars: int) -> bool:
+    """Whether a text gets a verdict from the histograms."""
+    return words >= MIN_WORDS and chars >= MIN_CHARS
+
+
 def distance(p: np.ndarray, q: np.ndarray) -> float:
     """Jensen-Shannon distance of two histograms with base 2."""
     p, q = p / max(p.sum(), 1), q / max(q.sum(), 1)
@@ -100,11 +113,13 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, min(1.0, total / 2))))
 
 
-def references(rows: DataFrame, common: int = COMMON_WORDS) -> dict[str | None, tuple[np.ndarray, list[str], np.ndarray]]:
-    """Per language: class counts, its most common words, and their counts with that of all other words at the end.
+def references(rows: DataFrame, common: int = COMMON_WORDS) -> tuple[dict[str, tuple[np.ndarray, list[str], np.ndarray]], bool]:
+    """Per language: class counts, its most common words, and their counts with that of all other words at the end. And whether they have the support.
 
     Each task adds up what it reads and hands out partial counts; only `common` words a language come to the driver.
     """
+    rows = rows.filter(F.col("lang").isNotNull() & ~F.lower(F.trim("lang")).isin(*UNNAMED))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(langs, kinds, names, counts):
             return pa.RecordBatch.from_arrays(
@@ -114,44 +129,48 @@ def references(rows: DataFrame, common: int = COMMON_WORDS) -> dict[str | None,
 
         def flush():
             found = [(lang, 1, w, n) for lang, c in words.items() for w, n in c.items()]
+            found += [(lang, 0, str(i), int(n)) for lang, c in classes.items() for i, n in enumerate(c)]
             words.clear()
+            classes.clear()
             for at in range(0, len(found), 50_000):
                 yield out(*zip(*found[at:at + 50_000]))
 
-        classes: dict = defaultdict(lambda: np.zeros(len(CLASSES), np.int64))
+        classes: dict = defaultdict(lambda: np.zeros(len(CLASSES) + 1, np.int64))  # at the end: texts long enough for a verdict
         words: dict = defaultdict(Counter)
         for batch in batches:
             raw: dict = defaultdict(Counter)
             for lang, text in zip(batch.column(1).to_pylist(), batch.column(2)):
                 text = text.as_py() or ""
-                classes[lang] += class_counts(text)
-                raw[lang].update(text.encode().split())
+                kinds, found = class_counts(text), text.encode().split()
+                classes[lang] += np.append(kinds, long_enough(len(found), len(text) - int(kinds[0])))
+                raw[lang].update(found)
             for lang, counts in raw.items():
                 for w, n in counts.items():
                     words[lang][plain(w)] += n
-            if sum(map(len, words.values())) > 500_000:
+            if sum(map(len, words.values())) > 500_000 or len(classes) > 50_000:
                 yield from flush()
         yield from flush()
-        if classes:
-            found = [(lang, 0, str(i), int(n)) for lang, c in classes.items() for i, n in enumerate(c)]
-            yield out(*zip(*found))
 
     sums = pinned(rows.mapInArrow(count, "lang string, kind int, name string, n long").groupBy("lang", "kind", "name").agg(F.sum("n").alias("n")))
-    totals = sums.groupBy("lang", "kind").agg(F.sum("n").alias("n")).limit(2 * MAX_LANGUAGES + 1).collect()
-    if len(totals) > 2 * MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    support = sums.filter((F.col("kind") == 0) & (F.col("name") == str(len(CLASSES)))).select("lang", F.col("n").alias("documents"))
+    known = {r.lang: r.documents for r in support.orderBy(F.desc("documents"), "lang").limit(MAX_LANGUAGES).collect()}
+    supported = any(n >= MIN_DOCUMENTS for n in known.values())
+    used = [(lang,) for lang, n in known.items() if n >= MIN_DOCUMENTS or not supported]
+    if not used:
+        return {}, False
+    sums = sums.join(F.broadcast(sums.sparkSession.createDataFrame(used, "lang string")), "lang")
     most = ranked_per_group(sums.filter("kind = 1 and name <> ''"), ["lang"], [F.desc("n"), F.asc("name")], common).collect()
-    classes = defaultdict(lambda: np.zeros(len(CLASSES)))
+    classes = defaultdict(lambda: np.zeros(len(CLASSES) + 1))
     for r in sums.filter("kind = 0").collect():
         classes[r.lang][int(r.name)] = r.n
-    all_words = {r.lang: r.n for r in totals if r.kind == 1}
+    all_words = {r.lang: r.n for r in sums.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     tops = defaultdict(list)
     for r in sorted(most, key=lambda r: r.position):
         tops[r.lang].append((r.name, r.n))
     return {
-        lang: (classes[lang], [w for w, _ in tops[lang]], np.array([n for _, n in tops[lang]] + [all_words.get(lang, 0) - sum(n for _, n in tops[lang])], float))
-        for lang in classes
-    }
+        lang: (classes[lang][:-1], [w for w, _ in tops[lang]], np.array([n for _, n in tops[lang]] + [all_words.get(lang, 0) - sum(n for _, n in tops[lang])], float))
+        for lang, in used
+    }, supported
 
 
 VERDICT = (
@@ -164,8 +183,8 @@ def limit(of: tuple[float, float], words: int) -> float:
     return of[0] + of[1] / words ** 0.5
 
 
-def judge(text: str | None, reference) -> tuple:
-    """The verdict on one text, in the order of `VERDICT` without the id."""
+def judge(text: str | None, candidates: list) -> tuple:
+    """The verdict on one text by the nearest of some references (none: no verdict), in the order of `VERDICT` without the id."""
     text = text or ""
     words = text.encode().split()  # bytes: splits on 20 and 09-0D only
     classes = class_counts(text)
@@ -173,15 +192,21 @@ def judge(text: str | None, reference) -> tuple:
     chars = len(text) - int(classes[0])
     failed = len(words) < 50 or 100 * repeats > 50 * len(words)
     by_class = by_word = None
-    if len(words) >= MIN_WORDS and chars >= MIN_CHARS:
-        of_classes, names, of_words = reference
-        by_class = distance(classes.astype(float), of_classes)
-        place = {w: i for i, w in enumerate(names)}
-        mine = np.zeros(len(names) + 1)
+    odd = False
+    if candidates and long_enough(len(words), chars):
+        counts: Counter = Counter()
         for w, n in Counter(words).items():
-            mine[place.get(plain(w), len(names))] += n
-        by_word = distance(mine, of_words)
-    odd = by_class is not None and (by_class > limit(CLASS_LIMIT, len(words)) or by_word > limit(WORD_LIMIT, len(words)))
+            counts[plain(w)] += n
+        by_limit = limit(CLASS_LIMIT, len(words)), limit(WORD_LIMIT, len(words))
+        nearest = None
+        for of_classes, names, of_words in candidates:
+            mine = np.array([counts[w] for w in names] + [0.0])
+            mine[-1] = len(words) - mine.sum()
+            found = distance(classes.astype(float), of_classes), distance(mine, of_words)
+            far = max(found[0] / by_limit[0], found[1] / by_limit[1])
+            if nearest is None or far < nearest:
+                nearest, (by_class, by_word) = far, found
+        odd = by_class > by_limit[0] or by_word > by_limit[1]
     return (len(words), chars, int(classes[1]), repeated_lines(text), repeats, failed, not failed and not odd, by_class, by_word)
 
 
@@ -189,24 +214,25 @@ def _rows(docs: DataFrame, first, lang: str, text: str) -> DataFrame:
     return docs.select(first, F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
 
 
-def _judge_all(batch: pa.RecordBatch, refs: dict) -> list[tuple]:
-    return [judge(t.as_py(), refs.get(lang)) for lang, t in zip(batch.column(1).to_pylist(), batch.column(2))]
+def _judge_all(batch: pa.RecordBatch, refs: dict, supported: bool) -> list[tuple]:
+    every = list(refs.values()) if supported else []
+    return [judge(t.as_py(), [refs[lang]] if lang in refs else every) for lang, t in zip(batch.column(1).to_pylist(), batch.column(2))]
 
 
 def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", common: int = COMMON_WORDS) -> DataFrame:
     """One row per document: the base counts, `base_failed`, `kept` and both distances (null where the length guard passed it).
 
-    A null text counts as empty and fails the base rule. A null language is a language of its own. Repeated rows are judged each.
-    An empty table gives an empty result. Other columns are ignored.
+    A null text counts as empty and fails the base rule. Without a language, or with a rare one, the nearest reference judges; without
+    any reference the distances are null and the text passes. Repeated rows are judged each. An empty table gives an empty result. Other columns are ignored.
     """
     rows = _rows(docs, F.col(key).cast("long").alias("id"), lang, text)
-    refs = references(rows, common)
+    refs, supported = references(rows, common)
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
     names = [field.split()[0] for field in VERDICT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _judge_all(batch, refs)
+            found = _judge_all(batch, refs, supported)
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
@@ -215,12 +241,12 @@ def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 def passing(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON_WORDS) -> DataFrame:
     """The rows of `docs` that are kept, with all their columns, judged where they are read: no shuffle."""
-    refs = references(_rows(docs, F.lit(0).alias("id"), lang, text), common)
+    refs, supported = references(_rows(docs, F.lit(0).alias("id"), lang, text), common)
     rows = _rows(docs, F.struct("*").alias("row"), lang, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array([f[6] for f in _judge_all(batch, refs)], pa.bool_())
+            keep = pa.array([f[6] for f in _judge_all(batch, refs, supported)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep)], names=["row"])
 
     return rows.mapInArrow(run, rows.select("row").schema).select("row.*")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.llm import quality
 
@@ -87,3 +88,24 @@ def test_same_rows_pass(documents):
 def test_distance(p, q):
     assert quality.distance(np.array(p, float), np.array(q, float)) == pytest.approx(slow_distance(p, q), abs=1e-9)
     assert 0 <= quality.distance(np.array(p, float), np.array(q, float)) <= 1
+
+
+def test_null_and_rare_languages_are_judged_by_the_nearest_reference(spark):
+    """On sf0.1 a third of the rows loses its language: no clean document goes, and no more junk passes than with it."""
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    third = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    tag = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("tag"), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 4 == 1, F.lit("und"))
+    lost = docs.withColumn("lang", F.when(third, tag).otherwise(F.col("lang")))
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    judged = quality.verdicts(lost).join(labels, "doc_id").filter("not base_failed").filter(third)
+    by = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+    assert by[1, True] > 500 and by.get((1, False), 0) <= 0.001 * by[1, True]
+    assert by.get((0, True), 0) <= 0.25 * (by.get((0, False), 0) + by.get((0, True), 0))
+    assert judged.filter("class_distance < 0.001").count() == 0
+
+
+def test_no_reference_gives_no_verdict(spark):
+    text = " ".join(f"w{i}" for i in range(60)) + " enough characters for a verdict"
+    got = quality.verdicts(spark.createDataFrame([(1, text, None)], "doc_id long, text string, lang string")).first()
+    assert got.kept and got.class_distance is None and got.word_distance is None
