@@ -66,3 +66,20 @@ def test_several_speakers_and_odd_rows(spark, part_turns):
     assert chat.rotations(df.limit(0)).count() == 0
 
 
+def test_large_parts_of_null_and_repeated_numbers_are_cut(spark):
+    """A conversation without a key, with null, repeated and equal turns: the parts in order are the text, and none is too large."""
+    turns = [(None, None if i % 3 == 0 else i % 2, "ab"[i % 2], f"t{i % 40}") for i in range(200)] + [(1, 0, "a", "x"), (1, 1, "b", "y")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = sorted(chat.rotations(df, part_rows=16).collect(), key=lambda r: r.part)
+    assert max(r.n_turns for r in got) == 16
+    whole = slow(turns, chat.PART_TURNS)
+    for (conv, who), parts in whole.items():
+        mine = [r for r in got if (r.conv_id, r.perspective) == (conv, who)]
+        text = "".join(t for t, _ in parts)
+        assert "".join(r.rendered for r in mine) == text and [r.part for r in mine] == list(range(len(mine)))
+        starts = [0]
+        for t, _ in parts:
+            starts.append(starts[-1] + len(t))
+        wanted = [(at + a, at + b) for at, (_, spans) in zip(starts, parts) for a, b in spans]
+        assert [tuple(r.start + int(x) for x in s.split("-")) for r in mine for s in r.mask.split(",") if s] == wanted
+        assert all(r.n_chars == len(r.rendered) and r.rendered == text[r.start:r.start + r.n_chars] for r in mine)
