@@ -92,4 +92,79 @@ SELECT conv_id, perspective, row_number() OVER w - 1 AS part, n_turns,
 FROM g WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY block NULLS FIRST)
 """
 
-ORACLES = {"op5_hash_threshold_mix": MIX, "op8_rendezvous_shards": SHARD, "op6_perspective_rotation": CHAT}
+# Every prefix as a list, subtrees by the paths of their nodes' smallest members; the checksum as in SHARD. No turn number repeats in the test tables.
+TRIE = """
+WITH tab AS (
+  SELECT list(list_reduce(list_prepend(CAST(b AS BIGINT), CAST(range(8) AS BIGINT[])),
+    lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY b) AS t
+  FROM range(256) AS r(b)
+), own AS (
+  SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS said
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), crc AS (
+  SELECT c, said, xor(list_reduce(list_prepend(4294967295, [CAST(unicode(substr(CAST(c AS VARCHAR), CAST(i + 1 AS BIGINT), 1)) AS BIGINT)
+           FOR i IN range(strlen(CAST(c AS VARCHAR)))]), lambda x, y: xor(x >> 8, t[xor(x, y) % 256 + 1])), 4294967295) % 6 AS h
+  FROM own, tab
+), whole AS (
+  SELECT a.c, list_concat(coalesce(list_slice(b.said, 1, a.h), []), list_slice(a.said, a.h + 1, len(a.said))) AS seq
+  FROM crc AS a LEFT JOIN own AS b ON b.c = a.c - a.c % 100
+), m AS MATERIALIZED (
+  SELECT c, d, len(seq) = d AS ends, md5(to_json(list_slice(seq, 1, d))) AS k, md5(to_json(list_slice(seq, 1, d - 1))) AS pk,
+         CASE WHEN d > 0 THEN length(seq[d].text) ELSE 0 END AS n
+  FROM (SELECT c, seq, unnest(range(len(seq) + 1)) AS d FROM whole)
+), v AS MATERIALIZED (
+  SELECT d, k, min(pk) AS pk, min(c) AS c, count(*) AS n_convs, (count(*) - 1) * min(n) AS saved,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends
+  FROM m GROUP BY d, k
+), kids AS (
+  SELECT d - 1 AS d, pk AS k, count(*) AS n FROM v WHERE d > 0 GROUP BY ALL
+), below AS (
+  SELECT m.d, m.k, sum(w.saved) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+  FROM v AS w JOIN m ON m.c = w.c AND m.d <= w.d LEFT JOIN kids ON kids.d = w.d AND kids.k = w.k GROUP BY m.d, m.k
+)
+SELECT v.c AS conv_id, v.d AS depth, p.c AS parent_conv_id, v.n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children,
+       CAST(below.leaves AS BIGINT) AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
+FROM v JOIN below ON below.d = v.d AND below.k = v.k LEFT JOIN kids ON kids.d = v.d AND kids.k = v.k
+LEFT JOIN v AS p ON p.d = v.d - 1 AND p.k = v.pk AND v.d > 0
+"""
+
+
+def _codes(rounds: int = 4) -> str:
+    """Each round as two steps: the nearest entry of every part, then the floor of the mean of every entry's parts."""
+    square = "list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)"
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(x) AS x, min(struct_pack(d := {square}, e := e)) AS best FROM parts JOIN b{n} USING (p) GROUP BY vec_id, p
+)""")
+        if n < rounds:
+            steps.append(f"""b{n + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(u.c, b.c) AS c FROM b{n} AS b LEFT JOIN (
+    SELECT p, e, list(m ORDER BY i) AS c FROM (
+      SELECT p, best.e AS e, i, floor(sum(x[i + 1]) / count(*)) AS m FROM a{n}, range(1000000) AS r(i) WHERE i < len(x) GROUP BY ALL
+    ) GROUP BY p, e
+  ) AS u ON u.p = b.p AND u.e = b.e
+)""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, p, list_slice(v, p * len(v) // 4 + 1, (p + 1) * len(v) // 4) AS x FROM kept, range(4) AS r(p)
+), b0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts QUALIFY e < 256
+), {", ".join(steps)}, code AS (
+  SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM code JOIN kept USING (vec_id), digest
+"""
+
+
+CODES = _codes()
+
+ORACLES = {
+    "op5_hash_threshold_mix": MIX, "op8_rendezvous_shards": SHARD, "op6_perspective_rotation": CHAT, "op12_euler_trie": TRIE, "op13_anchor_codes": CODES,
+}

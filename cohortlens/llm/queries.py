@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, orderhash, packing, pages, quality, rows, separators, sharding, simhash
+from . import chat, mixing, multiindex, orderhash, packing, pages, partcodes, quality, rows, separators, sharding, simhash, trie
 from .oracles import ORACLES
 
 
@@ -56,11 +56,24 @@ def op10_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op11_inverted_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_euler_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_anchor_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partcodes.coded(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_separator_scan, op2_bfd_rows, op3_host_suffix_array, op4_simhash_bktree, op5_hash_threshold_mix, op6_perspective_rotation,
         op7_order_minhash, op8_rendezvous_shards, op9_language_divergence, op10_conflict_packing,
+        op11_inverted_multiindex, op12_euler_trie, op13_anchor_codes,
     )
 }
 ORACLE_SQL = {name: sql for name, sql in ORACLES.items() if name in QUERIES}
