@@ -1,137 +1,181 @@
-"""Partitioned Parquet tables: windows are Spark's own partitions.
+"""Partitioned Parquet tables bound to their folder: windows are Spark's own partitions.
 
-A table is a Parquet table of the session's catalog below one folder. A whole replacement is an overwrite, some windows are replaced by
-Spark's dynamic partition overwrite, and a window that lost all its rows is dropped as a partition. A layer that must change in several
-tables at once, or that has several writers, belongs in a table format with transactions.
+A table is the folder `<root>/<name>`, with its schema and window column described in `<root>/<name>.schema`; nothing is kept in a session
+or a catalog, so any later session on the same folder goes on with it. A whole replacement is an overwrite, some windows are replaced by
+Spark's dynamic partition overwrite (as an option of the write, no setting of the session), and a window that lost all its rows is
+overwritten with none. A layer that must change in several tables at once, or that has several writers, belongs in a table format with
+transactions.
 """
 
 from __future__ import annotations
 
-import uuid
+import json
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
+from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.periods import window_start
 from ..functions.records import row_digest
 from ..session import pinned
 
 ORDER = "_order"
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+#: What Spark replaces by % and two hex digits in the name of a partition's folder, beside control characters.
+ESCAPED = "\"#%'*/:=?\\\x7f{[]^"
 
 
-def _literal(window) -> str:
-    return "null" if window is None else f"'{window}'" if isinstance(window, str) else str(window)
+@dataclass(frozen=True)
+class Description:
+    """What a table's folder does not say: the type of its window, and the columns of an empty table."""
+
+    schema: T.StructType
+    window: str | None
+
+    def line(self) -> str:
+        return json.dumps({"window": self.window, "schema": json.loads(self.schema.json())})
+
+
+def partition_folder(window: str, value: str | None) -> str:
+    """The name that Spark gives the folder of a partition; `value` is the window as text."""
+    if value is None:
+        return f"{window}={NO_VALUE}"
+    return f"{window}=" + "".join(f"%{ord(c):02X}" if c in ESCAPED or ord(c) < 32 else c for c in value)
 
 
 class Lake:
     """Tables below a folder, by name."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self._own = spark, root.rstrip("/"), uuid.uuid4().hex[:12]
+        self.spark, self.root = spark, root.rstrip("/")
 
-    def _name(self, table: str) -> str:
-        return f"lake_{self._own}_{table}"
+    def _path(self, table: str) -> str:
+        return f"{self.root}/{table}"
+
+    def describe(self, table: str) -> Description | None:
+        """The table's description, None without such a table."""
+        try:
+            line = self.spark.read.text(f"{self._path(table)}.schema").first()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        if line is None:
+            return None
+        held = json.loads(line[0])
+        return Description(T.StructType.fromJson(held["schema"]), held["window"])
+
+    def _known(self, table: str) -> Description:
+        found = self.describe(table)
+        if found is None:
+            raise ValueError(f"there is no table {table} in {self.root}")
+        return found
 
     def exists(self, table: str) -> bool:
-        return self.spark.catalog.tableExists(self._name(table))
+        return self.describe(table) is not None
 
     def window_of(self, table: str) -> str | None:
         """The column that a table is partitioned by."""
-        return next((c.name for c in self.spark.catalog.listColumns(self._name(table)) if c.isPartition), None)
+        return self._known(table).window
 
     def windows(self, table: str) -> list:
-        """The windows that have a partition; rows without a window come last as None."""
-        found = [r[0] for r in self.read(table).select(self.window_of(table)).distinct().collect()]
-        return sorted(found, key=lambda w: (w is None, w if w is not None else 0))
+        """The windows that have rows; rows without a window come last as None."""
+        return _in_order(r[0] for r in self.read(table).select(self.window_of(table)).distinct().collect())
 
     def read(self, table: str, first: int | None = None, last: int | None = None, width: int = 5) -> DataFrame:
         """The rows; with `first` and `last` years, only the windows that can hold them are read."""
-        df = self.spark.table(self._name(table))
-        window = F.col(self.window_of(table)) if first is not None or last is not None else None
+        known = self._known(table)
+        df = self.spark.read.schema(known.schema).parquet(self._path(table))
+        window = F.col(known.window) if first is not None or last is not None else None
         if first is not None:
             df = df.filter(window >= first - first % width)
         if last is not None:
             df = df.filter(window <= last - last % width)
         return df
 
+    def _write(self, df: DataFrame, path: str, window: str | None, mode: str, partitions: str = "static") -> None:
+        writer = df.write.mode(mode).option("partitionOverwriteMode", partitions).option("compression", "zstd")
+        writer = writer.option("parquet.compression.codec.zstd.level", 3)
+        (writer.partitionBy(window) if window else writer).parquet(path)
+
     def replace(self, table: str, df: DataFrame, window: str | None = None) -> int:
-        """The whole table; returns its rows. With `window`, it is partitioned by that column."""
+        """The whole table; returns its rows. With `window`, it is partitioned by that column. Rows that come from the table itself are refused."""
+        own = f"{urlsplit(self._path(table)).path}/"
+        if any(unquote(urlsplit(file).path).startswith(own) for file in df.inputFiles()):
+            raise ValueError(f"{table} can't be replaced by rows that are read from it: write them aside first")
         if window:
             # Rows of a window are spread over files by size, not squeezed into one task.
             df = df.select(*[c for c in df.columns if c != window], window).hint("rebalance", window)
-        if self.exists(table) and self.spark.table(self._name(table)).columns == df.columns:
-            self._overwrite(table, df, "static")
-        else:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(table)}")
-            writer = df.write.option("path", f"{self.root}/{table}-{uuid.uuid4().hex[:8]}").option("compression", "zstd")
-            writer = writer.option("parquet.compression.codec.zstd.level", 3).format("parquet")
-            (writer.partitionBy(window) if window else writer).saveAsTable(self._name(table))
+        described = Description(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema]), window)
+        self._write(df, self._path(table), window, "overwrite")
+        if self.describe(table) != described:
+            line = self.spark.createDataFrame([(described.line(),)], "line string")
+            line.coalesce(1).write.mode("overwrite").text(f"{self._path(table)}.schema")
         return self.read(table).count()
 
-    def _overwrite(self, table: str, df: DataFrame, mode: str) -> None:
-        """Overwrites every partition (static) or those that `df` has rows of (dynamic). A write option does not reach a catalog table."""
-        setting = "spark.sql.sources.partitionOverwriteMode"
-        before = self.spark.conf.get(setting)
-        self.spark.conf.set(setting, mode)
-        try:
-            df.write.insertInto(self._name(table), overwrite=True)
-        finally:
-            self.spark.conf.set(setting, before)
-
     def append(self, table: str, df: DataFrame) -> None:
-        columns = self.spark.table(self._name(table)).columns
-        df.select(*columns).write.insertInto(self._name(table))
+        known = self._known(table)
+        self._write(df.select(*_typed(known.schema)), self._path(table), known.window, "append")
 
     def replace_windows(self, table: str, df: DataFrame, windows: Iterable) -> int:
-        """Only the given windows, None among them; one that has no rows in `df` goes. Returns the rows written."""
-        window = self.window_of(table)
+        """Only the given windows, None among them; one that has no rows in `df` is emptied. Returns the rows written.
+
+        Columns and types stay those of the stored table.
+        """
+        known = self._known(table)
+        window = known.window
         if window is None:
             raise ValueError(f"{table} has no windows to replace")
         wanted = set(windows)
         if not wanted:
             return 0
-        known = [w for w in wanted if w is not None]
-        chosen = F.col(window).isin(*known) if known else F.lit(False)
+        values = [w for w in wanted if w is not None]
+        chosen = F.col(window).isin(*values) if values else F.lit(False)
         if None in wanted:
             chosen = chosen | F.col(window).isNull()
-        rows = pinned(df.filter(chosen).select(*self.spark.table(self._name(table)).columns))
+        rows = pinned(df.select(*_typed(known.schema)).filter(chosen))
         counts = {r[0]: r["count"] for r in rows.groupBy(window).count().collect()}
         if counts:
-            self._overwrite(table, rows.hint("rebalance", window), "dynamic")
-        for gone in wanted - set(counts):
-            self.spark.sql(f"ALTER TABLE {self._name(table)} DROP IF EXISTS PARTITION ({window} = {_literal(gone)})")
+            self._write(rows.hint("rebalance", window), self._path(table), window, "overwrite", "dynamic")
+        gone = _in_order(set(self.windows(table)) & wanted - set(counts))
+        if gone:
+            named = self.spark.range(1).select(*[F.lit(w).cast(known.schema[window].dataType).cast("string") for w in gone]).first()
+            for value in named:
+                self._write(rows.limit(0).drop(window), f"{self._path(table)}/{partition_folder(window, value)}", None, "overwrite")
         return sum(counts.values())
 
-    def changed_windows(self, table: str, df: DataFrame, window: str | None = None) -> list:
+    def changed_windows(self, table: str, df: DataFrame, window: str | None = None, exact: bool = False) -> list:
         """Windows whose rows differ from the stored ones, in any column; every window if there is no table yet."""
-        window = window or self.window_of(table)
-        if not self.exists(table):
+        known = self.describe(table)
+        window = window or (known.window if known else None)
+        if known is None or window not in known.schema.names:
             found = df.select(window)
+        elif set(known.schema.names) != set(df.columns):
+            found = df.select(window).union(self.read(table).select(window))
         else:
-            stored = self.read(table)
-            if set(stored.columns) != set(df.columns):
-                found = df.select(window).union(stored.select(window)) if window in stored.columns else df.select(window)
-            else:
-                found = window_differences(df, stored.select(*[F.col(f.name).cast(f.dataType) for f in df.schema]), window)
-        rows = [r[0] for r in found.distinct().collect()]
-        return sorted(rows, key=lambda w: (w is None, w if w is not None else 0))
+            found = window_differences(df, self.read(table), window, exact)
+        return _in_order(r[0] for r in found.distinct().collect())
 
     def export_windows(self, tables: dict[str, tuple[DataFrame, str | None]], windows: Sequence) -> dict[str, int]:
-        """The given windows of every table that has windows; rows written per table."""
-        return {name: self.replace_windows(name, df, windows) for name, (df, window) in tables.items() if window}
+        """The given windows of every table that has windows; rows written per table. A table that is not there yet is written whole."""
+        return {
+            name: self.replace_windows(name, df, windows) if self.exists(name) else self.replace(name, df, window)
+            for name, (df, window) in tables.items() if window
+        }
 
-    def export_changed(self, tables: dict[str, tuple[DataFrame, str | None]]) -> dict[str, int]:
+    def export_changed(self, tables: dict[str, tuple[DataFrame, str | None]], exact: bool = False) -> dict[str, int]:
         """What differs from the stored tables: windows, or whole tables that have none; rows written per table."""
         written = {}
         for name, (df, window) in tables.items():
-            if not self.exists(name) or self.window_of(name) != window:
-                written[name] = self.replace(name, df, window)
-            elif set(self.read(name).columns) != set(df.columns):
+            known = self.describe(name)
+            if known is None or known.window != window or set(known.schema.names) != set(df.columns):
                 written[name] = self.replace(name, df, window)
             elif window:
-                written[name] = self.replace_windows(name, df, self.changed_windows(name, df))
+                written[name] = self.replace_windows(name, df, self.changed_windows(name, df, exact=exact))
             else:
-                written[name] = self.replace(name, df) if table_changed(df, self.read(name)) else 0
+                written[name] = self.replace(name, df) if table_changed(df, self.read(name), exact) else 0
         return written
 
     def compact(self, table: str) -> None:
@@ -139,26 +183,70 @@ class Lake:
         self.replace(table, pinned(self.read(table)).hint("rebalance"), self.window_of(table))
 
 
+def _in_order(windows: Iterable) -> list:
+    return sorted(windows, key=lambda w: (w is None, w if w is not None else 0))
+
+
+def _typed(schema: T.StructType) -> list[Column]:
+    return [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema]
+
+
 def with_window(df: DataFrame, year: str, name: str = "window", width: int = 5) -> DataFrame:
     return df.withColumn(name, window_start(F.col(year), width))
 
 
+def _hashed(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of every column of a row, null told apart from empty; maps and variants, which Spark does not hash, by their JSON."""
+    parts = []
+    for field in sorted(df.schema.fields, key=lambda f: f.name):
+        value, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
+        parts += [value.isNull(), F.to_json(F.struct(value)) if "map<" in kind or "variant" in kind else value]
+    return [F.xxhash64(F.lit(seed), *parts).cast("decimal(38,0)") for seed in (1, 2)]
+
+
+def digests(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """`by`, and the number of rows and two sums of row hashes of each group: a digest of the rows as a bag.
+
+    Tasks send partial sums, no rows. Unlike digests prove unlike rows. Equal ones are of equal rows but for odds of about 2^-128 a comparison.
+    """
+    first, second = _hashed(df)
+    return df.select(*by, first.alias("_a"), second.alias("_b")).groupBy(*by).agg(
+        F.count("*").alias("_rows"), F.sum("_a").alias("_a"), F.sum("_b").alias("_b")
+    )
+
+
 def _tagged(new: DataFrame, old: DataFrame) -> DataFrame:
     """Rows that one side has more often than the other, with how much more often."""
     both = new.withColumn("_n", F.lit(1)).unionByName(old.withColumn("_n", F.lit(-1)))
     return both.groupBy(*new.columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
 
 
-def window_differences(new: DataFrame, old: DataFrame, window: str) -> DataFrame:
-    """Windows that gained, lost or changed rows, including those that only one side has. Rows are compared, not hashes."""
-    return _tagged(new, old).select(window).distinct()
+def _as(old: DataFrame, new: DataFrame) -> DataFrame:
+    """`old` with the columns and types of `new`."""
+    return old.select(*_typed(new.schema))
+
+
+def window_differences(new: DataFrame, old: DataFrame, window: str, exact: bool = False) -> DataFrame:
+    """Windows that gained, lost or changed rows, including those that only one side has.
+
+    Digests are compared, of one row a window. With `exact`, the rows themselves, in a shuffle of both tables.
+    """
+    old = _as(old, new)
+    if exact:
+        return _tagged(new, old).select(window).distinct()
+    sides = digests(new, [window]).withColumn("_side", F.lit(1)).unionByName(digests(old, [window]).withColumn("_side", F.lit(-1)))
+    sums = sides.groupBy(window).agg(*[F.sum(F.col(c) * F.col("_side")).alias(c) for c in ("_rows", "_a", "_b")])
+    return sums.filter("_rows <> 0 OR _a <> 0 OR _b <> 0").select(window)
 
 
-def table_changed(new: DataFrame, old: DataFrame) -> bool:
-    """Exact comparison of two tables as bags of rows."""
+def table_changed(new: DataFrame, old: DataFrame, exact: bool = False) -> bool:
+    """Whether two tables differ as bags of rows: by their digests, or with `exact` by the rows themselves."""
     if set(new.columns) != set(old.columns):
         return True
-    return not _tagged(new, old.select(*[F.col(f.name).cast(f.dataType) for f in new.schema])).isEmpty()
+    old = _as(old, new)
+    if exact:
+        return not _tagged(new, old).isEmpty()
+    return digests(new).first() != digests(old).first()
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

@@ -213,6 +213,62 @@ def test_a_table_that_feeds_on_itself(spark, store):
     assert store.read("a").count() == 5
 
 
+def test_another_session_goes_on_with_the_tables(spark, store):
+    df = enrolments(spark)
+    store.export_changed({"e": (df, "window"), "f": (spark.range(5), None)})
+    files = sorted(store.read("e").inputFiles())
+    other = spark.newSession()
+    again = lake.Lake(other, store.root + "/")
+    same = other.createDataFrame(df.collect(), df.schema)
+    assert again.windows("e") == [2005, 2010, 2015, 2020] and again.window_of("e") == "window" and again.window_of("f") is None
+    assert again.changed_windows("e", same) == []
+    assert again.export_changed({"e": (same, "window"), "f": (other.range(5), None)}) == {"e": 0, "f": 0}
+    assert sorted(again.read("e").inputFiles()) == files, "no second copy"
+    assert again.replace_windows("e", same.filter("id < 0"), [2005]) == 0
+    assert store.windows("e") == [2010, 2015, 2020] and store.read("e").count() == 100
+    assert other.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+
+
+@pytest.mark.parametrize("kind, values", [
+    ("string", ["O'B", "a/b=c%20 {x}", "2020", "ção"]), ("date", ["2020-01-01", "2021-06-30"]), ("int", ["7", "-3"]), ("boolean", ["true", "false"]),
+])
+def test_windows_of_any_type_keep_it_and_can_be_emptied(spark, store, kind, values):
+    rows = [(i, v) for i, v in enumerate([*values, None]) for _ in range(2)]
+    df = spark.createDataFrame(rows, "id int, w string").withColumn("w", F.col("w").cast(kind))
+    assert store.replace("e", df, "w") == len(rows)
+    assert store.read("e").schema["w"].dataType == df.schema["w"].dataType and store.changed_windows("e", df) == []
+    windows = store.windows("e")
+    assert len(windows) == len(values) + 1 and windows[-1] is None
+    assert store.replace_windows("e", df.filter("id > 0"), windows) == len(rows) - 2
+    assert store.windows("e") == [w for w in windows if w != df.first().w]
+    assert store.replace_windows("e", df.limit(0), windows) == 0 and store.read("e").count() == 0
+    assert store.replace_windows("e", df, windows) == len(rows) and store.changed_windows("e", df) == []
+
+
+def test_an_empty_table_keeps_its_columns(spark, store):
+    df = enrolments(spark)
+    assert store.replace("e", df.limit(0), "window") == 0
+    assert store.windows("e") == [] and set(store.read("e").columns) == set(df.columns)
+    assert store.changed_windows("e", df) == [2005, 2010, 2015, 2020]
+    assert store.export_changed({"e": (df, "window")}) == {"e": 120}
+    with pytest.raises(ValueError):
+        store.read("none")
+
+
+def test_digests_are_of_bags_and_agree_with_the_rows(spark, store):
+    df = enrolments(spark).withColumn("m", F.create_map(F.lit("k"), F.col("outcome")))
+    twice = df.unionByName(df.filter("id = 0"))
+    assert not lake.table_changed(df, df.repartition(3)) and lake.table_changed(df, twice)
+    swapped = df.withColumn("outcome", F.when(F.col("id") == 0, F.lit(None)).otherwise(F.col("outcome")))
+    plain = [c for c in df.columns if c != "m"]
+    for new in (df, twice, swapped, df.filter("year <> 2016")):
+        quick = {r[0] for r in lake.window_differences(new.select(plain), df.select(plain), "window").collect()}
+        assert quick == {r[0] for r in lake.window_differences(new.select(plain), df.select(plain), "window", exact=True).collect()}
+    store.replace("e", df.select(plain), "window")
+    plan = lake.window_differences(df.select(plain), store.read("e"), "window")._jdf.queryExecution().executedPlan().toString()
+    assert all("outcome" not in line for line in plan.splitlines() if "Exchange" in line), "rows are not shuffled"
+
+
 def test_compaction_keeps_the_rows(spark, store):
     store.replace("e", enrolments(spark), "window")
     store.append("e", enrolments(spark).repartition(12))
