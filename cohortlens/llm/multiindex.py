@@ -37,7 +37,7 @@ PROBES = 160
 RECALL = 0.96
 MOST_CENTROIDS = 256
 CELL_ROWS = 32
-BLOCK = 8192
+BLOCK = 2048
 BLOCK_QUERIES = 16_384
 ROUNDS = 10
 
