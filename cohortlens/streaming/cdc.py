@@ -6,19 +6,21 @@ snapshot), and its values come from the newest event that carried values, or, fo
 only deletes were seen of, from the newest delete. The fold is associative and idempotent, so
 events may be folded in batches, out of order and more than once.
 
-Each micro-batch writes its own fold (one row per key it touched) in a folder named by the batch,
-so its cost follows the batch and a repeated batch overwrites its own folder. The state is one fold
-over these. Every few batches the folds are folded into one more folder before the old ones go:
-while both are there, idempotence makes the double rows harmless, so no log of versions is needed.
+Folds are kept in one Parquet table per captured table, partitioned by `fold`. Each micro-batch overwrites
+one partition with its own fold (one row per key it touched), so its cost follows the batch and a repeated
+batch replaces its own rows. The state is one fold over the table. Every `compact_every` batches that fold is
+written over the partition `all`; the partitions of the batches are then used again, and until they are,
+idempotence makes their double rows harmless. All of it is Spark's dynamic partition overwrite: no file is
+listed, merged or deleted here, and no log of versions is needed.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..session import pinned
 
@@ -81,20 +83,14 @@ def bad_messages(messages: DataFrame, table: Table, value: str = "value") -> Dat
     return opened.select(*messages.columns, F.col("_bad").alias("reason"))
 
 
-def decode(messages: DataFrame, table: Table, value: str = "value", skip_bad: bool = False) -> DataFrame:
-    """Events from JSON envelopes: op, commit_lsn, lsn, origin_at, end_of_snapshot and the row's columns.
-
-    A delete carries its row in `before`, the others in `after`. The position is the pair in
-    `source.sequence`; where its parts are missing, the event's own lsn stands in. A bad message
-    stops the job, unless `skip_bad` says that `bad_messages` takes care of them.
-    """
+def _decoded(messages: DataFrame, table: Table, value: str, skip_bad: bool) -> DataFrame:
+    """Events of all messages, each with the reason `_bad` why it can't be used; without `skip_bad` such a message stops the job."""
     opened = _opened(messages, table, value)
-    if skip_bad:
-        opened = opened.filter(F.col("_bad").isNull())
-    op = F.when(F.col("_bad").isNull(), F.col("_e.op")).otherwise(
-        F.raise_error(F.concat(F.lit(f"a message of {table.name} is bad: "), F.col("_bad"))).cast("string")
-    )
-    rows = opened.select(op.alias("op"), "_row", "_e.source")
+    op = F.col("_e.op")
+    if not skip_bad:
+        stop = F.raise_error(F.concat(F.lit(f"a message of {table.name} is bad, it can't be used: "), F.col("_bad"))).cast("string")
+        op = F.when(F.col("_bad").isNull(), op).otherwise(stop)
+    rows = opened.select(op.alias("op"), "_row", "_e.source", "_bad")
     pair = F.from_json(F.coalesce("source.sequence", F.lit("[null,null]")), "array<string>")
     lsn = F.coalesce(F.nullif(pair[1].cast("bigint"), F.lit(0)), F.col("source.lsn"), F.lit(0))
     commit = F.coalesce(F.nullif(pair[0], F.lit("")).cast("bigint"), lsn)
@@ -104,8 +100,19 @@ def decode(messages: DataFrame, table: Table, value: str = "value", skip_bad: bo
         lsn.alias("lsn"),
         F.timestamp_millis("source.ts_ms").alias("origin_at"),
         F.coalesce(F.col("source.snapshot").isin("last", "last_in_data_collection"), F.lit(False)).alias("end_of_snapshot"),
-        "_row",
-    ).select("op", "commit_lsn", "lsn", "origin_at", "end_of_snapshot", "_row.*")
+        "_row", "_bad",
+    ).select("op", "commit_lsn", "lsn", "origin_at", "end_of_snapshot", "_row.*", "_bad")
+
+
+def decode(messages: DataFrame, table: Table, value: str = "value", skip_bad: bool = False) -> DataFrame:
+    """Events from JSON envelopes: op, commit_lsn, lsn, origin_at, end_of_snapshot and the row's columns.
+
+    A delete carries its row in `before`, the others in `after`. The position is the pair in
+    `source.sequence`; where its parts are missing, the event's own lsn stands in. A bad message
+    stops the job, unless `skip_bad` says that `bad_messages` takes care of them.
+    """
+    events = _decoded(messages, table, value, skip_bad)
+    return (events.filter(F.col("_bad").isNull()) if skip_bad else events).drop("_bad")
 
 
 def fold_events(events: DataFrame, table: Table) -> DataFrame:
@@ -197,40 +204,39 @@ class LogRegression(RuntimeError):
 
 
 class ChangeStore:
-    """Folds of one table below a folder, one folder per batch and one per compaction. One writer at a time."""
+    """Folds of one table as a partitioned Parquet table below a folder. One writer at a time; it is given every batch of a run, empty ones too."""
 
     def __init__(self, spark: SparkSession, root: str, table: Table, compact_every: int = 50):
-        self.spark, self.root, self.table, self.compact_every = spark, root.rstrip("/"), table, compact_every
-
-    def _folder(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/folds")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _written(self) -> list[str]:
-        """Paths of the folds that are there."""
-        path, files = self._folder()
-        return [f.getPath().toString() for f in files.listStatus(path)] if files.exists(path) else []
+        self.spark, self.path, self.table, self.compact_every = spark, f"{root.rstrip('/')}/folds", table, compact_every
+        self._newest: int | None = None
 
     def folds(self) -> DataFrame:
-        schema, paths = self.table.state_schema(), self._written()
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        schema = self.table.state_schema()
+        try:
+            return self.spark.read.schema(T.StructType([*schema, T.StructField("fold", T.StringType())])).parquet(self.path).drop("fold")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def _write(self, fold: DataFrame, name: str) -> None:
         columns = [F.col(f.name).cast(f.dataType) for f in self.table.state_schema()]
-        fold.select(*columns).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/folds/{name}")
+        writer = fold.select(*columns, F.lit(name).alias("fold")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.option("compression", "zstd").partitionBy("fold").parquet(self.path)
 
     def write_batch(self, events: DataFrame, batch_id: int, run: str = "run") -> None:
-        """Fold of one micro-batch. The folder is named by run and batch: a retry replaces its own rows."""
-        self._write(fold_events(events, self.table), f"{run}-{batch_id}")
+        """The fold of one micro-batch over the partition of its place in the cycle; the last batch of a cycle also folds all into one.
+
+        A retry replaces its own rows. The partition's earlier rows, of the cycle before, are in the partition `all` by then.
+        """
+        cycle = self.compact_every
+        self._write(fold_events(events, self.table), f"{run}-{cycle}-{batch_id % cycle}" if cycle else f"{run}-{batch_id}")
+        if cycle and batch_id % cycle == cycle - 1:
+            self.compact()
 
     def compact(self) -> None:
-        """All folds in one. The old folders go only after the new one is whole."""
-        old = self._written()
-        if len(old) > 1:
-            self._write(refold(self.folds(), self.table).hint("rebalance"), f"all-{uuid.uuid4().hex[:12]}")
-            _, files = self._folder()
-            for path in old:
-                files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+        """One fold of all folds as the partition `all`. What it read stays where it is until batches use those partitions again."""
+        self._write(refold(self.folds(), self.table).hint("rebalance"), "all")
 
     def state(self) -> DataFrame:
         """Current rows, tombstones included."""
@@ -242,10 +248,17 @@ class ChangeStore:
         newest = F.max(F.greatest(F.coalesce("_lsn", F.lit(0)), F.coalesce("_mark.lsn", F.lit(0))))
         return self.folds().agg(F.coalesce(newest, F.lit(0))).first()[0]
 
+    def reached(self, lsn: int | None) -> None:
+        """Tells a position that was written, so that the next check need not read the store."""
+        if self._newest is not None and lsn is not None:
+            self._newest = max(self._newest, lsn)
+
     def check_source(self, newest_lsn: int) -> None:
-        held = self.high_water()
-        if held > newest_lsn:
-            raise LogRegression(f"the lake holds position {held}, the source is at {newest_lsn}")
+        """Reads the store once; afterwards the writer's own batches keep the position up to date."""
+        if self._newest is None:
+            self._newest = self.high_water()
+        if self._newest > newest_lsn:
+            raise LogRegression(f"the lake holds position {self._newest}, the source is at {newest_lsn}")
 
 
 def refold(folds: DataFrame, table: Table) -> DataFrame:
@@ -280,7 +293,8 @@ def consume(stream: DataFrame, stores: dict[str, ChangeStore], checkpoint: str,
     `newest_lsn` asks the source for its newest position; every batch first makes sure that no store
     is ahead of it, so a source whose log was reset stops the stream. Bad messages and those of a
     topic without a store are written below `bad`, with a reason; without `bad` they stop the stream,
-    before the offset is committed.
+    before the offset is committed. Each message is parsed once: the job that writes a store's fold
+    also counts its bad messages, and only if there are any they are looked for again.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         if newest_lsn is not None:
@@ -290,18 +304,22 @@ def consume(stream: DataFrame, stores: dict[str, ChangeStore], checkpoint: str,
         batch.persist()
         try:
             known = F.coalesce(F.col(topic).isin(*stores), F.lit(False))
-            lost = batch.filter(~known).select(*batch.columns, F.lit("unknown topic").alias("reason"))
+            unknown = batch.filter(~known)
+            if bad is None and (found := unknown.first()):
+                raise ValueError(f"a message of topic {found[topic]} can't be used: unknown topic")
+            lost = unknown.select(*batch.columns, F.lit("unknown topic").alias("reason"))
             for name, store in stores.items():
-                lost = lost.unionByName(bad_messages(batch.filter(F.col(topic) == name), store.table))
+                mine, seen = batch.filter(F.col(topic) == name), Observation()
+                fine = F.col("_bad").isNull()
+                events = _decoded(mine, store.table, "value", skip_bad=bad is not None).observe(
+                    seen, F.count_if(~fine).alias("bad"), F.max(F.when(fine, F.col("lsn"))).alias("lsn")
+                )
+                store.write_batch(events.filter(fine).drop("_bad"), batch_id, run)
+                store.reached(seen.get["lsn"])
+                if seen.get["bad"]:
+                    lost = lost.unionByName(bad_messages(mine, store.table))
             if bad is not None:
                 lost.write.mode("overwrite").parquet(f"{bad}/{run}-{batch_id}")
-            elif found := lost.first():
-                raise ValueError(f"a message of topic {found[topic]} can't be used: {found.reason}")
-            for name, store in stores.items():
-                events = decode(batch.filter(F.col(topic) == name), store.table, skip_bad=True)
-                store.write_batch(events, batch_id, run)
-                if store.compact_every and batch_id % store.compact_every == store.compact_every - 1:
-                    store.compact()
         finally:
             batch.unpersist()
 
