@@ -34,7 +34,7 @@ ENTRIES = 256
 ROUNDS = 4
 SCALE = 1024
 BLOCK = 4096
-LEAF = 32
+LEAF = 128
 
 
 def anchors(points: np.ndarray) -> list[np.ndarray]:
