@@ -83,7 +83,8 @@ def codebooks(sample: DataFrame, length: int, k: int) -> list[np.ndarray]:
         return pd.DataFrame({"half": int(rows["half"].iloc[0]), "at": range(len(found)), "centroid": list(found)})
 
     rows = halves.groupBy("half").applyInPandas(of_half, "half int, at int, centroid array<double>").orderBy("half", "at").collect()
-    return [np.array([r.centroid for r in rows if r.half == h], dtype=np.float64).reshape(-1, size) for h, size in ((0, cut), (1, length - cut))]
+    found = [[r.centroid for r in rows if r.half == h] for h in (0, 1)]
+    return [np.array(each, dtype=np.float64).reshape(len(each), size) for each, size in zip(found, (cut, length - cut))]
 
 
 def pairs_by_distance(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, int]]:
