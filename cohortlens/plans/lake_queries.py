@@ -156,10 +156,12 @@ def html_value(t: Tables) -> DataFrame:
 
 
 @plan("string event_type; bigint event_id level", "A12",
-      """SELECT event_type, event_id, level FROM (SELECT event_type, event_id, CAST(floor(value / 20) AS BIGINT) AS level FROM events)
+      """SELECT event_type, event_id, level FROM (SELECT nullif(event_type, 'error') AS event_type, event_id, CAST(floor(value / 20) AS BIGINT) AS level FROM events)
       QUALIFY level IS DISTINCT FROM lag(level) OVER (PARTITION BY event_type ORDER BY event_id)""")
 def append_on_change(t: Tables) -> DataFrame:
-    rows = t.events.select("event_type", "event_id", F.floor(F.col("value") / 20).alias("level"))
+    """Events of one kind stand for rows without a key: they are a series."""
+    kind = F.nullif(F.col("event_type"), F.lit("error"))
+    rows = t.events.select(kind.alias("event_type"), "event_id", F.floor(F.col("value") / 20).alias("level"))
     return programme.append_on_change(rows, ["event_type"], ["event_id"], "level")
 
 

@@ -26,6 +26,42 @@ def test_exact_percentiles(skewed):
     assert whole == pytest.approx(np.percentile([v for _, _, v in data], 50))
 
 
+def test_percentiles_keep_the_null_group_and_odd_values(spark):
+    rng = random.Random(3)
+    data = [(rng.choice([None, "a", "b"]), rng.choice([None, 1, 2]), float(rng.randrange(50)) ** 3 - 9) for _ in range(3000)]
+    data += [("n", 1, float("nan")), ("n", 1, 2.0), ("n", 1, 4.0), ("one", None, 7.5), ("none", 1, None)]
+    df = spark.createDataFrame(data, "k string, j int, v double").repartition(7)
+    probs = {"a": 0.0, "b": 0.31, "c": 0.5, "z": 1.0}
+    for sketch in (20, 10_000):
+        got = {(r.k, r.j): tuple(r[2:]) for r in ordering.exact_percentiles(df, ["k", "j"], "v", probs, sketch).collect()}
+        groups = {}
+        for k, j, v in data:
+            if v is not None:
+                groups.setdefault((k, j), []).append(v)
+        assert set(got) == set(groups)
+        for g, values in groups.items():
+            if g[0] != "n":
+                assert got[g] == pytest.approx(tuple(np.percentile(values, [0, 31, 50, 100])))
+        assert got["n", 1][0] == 2.0 and got["n", 1][2] == 4.0 and np.isnan(got["n", 1][3])
+
+
+def test_a_place_outside_its_bracket_is_found_by_counting(spark, monkeypatch):
+    df = spark.range(2000).select((F.col("id") % 3).alias("k"), (F.col("id") * 37 % 1000).cast("double").alias("v"))
+    true = ordering.F.percentile_approx
+    monkeypatch.setattr(ordering.F, "percentile_approx", lambda c, asked, accuracy: true(c, [0.0] * len(asked), accuracy))
+    got = {r.k: r.m for r in ordering.exact_percentiles(df, ["k"], "v", {"m": 0.5}).collect()}
+    rows = df.collect()
+    assert got == {k: pytest.approx(np.percentile([r.v for r in rows if r.k == k], 50)) for k in range(3)}
+
+
+def test_null_keys_have_a_previous_row(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 6), (None, 3, 6), ("a", 1, 1), ("a", 2, 1)], "k string, i int, v int")
+    got = {(r.k, r.i): (r.p, r.f) for r in ordering.with_previous(df, ["k"], ["i"], "v", "p", first="f").collect()}
+    assert got == {(None, 1): (None, True), (None, 2): (5, False), (None, 3): (6, False), ("a", 1): (None, True), ("a", 2): (1, False)}
+    kept = programme.append_on_change(df, ["k"], ["i"], "v")
+    assert sorted((r.k or "", r.i) for r in kept.collect()) == [("", 1), ("", 2), ("a", 1)]
+
+
 def test_bounded_percentiles(skewed):
     data, df = skewed
     for key, cuts in ordering.bounded_percentiles(df, ["k"], "v", [0.1, 0.9], "p").collect():
