@@ -235,18 +235,18 @@ def hits(t: Tables, asked: DataFrame) -> DataFrame:
     file = F.when(F.col("doc_id") % 3 != 0, F.col("source"))
     short = pinned(t.documents.select("doc_id", file.alias("file"), title().alias("title")))
     vectors = t.embeddings.join(short.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    fused = search.fuse(
+    return search.top_fused(
         search.vector_candidates(vectors, asked, "vec_id", "embedding"),
-        search.title_candidates(short, asked, "doc_id", F.col("title")),
-        search.coverage_candidates(t.documents, asked, "doc_id", F.col("text"), STOP),
-    ).withColumn("relevance", half_even(F.col("relevance"), 9))
-    return search.best_per_file(fused.join(short.select(F.col("doc_id").alias("id"), "file"), "id"), "file", 5)
+        search.title_candidates(short, asked, "doc_id", F.col("title"), placed=False),
+        search.coverage_candidates(t.documents, asked, "doc_id", F.col("text"), STOP, placed=False),
+        short.select(F.col("doc_id").alias("id"), "file"), 5,
+    )
 
 
 @plan("bigint query_id id position; double relevance; string file", "J11 J12 J13 C10",
       f"WITH {_FUSED} SELECT query_id, id, position, relevance, file FROM hits")
 def hybrid_rrf(t: Tables) -> DataFrame:
-    return hits(t, queries(t))
+    return hits(t, queries(t)).select("query_id", "id", "position", "relevance", "file")
 
 
 @plan("bigint queries found; double recall mrr", "J14",

@@ -57,7 +57,7 @@ def word_grams(text):
     return [f"  {w} "[i:i + 3] for w in words for i in range(len(w) + 1)]
 
 
-def test_word_similarity_against_brute_force():
+def test_word_similarity_against_brute_force(spark):
     def brute(query, grams):
         best = 0.0
         for a in range(len(grams)):
@@ -69,10 +69,26 @@ def test_word_similarity_against_brute_force():
     assert brute(set(word_grams("word")), word_grams("two words")) == pytest.approx(0.8)
     long = " ".join(["abc"] * 60 + ["curso", "word"] + ["wor"] * 50)
     pairs = [("word", long), ("curso word", long), ("word", "two words"), ("evasao", "curso com evasao alta"), ("abc abc", "x abc y abc abc z"), ("frescor", "politica de frescor"), ("abc", "xyz"), ("abc", "")]
-    for query, title in pairs:
-        asked_, grams = frozenset(word_grams(query)), word_grams(title)
-        wanted, got = brute(asked_, grams), search.best_run(asked_, grams, 0.5)
-        assert got == pytest.approx(wanted) if wanted >= 0.5 else got < 0.5
+    chance = random.Random(4)
+    words = ["abc", "abd", "curso", "cursos", "word", "wor", "x", "sword"]
+    pairs += [(" ".join(chance.choices(words, k=chance.randint(1, 4))), " ".join(chance.choices(words, k=chance.randint(1, 30)))) for _ in range(60)]
+    df = spark.createDataFrame([(i, sorted(set(word_grams(q))), word_grams(t)) for i, (q, t) in enumerate(pairs)], "i int, q array<string>, g array<string>")
+    for minimum in (0.5, 0.8):
+        got = {r.i: r.s for r in df.select("i", search.run_similarity(F.col("q"), F.col("g"), minimum).alias("s")).collect()}
+        for i, (query, title) in enumerate(pairs):
+            wanted = brute(set(word_grams(query)), word_grams(title))
+            assert got[i] == pytest.approx(wanted) if wanted >= minimum else got[i] < minimum, (query, title)
+
+
+def test_long_titles_take_time_in_proportion(spark):
+    import time
+
+    for word in ("abc ", "w{} "):
+        title = "".join(word.format(i) for i in range(20_000)) + "curso de engenharia"
+        q, g = sorted(set(word_grams("curso de engenharia"))), word_grams(title)
+        start = time.time()
+        got = spark.createDataFrame([(q, g)], "q array<string>, g array<string>").select(search.run_similarity(F.col("q"), F.col("g"), 0.8)).first()[0]
+        assert got == 1.0 and time.time() - start < 20
 
 
 def test_trigrams_are_the_same_in_both_places(spark):
@@ -125,6 +141,28 @@ def hits(corpus, queries, k=5):
     return search.best_per_file(fused.join(corpus.select("id", "file"), "id"), "file", k)
 
 
+@pytest.mark.parametrize("first", [1, 4, 64])
+def test_the_heads_of_the_lists_give_the_same_top(spark, first):
+    chance = random.Random(first)
+    lists = {"vector": [], "title": [], "text": []}
+    for query in range(12):
+        ids_ = list(range(300))
+        n = [chance.choice([0, 3, 30]), chance.choice([0, 1, 40, 300]), chance.choice([0, 2, 100, 300])]
+        lists["vector"] += [(query, i, 0.9 - 0.02 * p, p + 1) for p, i in enumerate(chance.sample(ids_, n[0]))]
+        for i in chance.sample(ids_, n[1]):
+            contains, similarity = chance.random() < 0.3, chance.choice([0.8, 0.85, 0.9, 1.0])
+            lists["title"].append((query, i, similarity, contains, contains or similarity >= 0.99))
+        lists["text"] += [(query, i, chance.randint(1, 4), chance.randint(4, 9)) for i in chance.sample(ids_, n[2])]
+    vector = spark.createDataFrame(lists["vector"], "query_id long, id long, similarity double, position int")
+    title = spark.createDataFrame(lists["title"], "query_id long, id long, similarity double, contains boolean, exact boolean")
+    text = spark.createDataFrame(lists["text"], "query_id long, id long, covered long, hits long")
+    files = spark.createDataFrame([(i, None if i % 3 == 0 else f"f{i % 40}") for i in range(300)], "id long, file string")
+    fused = search.fuse(vector, search._placed(title, search.TITLE_ORDER, None), search._placed(text, search.TEXT_ORDER, None))
+    plain = search.best_per_file(fused.withColumn("relevance", search.half_even(F.col("relevance"), 9)).join(files, "id"), "file", 5)
+    shown = lambda df: sorted(tuple(r) for r in df.select("query_id", "position", "id", "relevance").collect())
+    assert shown(search.top_fused(vector, title, text, files, 5, first=first)) == shown(plain)
+
+
 def test_hits_without_a_file_stand_for_themselves_and_similarity_breaks_ties(spark):
     rows = [(0, 1, 0.5, 0.2, None), (0, 2, 0.5, 0.9, None), (0, 3, 0.5, 0.1, "a"), (0, 4, 0.5, 0.3, "a"), (0, 5, 0.7, 0.0, "b")]
     df = spark.createDataFrame(rows, "query_id long, id long, relevance double, similarity double, file string")
