@@ -5,8 +5,8 @@ are users' with their name, and the loss mask covers the assistant's words and t
 instructions: they stay what they are in every perspective and have none of their own.
 
 A dialogue of very many turns is rendered in parts of `part_turns` turn numbers, each with its place in the whole; the parts in order are
-the text. Where numbers are null or repeat, a part of more than `PART_ROWS` turns is cut again by their position in it, so no task holds a
-whole dialogue.
+the text. Where numbers are null or repeat, a part of more than `PART_ROWS` turns is cut again by their position in it. The places of the
+parts come from their lengths, so no task holds a whole dialogue.
 """
 
 from __future__ import annotations
@@ -46,8 +46,7 @@ def rotations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(None).cast("long")))
     counted = rows.groupBy("conv", "part").agg(F.count("*").alias("n")).filter(F.col("n") > part_rows)
     large = pinned(counted.select(F.col("conv").alias("c"), F.col("part").alias("p")))
-    any_large = not large.isEmpty()
-    if any_large:
+    if not large.isEmpty():
         same = F.col("conv").eqNullSafe(F.col("c")) & F.col("part").eqNullSafe(F.col("p"))
         sized = sized_broadcast(large)
         hot = rows.join(sized, same, "left_semi").withColumn("slot", F.struct("conv", "part")).withColumn("tie", F.monotonically_increasing_id())
@@ -95,14 +94,11 @@ def rotations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     before = W.partitionBy("conv", "perspective").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     number = (F.row_number().over(W.partitionBy("conv", "perspective").orderBy(*order)) - 1).cast("long")
     start = F.coalesce(F.sum("n_chars").over(before), F.lit(0))
-    if any_large:  # places from the parts' lengths alone, so that the texts of a large dialogue do not meet in a task
-        key = ["conv", "perspective", "part", "cut"]
-        sums = seen.select(*key, F.char_length(piece["whole"]).cast("long").alias("n")).groupBy(*key).agg(F.sum("n").alias("n_chars"))
-        places = sums.select(*[F.col(k).alias(f"of_{k}") for k in key], number.alias("number"), start.alias("start"))
-        on = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key]
-        numbered = rendered.join(places, on)
-    else:
-        numbered = rendered.withColumn("number", number).withColumn("start", start)
+    # Places from the parts' lengths alone, so that the texts of a dialogue do not meet in a task.
+    key = ["conv", "perspective", "part", "cut"]
+    sums = seen.select(*key, F.char_length(piece["whole"]).cast("long").alias("n")).groupBy(*key).agg(F.sum("n").alias("n_chars"))
+    places = sums.select(*[F.col(k).alias(f"of_{k}") for k in key], number.alias("number"), start.alias("start"))
+    numbered = rendered.join(places, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key])
     return numbered.select(
         F.col("conv").alias(conv), "perspective", F.col("number").alias("part"), "n_turns", "start", "rendered", "n_chars", "mask", "n_masked",
     )

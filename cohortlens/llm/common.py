@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..operators.ordering import joined_on, numbered_per_group
+from ..session import pinned
 
 #: A word: a run of code points that are neither a space nor one of tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,23 +35,40 @@ def hash60(value: Column) -> Column:
     return F.conv(F.substring(F.md5(value), 1, 15), 16, 10).cast("long")
 
 
-def rank_in_class(rows: DataFrame, cls: str, order_hash: str, ties: Sequence[str], name: str, per_bucket: int = 100_000) -> DataFrame:
-    """Adds the position from 0 of each row among the rows of its class, in the order of a 60-bit hash, then `ties`.
+#: Equal rows that are dealt out by one row of a counted table.
+COPIES = 4096
+
+
+def each_copy(counted: DataFrame, n: str, name: str) -> DataFrame:
+    """Rows of a counted table as often as `n` says, `name` being the number of the copy from 0."""
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / COPIES))
+    dealt = counted.withColumn("__block", F.explode(blocks))
+    inside = F.sequence(F.lit(0).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col(n) - F.col("__block") * COPIES) - 1)
+    return dealt.withColumn("__in", F.explode(inside)).withColumn(name, F.col("__block") * COPIES + F.col("__in")).drop("__block", "__in", n)
+
+
+def with_copy_number(df: DataFrame, same: Sequence[str], name: str) -> DataFrame:
+    """`df` with the number from 0 of each row among the rows equal in `same`; which of them has which number is open.
+
+    Rows that have no equal are left where they are. The others, however many of one kind, are numbered in ranges.
+    """
+    again = pinned(df.groupBy(*same).agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n"))
+    none = F.lit(0).cast("long").alias(name)
+    if again.isEmpty():
+        return df.select("*", none)
+    known = sized_broadcast(again)
+    repeated = joined_on(df, known, same, "left_semi").withColumn("__same", F.struct(*same)).withColumn("__tie", F.monotonically_increasing_id())
+    placed = numbered_per_group(repeated, "__same", [F.asc("__tie")], "__at")
+    single = joined_on(df, known, same, "left_anti").select("*", none)
+    return single.unionByName(placed.select(*df.columns, (F.col("__at") - 1).cast("long").alias(name)))
+
+
+def place_in_class(rows: DataFrame, cls: str, order: Sequence[str], name: str) -> DataFrame:
+    """Adds the place from 0 of each row among the rows of its class, in the given order.
 
-    A class may hold most rows: it is cut into hash ranges of about `per_bucket` rows, numbered on their own, and
-    each range starts after the counts of those before it. `rows` is read twice, so it should be a written table.
+    A class, or rows that are equal in all of the order, may be a large share of the table: rows are numbered in ranges, which rows that are
+    equal share by a tie of their own. `rows` should be a written table.
     """
-    bits = max(0, (rows.count() // per_bucket).bit_length())
-    ranged = rows.withColumn("__range", F.shiftright(F.col(order_hash), 60 - bits) if bits else F.lit(0).cast("long"))
-    sizes = ranged.groupBy(cls, "__range").agg(F.count("*").alias("__n"))
-    before = W.partitionBy(cls).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(
-        F.col(cls).alias("__cls"), F.col("__range").alias("__at"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
-    )
-    inside = W.partitionBy(cls, "__range").orderBy(order_hash, *ties)
-    local = ranged.withColumn("__local", F.row_number().over(inside) - 1)
-    same = F.col(cls).eqNullSafe(F.col("__cls")) & (F.col("__range") == F.col("__at"))
-    return (
-        local.join(starts, same).withColumn(name, (F.col("__before") + F.col("__local")).cast("long"))
-        .drop("__range", "__cls", "__at", "__before", "__local")
-    )
+    tied = rows.withColumn("__tie", F.monotonically_increasing_id())
+    placed = numbered_per_group(tied, cls, [*[F.asc(c) for c in order], F.asc("__tie")], "__at")
+    return placed.withColumn(name, (F.col("__at") - 1).cast("long")).drop("__at", "__tie")

@@ -7,8 +7,8 @@ _BLANK = r"[^\x20\x09-\x0D]+"
 MIX = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_BLANK}')), 0) AS BIGINT) AS size,
-         {_HASH.format("'mix:' || coalesce('v' || doc_id, 'n')")} AS h
-  FROM documents
+         {_HASH.format("'mix:' || coalesce('v' || doc_id, 'n') || ':' || mark || ':' || copy")} AS h
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, source, mark) - 1 AS copy FROM (SELECT *, md5(coalesce(text, '')) AS mark FROM documents))
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS total, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source
 ), w AS (

@@ -1,8 +1,8 @@
 """Best-fit packing under conflicts.
 
 **Items.** A document longer than the capacity is cut into full pieces and a rest; nothing is lost. Items are dealt to packing shards
-by a hash of their key, so a hot source or a large group of copies is spread over all shards, and a shard has a bounded number of
-items whatever the input. Shards are packed independently.
+by a hash of their key and, of equal rows, the number of the copy, so a hot source, a large group of copies or one row that is repeated
+very often is spread over all shards, and a shard has a bounded number of items whatever the input. Shards are packed independently.
 
 **Rule.** Inside a shard items come by falling size. Open bins are kept in the order of their residual capacity; each carries a bitmap
 of the sources and one of the duplicate clusters it holds. The search starts at the least residual that fits and goes on to the next
@@ -17,7 +17,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import n_words
+from .common import each_copy, n_words
 
 CAPACITY = 1024
 SHARD_ITEMS = 4096
@@ -74,12 +74,14 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
         same.cast("long").alias("cluster"),
     )
     last = F.greatest(F.ceil(F.col("words") / capacity) - 1, F.lit(0)).cast("int")
-    items = rows.select(
-        "id", "source", "cluster", "words", F.explode(F.sequence(F.lit(0), last)).alias("piece")
+    # Equal rows are counted, not shuffled one by one, and have a number each.
+    counted = rows.groupBy("id", "source", "cluster", "words").agg(F.count("*").alias("n"))
+    items = each_copy(counted, "n", "copy").select(
+        "id", "source", "cluster", "words", "copy", F.explode(F.sequence(F.lit(0), last)).alias("piece")
     ).select(
         "id", "source", "cluster", "piece", (F.col("piece").cast("long") * capacity).alias("start"),
         F.least(F.lit(capacity).cast("long"), F.col("words") - F.col("piece").cast("long") * capacity).alias("size"),
-        F.xxhash64("id", "cluster", "piece", "source").alias("hash"),
+        F.xxhash64("id", "cluster", "piece", "source", "copy").alias("hash"),
     )
     # The number of pieces decides how many shards there are.
     total = rows.agg(F.sum(F.greatest(F.ceil(F.col("words") / capacity), F.lit(1)))).first()[0] or 0

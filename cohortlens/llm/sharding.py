@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import pinned
-from .common import hash60, key_string, rank_in_class
+from .common import hash60, key_string, place_in_class
 
 SHARDS = 40
 
@@ -48,5 +48,5 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: in
         shard_of([F.col("id")], [1.0] * shards).alias("shard"), shard_of([F.col("id")], [1.0] * (shards + 1)).alias("grown_shard"),
         hash60(F.concat(F.lit("slot:"), key_string(F.col("id")))).alias("hash"),
     ))
-    numbered = rank_in_class(placed, "shard", "hash", ("id", "text_crc32", "size"), "slot")
+    numbered = place_in_class(placed, "shard", ("hash", "id", "text_crc32", "size"), "slot")
     return numbered.select(F.col("id").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -83,3 +83,13 @@ def test_large_parts_of_null_and_repeated_numbers_are_cut(spark):
         wanted = [(at + a, at + b) for at, (_, spans) in zip(starts, parts) for a, b in spans]
         assert [tuple(r.start + int(x) for x in s.split("-")) for r in mine for s in r.mask.split(",") if s] == wanted
         assert all(r.n_chars == len(r.rendered) and r.rendered == text[r.start:r.start + r.n_chars] for r in mine)
+
+
+def test_a_long_dialogue_meets_in_no_task(spark):
+    """Places come from lengths: no window sorts rendered texts, however well the turns are numbered."""
+    turns = [(1, i, "ab"[i % 2], f"text {i}") for i in range(3000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rotated = chat.rotations(df)
+    plan = rotated._jdf.queryExecution().executedPlan().toString()
+    assert not any("rendered" in line or "pieces" in line for line in plan.splitlines() if "Window" in line)
+    check(df, turns)

@@ -66,3 +66,12 @@ def test_odd_rows(odd, empty):
     check(odd, 100, 1 << 20)
     check(odd, 1000, 3)
     assert packing.packed(empty).count() == 0
+
+
+def test_equal_rows_are_spread_over_shards(spark):
+    """12,000 equal rows: no shard has many more items than its share, and the packing is quick."""
+    docs = spark.range(12_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'two words' AS text", "'a' AS source")
+    rows = packing.packed(docs, shard_items=1000).collect()
+    sizes = Counter(r.shard for r in rows)
+    assert len(rows) == 12_000 and len(sizes) == 12 and max(sizes.values()) < 1200
+    assert len({(r.shard, r.bin) for r in rows}) == 12_000, "copies share no bin"

@@ -42,12 +42,31 @@ def test_few_rows_move(spark):
             sharding.assign(rows, ["id"], bad)
 
 
-@pytest.mark.parametrize("per_bucket", [1, 7, 1000])
-def test_ranks_in_hash_ranges(spark, per_bucket):
-    rows = spark.range(300).select((F.col("id") % 3).alias("k"), common.hash60(F.col("id").cast("string")).alias("h"), "id")
-    rows = rows.withColumn("k", F.when(F.col("id") % 5 > 0, F.lit(7)).otherwise(F.when(F.col("k") > 0, F.col("k"))))
-    got = common.rank_in_class(rows, "k", "h", ("id",), "rank", per_bucket).collect()
+def test_places_in_a_class_of_equal_rows(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("k"), F.when(F.col("id") % 4 == 0, F.col("id")).alias("a"), (F.col("id") % 5).alias("b"))
+    got = common.place_in_class(rows, "k", ("a", "b"), "place").collect()
     by_class = {}
-    for r in sorted(got, key=lambda r: (r.h, r.id)):
-        by_class.setdefault(r.k, []).append(r.rank)
-    assert all(ranks == list(range(len(ranks))) for ranks in by_class.values()) and len(got) == 300
+    for r in got:
+        by_class.setdefault(r.k, []).append(r)
+    for mine in by_class.values():
+        mine.sort(key=lambda r: r.place)
+        assert [r.place for r in mine] == list(range(len(mine)))
+        order = [(r.a is not None, r.a or 0, r.b) for r in mine]
+        assert order == sorted(order)
+    assert len(got) == 4000
+
+
+def test_a_third_of_the_rows_without_a_key(spark):
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("text"))
+    got = sharding.sharded(docs).collect()
+    for shard, number in Counter(r.shard for r in got).items():
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(number))
+    assert len(got) == 3000 and len({r.shard for r in got if r.doc_id is None}) == 1
+
+
+def test_copies_of_a_counted_table(spark):
+    counted = spark.createDataFrame([("a", 1), ("b", 10_000), ("c", 4096), ("d", 4097)], "k string, n long")
+    got = Counter(r.k for r in common.each_copy(counted, "n", "copy").collect())
+    assert got == {"a": 1, "b": 10_000, "c": 4096, "d": 4097}
+    places = sorted(r.copy for r in common.each_copy(counted, "n", "copy").filter("k = 'd'").collect())
+    assert places == list(range(4097))
