@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed_values as V
 from ..functions.periods import watermark, window_start
+from ..functions.records import digests
 from ..session import pinned
 
 
@@ -107,10 +108,12 @@ def changed_rows(old: DataFrame, new: DataFrame, keys: list[str], measures: list
 
 
 def window_status(old: DataFrame, new: DataFrame, window: str) -> DataFrame:
-    """`rewritten` or `intact` for every window of two versions, by their rows: one shuffle of both versions."""
-    both = new.withColumn("_n", F.lit(1)).unionByName(old.withColumn("_n", F.lit(-1)))
-    rows = both.groupBy(*new.columns).agg(F.sum("_n").alias("_n"))
-    return rows.groupBy(window).agg(F.when(F.max(F.abs("_n")) == 0, "intact").otherwise("rewritten").alias("status"))
+    """`rewritten` or `intact` for every window of two versions, by the digests of their rows: nothing but sums is shuffled."""
+    old = old.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in new.schema])
+    sides = digests(new, [window]).withColumn("_side", F.lit(1)).unionByName(digests(old, [window]).withColumn("_side", F.lit(-1)))
+    sums = sides.groupBy(window).agg(*[F.sum(F.col(c) * F.col("_side")).alias(c) for c in ("_rows", "_a", "_b")])
+    same = (F.col("_rows") == 0) & (F.col("_a") == 0) & (F.col("_b") == 0)
+    return sums.select(window, F.when(same, "intact").otherwise("rewritten").alias("status"))
 
 
 def revision(df: DataFrame, chosen: Column, changes: dict[str, Column], keys: list[str], window: str,

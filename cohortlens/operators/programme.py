@@ -8,11 +8,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed_values as V
 from ..functions.numbers import half_even, percent, ratio
-from .ordering import with_previous
-
-
-#: Changes of a published monthly rate: two centuries of them.
-MAX_RATES = 2400
+from ..session import pinned
+from .ordering import sized, with_previous
 
 
 def peer_benchmark(df: DataFrame, key: str, peer: str, home: Column, size: str, events: Sequence[str],
@@ -47,45 +44,58 @@ def peer_benchmark(df: DataFrame, key: str, peer: str, home: Column, size: str,
     return joined
 
 
-def rate_periods(rates: DataFrame, since: str, value: str) -> DataFrame:
-    """Rate series as months [first, until); the first rate also covers the months before it.
+def _month(day: Column) -> Column:
+    return F.year(day) * 12 + F.month(day)
 
-    The series is a published table with a line per change, so the window sees a few rows.
-    """
-    order = W.orderBy(since)
+
+def rate_periods(rates: DataFrame, since: str, value: str, series: str | None = None) -> DataFrame:
+    """Rate series as months [first, until); the first rate of a series also covers the months before it."""
+    order = W.partitionBy(series).orderBy(since) if series else W.orderBy(since)
     month = F.to_date(F.concat(F.col(since), F.lit("-01")))
     return rates.select(
+        *([F.col(series)] if series else []),
         F.when(F.lag(since).over(order).isNull(), F.lit("0001-01-01").cast("date")).otherwise(month).alias("first"),
         F.coalesce(F.lead(month).over(order), F.lit("9999-01-01").cast("date")).alias("until"),
         F.col(value).cast("decimal(18,2)").alias("rate"),
     )
 
 
-def rate_in_force(df: DataFrame, start: str, end: str, rates: DataFrame, since: str, value: str,
-                  name: str) -> DataFrame:
-    """Sum of the monthly rate in force from the month of `start` to the month of `end`.
+def cumulated_rates(rates: DataFrame, since: str, value: str, low: int, high: int, series: str | None = None) -> DataFrame:
+    """For each month number from `low` to `high` + 1 the sum of the monthly rates from `low` on before it, per series.
 
-    The series travels as one array in a scalar subquery. Months under each rate follow from the
-    overlap of two month ranges, so no row is exploded and nothing is shuffled.
+    A row a month of the calendar in use, whatever the number of changes.
     """
-    if rates.limit(MAX_RATES + 1).count() > MAX_RATES:
-        raise ValueError(f"a rate series has at most {MAX_RATES} changes, as every row carries it")
-    series = rate_periods(rates, since, value).agg(
-        F.collect_list(F.struct("first", "until", "rate")).alias("series")
-    ).scalar()
-
-    def number(day: Column) -> Column:
-        return F.year(day) * 12 + F.month(day)
+    keys = [series] if series else []
+    periods = rate_periods(rates, since, value, series)
+    begin = F.greatest(_month(F.col("first")), F.lit(low))
+    end = F.least(_month(F.col("until")) - 1, F.lit(high + 1))  # the last month has no use of its own: it ends the sums
+    months = periods.filter(begin <= end).select(*keys, "rate", F.explode(F.sequence(begin, end)).alias("month"))
+    before = (W.partitionBy(series) if series else W.partitionBy(F.lit(0))).orderBy("month").rowsBetween(W.unboundedPreceding, -1)
+    return months.select(*keys, "month", F.coalesce(F.sum("rate").over(before), F.lit(0)).cast("decimal(28,2)").alias("upto"))
 
-    low, high = number(F.col(start)), number(F.col(end)) + 1
 
-    def amount(total: Column, period: Column) -> Column:
-        months = F.least(high, number(period["until"])) - F.greatest(low, number(period["first"]))
-        return (total + F.greatest(months, F.lit(0)) * period["rate"]).cast("decimal(28,2)")
+def rate_in_force(df: DataFrame, start: str, end: str, rates: DataFrame, since: str, value: str,
+                  name: str, series: str | None = None) -> DataFrame:
+    """Sum of the monthly rate in force from the month of `start` to the month of `end`.
 
-    return df.withColumn("_series", series).withColumn(
-        name, F.aggregate("_series", F.lit(0).cast("decimal(28,2)"), amount)
-    ).drop("_series")
+    The difference of two running sums over the months, each found by an equi-join; with `series`, a column of both sides, by the row's own
+    series. The months are broadcast if they are few. A row whose end is in a month before its start has 0, one without start, end or
+    series has null.
+    """
+    low, high = F.col(start), F.col(end)
+    used = df.agg(F.min(_month(low)).alias("low"), F.max(_month(high)).alias("high"), F.max(_month(low)).alias("top")).first()
+    if used.low is None or used.high is None:
+        return df.withColumn(name, F.lit(None).cast("decimal(28,2)"))
+    sums = sized(pinned(cumulated_rates(rates, since, value, used.low, max(used.high, used.top), series)))
+
+    def at(side: str, month: Column) -> tuple[DataFrame, Column]:
+        named = sums.select(*([F.col(series).alias(f"_{side}_of")] if series else []), F.col("month").alias(f"_{side}_at"), F.col("upto").alias(f"_{side}"))
+        on = month == F.col(f"_{side}_at")
+        return named, on & (F.col(series) == F.col(f"_{side}_of")) if series else on
+
+    joined = df.join(*at("from", _month(low)), "left").join(*at("to", F.greatest(_month(high) + 1, _month(low))), "left")
+    amount = F.when(low.isNotNull() & high.isNotNull(), (F.col("_to") - F.col("_from")).cast("decimal(28,2)"))
+    return joined.withColumn(name, amount).drop("_from", "_to", "_from_at", "_to_at", "_from_of", "_to_of")
 
 
 def append_on_change(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F, types as T
 
 from ..functions import fixed_values as V
 from ..functions.numbers import half_even
-from .ordering import exact_percentiles
+from ..functions.records import digests, row_hashes
+from .ordering import exact_percentiles, joined_on
 
 
 @dataclass(frozen=True)
@@ -27,40 +28,69 @@ class Rule:
         return f"{self.kind}:{self.column}"
 
 
-def column_checks(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Failures per rule: the row-local rules share one pass, uniqueness and relationships add a shuffle each."""
-    local = {
-        "not_null": lambda r: F.col(r.column).isNull(),
-        "accepted": lambda r: ~F.col(r.column).isin(*r.values),
-        "range": lambda r: ~F.col(r.column).between(*r.values),
-        "true": lambda r: ~F.expr(r.column),
-    }
+def _failing(rule: Rule) -> Column | None:
+    """Whether a row breaks a rule; None for rules that need other rows."""
+    value = F.col(rule.column) if rule.kind != "true" else F.expr(rule.column)
+    if rule.kind == "not_null":
+        return value.isNull()
+    if rule.kind == "accepted":
+        return ~value.isin(*rule.values)
+    if rule.kind == "range":
+        return ~value.between(*rule.values)
+    return ~value if rule.kind == "true" else None
+
+
+def column_checks(df: DataFrame, rules: Sequence[Rule], by: Sequence[str] = ()) -> DataFrame:
+    """Failures per rule: the row-local rules share one pass, uniqueness and relationships add a shuffle each.
+
+    With `by`, (by, check, failures) of each group, so that many tables in one are checked at once; for uniqueness and relationships only
+    groups that fail have a row.
+    """
     result = None
-    row_rules = [r for r in rules if r.kind in local]
+    row_rules = [r for r in rules if _failing(r) is not None]
     if row_rules:
-        one = df.agg(*[F.count_if(local[r.kind](r)).alias(f"c{i}") for i, r in enumerate(row_rules)])
+        counts = [F.count_if(_failing(r)).alias(f"c{i}") for i, r in enumerate(row_rules)]
+        one = df.groupBy(*by).agg(*counts) if by else df.agg(*counts)
         pairs = ", ".join(f"'{r.name}', c{i}" for i, r in enumerate(row_rules))
-        result = one.selectExpr(f"stack({len(row_rules)}, {pairs}) AS (check, failures)")
+        result = one.selectExpr(*by, f"stack({len(row_rules)}, {pairs}) AS (check, failures)")
     for rule in rules:
         value = F.col(rule.column) if rule.kind in ("unique", "related") else None
         if rule.kind == "unique":
-            repeated = df.filter(value.isNotNull()).groupBy(value).agg(F.count("*").alias("_n")).filter("_n > 1")
-            part = repeated.agg(F.count("*").alias("failures"))
+            part = df.filter(value.isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n")).filter("_n > 1")
+            failures = F.count("*")
         elif rule.kind == "related":
             # Distinct values first: one row per value crosses the network, not one per row.
-            used = df.filter(value.isNotNull()).groupBy(value.alias("_v")).agg(F.count("*").alias("_n"))
+            used = df.filter(value.isNotNull()).groupBy(*by, value.alias("_v")).agg(F.count("*").alias("_n"))
             known = rule.table.select(F.col(rule.target).alias("_k"))
-            orphans = used.join(known, F.col("_v") == F.col("_k"), "left_anti")
-            part = orphans.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("failures"))
+            part = used.join(known, F.col("_v") == F.col("_k"), "left_anti")
+            failures = F.coalesce(F.sum("_n"), F.lit(0))
         else:
             continue
-        part = part.select(F.lit(rule.name).alias("check"), "failures")
+        grouped = part.groupBy(*by) if by else part
+        part = grouped.agg(failures.alias("failures")).select(*by, F.lit(rule.name).alias("check"), "failures")
         result = part if result is None else result.unionByName(part)
     return result
 
 
-def volume(df: DataFrame, low: int, high: int) -> DataFrame:
-    return df.agg(F.count("*").alias("rows")).withColumn("inside", F.col("rows").between(low, high))
+class Watched:
+    """A table whose row-local rules are checked by whatever job reads `df` first, for example the one that writes it: no pass of its own."""
+
+    def __init__(self, df: DataFrame, rules: Sequence[Rule]):
+        wrong = [r.name for r in rules if _failing(r) is None]
+        if wrong:
+            raise ValueError(f"these rules need other rows, too: {wrong}")
+        self._rules, self._seen = list(rules), Observation()
+        self.df = df.observe(self._seen, *[F.count_if(_failing(r)).alias(f"c{i}") for i, r in enumerate(rules)])
+
+    def failures(self) -> dict[str, int]:
+        """Failures per rule, once the job is done; waits for it."""
+        found = self._seen.get
+        return {r.name: found.get(f"c{i}", 0) for i, r in enumerate(self._rules)}
+
+
+def volume(df: DataFrame, low: int, high: int, by: Sequence[str] = ()) -> DataFrame:
+    rows = F.count("*").alias("rows")
+    return (df.groupBy(*by).agg(rows) if by else df.agg(rows)).withColumn("inside", F.col("rows").between(low, high))
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -94,45 +124,50 @@ def assert_absent(df: DataFrame, forbidden: Sequence[str]) -> DataFrame:
     return df
 
 
-def series_jumps(counts: DataFrame, year: str, count: str, limit: float = 0.3) -> DataFrame:
+def series_jumps(counts: DataFrame, year: str, count: str, limit: float = 0.3, by: Sequence[str] = ()) -> DataFrame:
     """Cohorts whose volume moved more than `limit` from the cohort before. One row per cohort comes in."""
-    moved = counts.withColumn("previous", F.lag(count).over(W.orderBy(year)))
+    window = W.partitionBy(*by).orderBy(year) if by else W.orderBy(year)
+    moved = counts.withColumn("previous", F.lag(count).over(window))
     return moved.filter(F.abs(F.col(count) - F.col("previous")) > limit * F.col("previous")).withColumn(
         "change_pct", half_even((F.col(count) - F.col("previous")) * 100.0 / F.col("previous"), 1)
     )
 
 
-def outcome_shares(df: DataFrame, year: str, bands: dict[str, tuple[float, float]]) -> DataFrame:
+def outcome_shares(df: DataFrame, year: str, bands: dict[str, tuple[float, float]], by: Sequence[str] = ()) -> DataFrame:
     """Share of each outcome per cohort and whether all shares are inside their bands."""
-    shares = df.groupBy(year).agg(
+    shares = df.groupBy(*by, year).agg(
         *[(F.count_if(F.col("outcome") == o) * 100.0 / F.count("*")).alias(f"_{o}") for o in bands]
     )
     inside = F.lit(True)
     for o, (low, high) in bands.items():
         inside = inside & F.col(f"_{o}").between(low, high)
-    return shares.select(year, *[half_even(F.col(f"_{o}"), 1).alias(o) for o in bands], inside.alias("inside"))
+    return shares.select(*by, year, *[half_even(F.col(f"_{o}"), 1).alias(o) for o in bands], inside.alias("inside"))
 
 
-def vanishing_keys(df: DataFrame, key: str, year: str, minimum: int) -> DataFrame:
+def vanishing_keys(df: DataFrame, key: str, year: str, minimum: int, by: Sequence[str] = ()) -> DataFrame:
     """(key, missing year) of keys with at least `minimum` rows in both neighbouring cohorts and none between.
 
     The last cohort may be incomplete and is not used as a neighbour.
     """
-    cells = df.groupBy(key, year).agg(F.count("*").alias("rows"))
-    last = df.agg(F.max(year)).scalar()
-    # A key has one cell per cohort, so the window is small whatever the size of the key.
-    window = W.partitionBy(key).orderBy(year)
+    cells = df.groupBy(*by, key, year).agg(F.count("*").alias("rows"))
+    # A key has one cell per cohort, so the windows are small whatever the size of the key.
+    window = W.partitionBy(*by, key).orderBy(year)
     gaps = cells.withColumn("next_year", F.lead(year).over(window)).withColumn("after", F.lead("rows").over(window))
+    if by:
+        last = df.groupBy(*by).agg(F.max(year).alias("last_year"))
+        gaps = joined_on(gaps, last, by)
+    else:
+        gaps = gaps.withColumn("last_year", df.agg(F.max(year)).scalar())
     return gaps.filter(
         (F.col("next_year") == F.col(year) + 2)
-        & (F.col("next_year") < last)
+        & (F.col("next_year") < F.col("last_year"))
         & (F.col("rows") >= minimum)
         & (F.col("after") >= minimum)
-    ).select(key, (F.col(year) + 1).alias("missing_year"), F.col("rows").alias("before"), "after")
+    ).select(*by, key, (F.col(year) + 1).alias("missing_year"), F.col("rows").alias("before"), "after")
 
 
-def median_band(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
-    median = exact_percentiles(df, [], value, {"median": 0.5})
+def median_band(df: DataFrame, value: str, low: float, high: float, by: Sequence[str] = ()) -> DataFrame:
+    median = exact_percentiles(df, by, value, {"median": 0.5})
     return median.withColumn("inside", F.col("median").between(low, high))
 
 
@@ -196,13 +231,29 @@ def verdict(statuses: DataFrame, accepted: Sequence[str]) -> DataFrame:
     )
 
 
-def two_way_except(left: DataFrame, right: DataFrame, names: tuple[str, str] = ("left", "right")) -> DataFrame:
-    """Distinct rows that only one side has, from one aggregation over both."""
+#: Parts that two tables are compared in before any row is shuffled.
+COMPARED_PARTS = 1024
+
+
+def two_way_except(left: DataFrame, right: DataFrame, names: tuple[str, str] = ("left", "right"), parts: int = COMPARED_PARTS) -> DataFrame:
+    """Distinct rows that only one side has, from one aggregation over the parts of both that differ.
+
+    Rows are dealt to parts by a hash, and the parts' digests are compared first; rows of parts with equal digests, which are equal but for
+    odds of about 2^-128 each, are not shuffled. Both sides are read twice.
+    """
     columns = left.columns
-    a = left.select(*columns, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
-    b = right.select(*columns, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
-    sides = a.unionByName(b).groupBy(*columns).agg(F.max("_l").alias("_l"), F.max("_r").alias("_r"))
-    return sides.filter(F.col("_l") != F.col("_r")).select(
+    right = right.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in left.schema])
+    part = lambda df: F.pmod(row_hashes(df)[0], F.lit(parts)).cast("int")
+    sides = [df.withColumn("_part", part(df)) for df in (left, right)]
+    sums = [digests(df, ["_part"]).withColumn("_side", F.lit(sign)) for df, sign in zip(sides, (1, -1))]
+    compared = sums[0].unionByName(sums[1]).groupBy("_part").agg(*[F.sum(F.col(c) * F.col("_side")).alias(c) for c in ("_rows", "_a", "_b")])
+    unlike = [r[0] for r in compared.filter("_rows <> 0 OR _a <> 0 OR _b <> 0").select("_part").collect()]
+    if len(unlike) < parts:
+        sides = [df.filter(F.col("_part").isin(unlike)) for df in sides]
+    a = sides[0].select(*columns, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
+    b = sides[1].select(*columns, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
+    both = a.unionByName(b).groupBy(*columns).agg(F.max("_l").alias("_l"), F.max("_r").alias("_r"))
+    return both.filter(F.col("_l") != F.col("_r")).select(
         F.when(F.col("_l") == 1, f"only_in_{names[0]}").otherwise(f"only_in_{names[1]}").alias("difference"), *columns
     )
 

@@ -203,60 +203,52 @@ def _matrix_sql() -> str:
 
 @plan("string mutation tripped; bigint failures", "K01 K02 K03 K04 K05 K06 K07 K08 K09 K15", _matrix_sql())
 def bad_data_matrix(t: Tables) -> DataFrame:
-    """Each fault put into the orders, and the checks that it trips."""
+    """Each fault put into the orders, and the checks that it trips: the faults are one more column, so each check runs once for all."""
     clean = t.orders.select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("person"), F.col("o_orderstatus").alias("status"),
         F.col("o_orderpriority").alias("kind"), F.year("o_orderdate").alias("year"),
     ).withColumns({"exit_year": F.expr("year + id % 5"), "terms": F.expr("id % 9 + 1")})
     clean = pinned(clean)
     size, first = clean.agg(F.count("*"), F.min("id")).first()
-    schema, people = clean.schema, t.customer
+    schema, by = clean.schema, ["mutation"]
+
+    def row(name: str, changes: dict[str, str], kept: str):
+        changed = [F.expr(changes.get(c, c)).cast(schema[c].dataType).alias(c) for c in _COLUMNS]
+        return F.when(F.expr(kept), F.struct(F.lit(name).alias("mutation"), *changed))
+
+    rows = [row(name, changes, kept) for name, (changes, kept, _) in _FAULTS.items()]
+    rows += [row(name, changes, "id = first") for name, (changes, _, doubled) in _FAULTS.items() if doubled]
+    faulty = clean.withColumn("first", F.lit(first)).select(F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
+    quality.assert_schema(faulty.drop("mutation"), schema)
+
     rules = [
         Rule("unique", "id"), Rule("not_null", "person"), Rule("accepted", "status", ("F", "O", "P")), Rule("range", "year", (1962, 2100)),
-        Rule("range", "terms", (1, 35)), Rule("related", "person", table=people, target="c_custkey"),
+        Rule("range", "terms", (1, 35)), Rule("related", "person", table=t.customer, target="c_custkey"), Rule("true", "NOT exit_year < year"),
     ]
-
-    def one(name: str, check: str, failures) -> DataFrame:
-        return t.spark.range(1).select(F.lit(name).alias("mutation"), F.lit(check).alias("tripped"), failures.cast("bigint").alias("failures"))
-
-    def checked(name: str, df: DataFrame) -> list[DataFrame]:
-        last = df.agg(F.max("year")).scalar()
-        cohorts_ = df.filter((F.col("year") < last) & (F.col("year") > 1900))
-        counts = cohorts_.groupBy("year").agg(F.count("*").alias("n"))
-        bands = quality.outcome_shares(cohorts_.withColumnRenamed("status", "outcome"), "year", {"F": (15, 55), "P": (15, 55)})
-        share = df.filter("person IS NOT NULL").groupBy("person").agg((F.count_if(F.col("status") == "P") * 100.0 / F.count("*")).alias("p"))
-        parts = {
-            "volume": quality.volume(df, -(-9 * size // 10), 11 * size // 10).filter("NOT inside"),
-            "series": quality.series_jumps(counts, "year", "n"),
-            "bands": bands.filter("NOT inside"),
-            "vanishing": quality.vanishing_keys(df, "kind", "year", 15),
-            "median": share.agg(F.percentile("p", 0.5).alias("m")).filter("NOT m BETWEEN 15 AND 55"),
-            "domain:exit": df.filter("exit_year < year"),
-        }
-        found = [quality.column_checks(df, rules).select(F.lit(name).alias("mutation"), F.col("check").alias("tripped"), "failures")]
-        return found + [
-            part.agg(F.count("*").alias("failures")).select(F.lit(name).alias("mutation"), F.lit(check).alias("tripped"), "failures")
-            for check, part in parts.items()
-        ]
-
-    found = []
-    firsts = clean.withColumn("first", F.lit(first))
-    for name, (changes, kept, doubled) in _FAULTS.items():
-        def changed(rows: DataFrame) -> DataFrame:
-            return rows.select(*[F.expr(changes.get(c, c)).cast(schema[c].dataType).alias(c) for c in _COLUMNS])
-
-        rows = changed(firsts.filter(kept))
-        df = rows.unionByName(changed(firsts.filter("id = first"))) if doubled else rows
-        quality.assert_schema(df, schema)
-        found += checked(name, df)
+    found = quality.column_checks(faulty, rules, by).select(
+        "mutation", F.when(F.col("check").startswith("true:"), "domain:exit").otherwise(F.col("check")).alias("tripped"), "failures"
+    )
+    last = pinned(faulty.groupBy("mutation").agg(F.max("year").alias("last")))  # a row a fault
+    cohorts_ = faulty.join(F.broadcast(last), "mutation").filter((F.col("year") < F.col("last")) & (F.col("year") > 1900))
+    counts = cohorts_.groupBy("mutation", "year").agg(F.count("*").alias("n"))
+    outcomes = cohorts_.withColumnRenamed("status", "outcome")
+    share = faulty.filter("person IS NOT NULL").groupBy("mutation", "person").agg((F.count_if(F.col("status") == "P") * 100.0 / F.count("*")).alias("p"))
+    parts = {
+        "volume": quality.volume(faulty, -(-9 * size // 10), 11 * size // 10, by).filter("NOT inside"),
+        "series": quality.series_jumps(counts, "year", "n", by=by),
+        "bands": quality.outcome_shares(outcomes, "year", {"F": (15, 55), "P": (15, 55)}, by).filter("NOT inside"),
+        "vanishing": quality.vanishing_keys(faulty, "kind", "year", 15, by),
+        "median": quality.median_band(share, "p", 15, 55, by).filter("NOT inside"),
+    }
+    for check, part in parts.items():
+        found = found.unionByName(part.groupBy("mutation").agg(F.count("*").alias("failures")).select("mutation", F.lit(check).alias("tripped"), "failures"))
     try:
         quality.assert_schema(clean.withColumn("terms", F.col("terms").cast("decimal(10,1)")), schema)
     except quality.SchemaMismatch:
-        found.append(one("a column changes its type", "schema", F.lit(1)))
-    result = found[0]
-    for part in found[1:]:
-        result = result.unionByName(part)
-    return result.filter("failures > 0")
+        found = found.unionByName(t.spark.range(1).select(
+            F.lit("a column changes its type").alias("mutation"), F.lit("schema").alias("tripped"), F.lit(1).cast("bigint").alias("failures")
+        ))
+    return found.filter("failures > 0")
 
 
 @plan("string column; bigint rows first_row", "K16",

@@ -66,7 +66,8 @@ _STOPS = ", ".join(f"'{w}'" for w in STOP)
 
 
 _WORDS = r"string_split_regex(lower(strip_accents({0})), '[^\p{{L}}\p{{N}}]+')"
-_COVERAGE = f"""texts_asked(query_id, text) AS ({_ASKED}
+def _coverage(asked: str) -> str:
+    return f"""texts_asked(query_id, text) AS ({asked}
 ), terms_asked AS (SELECT query_id, list_filter(list_distinct({_WORDS.format("text")}), lambda w: w <> '' AND w NOT IN ({_STOPS})) AS terms FROM texts_asked
 ), asked AS (SELECT query_id, terms, greatest(1, ceil(len(terms) * 0.5)) AS needed FROM terms_asked WHERE len(terms) > 0
 ), words AS (SELECT doc_id AS id, {_WORDS.format("text")} AS w FROM documents
@@ -76,6 +77,9 @@ _COVERAGE = f"""texts_asked(query_id, text) AS ({_ASKED}
   FROM covered WHERE covered >= needed)"""
 
 
+_COVERAGE = _coverage(_ASKED)
+
+
 def _grams(text: str, fold: bool = False) -> str:
     inner = f"strip_accents({text})" if fold else text
     return (
@@ -84,7 +88,8 @@ def _grams(text: str, fold: bool = False) -> str:
     )
 
 
-_TITLES = f"""spelled(query_id, text) AS ({_ASKED}
+def _titles(asked: str) -> str:
+    return f"""spelled(query_id, text) AS ({asked}
 ), forms AS (SELECT query_id, text AS form FROM spelled UNION SELECT query_id, strip_accents(text) FROM spelled
 ), f AS (SELECT query_id, form, list_distinct({_grams("form")}) AS q FROM forms
 ), t AS (SELECT doc_id AS id, regexp_extract(text, '^([^.\\n]*)', 1) AS title, {_grams("regexp_extract(text, '^([^.\\n]*)', 1)")} AS g FROM documents
@@ -97,7 +102,12 @@ _TITLES = f"""spelled(query_id, text) AS ({_ASKED}
 ), titles AS (SELECT *, contains OR similarity >= 0.99 AS exact, row_number() OVER (PARTITION BY query_id ORDER BY contains DESC, similarity DESC, id) AS position
   FROM best WHERE similarity >= 0.8)"""
 
-_FUSED = f"""{_CENTROIDS}, {_COVERAGE}, {_TITLES}, held AS (
+
+_TITLES = _titles(_ASKED)
+
+
+def _fused(vectors: str, asked: str) -> str:
+    return f"""{vectors}, {_coverage(asked)}, {_titles(asked)}, held AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS position
   FROM scored WHERE id IN (SELECT doc_id FROM documents) QUALIFY position <= 30
 ), lists AS (
@@ -113,6 +123,9 @@ _FUSED = f"""{_CENTROIDS}, {_COVERAGE}, {_TITLES}, held AS (
 ), hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, similarity DESC, id) AS position FROM one QUALIFY position <= 5)"""
 
 
+_FUSED = _fused(_CENTROIDS, _ASKED)
+
+
 @plan("string kind key title content", "J01 J02",
       f"""WITH {D.RISK}, titles AS (SELECT lower(split_part(text, chr(10), 1)) AS title, lang, source, count(*) AS plans FROM documents
         WHERE split_part(text, chr(10), 1) <> '' GROUP BY ALL)
@@ -218,6 +231,16 @@ def vector_topk(t: Tables) -> DataFrame:
     return search.vector_candidates(t.embeddings, queries(t), "vec_id", "embedding")
 
 
+@plan("bigint query_id id position; double similarity", "J08",
+      f"""WITH {_CENTROIDS}, kinds AS (SELECT query_id, id, similarity FROM scored JOIN embeddings ON vec_id = id WHERE label % 3 = query_id % 3
+      ) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS position FROM kinds QUALIFY position <= 30""")
+def vector_index(t: Tables) -> DataFrame:
+    """The search of `vector_topk` through blocks of neighbours, each query in one of three kinds of vectors."""
+    kind = lambda c: (F.col(c) % 3).cast("string")
+    blocks = search.vector_blocks(t.embeddings.withColumn("kind", kind("label")), "vec_id", "embedding", "kind", rows=64)
+    return search.block_candidates(blocks, queries(t).withColumn("kind", kind("query_id")))
+
+
 @plan("bigint query_id id covered hits position", "J09", f"WITH {_COVERAGE} SELECT query_id, id, covered, hits, position FROM texts")
 def coverage_match(t: Tables) -> DataFrame:
     return search.coverage_candidates(t.documents, texts(t), "doc_id", F.col("text"), STOP)
@@ -230,34 +253,72 @@ def trigram_title(t: Tables) -> DataFrame:
     return found.withColumn("similarity", half_even(F.col("similarity"), 9))
 
 
-def hits(t: Tables, asked: DataFrame) -> DataFrame:
-    """Every third document has no file. Titles and files come from one written table, texts from the documents."""
+def lists(t: Tables, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The vector list with its positions, title and text candidates without, and (id, file).
+
+    Every third document has no file. Titles and files come from one written table, texts from the documents.
+    """
     file = F.when(F.col("doc_id") % 3 != 0, F.col("source"))
     short = pinned(t.documents.select("doc_id", file.alias("file"), title().alias("title")))
     vectors = t.embeddings.join(short.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    return search.top_fused(
+    return (
         search.vector_candidates(vectors, asked, "vec_id", "embedding"),
         search.title_candidates(short, asked, "doc_id", F.col("title"), placed=False),
         search.coverage_candidates(t.documents, asked, "doc_id", F.col("text"), STOP, placed=False),
-        short.select(F.col("doc_id").alias("id"), "file"), 5,
+        short.select(F.col("doc_id").alias("id"), "file"),
     )
 
 
+def hits(t: Tables, asked: DataFrame) -> DataFrame:
+    return search.top_fused(*lists(t, asked), 5)
+
+
 @plan("bigint query_id id position; double relevance; string file", "J11 J12 J13 C10",
       f"WITH {_FUSED} SELECT query_id, id, position, relevance, file FROM hits")
 def hybrid_rrf(t: Tables) -> DataFrame:
     return hits(t, queries(t)).select("query_id", "id", "position", "relevance", "file")
 
 
-@plan("bigint queries found; double recall mrr", "J14",
-      f"""WITH {_FUSED}, expected AS (SELECT query_id, id FROM vectors WHERE position = 1
-      ), p AS (SELECT e.query_id, h.position FROM expected e LEFT JOIN hits h USING (query_id, id))
-      SELECT count(*) AS queries, count(*) FILTER (position <= 5) AS found, round_even(count(*) FILTER (position <= 5) / count(*) * 1e6, 0) / 1e6 AS recall,
-        round_even(avg(CASE WHEN position <= 5 THEN 1.0::DOUBLE / position ELSE 0 END) * 1e6, 0) / 1e6 AS mrr FROM p""")
+# Each document whose id is divisible by 50 is asked for by its second sentence, and by its vector with every fourth number left out.
+_OWN = """SELECT doc_id AS query_id, sentence AS text FROM (
+    SELECT doc_id, trim(regexp_replace(split_part(text, '.', 2), '\\s+', ' ', 'g')) AS sentence FROM documents WHERE doc_id % 50 = 0
+  ) WHERE len(string_split(sentence, ' ')) >= 4"""
+_OWN_VECTORS = f"""centroids AS (
+  SELECT query_id, list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN i % 4 = 0 THEN 0 ELSE x END) AS c FROM embeddings JOIN ({_OWN}) ON vec_id = query_id
+), scored AS (SELECT query_id, vec_id AS id, round_even(list_cosine_similarity(embedding::DOUBLE[], c) * 1e9, 0) / 1e9 AS similarity FROM embeddings CROSS JOIN centroids)"""
+
+
+def own_queries(t: Tables) -> DataFrame:
+    """Queries made from the documents themselves; each one's document is the one to be found."""
+    sentence = F.btrim(F.regexp_replace(F.get(F.split("text", r"\."), F.lit(1)), r"\s+", " "))
+    rows = t.documents.filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), sentence.alias("text"))
+    asked = rows.filter(F.size(F.split("text", " ")) >= 4)
+    blurred = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: F.when(i % 4 == 3, 0.0).otherwise(x))
+    vectors = t.embeddings.select(F.col("vec_id").alias("query_id"), blurred.alias("vector"))
+    return pinned(asked.join(vectors, "query_id", "left"))
+
+
+@plan("string list; bigint queries found; double recall mrr", "J14",
+      f"""WITH {_fused(_OWN_VECTORS, _OWN)}, p AS (
+        SELECT 'vector' AS list, query_id, position FROM held WHERE id = query_id UNION ALL SELECT 'title', query_id, position FROM titles WHERE id = query_id
+        UNION ALL SELECT 'text', query_id, position FROM texts WHERE id = query_id UNION ALL SELECT 'fused', query_id, position FROM hits WHERE id = query_id
+      ), a AS (SELECT unnest(['vector', 'title', 'text', 'fused']) AS list, query_id FROM texts_asked)
+      SELECT list, count(*) AS queries, count(*) FILTER (position <= 5) AS found, round_even(count(*) FILTER (position <= 5) / count(*) * 1e6, 0) / 1e6 AS recall,
+        round_even(avg(CASE WHEN position <= 5 THEN 1.0::DOUBLE / position ELSE 0 END) * 1e6, 0) / 1e6 AS mrr FROM a LEFT JOIN p USING (list, query_id) GROUP BY 1""")
 def retrieval_quality(t: Tables) -> DataFrame:
-    asked = queries(t)
-    nearest = search.vector_candidates(t.embeddings, asked, "vec_id", "embedding", n=1).select("query_id", "id")
-    one = search.retrieval_quality(pinned(hits(t, asked)), nearest, 5)
-    return one.withColumn("recall", half_even(F.col("recall"), 6)).withColumn("mrr", half_even(F.col("mrr"), 6))
-
-
+    """How often each list and their fusion find the document that a query was made from."""
+    asked = own_queries(t)
+    vector, titles, texts_, files = lists(t, asked)
+    vector, titles, texts_ = pinned(vector), pinned(titles), pinned(texts_)
+    found = {
+        "vector": vector, "title": search.in_order(titles, search.TITLE_ORDER, 5), "text": search.in_order(texts_, search.TEXT_ORDER, 5),
+        "fused": search.top_fused(vector, titles, texts_, files, 5),
+    }
+    expected = asked.select("query_id", F.col("query_id").alias("id"))
+    result = None
+    for name, hits_ in found.items():
+        one = search.retrieval_quality(hits_, expected, 5).select(
+            F.lit(name).alias("list"), "queries", "found", half_even(F.col("recall"), 6).alias("recall"), half_even(F.col("mrr"), 6).alias("mrr")
+        )
+        result = one if result is None else result.unionByName(one)
+    return result

@@ -109,6 +109,42 @@ def test_every_mutation_trips_its_check(spark):
     assert all(check in got[fault] for fault, check in wanted.items())
 
 
+def test_checks_of_many_tables_in_one(spark):
+    """Grouped checks give what each table gives alone."""
+    rows = [(g, i % (5 + g), None if i % 7 == g else i % 4, 2000 + i % (6 - g), "FORMATURA" if i % 3 else "EVASAO") for g in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "g int, id int, v int, year int, outcome string")
+    known = spark.range(3).select(F.col("id").cast("int").alias("k"))
+    rules = [Rule("unique", "id"), Rule("not_null", "v"), Rule("range", "v", (1, 2)), Rule("true", "v < 3"), Rule("related", "v", table=known, target="k")]
+    whole = {(r.g, r.check): r.failures for r in quality.column_checks(df, rules, ["g"]).collect() if r.failures}
+    jumps = lambda d, by=(): quality.series_jumps(d.groupBy(*by, "year").agg(F.count("*").alias("n")), "year", "n", 0.05, by)
+    shares = lambda d, by=(): quality.outcome_shares(d, "year", {"EVASAO": (30, 40)}, by)
+    gone = lambda d, by=(): quality.vanishing_keys(d.filter("NOT (v = 1 AND year = 2001)"), "v", "year", 1, by)
+    middle = lambda d, by=(): quality.median_band(d, "v", 1.5, 9, by)
+    for g in range(3):
+        one = df.filter(F.col("g") == g).drop("g")
+        assert {c: n for (k, c), n in whole.items() if k == g} == {r.check: r.failures for r in quality.column_checks(one, rules).collect() if r.failures}
+        for check in (jumps, shares, gone, middle):
+            alone = sorted(map(str, check(one).collect()))
+            assert sorted(map(str, check(df, ["g"]).filter(F.col("g") == g).drop("g").collect())) == alone
+        assert quality.volume(df, 1, 50, ["g"]).filter(F.col("g") == g).first().inside is False
+
+
+def test_faults_are_checked_together(spark):
+    from cohortlens.plans.catalog import PLANS
+
+    plan = PLANS["bad_data_matrix"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("terms") and plan.count("Relation") <= 10
+
+
+def test_rules_are_watched_while_a_table_is_written(spark, tmp_path):
+    df = spark.createDataFrame([(1, 5), (None, 7), (3, None)], "a int, b int")
+    watched = quality.Watched(df, [Rule("not_null", "a"), Rule("range", "b", (6, 9))])
+    watched.df.write.parquet(str(tmp_path / "t"))
+    assert watched.failures() == {"not_null:a": 1, "range:b": 1}
+    with pytest.raises(ValueError):
+        quality.Watched(df, [Rule("unique", "a")])
+
+
 def test_checks_on_small_tables(spark, rows):
     df = spark.createDataFrame([(1, None), (1, "x"), (None, "y")], "id int, v string")
     found = quality.column_checks(df, [Rule("not_null", "id"), Rule("unique", "id"), Rule("range", "id", (2, 3))])
@@ -158,3 +194,12 @@ def test_statistics(spark):
     assert tuple(stats.pearson(df.limit(2), "x", "y").first()) == (2, None)
     assert stats.log_correlation(df, "x", "y").first().significant
     assert stats.extremes(df, "x", "i", 10).count() == 11
+
+
+def test_only_parts_that_differ_are_compared_row_by_row(spark, rows):
+    left = spark.range(2000).select("id", (F.col("id") % 7).cast("string").alias("v"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("n"))
+    right = left.withColumn("v", F.when(F.col("id") == 5, "x").otherwise(F.col("v"))).filter("id <> 9").unionByName(left.filter("id < 3"))
+    found = quality.two_way_except(left, right)
+    assert rows(found) == [("only_in_left", 5, "5", 5), ("only_in_left", 9, "2", None), ("only_in_right", 5, "x", 5)]
+    assert rows(quality.two_way_except(left, right, parts=1)) == rows(found)
+    assert quality.two_way_except(left, left.repartition(3)).count() == 0

@@ -111,3 +111,30 @@ def test_rate_in_force(spark):
     ).selectExpr("i", "CAST(a AS DATE) AS a", "CAST(b AS DATE) AS b")
     got = programme.rate_in_force(spans, "a", "b", rates, "since", "v", "amount").orderBy("i")
     assert [float(r.amount) for r in got.collect()] == [7 * 400 + 5 * 700, 1200, 700]
+
+
+def test_rates_of_several_series_with_many_changes(spark):
+    chance = random.Random(9)
+    months = [f"{y}-{m:02}" for y in range(1700, 2020) for m in range(1, 13)]
+    rates = {s: sorted(chance.sample(months, n)) for s, n in (("a", 3000), ("b", 1), ("c", 40))}
+    value = {(s, m): chance.randrange(1, 999) for s, each in rates.items() for m in each}
+    spans = [(i, chance.choice(["a", "b", "c", "d", None]), *(f"{chance.randrange(1690, 2030)}-{chance.randrange(1, 13):02}-11" for _ in "xy")) for i in range(300)]
+    df = spark.createDataFrame([*spans, (300, "a", None, "2000-01-01"), (301, "a", "2000-01-01", None)], "i int, s string, a string, b string")
+    df = df.withColumns({c: F.col(c).cast("date") for c in "ab"})
+    given = spark.createDataFrame([(s, m, float(v)) for (s, m), v in value.items()], "s string, since string, v double")
+
+    def slow(series, start, end):
+        if series not in rates or start is None or end is None:
+            return None
+        total = 0
+        for month in range(int(start[:4]) * 12 + int(start[5:7]) - 1, int(end[:4]) * 12 + int(end[5:7])):
+            name = f"{month // 12}-{month % 12 + 1:02}"
+            past = [m for m in rates[series] if m <= name]
+            total += value[series, past[-1] if past else rates[series][0]]
+        return total
+
+    got = programme.rate_in_force(df, "a", "b", given, "since", "v", "amount", "s")
+    assert got.columns == [*df.columns, "amount"]
+    assert {r.i: r.amount and float(r.amount) for r in got.collect()} == {i: slow(s, a, b) for i, s, a, b in [*spans, (300, "a", None, ""), (301, "a", "", None)]}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan

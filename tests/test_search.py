@@ -132,6 +132,31 @@ def test_vectors_are_exact_and_ties_go_to_the_smaller_id(spark, monkeypatch):
     assert all(ids(several, i) == wanted for i in range(5))
 
 
+def test_blocks_of_neighbours_give_the_same_rows(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    around = rng.normal(size=(12, 16))
+    data = np.concatenate([around[rng.integers(0, 12, 1500)] + 0.1 * rng.normal(size=(1500, 16)), np.repeat(around[:1], 600, axis=0), np.zeros((2, 16))])
+    rows = [(i, [float(x) for x in v], "abc"[i % 3]) for i, v in enumerate(data)] + [(5000, None, "a")]
+    df = spark.createDataFrame(rows, "id long, v array<double>, k string").repartition(3)
+    queries = asked(spark, *[("", around[i % 12] + 0.05 * rng.normal(size=16)) for i in range(20)], "no vector")
+    shown = lambda d: sorted(tuple(r) for r in d.select("query_id", "position", "id", "similarity").collect())
+    wanted = shown(search.vector_candidates(df, queries, "id", "v"))
+    blocks = search.vector_blocks(df, "id", "v", rows=100)
+    assert shown(search.block_candidates(blocks, queries)) == wanted
+    found = blocks.select("centre", "radius", F.size("ids").alias("n")).toPandas()
+    assert found["n"].sum() == 2102 and found["n"].max() <= 200 and len(found) > 15
+    asked_ = search._unit(np.stack([r.vector for r in queries.filter("vector is not null").collect()]))
+    last = {q: s for q, p, _, s in wanted if p == 30}
+    skipped = (search.reach(np.stack(found["centre"]), found["radius"].to_numpy(), asked_) < np.array([last[q] for q in range(20)]) - 2e-9).mean()
+    assert skipped > 0.5, "most blocks can hold none of the nearest"
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    kinds = queries.withColumn("kind", F.when(F.col("query_id") % 2 == 0, "b"))
+    by_kind = search.block_candidates(search.vector_blocks(df, "id", "v", "k", rows=100), kinds)
+    alone = search.vector_candidates(df.filter("k = 'b'"), queries.filter("query_id % 2 = 0"), "id", "v")
+    assert shown(by_kind.filter("query_id % 2 = 0")) == shown(alone) and shown(by_kind.filter("query_id % 2 = 1")) == [r for r in wanted if r[0] % 2]
+    assert search.block_candidates(search.vector_blocks(df.limit(0), "id", "v"), queries).count() == 0
+
+
 def hits(corpus, queries, k=5):
     fused = search.fuse(
         search.vector_candidates(corpus, queries, "id", "v"),
@@ -157,7 +182,7 @@ def test_the_heads_of_the_lists_give_the_same_top(spark, first):
     title = spark.createDataFrame(lists["title"], "query_id long, id long, similarity double, contains boolean, exact boolean")
     text = spark.createDataFrame(lists["text"], "query_id long, id long, covered long, hits long")
     files = spark.createDataFrame([(i, None if i % 3 == 0 else f"f{i % 40}") for i in range(300)], "id long, file string")
-    fused = search.fuse(vector, search._placed(title, search.TITLE_ORDER, None), search._placed(text, search.TEXT_ORDER, None))
+    fused = search.fuse(vector, search.in_order(title, search.TITLE_ORDER, None), search.in_order(text, search.TEXT_ORDER, None))
     plain = search.best_per_file(fused.withColumn("relevance", search.half_even(F.col("relevance"), 9)).join(files, "id"), "file", 5)
     shown = lambda df: sorted(tuple(r) for r in df.select("query_id", "position", "id", "relevance").collect())
     assert shown(search.top_fused(vector, title, text, files, 5, first=first)) == shown(plain)
