@@ -2,8 +2,9 @@
 
 A text's k-mers are runs of `k` words. Each occurrence is numbered among the equal k-mers of the text, so repeats count, and hashed with its
 number. The hash's first bits deal the occurrences to `bins` sketches (one permutation serves all); in each the `pick` smallest are kept, put
-back into the order of the text, and hashed together. Two texts agree in a bin only if the same k-mers come in the same order, so the share
-of agreeing bins falls with the edit distance.
+back into the order of the text, and hashed together. A bin with fewer k-mers than `pick`, as most are in a short text, takes the `pick`
+smallest of all the text's k-mers under a permutation of its own, so it keeps an order, too. Two texts agree in a bin only if the same k-mers
+come in the same order, so the share of agreeing bins falls with the edit distance.
 
 All steps are array functions on one row: sorting brings equal k-mers together, and the lengths of their runs give the occurrence numbers.
 """
@@ -26,7 +27,7 @@ def _runs(df: DataFrame, array: str, same: str, out: str) -> DataFrame:
 
 
 def sketch(df: DataFrame, text: str, out: str, k: int = K, pick: int = PICK, bin_bits: int = BIN_BITS) -> DataFrame:
-    """Adds `out`: one string `bbhhhhhhhh` (bin and 32 bits of the tuple's hash, in hexadecimal digits) per bin with k-mers.
+    """Adds `out`: one string `bbhhhhhhhh` (bin and 32 bits of the tuple's hash, in hexadecimal digits) per bin, none without k-mers.
 
     Words are separated by space and 09 to 0D; a text of fewer than `k` words is one k-mer, a text without words has none. Null is empty.
     """
@@ -54,15 +55,22 @@ def sketch(df: DataFrame, text: str, out: str, k: int = K, pick: int = PICK, bin
     df = df.withColumn(names["g"], F.transform(n("g"), lambda e: F.struct(F.shiftright(e["g"], shift).alias("bin"), e["g"].alias("g"), e["i"].alias("i"))))
     df = _runs(df, names["g"], "bin", names["b"])
 
-    def signed(start: Column, at: Column) -> Column:
-        take = F.least(F.lit(pick), ends(start, at, n("b"), n("g")))
-        chosen = F.slice(n("g"), start + 1, take)
-        ordered = F.transform(F.sort_array(F.transform(chosen, lambda e: F.struct(e["i"], e["g"].alias("g")))), lambda e: e["g"])
+    runs = F.transform(n("b"), lambda start, at: F.struct(
+        (F.get(n("g"), start)["bin"] + (1 << (bin_bits - 1))).alias("bin"), start.alias("start"), ends(start, at, n("b"), n("g")).alias("size")
+    ))
+    df = df.withColumn(names["b"], runs)
+
+    def signed(place: Column) -> Column:
+        own = F.get(F.filter(n("b"), lambda r: (r["bin"] == place) & (r["size"] >= pick)), F.lit(0))["start"]
+        again = F.sort_array(F.transform(n("g"), lambda e: F.struct(F.xxhash64(e["g"], place).alias("p"), e["i"].alias("i"), e["g"].alias("g"))))
+        chosen = F.when(own.isNotNull(), F.transform(F.slice(n("g"), own + 1, F.lit(pick)), lambda e: F.struct(e["i"].alias("i"), e["g"].alias("g"))))
+        chosen = chosen.otherwise(F.transform(F.slice(again, 1, pick), lambda e: F.struct(e["i"].alias("i"), e["g"].alias("g"))))
+        ordered = F.transform(F.sort_array(chosen), lambda e: e["g"])
         mark = F.xxhash64(ordered).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-        place = F.get(n("g"), start)["bin"] + (1 << (bin_bits - 1))
         return F.concat(F.lpad(F.lower(F.hex(place)), 2, "0"), F.lpad(F.lower(F.hex(mark)), 8, "0"))
 
-    return df.withColumn(out, F.transform(n("b"), signed)).drop(*names.values())
+    places = F.when(F.size(n("g")) > 0, F.sequence(F.lit(0), F.lit((1 << bin_bits) - 1))).otherwise(F.array().cast("array<int>"))
+    return df.withColumn(out, F.transform(places, signed)).drop(*names.values())
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -33,14 +33,15 @@ def slow_sketch(text, pick=orderhash.PICK, bits=orderhash.BIN_BITS):
     for i, m in enumerate(mers):
         g = h2(m, Int(seen[m]))
         seen[m] += 1
-        bins[g >> (64 - bits)].append((g, i))
-    out = []
-    for b in sorted(bins):
-        first = sorted((i, g) for g, i in sorted(bins[b])[:pick])
+        bins[(g >> (64 - bits)) + (1 << bits - 1)].append((g, i))
+    out, every = [], [e for each in bins.values() for e in each]
+    for b in range(1 << bits if every else 0):
+        kept = sorted(bins[b])[:pick] if len(bins[b]) >= pick else sorted(every, key=lambda e: h2(e[0], Int(b)))[:pick]
+        first = sorted((i, g) for g, i in kept)
         state = 42
         for _, g in first:
             state = xxhash.xxh64(struct.pack("<q", g), seed=state).intdigest()
-        out.append(f"{b + (1 << bits - 1):02x}{state & 0xFFFFFFFF:08x}")
+        out.append(f"{b:02x}{state & 0xFFFFFFFF:08x}")
     return out
 
 
@@ -98,3 +99,19 @@ def test_order_and_repeats_count(spark):
     s = {r.i: r.s for r in orderhash.sketch(df, "text", "s").collect()}
     assert s[1] == s[4] == slow_sketch(a)
     assert slow_likeness(s[1], s[2]) < 0.8 and slow_likeness(s[1], s[3]) < 0.8
+
+
+@pytest.mark.parametrize("words", [30, 80, 300, 1000])
+def test_moved_blocks_lower_the_likeness_at_any_length(spark, words):
+    """Six blocks in another order keep nearly all 2-mers; the likeness must fall well below their share."""
+    rows = []
+    for i in range(20):
+        text = [f"t{i}w{n}" for n in range(words)]
+        size = -(-words // 6)
+        parts = [text[a:a + size] for a in range(0, words, size)]
+        rows.append((i, " ".join(text), " ".join(w for p in (3, 0, 5, 1, 4, 2) if p < len(parts) for w in parts[p])))
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    near = orderhash.sketch(orderhash.sketch(df, "a", "s"), "b", "t").select(orderhash.likeness("s", "t")).collect()
+    mean = sum(r[0] for r in near) / len(near)
+    same = (words - 6) / (words + 4)  # share of 2-mers that both orders have
+    assert mean < 0.75 * same
