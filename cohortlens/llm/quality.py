@@ -1,12 +1,13 @@
 """Quality rules by distribution divergence from language references.
 
 Two histograms of a text are compared with those of its language: character classes, and the language's most common words with one
-bin for all other words. The references are sums over all documents of the language. The divergence is the Jensen-Shannon distance
-(square root of the divergence in bits, 0 to 1). Short texts are too noisy for a verdict and pass it.
+bin for all other words. The references are sums over the documents of the language that pass the base rules. The divergence is the
+Jensen-Shannon distance (square root of the divergence in bits, 0 to 1). Short texts are too noisy for a verdict and pass it.
 
-**No language, or a rare one.** A document that names no language, or one that fewer than `MIN_DOCUMENTS` texts long enough for a verdict
-have, is compared with every language that has so many, and judged by the nearest: it is odd if it is odd in all of them. If no language
-has so many, each named one is its own reference, and documents that name none get no verdict.
+**Which languages have a reference.** Those with at least `MIN_DOCUMENTS` texts long enough for a verdict that are also one in
+`MOST_LANGUAGES` or more of all such texts, so there are at most so many references, whatever the column holds. Any other document, because it
+names no language or a rare one, is compared with every reference and judged by the nearest: it is odd if it is odd in all of them. Without
+any reference there is no verdict.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ WORD_LIMIT = (0.33, 1.0)
 MIN_DOCUMENTS = 8
 #: Languages that name none: blank, and the codes for undetermined, several, uncoded and no linguistic content.
 UNNAMED = ("", "und", "mul", "mis", "zxx")
-#: More languages than codes exist means that the column is none: the most frequent are references, so that these stay small.
-MAX_LANGUAGES = 10_000
+#: One in so many of the texts that are long enough makes a language a reference, if these are `MIN_DOCUMENTS` at least.
+MOST_LANGUAGES = 10_000
 
 _TABLE: list[np.ndarray] = []
 
@@ -102,21 +103,65 @@ def long_enough(words: int, chars: int) -> bool:
     return words >= MIN_WORDS and chars >= MIN_CHARS
 
 
-def distance(p: np.ndarray, q: np.ndarray) -> float:
-    """Jensen-Shannon distance of two histograms with base 2."""
-    p, q = p / max(p.sum(), 1), q / max(q.sum(), 1)
+def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distances of histograms row by row, with base 2."""
+    p, q = (side / np.maximum(side.sum(1, keepdims=True), 1) for side in (p, q))
     m = (p + q) / 2
-    total = 0.0
+    total = np.zeros(len(p))
     for side in (p, q):
-        used = side > 0
-        total += float((side[used] * np.log2(side[used] / m[used])).sum())
-    return float(np.sqrt(max(0.0, min(1.0, total / 2))))
-
+        total += (side * np.log2(np.divide(side, m, out=np.ones_like(m), where=side > 0))).sum(1)
+    return np.sqrt(np.clip(total / 2, 0, 1))
 
-def references(rows: DataFrame, common: int = COMMON_WORDS) -> tuple[dict[str, tuple[np.ndarray, list[str], np.ndarray]], bool]:
-    """Per language: class counts, its most common words, and their counts with that of all other words at the end. And whether they have the support.
 
-    Each task adds up what it reads and hands out partial counts; only `common` words a language come to the driver.
+def distance(p: np.ndarray, q: np.ndarray) -> float:
+    return float(distances(p[None], q[None])[0])
+
+
+def base_failed(words: int, repeats: int) -> bool:
+    return words < 50 or 100 * repeats > 50 * words
+
+
+class References:
+    """The histograms of the languages that have a reference, as matrices: a text is compared with all of them at once."""
+
+    def __init__(self, found: dict[str, tuple[np.ndarray, list[str], np.ndarray]]):
+        width = max((len(words) for _, words, _ in found.values()), default=0)
+        self.at = {lang: i for i, lang in enumerate(found)}
+        self.classes = np.array([c for c, _, _ in found.values()], float).reshape(len(found), len(CLASSES))
+        self.words = np.zeros((len(found), width + 1))
+        self._places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for i, (_, words, counts) in enumerate(found.values()):
+            for j, word in enumerate(words):
+                self._places[word].append((i, j))
+                self.words[i, j] = counts[j]
+            self.words[i, width] = counts[-1]
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def _words_of(self, counts: Counter, total: int, rows: list[int] | None) -> np.ndarray:
+        """The text's histogram over the common words of each reference."""
+        mine = np.zeros_like(self.words)
+        for word, n in counts.items():
+            for i, j in self._places.get(word, ()):
+                mine[i, j] = n
+        mine[:, -1] = total - mine.sum(1)
+        return mine if rows is None else mine[rows]
+
+    def nearest(self, lang: str | None, classes: np.ndarray, counts: Counter, total: int) -> tuple[float, float]:
+        """Both distances from the reference of the language, or from the nearest one if it has none."""
+        rows = [self.at[lang]] if lang in self.at else None
+        of_classes, of_words = (m if rows is None else m[rows] for m in (self.classes, self.words))
+        by_class = distances(np.broadcast_to(classes.astype(float), of_classes.shape), of_classes)
+        by_word = distances(self._words_of(counts, total, rows), of_words)
+        best = int(np.argmin(np.maximum(by_class / limit(CLASS_LIMIT, total), by_word / limit(WORD_LIMIT, total))))
+        return float(by_class[best]), float(by_word[best])
+
+
+def references(rows: DataFrame, common: int = COMMON_WORDS) -> References:
+    """Per language: class counts, its most common words, and their counts with that of all other words at the end.
+
+    Each task adds up what it reads and hands out partial counts; only `common` words a language that has a reference come to the driver.
     """
     rows = rows.filter(F.col("lang").isNotNull() & ~F.lower(F.trim("lang")).isin(*UNNAMED))
 
@@ -141,7 +186,10 @@ def references(rows: DataFrame, common: int = COMMON_WORDS) -> tuple[dict[str, t
             raw: dict = defaultdict(Counter)
             for lang, text in zip(batch.column(1).to_pylist(), batch.column(2)):
                 text = text.as_py() or ""
-                kinds, found = class_counts(text), text.encode().split()
+                found = text.encode().split()
+                if base_failed(len(found), repeated_words(found)):
+                    continue
+                kinds = class_counts(text)
                 classes[lang] += np.append(kinds, long_enough(len(found), len(text) - int(kinds[0])))
                 raw[lang].update(found)
             for lang, counts in raw.items():
@@ -153,11 +201,11 @@ def references(rows: DataFrame, common: int = COMMON_WORDS) -> tuple[dict[str, t
 
     sums = pinned(rows.mapInArrow(count, "lang string, kind int, name string, n long").groupBy("lang", "kind", "name").agg(F.sum("n").alias("n")))
     support = sums.filter((F.col("kind") == 0) & (F.col("name") == str(len(CLASSES)))).select("lang", F.col("n").alias("documents"))
-    known = {r.lang: r.documents for r in support.orderBy(F.desc("documents"), "lang").limit(MAX_LANGUAGES).collect()}
-    supported = any(n >= MIN_DOCUMENTS for n in known.values())
-    used = [(lang,) for lang, n in known.items() if n >= MIN_DOCUMENTS or not supported]
+    total = support.agg(F.sum("documents")).first()[0] or 0
+    # At most MOST_LANGUAGES rows, each with its share of all texts.
+    used = [(r.lang,) for r in support.filter(F.col("documents") >= max(MIN_DOCUMENTS, total / MOST_LANGUAGES)).orderBy(F.desc("documents"), "lang").collect()]
     if not used:
-        return {}, False
+        return References({})
     sums = sums.join(F.broadcast(sums.sparkSession.createDataFrame(used, "lang string")), "lang")
     most = ranked_per_group(sums.filter("kind = 1 and name <> ''"), ["lang"], [F.desc("n"), F.asc("name")], common).collect()
     classes = defaultdict(lambda: np.zeros(len(CLASSES) + 1))
@@ -167,10 +215,10 @@ def references(rows: DataFrame, common: int = COMMON_WORDS) -> tuple[dict[str, t
     tops = defaultdict(list)
     for r in sorted(most, key=lambda r: r.position):
         tops[r.lang].append((r.name, r.n))
-    return {
+    return References({
         lang: (classes[lang][:-1], [w for w, _ in tops[lang]], np.array([n for _, n in tops[lang]] + [all_words.get(lang, 0) - sum(n for _, n in tops[lang])], float))
         for lang, in used
-    }, supported
+    })
 
 
 VERDICT = (
@@ -183,30 +231,22 @@ def limit(of: tuple[float, float], words: int) -> float:
     return of[0] + of[1] / words ** 0.5
 
 
-def judge(text: str | None, candidates: list) -> tuple:
-    """The verdict on one text by the nearest of some references (none: no verdict), in the order of `VERDICT` without the id."""
+def judge(text: str | None, lang: str | None, refs: References) -> tuple:
+    """The verdict on one text, in the order of `VERDICT` without the id."""
     text = text or ""
     words = text.encode().split()  # bytes: splits on 20 and 09-0D only
     classes = class_counts(text)
     repeats = repeated_words(words)
     chars = len(text) - int(classes[0])
-    failed = len(words) < 50 or 100 * repeats > 50 * len(words)
+    failed = base_failed(len(words), repeats)
     by_class = by_word = None
     odd = False
-    if candidates and long_enough(len(words), chars):
+    if len(refs) and long_enough(len(words), chars):
         counts: Counter = Counter()
         for w, n in Counter(words).items():
             counts[plain(w)] += n
-        by_limit = limit(CLASS_LIMIT, len(words)), limit(WORD_LIMIT, len(words))
-        nearest = None
-        for of_classes, names, of_words in candidates:
-            mine = np.array([counts[w] for w in names] + [0.0])
-            mine[-1] = len(words) - mine.sum()
-            found = distance(classes.astype(float), of_classes), distance(mine, of_words)
-            far = max(found[0] / by_limit[0], found[1] / by_limit[1])
-            if nearest is None or far < nearest:
-                nearest, (by_class, by_word) = far, found
-        odd = by_class > by_limit[0] or by_word > by_limit[1]
+        by_class, by_word = refs.nearest(lang, classes, counts, len(words))
+        odd = by_class > limit(CLASS_LIMIT, len(words)) or by_word > limit(WORD_LIMIT, len(words))
     return (len(words), chars, int(classes[1]), repeated_lines(text), repeats, failed, not failed and not odd, by_class, by_word)
 
 
@@ -214,25 +254,24 @@ def _rows(docs: DataFrame, first, lang: str, text: str) -> DataFrame:
     return docs.select(first, F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
 
 
-def _judge_all(batch: pa.RecordBatch, refs: dict, supported: bool) -> list[tuple]:
-    every = list(refs.values()) if supported else []
-    return [judge(t.as_py(), [refs[lang]] if lang in refs else every) for lang, t in zip(batch.column(1).to_pylist(), batch.column(2))]
+def _judge_all(batch: pa.RecordBatch, refs: References) -> list[tuple]:
+    return [judge(t.as_py(), lang, refs) for lang, t in zip(batch.column(1).to_pylist(), batch.column(2))]
 
 
 def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", common: int = COMMON_WORDS) -> DataFrame:
     """One row per document: the base counts, `base_failed`, `kept` and both distances (null where the length guard passed it).
 
-    A null text counts as empty and fails the base rule. Without a language, or with a rare one, the nearest reference judges; without
-    any reference the distances are null and the text passes. Repeated rows are judged each. An empty table gives an empty result. Other columns are ignored.
+    A null text counts as empty and fails the base rule. Without a language that has a reference the nearest one judges; without any
+    reference the distances are null and the text passes. Repeated rows are judged each. An empty table gives an empty result. Other columns are ignored.
     """
     rows = _rows(docs, F.col(key).cast("long").alias("id"), lang, text)
-    refs, supported = references(rows, common)
+    refs = references(rows, common)
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
     names = [field.split()[0] for field in VERDICT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _judge_all(batch, refs, supported)
+            found = _judge_all(batch, refs)
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
@@ -241,12 +280,12 @@ def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 def passing(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON_WORDS) -> DataFrame:
     """The rows of `docs` that are kept, with all their columns, judged where they are read: no shuffle."""
-    refs, supported = references(_rows(docs, F.lit(0).alias("id"), lang, text), common)
+    refs = references(_rows(docs, F.lit(0).alias("id"), lang, text), common)
     rows = _rows(docs, F.struct("*").alias("row"), lang, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array([f[6] for f in _judge_all(batch, refs, supported)], pa.bool_())
+            keep = pa.array([f[6] for f in _judge_all(batch, refs)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep)], names=["row"])
 
     return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
