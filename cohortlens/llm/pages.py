@@ -9,8 +9,10 @@ first `run` tokens (prefix doubling, so three sorts for eight tokens), and neigh
 pages mark boilerplate. Of the candidate blocks the covered tokens go, the unique runs between them stay. What a page marks as its article
 is not touched: articles quote and copy each other, and all of an article is main text.
 
-**Hot hosts.** A host of more than `host_pages` pages is dealt to groups of about that many by a hash of the page: a run that is boilerplate of
-the host is found in each of them, and no task holds a whole host.
+**Hot hosts.** A host of more than `host_pages` pages is dealt to groups of about that many, so no task holds a whole host. A run that few
+pages of such a host share need not come often enough in any group: for the pages that are cleaned at all, those without a marked article,
+the hashes of their `run`-token windows are counted over all different pages of the host first, and what `pages` of them have goes, too. So
+the result does not depend on how a host is dealt.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ import re
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.ordering import joined_on
 from ..session import pinned
 from .common import sized_broadcast
 
@@ -211,11 +215,15 @@ def repeated(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> li
     return [covered[s:s + n] for s, n in zip(starts, sizes)]
 
 
-def main_texts(pages_html: list[str | None], run: int = RUN, pages: int = PAGES) -> list[str]:
-    """The main text of each page of one host."""
+def main_texts(pages_html: list[str | None], run: int = RUN, pages: int = PAGES, known: list | None = None) -> list[str]:
+    """The main text of each page of one host, or of a group of its pages: `known` has the begins of runs that are known to be repeated, or None."""
     read = [page_blocks(p) for p in pages_html]
     tokens = [[text.split(" ") for _, text in found] for _, found in read]
     covered = repeated([[t for block in page for t in block] for page in tokens], run, pages)
+    for mask, begins in zip(covered, known or []):
+        if begins is not None:
+            for begin in begins:
+                mask[begin:begin + run] = True
     texts = []
     for (level, found), page, mask in zip(read, tokens, covered):
         at, kept = 0, []
@@ -234,6 +242,63 @@ def host_of(url: str) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def windows(tokens: list[str], run: int = RUN) -> np.ndarray:
+    """A 64-bit hash of each run of `run` tokens."""
+    n = len(tokens) - run + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    hashed = np.fromiter((xxhash.xxh64_intdigest(t) for t in tokens), np.uint64, len(tokens))
+    total = np.zeros(n, np.uint64)
+    for at in range(run):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + hashed[at:at + n]
+    return total.view(np.int64)
+
+
+def _page_tokens(page: str | None) -> tuple[int, list[str]]:
+    level, found = page_blocks(page)
+    return level, [t for _, text in found for t in text.split(" ")]
+
+
+def host_wide(rows: DataFrame, run: int = RUN, min_pages: int = PAGES) -> DataFrame | None:
+    """Begins of the runs that at least `min_pages` different pages of a host have, for the pages without a marked article; None without such pages.
+
+    `rows` has (host, html); the result (host, m1, m2, begins), where m1 and m2 are hashes of the page. A page sends the hashes of windows, and
+    only those that such a page has are counted.
+    """
+    marked = rows.select("host", "html", F.xxhash64("html").alias("m1"), F.xxhash64(F.lit(1), "html").alias("m2"))
+
+    def to_clean(batches):
+        for batch in batches:
+            found = [_page_tokens(h) for h in batch["html"]]
+            batch = batch.drop(columns="html").assign(windows=[windows(t, run) if 0 <= level < 2 else None for level, t in found])
+            yield batch[batch["windows"].notna()]
+
+    needed = pinned(marked.mapInPandas(to_clean, "host string, m1 long, m2 long, windows array<long>"))
+    needed = needed.dropDuplicates(["host", "m1", "m2"])
+    hosts = needed.select("host").distinct()
+    if hosts.isEmpty():
+        return None
+
+    def streams(batches):
+        for batch in batches:
+            found = [_page_tokens(h)[1] for h in batch["html"]]
+            yield pd.DataFrame({
+                "host": batch["host"], "stream": [xxhash.xxh64(" ".join(t)).intdigest() - (1 << 63) for t in found],
+                "windows": [np.unique(windows(t, run)) for t in found],
+            })
+
+    wanted = needed.select("host", F.explode("windows").alias("w")).distinct()
+    every = marked.join(sized_broadcast(pinned(hosts)), "host").select("host", "html").mapInPandas(streams, "host string, stream long, windows array<long>")
+    shared = every.select("host", "stream", F.explode("windows").alias("w")).join(wanted, ["host", "w"]).distinct()
+    often = shared.groupBy("host", "w").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).drop("n")
+    places = needed.select("host", "m1", "m2", F.posexplode("windows").alias("at", "w")).join(often, ["host", "w"])
+    return pinned(places.groupBy("host", "m1", "m2").agg(F.collect_list("at").alias("begins")))
+
+
+#: Pages of a task, about: the number of tasks follows the number of pages.
+TASK_PAGES = 4096
+
+
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", run: int = RUN, min_pages: int = PAGES,
               host_pages: int = HOST_PAGES) -> DataFrame:
     """`key`, `url`, `text`, `n_chars` for each row.
@@ -244,21 +309,29 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     rows = pages.select(F.col(key).alias("id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), host_of(url).alias("host"))
     sizes = pinned(rows.groupBy("host").agg(F.count("*").alias("n")))
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    hot = sizes.filter(F.col("n") > host_pages).select(F.col("host").alias("hot"), F.ceil(F.col("n") / host_pages).alias("parts"))
-    mixed = F.xxhash64("url", "id")
-    dealt = rows.join(sized_broadcast(hot), F.col("host") == F.col("hot"), "left").withColumn(
-        "part", F.pmod(mixed, F.coalesce("parts", F.lit(1)))
-    )
+    hot = pinned(sizes.filter(F.col("n") > host_pages).select("host", F.ceil(F.col("n") / host_pages).alias("parts")))
+    known = None
+    if not hot.isEmpty():
+        known = host_wide(rows.join(sized_broadcast(hot.select("host")), "host").select("host", "html"), run, min_pages)
+    # Repeated rows are dealt by their place in the table, too.
+    mixed = F.xxhash64("url", "id", F.monotonically_increasing_id())
+    dealt = rows.join(sized_broadcast(hot), "host", "left").withColumn("part", F.pmod(mixed, F.coalesce("parts", F.lit(1))))
+    if known is not None:
+        named = dealt.withColumns({"m1": F.xxhash64("html"), "m2": F.xxhash64(F.lit(1), "html")})
+        dealt = joined_on(named, sized_broadcast(known), ["host", "m1", "m2"], "left")
+    else:
+        dealt = dealt.withColumn("begins", F.lit(None).cast("array<int>"))
     # Small hosts share groups, so that there are not as many groups as hosts.
     groups = max(1, -(-total // host_pages)) * 4
-    grouped = dealt.withColumn("at", F.pmod(F.xxhash64("host", "part"), F.lit(groups))).select("id", "url", "html", "host", "part", "at")
+    grouped = dealt.withColumn("at", F.pmod(F.xxhash64("host", "part"), F.lit(groups))).select("id", "url", "html", "host", "part", "at", "begins")
+    tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_PAGES))
 
     def extract(group: pd.DataFrame) -> pd.DataFrame:
         texts = pd.Series("", index=group.index, dtype=object)
         for _, one in group.groupby(["host", "part"], sort=True):
-            texts[one.index] = main_texts(one["html"].tolist(), run, min_pages)
+            texts[one.index] = main_texts(one["html"].tolist(), run, min_pages, one["begins"].tolist())
         return pd.DataFrame({"id": group["id"], "url": group["url"], "text": texts, "n_chars": texts.str.len().astype("int64")})
 
     kind = rows.schema["id"].dataType.simpleString()
-    done = grouped.groupBy("at").applyInPandas(extract, f"id {kind}, url string, text string, n_chars long")
+    done = grouped.repartition(tasks, "at").groupBy("at").applyInPandas(extract, f"id {kind}, url string, text string, n_chars long")
     return done.withColumnRenamed("id", key)

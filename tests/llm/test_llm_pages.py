@@ -104,3 +104,30 @@ def test_whole_table_against_the_structure(spark):
         inner = re.sub(r"<(?:p|/p|br|h1|/h1)>", " ", inner)
         wanted = " ".join(unescape(re.sub(r"</?b>", "", inner)).split())
         assert got[key].text == wanted and got[key].n_chars == len(wanted)
+
+
+def test_a_notice_on_few_pages_of_a_large_host(spark):
+    """5,120 plain pages of one host, a ten-token notice on 20 of them: no group of pages has it often enough, the host has."""
+    note = "this notice of ten tokens stands on very few pages"
+    rows = [(i, f"https://big.org/{i}", f"<p>page {i} has words of its own number {i}</p>" + (f"<div>{note}</div>" if i % 256 == 7 else "")) for i in range(5120)]
+    rows += [(9000 + i, f"https://small.org/{i}", f"<p>short {i}</p><div>{note}</div>") for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    got = {r.page_id: r.text for r in pages.extracted(df).collect()}
+    assert len(got) == 5122 and not [k for k, t in got.items() if "notice" in t and k < 9000]
+    assert all(got[i] == f"page {i} has words of its own number {i}" for i in range(5120))
+    assert got[9000] == f"short 0 {note}", "two pages of a host do not make boilerplate"
+
+
+def test_dealing_changes_nothing(spark):
+    random.seed(7)
+    words = [f"w{i}" for i in range(60)]
+    shared = [" ".join(random.choices(words, k=12)) for _ in range(8)]
+    rows = []
+    for i in range(90):
+        body = "".join(f"<p>{x}</p>" for x in random.sample([*random.sample(shared, 2), " ".join(random.choices(words, k=20))], 3))
+        rows.append((i, "https://h.org/x", f"<article>{body}</article>" if i % 4 == 0 else f"<main>{body}</main>" if i % 4 == 1 else body))
+    rows += [rows[3]] * 40
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(map(str, pages.extracted(df, host_pages=1000).collect()))
+    assert sorted(map(str, pages.extracted(df.repartition(5), host_pages=7).collect())) == whole
+    assert pages.main_texts([r[2] for r in rows[:9]]) != [pages.main_texts([r[2]])[0] for r in rows[:9]], "there is something to remove"
