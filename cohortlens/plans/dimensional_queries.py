@@ -165,16 +165,15 @@ def guarded_refresh(t: Tables) -> DataFrame:
 def normalise_3nf(t: Tables) -> DataFrame:
     """Five tables from flat rows, keys resolved by the published alias rules, ids by hash."""
     rows, rules = pinned(named(t)), published_rules(t)
-    names = resolve.resolve(rows.select("published").distinct(), rules, "published", "origin", "target", "name")
+    names = pinned(resolve.resolve(rows.select("published").distinct(), rules, "published", "origin", "target", "name"))
     catalogue = names.filter(~F.col("name").startswith("PROGRAMA ")).select("name").distinct()
     courses = normalise.courses(catalogue, "name", {"trunk": F.col("name").isin("ENGENHARIA", "MUSICA")})
     cells = resolve.resolve(cohorts.outcome_cube(rows, "published"), rules, "published", "origin", "target", "name")
-    structures = normalise.structures(cohorts.deadlines(cells, "name").join(catalogue, "name").select("name", "ideal"), courses, "name", ["ideal"])
-    people = normalise.people(rows, "person", ["area"], F.desc("id"))
-    moves = normalise.movements(rows, "id", people, "person", rules, "published", structures, "name", ["permanence"])
-    grants = normalise.grants(
-        rows.filter(F.col("priority").isin("1-URGENT", "2-HIGH")), "id", rules, "published", structures, "name", ["priority", "entry_year"]
-    )
+    structures = pinned(normalise.structures(cohorts.deadlines(cells, "name").join(catalogue, "name").select("name", "ideal"), courses, "name", ["ideal"]))
+    people = pinned(normalise.people(rows, "person", ["area"], F.desc("id")))
+    places = normalise.places(names, "published", rules, structures, "name")
+    moves = normalise.movements(rows, "id", people, "person", places, "published", ["permanence"])
+    grants = normalise.grants(rows.filter(F.col("priority").isin("1-URGENT", "2-HIGH")), "id", places, "published", ["priority", "entry_year"])
     none = F.lit(None).cast("string")
     shapes = [
         ("courses", courses, "course_id", none, F.col("name"), F.col("trunk").cast("bigint")),
