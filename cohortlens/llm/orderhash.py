@@ -1,9 +1,9 @@
 """Order MinHash fingerprints, in DataFrame functions only.
 
 A text's k-mers are runs of `k` words. Each occurrence is numbered among the equal k-mers of the text, so repeats count, and hashed with its
-number. The hash's first bits deal the occurrences to `bins` sketches (one permutation serves all); in each the `pick` smallest are kept, put
-back into the order of the text, and hashed together. A bin with fewer k-mers than `pick`, as most are in a short text, takes the `pick`
-smallest of all the text's k-mers under a permutation of its own, so it keeps an order, too. Two texts agree in a bin only if the same k-mers
+number. Each of `bins` sketches has a permutation of its own, the hash less the sketch's share of the whole range (so one hash and one sort serve
+all); the `pick` smallest of all k-mers under it are kept, put back into the order of the text, and hashed together. In a long text they lie in
+the sketch's own bin, in a short one they come from the next bins, so it keeps an order, too. Two texts agree in a bin only if the same k-mers
 come in the same order, so the share of agreeing bins falls with the edit distance.
 
 All steps are array functions on one row: sorting brings equal k-mers together, and the lengths of their runs give the occurrence numbers.
@@ -55,22 +55,24 @@ def sketch(df: DataFrame, text: str, out: str, k: int = K, pick: int = PICK, bin
     df = df.withColumn(names["g"], F.transform(n("g"), lambda e: F.struct(F.shiftright(e["g"], shift).alias("bin"), e["g"].alias("g"), e["i"].alias("i"))))
     df = _runs(df, names["g"], "bin", names["b"])
 
-    runs = F.transform(n("b"), lambda start, at: F.struct(
-        (F.get(n("g"), start)["bin"] + (1 << (bin_bits - 1))).alias("bin"), start.alias("start"), ends(start, at, n("b"), n("g")).alias("size")
-    ))
-    df = df.withColumn(names["b"], runs)
-
-    def signed(place: Column) -> Column:
-        own = F.get(F.filter(n("b"), lambda r: (r["bin"] == place) & (r["size"] >= pick)), F.lit(0))["start"]
-        again = F.sort_array(F.transform(n("g"), lambda e: F.struct(F.xxhash64(e["g"], place).alias("p"), e["i"].alias("i"), e["g"].alias("g"))))
-        chosen = F.when(own.isNotNull(), F.transform(F.slice(n("g"), own + 1, F.lit(pick)), lambda e: F.struct(e["i"].alias("i"), e["g"].alias("g"))))
-        chosen = chosen.otherwise(F.transform(F.slice(again, 1, pick), lambda e: F.struct(e["i"].alias("i"), e["g"].alias("g"))))
+    of_bin = lambda start: F.get(n("g"), start)["bin"] + (1 << (bin_bits - 1))
+    # The first place of the sorted hashes that a sketch looks at: that of its own bin, or of the next one with k-mers; after the last the first.
+    begins = F.flatten(F.transform(n("b"), lambda start, at: F.array_repeat(
+        start, (of_bin(start) - F.coalesce(of_bin(F.get(n("b"), at - 1)), F.lit(-1))).cast("int")
+    )))
+    size = F.size(n("g"))
+    last = F.lit((1 << bin_bits) - 1) - of_bin(F.get(n("b"), F.size(n("b")) - 1))
+    begins = F.when(size > 0, F.concat(begins, F.array_repeat(F.lit(0), last.cast("int")))).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn(names["b"], begins).withColumn(names["g"], F.transform(n("g"), lambda e: F.struct(e["i"].alias("i"), e["g"].alias("g"))))
+    df = df.withColumn(names["s"], F.concat(n("g"), F.slice(n("g"), 1, pick)))
+
+    def signed(start: Column, place: Column) -> Column:
+        chosen = F.slice(n("s"), start + 1, F.least(F.lit(pick), F.size(n("g"))))
         ordered = F.transform(F.sort_array(chosen), lambda e: e["g"])
         mark = F.xxhash64(ordered).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
         return F.concat(F.lpad(F.lower(F.hex(place)), 2, "0"), F.lpad(F.lower(F.hex(mark)), 8, "0"))
 
-    places = F.when(F.size(n("g")) > 0, F.sequence(F.lit(0), F.lit((1 << bin_bits) - 1))).otherwise(F.array().cast("array<int>"))
-    return df.withColumn(out, F.transform(places, signed)).drop(*names.values())
+    return df.withColumn(out, F.transform(n("b"), signed)).drop(*names.values())
 
 
 def likeness(a: Column, b: Column) -> Column:

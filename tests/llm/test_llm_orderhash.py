@@ -2,7 +2,7 @@
 
 import hashlib
 import struct
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pytest
 import xxhash
@@ -29,15 +29,14 @@ def slow_sketch(text, pick=orderhash.PICK, bits=orderhash.BIN_BITS):
     words = [h(w) for w in text.split(" ") if w]
     mers = [h2(a, b) for a, b in zip(words, words[1:])] if len(words) > 1 else [h(*map(int, words))] if words else []
     seen = Counter()
-    bins = defaultdict(list)
+    every = []
     for i, m in enumerate(mers):
-        g = h2(m, Int(seen[m]))
+        every.append((h2(m, Int(seen[m])), i))
         seen[m] += 1
-        bins[(g >> (64 - bits)) + (1 << bits - 1)].append((g, i))
-    out, every = [], [e for each in bins.values() for e in each]
+    out = []
     for b in range(1 << bits if every else 0):
-        kept = sorted(bins[b])[:pick] if len(bins[b]) >= pick else sorted(every, key=lambda e: h2(e[0], Int(b)))[:pick]
-        first = sorted((i, g) for g, i in kept)
+        rotated = sorted(every, key=lambda e: (e[0] - ((b << 64 - bits) - (1 << 63))) % (1 << 64))
+        first = sorted((i, g) for g, i in rotated[:pick])
         state = 42
         for _, g in first:
             state = xxhash.xxh64(struct.pack("<q", g), seed=state).intdigest()
