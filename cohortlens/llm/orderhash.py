@@ -64,15 +64,16 @@ def sketch(df: DataFrame, text: str, out: str, k: int = K, pick: int = PICK, bin
     last = F.lit((1 << bin_bits) - 1) - of_bin(F.get(n("b"), F.size(n("b")) - 1))
     begins = F.when(size > 0, F.concat(begins, F.array_repeat(F.lit(0), last.cast("int")))).otherwise(F.array().cast("array<int>"))
     df = df.withColumn(names["b"], begins).withColumn(names["g"], F.transform(n("g"), lambda e: F.struct(e["i"].alias("i"), e["g"].alias("g"))))
-    df = df.withColumn(names["s"], F.concat(n("g"), F.slice(n("g"), 1, pick)))
+    # Bound by a transform of one element: a column that only a lambda uses would be computed again for each sketch.
+    whole = F.struct(F.concat(n("g"), F.slice(n("g"), 1, pick)).alias("e"), F.least(F.lit(pick), F.size(n("g"))).alias("take"))
 
-    def signed(start: Column, place: Column) -> Column:
-        chosen = F.slice(n("s"), start + 1, F.least(F.lit(pick), F.size(n("g"))))
-        ordered = F.transform(F.sort_array(chosen), lambda e: e["g"])
+    def signed(held: Column, start: Column, place: Column) -> Column:
+        ordered = F.transform(F.sort_array(F.slice(held["e"], start + 1, held["take"])), lambda e: e["g"])
         mark = F.xxhash64(ordered).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
         return F.concat(F.lpad(F.lower(F.hex(place)), 2, "0"), F.lpad(F.lower(F.hex(mark)), 8, "0"))
 
-    return df.withColumn(out, F.transform(n("b"), signed)).drop(*names.values())
+    marks = F.transform(F.array(whole), lambda held: F.transform(n("b"), lambda start, place: signed(held, start, place)))
+    return df.withColumn(out, F.get(marks, F.lit(0))).drop(*names.values())
 
 
 def likeness(a: Column, b: Column) -> Column:
