@@ -11,6 +11,8 @@ All steps are array functions on one row: sorting brings equal k-mers together,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 K, PICK, BIN_BITS = 2, 2, 6
@@ -18,11 +20,11 @@ BUCKET_ROWS = 2000
 MOST_BUCKETS = 1 << 16
 
 
-def _runs(df: DataFrame, array: str, same: str, out: str) -> DataFrame:
-    """Adds `out`: the places (from 0) at which a new value of field `same` begins in a sorted array of structs."""
+def _runs(df: DataFrame, array: str, same: Callable[[Column], Column], out: str) -> DataFrame:
+    """Adds `out`: the places (from 0) at which a new value of `same` begins in a sorted array."""
     n = F.size(array)
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    begins = lambda j: (j == 0) | (F.get(array, j)[same] != F.get(array, j - 1)[same])
+    begins = lambda j: (j == 0) | (same(F.get(array, j)) != same(F.get(array, j - 1)))
     return df.withColumn(out, F.filter(places, begins))
 
 
@@ -43,7 +45,7 @@ def sketch(df: DataFrame, text: str, out: str, k: int = K, pick: int = PICK, bin
     mers = F.when(size >= k, mers).when(size > 0, F.array(F.xxhash64(n("w")))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn(names["h"], mers)
     df = df.withColumn(names["s"], F.sort_array(F.transform(n("h"), lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    df = _runs(df, names["s"], "h", names["r"])
+    df = _runs(df, names["s"], lambda e: e["h"], names["r"])
     ends = lambda start, at, runs, whole: F.coalesce(F.get(runs, at + 1), F.size(whole)) - start
     number = F.flatten(F.transform(n("r"), lambda s, x: F.sequence(F.lit(0), ends(s, x, n("r"), n("s")) - 1)))
     df = df.withColumn(names["o"], number)
@@ -51,11 +53,10 @@ def sketch(df: DataFrame, text: str, out: str, k: int = K, pick: int = PICK, bin
         n("s"), n("o"), lambda e, o: F.struct(F.xxhash64(e["h"], o).alias("g"), e["i"].alias("i"))
     )))
     # Equal first bits are next to each other, as the hashes are sorted.
-    shift = 64 - bin_bits
-    df = df.withColumn(names["g"], F.transform(n("g"), lambda e: F.struct(F.shiftright(e["g"], shift).alias("bin"), e["g"].alias("g"), e["i"].alias("i"))))
-    df = _runs(df, names["g"], "bin", names["b"])
+    bin_of = lambda e: F.shiftright(e["g"], 64 - bin_bits)
+    df = _runs(df, names["g"], bin_of, names["b"])
 
-    of_bin = lambda start: F.get(n("g"), start)["bin"] + (1 << (bin_bits - 1))
+    of_bin = lambda start: bin_of(F.get(n("g"), start)) + (1 << (bin_bits - 1))
     # The first place of the sorted hashes that a sketch looks at: that of its own bin, or of the next one with k-mers; after the last the first.
     begins = F.flatten(F.transform(n("b"), lambda start, at: F.array_repeat(
         start, (of_bin(start) - F.coalesce(of_bin(F.get(n("b"), at - 1)), F.lit(-1))).cast("int")
@@ -63,12 +64,13 @@ def sketch(df: DataFrame, text: str, out: str, k: int = K, pick: int = PICK, bin
     size = F.size(n("g"))
     last = F.lit((1 << bin_bits) - 1) - of_bin(F.get(n("b"), F.size(n("b")) - 1))
     begins = F.when(size > 0, F.concat(begins, F.array_repeat(F.lit(0), last.cast("int")))).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn(names["b"], begins).withColumn(names["g"], F.transform(n("g"), lambda e: F.struct(e["i"].alias("i"), e["g"].alias("g"))))
+    df = df.withColumn(names["b"], begins)
     # Bound by a transform of one element: a column that only a lambda uses would be computed again for each sketch.
     whole = F.struct(F.concat(n("g"), F.slice(n("g"), 1, pick)).alias("e"), F.least(F.lit(pick), F.size(n("g"))).alias("take"))
 
     def signed(held: Column, start: Column, place: Column) -> Column:
-        ordered = F.transform(F.sort_array(F.slice(held["e"], start + 1, held["take"])), lambda e: e["g"])
+        picked = F.transform(F.slice(held["e"], start + 1, held["take"]), lambda e: F.struct(e["i"].alias("i"), e["g"].alias("g")))
+        ordered = F.transform(F.sort_array(picked), lambda e: e["g"])
         mark = F.xxhash64(ordered).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
         return F.concat(F.lpad(F.lower(F.hex(place)), 2, "0"), F.lpad(F.lower(F.hex(mark)), 8, "0"))
 

@@ -114,3 +114,10 @@ def test_moved_blocks_lower_the_likeness_at_any_length(spark, words):
     mean = sum(r[0] for r in near) / len(near)
     same = (words - 6) / (words + 4)  # share of 2-mers that both orders have
     assert mean < 0.75 * same
+
+
+def test_hashes_are_not_rebuilt_for_their_bins(spark):
+    """The bin is read off the sorted hashes: no pass over all of them adds it or takes it away again."""
+    df = spark.createDataFrame([(1, "a b c a b")], "i int, text string")
+    plan = orderhash.sketch(df, "text", "s")._jdf.queryExecution().analyzed().toString()
+    assert "shiftright" in plan and "AS bin" not in plan and "named_struct(bin" not in plan and "struct(bin" not in plan
