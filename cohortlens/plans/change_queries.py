@@ -6,7 +6,7 @@ commit position; 'error' deletes, 'signup' inserts, the rest update.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import late
 from ..session import pinned, work_dir
@@ -16,10 +16,18 @@ from .registry import Tables, plan
 
 USERS = cdc.Table("silver.users", (("user_id", "bigint"), ("event_type", "string"), ("value", "double")), ("user_id",))
 KINDS = cdc.Table("silver.kinds", (("event_type", "string"), ("value", "double")), ("event_type",))
+LOG = "topic string, value string, event_id bigint"
 
+#: Messages in a file of the log: a batch of a large log has many files, so that all cores read and parse it.
+SEGMENT = 25_000
 
-def messages(t: Tables, truncates: bool = False, snapshots: bool = False) -> DataFrame:
-    """JSON envelopes with topic, in event order. Some 'purchase' events become a TRUNCATE on demand.
+#: Micro-batches of the first run at most. A batch has a share of the log's files, so a larger log has larger batches, not more of them:
+#: every third one folds the whole state.
+BATCHES = 6
+
+
+def message(truncates: bool = False, snapshots: bool = False) -> Column:
+    """JSON envelope of an event as a change of its user. Some 'purchase' events become a TRUNCATE on demand.
 
     One user in 25 is only ever deleted: the state has nothing but those events to take the row from.
     """
@@ -34,8 +42,12 @@ def messages(t: Tables, truncates: bool = False, snapshots: bool = False) -> Dat
     row = F.struct("user_id", "event_type", "value")
     commit = F.col("event_id") - F.col("event_id") % 5
     millis = F.unix_millis(F.col("ts").cast("timestamp"))
-    envelope = cdc.envelope(op, row, commit, F.col("event_id"), millis, mark)
-    return t.events.select(F.lit(USERS.name).alias("topic"), envelope.alias("value"), "event_id")
+    return cdc.envelope(op, row, commit, F.col("event_id"), millis, mark)
+
+
+def messages(t: Tables, truncates: bool = False, snapshots: bool = False) -> DataFrame:
+    """JSON envelopes with topic, in event order."""
+    return t.events.select(F.lit(USERS.name).alias("topic"), message(truncates, snapshots).alias("value"), "event_id")
 
 
 def _log_sql(op: str, marker: str) -> str:
@@ -109,7 +121,7 @@ def cdc_snapshot_end(t: Tables) -> DataFrame:
 def _streamed(t: Tables, stores: dict[str, cdc.ChangeStore], folder: str, run: str, files_per_batch: int) -> None:
     newest = t.events.agg(F.max("event_id")).first()[0]
     stream = (
-        t.spark.readStream.schema("topic string, value string, event_id bigint").option("maxFilesPerTrigger", files_per_batch)
+        t.spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_batch)
         .parquet(f"{folder}/topics")
     )
     query = cdc.consume(
@@ -128,10 +140,13 @@ def cdc_replay(t: Tables) -> DataFrame:
         F.lit("u"), F.struct("event_type", "value"), F.col("event_id"), F.col("event_id"),
         F.unix_millis(F.col("ts").cast("timestamp")), F.lit("false"),
     )
-    log = messages(t, truncates=True).unionByName(t.events.select(F.lit(KINDS.name).alias("topic"), kinds.alias("value"), "event_id"))
-    log.repartitionByRange("event_id").write.parquet(f"{folder}/topics")
+    topics = {USERS.name: message(truncates=True), KINDS.name: kinds}
+    sent = F.array(*[F.struct(F.lit(topic).alias("topic"), value.alias("value")) for topic, value in topics.items()])
+    log = t.events.repartitionByRange("event_id").select(F.inline(sent), "event_id")  # dealt as events, which are shorter
+    log.write.option("maxRecordsPerFile", SEGMENT).parquet(f"{folder}/topics")
+    files = len(t.spark.read.schema(LOG).parquet(f"{folder}/topics").inputFiles())
     stores = {table.name: cdc.ChangeStore(t.spark, f"{folder}/{table.name}", table, compact_every=3) for table in (USERS, KINDS)}
-    _streamed(t, stores, folder, "first", 2)
+    _streamed(t, stores, folder, "first", max(2, -(-files // BATCHES)))
     _streamed(t, stores, folder, "again", 1000)
     none = F.lit(None)
     users, kept = stores[USERS.name].state(), stores[KINDS.name].state()

@@ -91,9 +91,11 @@ def _decoded(messages: DataFrame, table: Table, value: str, skip_bad: bool) -> D
         stop = F.raise_error(F.concat(F.lit(f"a message of {table.name} is bad, it can't be used: "), F.col("_bad"))).cast("string")
         op = F.when(F.col("_bad").isNull(), op).otherwise(stop)
     rows = opened.select(op.alias("op"), "_row", "_e.source", "_bad")
-    pair = F.from_json(F.coalesce("source.sequence", F.lit("[null,null]")), "array<string>")
-    lsn = F.coalesce(F.nullif(pair[1].cast("bigint"), F.lit(0)), F.col("source.lsn"), F.lit(0))
-    commit = F.coalesce(F.nullif(pair[0], F.lit("")).cast("bigint"), lsn)
+    # columns of their own: `nullif` repeats what it is given, and the pair would be parsed anew each time
+    rows = rows.withColumn("_pair", F.from_json(F.coalesce("source.sequence", F.lit("[null,null]")), "array<string>"))
+    rows = rows.withColumns({"_commit": F.col("_pair")[0], "_own": F.col("_pair")[1].cast("bigint")})
+    lsn = F.coalesce(F.nullif("_own", F.lit(0)), F.col("source.lsn"), F.lit(0))
+    commit = F.coalesce(F.nullif("_commit", F.lit("")).cast("bigint"), lsn)
     return rows.select(
         "op",
         commit.alias("commit_lsn"),

@@ -10,7 +10,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.session import work_dir
+from cohortlens.plans import change_queries
+from cohortlens.plans.registry import Tables
+from cohortlens.session import work_dir, workspace
 from cohortlens.sources.lake import fingerprint, live
 from cohortlens.streaming import cdc
 
@@ -155,3 +157,40 @@ def test_latency(spark):
     state = cdc.state_of(decoded(spark, messages(spark, "+1:A@10/11")), COURSES)
     written = F.timestamp_millis(F.lit(3500))
     assert tuple(cdc.latency(state, written).first()) == (1, 2.5, 2.5)
+
+
+def test_larger_log_has_larger_batches_not_more(spark, monkeypatch):
+    """40 ranges made 20 batches of two files, each read by two tasks; a file was as long as its range."""
+    monkeypatch.setattr(change_queries, "SEGMENT", 10, raising=False)
+    batches, write = [], cdc.ChangeStore.write_batch
+
+    def counted(store, events, batch_id, run="run"):
+        batches.append((store.path, run))
+        write(store, events, batch_id, run)
+
+    monkeypatch.setattr(cdc.ChangeStore, "write_batch", counted)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    kept = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    with workspace(spark):
+        try:
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            spark.conf.set("spark.sql.shuffle.partitions", "40")
+            replayed = change_queries.cdc_replay(t)
+        finally:
+            for name, value in kept.items():
+                spark.conf.set(name, value)
+        folder = batches[0][0].rsplit("/", 2)[0]
+        log = spark.read.parquet(f"{folder}/topics")
+        in_file = log.groupBy(F.input_file_name()).count().agg(F.count("*"), F.max("count")).first()
+        assert log.count() == 2 * t.events.count()
+        users = replayed.filter(F.col("topic") == change_queries.USERS.name).drop("topic")
+        wanted = change_queries.cdc_truncate(t)
+        assert sorted(users.collect()) == sorted(wanted.select(*users.columns).collect())
+    assert in_file[1] <= 10 and in_file[0] >= 40
+    for path in {path for path, _ in batches}:
+        assert 3 <= batches.count((path, "first")) <= change_queries.BATCHES and batches.count((path, "again")) == 1
+
+
+def test_position_of_an_event_is_parsed_once(spark):
+    plan = decoded(spark, messages(spark, "+1:A@10/11"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(ArrayType") == 1
