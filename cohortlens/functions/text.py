@@ -14,12 +14,13 @@ from . import fixed_values as V
 
 
 @cache
-def _folding() -> tuple[str, str, str, str, str, str]:
+def _folding() -> tuple[str, str, str, str, str, str, str]:
     """What compatibility decomposition without combining marks does to each letter, from the Unicode tables.
 
     Letters that become one letter come with it (source, target; those past the end of the target vanish); letters
     that become several come as a pattern, a list and their spellings. Korean syllables follow from a rule of their own.
-    The last pattern finds what is no Latin letter that stays one: cheap, and true wherever the long pattern is.
+    Two more patterns are cheaper and true wherever the long one is: what is no Latin letter that stays one, and, of two ranges only, what is
+    beyond the first 256 letters or among the few of those that become several.
     """
     single, target, gone, several, spelled = [], [], [], [], []
     for code in range(0x80, 0x110000):
@@ -48,7 +49,9 @@ def _folding() -> tuple[str, str, str, str, str, str]:
     edges = sorted({-1, *odd})
     plain = [(a + 1, b - 1) for a, b in zip(edges, edges[1:]) if b - a > 1]
     hint = "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in plain) + "]"
-    return "".join(single + gone), "".join(target), pattern, "".join(several), "\x00".join(spelled), hint
+    early = [ord(c) for c in several if c < "\u0100"]
+    rough = f"[\\x{{{min(early):X}}}-\\x{{{max(early):X}}}\\x{{100}}-\\x{{10FFFF}}]"
+    return "".join(single + gone), "".join(target), pattern, "".join(several), "\x00".join(spelled), hint, rough
 
 
 def _syllable(letter: Column) -> Column:
@@ -71,7 +74,7 @@ def fold_accents(text: Column) -> Column:
     ASCII text is passed through. Letters that become one letter or vanish are translated; only texts with a letter
     that becomes several are taken apart.
     """
-    source, target, pattern, several, spelled, hint = _folding()
+    source, target, pattern, several, spelled, hint, rough = _folding()
 
     def spell(letter: Column) -> Column:
         place = F.call_function("locate", letter, F.lit(several))
@@ -81,7 +84,8 @@ def fold_accents(text: Column) -> Column:
         )
 
     apart = F.array_join(F.transform(F.split(text, ""), spell), "")
-    whole = F.when(F.rlike(text, F.lit(hint)) & F.rlike(text, F.lit(pattern)), apart).otherwise(text)
+    found = F.rlike(text, F.lit(rough)) & F.rlike(text, F.lit(hint)) & F.rlike(text, F.lit(pattern))
+    whole = F.when(found, apart).otherwise(text)
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(whole, source, target))
 
 

@@ -253,8 +253,8 @@ def trigram_title(t: Tables) -> DataFrame:
     return found.withColumn("similarity", half_even(F.col("similarity"), 9))
 
 
-def lists(t: Tables, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The vector list with its positions, title and text candidates without, and (id, file).
+def lists(t: Tables, asked: DataFrame) -> tuple[DataFrame, DataFrame, search.CoverageList, DataFrame]:
+    """The vector list with its positions, title candidates without, the text list, and (id, file).
 
     Every third document has no file. Titles and files come from one written table, texts from the documents.
     """
@@ -264,7 +264,7 @@ def lists(t: Tables, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     return (
         search.vector_candidates(vectors, asked, "vec_id", "embedding"),
         search.title_candidates(short, asked, "doc_id", F.col("title"), placed=False),
-        search.coverage_candidates(t.documents, asked, "doc_id", F.col("text"), STOP, placed=False),
+        search.CoverageList(t.documents, asked, "doc_id", F.col("text"), STOP),
         short.select(F.col("doc_id").alias("id"), "file"),
     )
 
@@ -309,11 +309,9 @@ def retrieval_quality(t: Tables) -> DataFrame:
     """How often each list and their fusion find the document that a query was made from."""
     asked = own_queries(t)
     vector, titles, texts_, files = lists(t, asked)
-    vector, titles, texts_ = pinned(vector), pinned(titles), pinned(texts_)
-    found = {
-        "vector": vector, "title": search.in_order(titles, search.TITLE_ORDER, 5), "text": search.in_order(texts_, search.TEXT_ORDER, 5),
-        "fused": search.top_fused(vector, titles, texts_, files, 5),
-    }
+    vector, titles = pinned(vector), pinned(titles)
+    fused = search.top_fused(vector, titles, texts_, files, 5)
+    found = {"vector": vector, "title": search.in_order(titles, search.TITLE_ORDER, 5), "text": texts_.head(5), "fused": fused}
     expected = asked.select("query_id", F.col("query_id").alias("id"))
     result = None
     for name, hits_ in found.items():
